@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, jaccard_join
+from tidemark.llm import conversations, decontaminate, html_text, jaccard_join, mixing, pii, quality_rules, sharding, token_counts, token_files
 
-_MODULES = (decontaminate, jaccard_join)
+_MODULES = (mixing, quality_rules, decontaminate, jaccard_join, token_counts, pii, token_files, sharding, conversations, html_text)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

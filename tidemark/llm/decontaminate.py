@@ -215,36 +215,54 @@ def search_shard(texts: list[bytes | None], windows: Windows) -> list[tuple[int,
     return out
 
 
-def _search(block, size: int, columns: list[str]):
-    """Adds what one block of the benchmark hits to the state that earlier blocks left."""
+def _search(block, size: int):
+    """Adds what one block of the benchmark hits to the state (n_words, spans, items) that earlier blocks left; columns: row, text, state."""
+    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block.value, size)
-        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
             begin, held = 0, 0
-            texts = batch.column(batch.num_columns - 4)
+            texts = batch.column(1)
             for i in range(batch.num_rows):
                 held += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-                if held >= SHARD_BYTES or i == batch.num_rows - 1:
-                    part = batch.slice(begin, i + 1 - begin)
-                    found = search_shard(part.column(part.num_columns - 4).to_pylist(), windows)
-                    old = zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True)
-                    spans, items = [], []
-                    for (_, s, x), (s0, x0) in zip(found, old, strict=True):
-                        if s0:
-                            s = _merged(np.array([t["first"] for t in s0] + [t[0] for t in s]), np.array([t["last"] for t in s0] + [t[1] for t in s]))
-                        spans.append([{"first": a, "last": b} for a, b in s])
-                        items.append(sorted(x.union(x0 or ())))
-                    state = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-3], *state], [*columns, "n_words", "spans", "items"])
-                    begin, held = i + 1, 0
+                if held < SHARD_BYTES and i < batch.num_rows - 1:
+                    continue
+                part = batch.slice(begin, i + 1 - begin)
+                begin, held = i + 1, 0
+                found = search_shard(part.column(1).to_pylist(), windows)
+                spans, items = [], []
+                for (_, s, x), s0, x0 in zip(found, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                    if s0:
+                        s = _merged(np.array([t["first"] for t in s0] + [t[0] for t in s]), np.array([t["last"] for t in s0] + [t[1] for t in s]))
+                    spans.append([{"first": a, "last": b} for a, b in s])
+                    items.append(sorted(x.union(x0 or ())))
+                state = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *state], ["row", "text", "n_words", "spans", "items"])
 
     return run
 
 
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """row (the columns of `docs` but the text), text, n_words, spans and items."""
+    spark = docs.sparkSession
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
+    total = bench.agg(F.sum(F.length("text") + 64)).first()[0] or 0
+    blocks = int(total // block_bytes) + 1
+    out = docs.select(
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
+    )
+    row = next(f.dataType.simpleString() for f in out.schema if f.name == "row")
+    for k in range(blocks):
+        rows = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
+        block = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in rows])
+        out = out.mapInArrow(_search(block, window), f"row {row}, text binary, {STATE}")
+    return out.withColumn("text", F.col("text").cast("string"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` (doc_id, text), with n_words, spans and items.
+    """doc_id, n_words, spans and items of every row of `docs` (doc_id, text).
 
     spans: merged runs of words (first and last index) inside any occurrence of
     a window of `window` consecutive words of an item of `benchmark` (item_id,
@@ -254,28 +272,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     under the empty id. A benchmark above `block_bytes` is searched in blocks of
     about that size, one after the other within the same pass.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
-    out = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    for k in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in rows])
-        out = out.mapInArrow(_search(block, window, ["doc_id", "text"]), f"doc_id long, text binary, {STATE}")
-    return out.withColumn("text", F.col("text").cast("string"))
+    return _found(docs.select("doc_id", "text"), benchmark, window, block_bytes).select("row.doc_id", "n_words", "spans", "items")
 
 
-def remove_spans(found: DataFrame) -> DataFrame:
-    """`found` with the words of its spans cut out of the text, along with what parts them.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` with the words of their spans cut out of the text, along with what stands before each; n_chars, if there is one, follows.
 
-    Words are those of find_contamination; text between spans stays as it is.
+    All else of the text stays as it is. Rows of which no word is left go.
     """
-    cut = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    found = _found(docs, benchmark, window, block_bytes)
+    cut = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     word, gap = F.regexp_extract_all("text", F.lit(cut), F.lit(0)), F.split("text", cut, -1)
     pieces = F.transform(word, lambda w, i: F.when(F.exists("spans", lambda s: (s["first"] <= i) & (i <= s["last"])), F.lit("")).otherwise(F.concat(F.get(gap, i), w)))
     text = F.concat(F.array_join(pieces, ""), F.element_at(gap, -1))
-    return found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    left = found.filter((F.size("spans") == 0) | (gone < F.col("n_words"))).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    n_chars = lambda c: F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`"))
+    columns = {c: F.col("text") if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
+    return left.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
