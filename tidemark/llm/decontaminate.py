@@ -199,6 +199,8 @@ def search_shard(texts: list[bytes | None], windows: Windows) -> list[tuple[int,
     index = FMIndex(np.concatenate(parts), windows.width)
     low, high = index.search(windows.symbols, windows.length)
     found = np.flatnonzero(low < high)
+    if not len(found):
+        return out
     many = high[found] - low[found]
     which = np.repeat(found, many)
     row = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())

@@ -1,8 +1,8 @@
 """HTML extraction with a tree-structured graphical model.
 
 The block elements of a page are the nodes of a tree. Each is content or not;
-a potential joins its label with its parent's, others with its tag, the words
-of its class, id and role, its length and how much of it is links. Sum-product
+a potential joins its label with its parent's and its tag, others with the
+words of its class, id and role, with its length and how much of it is links. Sum-product
 messages, once from the leaves up and once from the root down, give the exact
 probability of content at every node, and the text of nodes at or above a half
 is the page's main text. The potentials are counted on labelled pages.
@@ -145,14 +145,12 @@ def observations(page: Page) -> list[list[str]]:
         words[page.parent[v]] += words[v]
         links[page.parent[v]] += links[v]
     out = []
-    for v, tag in enumerate(page.tag):
-        seen = [f"tag={tag}"]
+    for v in range(len(page.tag)):
+        seen = []
         for m in NAMED.finditer(page.attributes[v]) if page.attributes[v] else ():
             seen += [f"name={p}" for p in dict.fromkeys(PART.findall((m[1] or m[2] or m[3] or "").lower()))]
         if words[v]:
-            seen.append(f"own={_bucket(page.words[v], (1, 3, 8, 25))}")
-            seen.append(f"all={_bucket(words[v], (4, 20, 80))}")
-            seen.append(f"link={_bucket(100 * links[v] // words[v], (1, 30, 70))}")
+            seen.append(f"size={_bucket(page.words[v], (1, 3, 8, 25))},{_bucket(words[v], (4, 20, 80))},{_bucket(100 * links[v] // words[v], (1, 30, 70))}")
         out.append(seen)
     return out
 
@@ -168,9 +166,9 @@ def labels(page: Page) -> list[int]:
 
 @dataclass(frozen=True)
 class Model:
-    """edge: P(label | parent's label), by parent's label then label. seen: log of P(observation | content) / P(observation | not)."""
+    """edge: by tag (and "" for others) P(content | parent is not, parent is). seen: log of P(observation | content) / P(observation | not)."""
 
-    edge: tuple[tuple[float, float], tuple[float, float]]
+    edge: dict[str, tuple[float, float]]
     seen: dict[str, float]
 
     def marginals(self, page: Page) -> list[float]:
@@ -180,11 +178,12 @@ class Model:
         for v, seen in enumerate(observations(page)):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(self.seen.get(x, 0.0) for x in seen)))))
             up0[v], up1[v] = 1 - p, p
-        (e00, e01), (e10, e11) = self.edge
+        edge = [self.edge.get(t, self.edge[""]) for t in page.tag]
         to0, to1 = [0.5] * n, [0.5] * n
         for v in range(n - 1, 0, -1):
             a, b, p = up0[v], up1[v], page.parent[v]
-            to0[v], to1[v] = e00 * a + e01 * b, e10 * a + e11 * b
+            e0, e1 = edge[v]
+            to0[v], to1[v] = (1 - e0) * a + e0 * b, (1 - e1) * a + e1 * b
             x, y = up0[p] * to0[v], up1[p] * to1[v]
             up0[p], up1[p] = x / (x + y), y / (x + y)
         down0, down1 = [1.0] * n, [0.0] * n  # the page itself is not content
@@ -192,7 +191,8 @@ class Model:
         for v in range(1, n):
             p = page.parent[v]
             a, b = down0[p] * up0[p] / to0[v], down1[p] * up1[p] / to1[v]
-            down0[v], down1[v] = a * e00 + b * e10, a * e01 + b * e11
+            e0, e1 = edge[v]
+            down0[v], down1[v] = a * (1 - e0) + b * (1 - e1), a * e0 + b * e1
             s = down0[v] + down1[v]
             down0[v], down1[v] = down0[v] / s, down1[v] / s
             x, y = down0[v] * up0[v], down1[v] * up1[v]
@@ -220,7 +220,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = labels(page)
             for v, seen in enumerate(observations(page)):
                 if v:
-                    add(f"parent={label[page.parent[v]]}", label[v])
+                    for tag in ("", page.tag[v]):
+                        add(f"parent={label[page.parent[v]]},{tag}", label[v])
                     add("#", label[v])
                     for x in seen:
                         add(x, label[v])
@@ -232,13 +233,12 @@ def fit(labelled: DataFrame, most: int = LABELLED_PAGES) -> Model:
     counted = labelled.select("html").limit(most).mapInArrow(_counts, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n").alias("n"))
     n = {(r["what"], r["label"]): r["n"] for r in counted.collect()}
     get = lambda what, label: n.get((what, label), 0)
-    edge = []
-    for p in (0, 1):
-        one = (get(f"parent={p}", 1) + 1) / (get(f"parent={p}", 0) + get(f"parent={p}", 1) + 2)
-        edge.append((1 - one, one))
+    share = lambda p, tag, prior, weight: (get(f"parent={p},{tag}", 1) + prior * weight) / (get(f"parent={p},{tag}", 0) + get(f"parent={p},{tag}", 1) + weight)
+    general = (share(0, "", 0.5, 2), share(1, "", 0.5, 2))
+    edge = {tag: (share(0, tag, general[0], 4), share(1, tag, general[1], 4)) for tag in {k[0].split(",", 1)[1] for k in n if k[0].startswith("parent=")}} | {"": general}
     total = [get("#", 0) + 2, get("#", 1) + 2]
     seen = {what: math.log((get(what, 1) + 0.5) / total[1]) - math.log((get(what, 0) + 0.5) / total[0]) for what in {k[0] for k in n} if "=" in what and not what.startswith("parent=")}
-    return Model((edge[0], edge[1]), seen)
+    return Model(edge, seen)
 
 
 def labelled_pages(n: int = LABELLED_PAGES, seed: int = 11) -> list[str]:
