@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import scoring
+from tidemark.plans import relations, scoring
 
-_MODULES = (scoring,)
+_MODULES = (scoring, relations)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

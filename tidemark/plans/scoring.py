@@ -9,20 +9,9 @@ from tidemark.functions.num import jround
 from tidemark.operators import ranking as r, scoring as s, snapshots as t
 from tidemark.operators.config import LIBRARY_PLATFORMS
 from tidemark.plans.adapters import evidence, read
+from tidemark.plans.registry import registry
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
+QUERIES, ORACLE, query = registry()
 
 #: SQL of adapters.evidence, then of the live model step by step.
 EVIDENCE = """ev AS (
