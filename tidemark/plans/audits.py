@@ -20,10 +20,13 @@ def metric_totals(spark, sf_dir):
     return q.metric_totals(evidence(spark, sf_dir))
 
 
-CHECKS = [
-    q.Check("empty_text", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0, "high"), q.Check("length_differs", F.length("text") != F.col("n_chars"), "high"), q.Check("very_short", F.col("n_chars") < 100, "low", 500),
-    q.Check("no_source", F.col("source").isNull(), "high"), q.Check("very_long", F.col("n_chars") > 20_000, "medium"), q.Check("has_address", F.contains("text", F.lit("@")), "medium"),
-]
+def checks() -> list[q.Check]:
+    return [
+        q.Check("empty_text", F.length(F.trim(F.coalesce("text", F.lit("")))) == 0, "high"), q.Check("length_differs", F.length("text") != F.col("n_chars"), "high"), q.Check("very_short", F.col("n_chars") < 100, "low", 500),
+        q.Check("no_source", F.col("source").isNull(), "high"), q.Check("very_long", F.col("n_chars") > 20_000, "medium"), q.Check("has_address", F.contains("text", F.lit("@")), "medium"),
+    ]
+
+
 FOUND = """c AS (SELECT count(*) FILTER (length(trim(coalesce(text, ''))) = 0) AS a, count(*) FILTER (length(text) <> n_chars) AS b, count(*) FILTER (n_chars < 100) AS c, count(*) FILTER (source IS NULL) AS d, count(*) FILTER (n_chars > 20000) AS e, count(*) FILTER (contains(text, '@')) AS f FROM documents
 ), found AS (SELECT 'empty_text' AS "check", 'high' AS severity, a AS n, a > 0 AS failed FROM c UNION ALL SELECT 'length_differs', 'high', b, b > 0 FROM c UNION ALL SELECT 'very_short', 'low', c, c > 500 FROM c
   UNION ALL SELECT 'no_source', 'high', d, d > 0 FROM c UNION ALL SELECT 'very_long', 'medium', e, e > 0 FROM c UNION ALL SELECT 'has_address', 'medium', f, f > 0 FROM c)"""
@@ -31,12 +34,12 @@ FOUND = """c AS (SELECT count(*) FILTER (length(trim(coalesce(text, ''))) = 0) A
 
 @query(f"WITH {FOUND} SELECT * FROM found")
 def quality_findings(spark, sf_dir):
-    return q.findings(read(spark, sf_dir, "documents"), CHECKS)
+    return q.findings(read(spark, sf_dir, "documents"), checks())
 
 
 @query(f"WITH {FOUND} SELECT count(*) FILTER (failed AND severity = 'high') AS n_high, count(*) FILTER (failed AND severity = 'medium') AS n_medium, count(*) FILTER (failed AND severity = 'low') AS n_low, count(*) FILTER (failed AND severity = 'high') = 0 AS passed FROM found")
 def quality_verdict(spark, sf_dir):
-    return q.verdict(q.findings(read(spark, sf_dir, "documents"), CHECKS))
+    return q.verdict(q.findings(read(spark, sf_dir, "documents"), checks()))
 
 
 @query("""WITH v AS (SELECT p_type AS config, floor(avg(p_size) * 1000 + 0.5) / 1000 AS value FROM part GROUP BY 1), b AS (SELECT max(value) AS best, max(value) FILTER (config = 'PROMO') AS own, arg_max(config, value) AS c FROM v)
