@@ -40,7 +40,7 @@ def test_verdicts_agree_with_labels(spark):
 
 
 def test_filter_keeps_columns_and_takes_odd_tables(spark):
-    good = " ".join(f"the word{k} of day" for k in range(60)) + "."
+    good = " ".join(f"the word{k} of{k} day{k}" for k in range(60)) + "."
     docs = spark.createDataFrame([(1, good, "x"), (2, None, "y"), (None, good, "z"), (1, good, "x"), (3, "# " * 80, "s")], "doc_id long, text string, n_words string")
     out = q.keep_good(docs)
     assert out.columns == docs.columns
