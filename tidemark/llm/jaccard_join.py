@@ -15,8 +15,10 @@ of frequent shingles changes the work, never the result.
 Sets that agree on a block are candidates, and shingle sets verify them.
 Documents of equal sets are one class throughout. Where a block is common to
 many classes, each is held against the least class first; only what is then
-still in different components is held against each other. So no link is lost,
-and no group is expanded into all its pairs.
+still in different components is held against each other, by dense sketches
+whose distance rules out nearly all that do not link. In blocks of many classes
+each is first held only against the nearest outside its component, which joins
+most of them. So no link is lost, and no group is expanded into all its pairs.
 
 Equality of shingles, sets and blocks is that of 64-bit hashes.
 """
@@ -42,6 +44,14 @@ FREQUENT = 1 << 16
 BUCKET_KEYS = 1 << 20
 #: Classes whose blocks are gathered before they are handed to the shuffle.
 FLUSH_KEYS = 1 << 20
+#: Bits of a dense sketch for each block of the sparse one.
+SKETCH_BITS = 4
+#: Most ids of documents that are broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
+#: Classes of a block that are held against each other at once, of either side.
+TILE = 4096
+#: Classes up to which a block is held against itself at once.
+SMALL = 64
 _PAIR = "a long, b long"
 
 
@@ -98,12 +108,12 @@ def _batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: doc_id, n, sig of each row. kind 1: a count n of a shingle sig that is frequent near here."""
-    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
+    """kind 0: doc_id, text_hash, n, sig of each row. kind 1: a count n of a shingle sig that is frequent near here."""
+    schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sig", pa.int64())])
     for batch in batches:
         ids, counts, sigs, gathered, size = batch.column(0), [], [], [], 0
         common: list[tuple[np.ndarray, np.ndarray]] = []
-        for s in shingle_sets(batch.column(1).to_pylist()):
+        for s in shingle_sets(batch.column(2).to_pylist()):
             counts.append(len(s))
             sigs.append(set_signature(s) if len(s) else None)
             gathered.append(s)
@@ -113,10 +123,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gathered, size = [], 0
         if gathered:
             common.append(_commonest(gathered))
-        yield _batches({"kind": [0] * len(counts), "doc_id": ids, "n": counts, "sig": sigs}, schema)
+        yield _batches({"kind": [0] * len(counts), "doc_id": ids, "text_hash": batch.column(1), "n": counts, "sig": sigs}, schema)
         for values, n in common:
             if len(values):
-                yield _batches({"kind": [1] * len(values), "doc_id": [None] * len(values), "n": n, "sig": values.view(np.int64)}, schema)
+                yield _batches({"kind": [1] * len(values), "doc_id": [None] * len(values), "text_hash": [None] * len(values), "n": n, "sig": values.view(np.int64)}, schema)
 
 
 def _commonest(sets: list[np.ndarray], least: int = 4, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -185,6 +195,32 @@ def _match(group: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.repeat([0, 1], [len(pairs), int(big.sum())]), pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def parity_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """The dense sketch as 64-bit words: bit i is the parity of the shingles whose hash ends in i."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch (or rows of them) of fewer bits: parities of halves add up."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def _sketches(percent: int):
+    schema = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(set_signature(s), len(s), parity_sketch(s, SKETCH_BITS << level(len(s), percent)).tobytes()) for s in shingle_sets(batch.column(0).to_pylist()) if len(s)]
+            if rows:
+                yield _batches(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("sig", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
@@ -200,6 +236,68 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batches({"sig": sigs, "shingles": blobs}, schema)
 
 
+def _may_link(n: np.ndarray | int, m: np.ndarray | int, distance: np.ndarray | int, percent: int):
+    """Sizes that can reach the threshold, and a Hamming distance that does not rule it out."""
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (distance * (100 + percent) <= (100 - percent) * (n + m))
+
+
+def _near(percent: int):
+    """Of rows (a, b, n, m, x, y) the pairs whose sketches x, y are near enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            distance = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                words = min(len(x), len(y))
+                distance[i] = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+            keep = pa.array(_may_link(n, m, distance, percent))
+            yield _batches({"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}, schema)
+
+    return run
+
+
+def _tile(percent: int, nearest: bool):
+    """Of one tile of a block, the pairs in different components whose sketches are near enough; in large blocks of each class only the nearest, if so asked."""
+
+    def run(group: pa.Table) -> pa.Table:
+        sig, root, n = (group.column(c).to_numpy() for c in ("b", "root", "n"))
+        left, right = group.column("left").to_numpy(), group.column("right").to_numpy()
+        raw = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("sketch")]
+        words = min(map(len, raw))
+        sketch = np.stack([folded(x, words) for x in raw])
+        out: list[np.ndarray] = []
+        if len(sig) <= SMALL:
+            distance = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(2, dtype=np.int64)
+            x, y = np.nonzero(_may_link(n[:, None], n[None], distance, percent) & (root[:, None] != root[None]) & (sig[:, None] < sig[None]))
+            out.append(np.stack([sig[x], sig[y]], 1))
+        else:
+            # Members of the largest component need no test against each other: hold the others against all.
+            values, counts = np.unique(root[right], return_counts=True)
+            rest = root != values[np.argmax(counts)] if len(values) else np.ones(len(root), bool)
+            for at in np.flatnonzero(left & rest):
+                other = np.flatnonzero(right & (root != root[at]))
+                out.append(_survivors(sig, n, sketch, at, other, percent, nearest))
+            main, others = np.flatnonzero(left & ~right & ~rest), np.flatnonzero(right & ~left & rest)
+            for at in others if len(main) else []:
+                out.append(_survivors(sig, n, sketch, at, main, percent, nearest))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _survivors(sig: np.ndarray, n: np.ndarray, sketch: np.ndarray, at: int, other: np.ndarray, percent: int, nearest: bool) -> np.ndarray:
+    distance = np.bitwise_count(sketch[other] ^ sketch[at]).sum(1, dtype=np.int64)
+    may = np.flatnonzero(_may_link(n[other], n[at], distance, percent))
+    if nearest:
+        may = may[np.argsort(distance[may], kind="stable")[:1]]
+    near = other[may]
+    return np.stack([np.minimum(sig[near], sig[at]), np.maximum(sig[near], sig[at])], 1)
+
+
 def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -210,52 +308,60 @@ def _verify(percent: int):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(y) < len(x):
                     x, y = y, x
-                if 100 * len(x) >= percent * len(y):
-                    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield _batches({"a": batch.column(0).filter(pa.array(keep)), "b": batch.column(1).filter(pa.array(keep))}, schema)
 
     return run
 
 
+def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The text of one row for each class of `pairs`. Ids are broadcast where they are few; else the texts are shuffled to them."""
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    ids = durable(wanted.join(classes, "sig").select(F.col("doc_id").alias("_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(F.col("text").cast("binary"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes, "sig").select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["_id"]), "left_semi").select(F.col("text").cast("binary"))
-    sets = durable(texts.mapInArrow(_sets, "sig long, shingles binary"), "sets")
-    sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return durable(sides.mapInArrow(_verify(percent), _PAIR).distinct(), "verified")
+    sets = durable(_texts(docs, classes, pairs).mapInArrow(_sets, "sig long, shingles binary"), "sets")
+    sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return durable(sides.select("a", "b", "x", "y").mapInArrow(_verify(percent), _PAIR).distinct(), "verified")
 
 
-def _across(groups: DataFrame, classes: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs within blocks that are in different components and not yet tested.
-
-    groups: (a, b), class b has block a. Members of a block's largest component
-    are held against the other members only.
-    """
-    members = groups.distinct().withColumnRenamed("a", "block").join(labels.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    parts = members.groupBy("block", "root").agg(F.count("*").alias("size"))
-    main = parts.groupBy("block").agg(F.max(F.struct("size", "root"))["root"].alias("main"), F.count("*").alias("n_parts")).filter("n_parts > 1")
-    members = durable(members.join(main, "block").join(classes.select(F.col("sig").alias("b"), "n"), "b").select("block", "b", "root", "n", "main"), "blocks")
-    apart = members.filter("root <> main").select("block", F.col("b").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"))
-    close = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
-    found = members.join(apart, "block").filter((F.col("root") != F.col("c_root")) & close & ((F.col("root") == F.col("main")) | (F.col("b") < F.col("c"))))
-    return found.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sketches do not rule out."""
+    sides = pairs.join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    return durable(sides.mapInArrow(_near(percent), _PAIR).distinct(), "near")
 
 
-def jaccard_components(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
+def _across(groups: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs within blocks that are in different components and near by their sketches.
 
-    component_id is the least doc_id that links reach, itself included. Null
-    and empty texts have no shingles and are linked with nothing. Repeated rows
-    each come back. A null doc_id joins the components of its text, without
-    lending them its id. Further columns of `docs` are ignored; an empty table
-    gives an empty one.
+    groups: (a, b), class b has block a. nearest: small blocks in full, of large
+    ones the nearest of each class; else large ones in full. A block of many
+    classes is cut into tiles, pairs of its parts, so no task holds more than
+    two parts.
     """
+    members = groups.distinct().withColumnRenamed("a", "block").join(labels.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    open_ = members.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    open_ = open_ if nearest else open_.filter(F.col("size") > SMALL)
+    members = members.join(open_.select("block", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "block")
+    members = members.join(sketches.withColumnRenamed("sig", "b"), "b").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+    tiles = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    tiles = tiles.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "b", "root", "n", "sketch")
+    tiles = tiles.select("block", "i", "j", "b", "root", "n", "sketch", (F.col("part") == F.col("i")).alias("left"), (F.col("part") == F.col("j")).alias("right"))
+    return tiles.groupBy("block", "i", "j").applyInArrow(_tile(percent, nearest), _PAIR).distinct()
+
+
+def _components(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, root and component_id of each row; root names the component, null without shingles."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    first = durable(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_signatures, "kind byte, doc_id long, n long, sig long"), "signatures")
-    rows = first.filter("kind = 0").select("doc_id", "n", "sig")
+    hashed = docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary"))
+    first = durable(hashed.mapInArrow(_signatures, "kind byte, doc_id long, text_hash long, n long, sig long"), "signatures")
+    rows = first.filter("kind = 0").select("doc_id", "text_hash", "n", "sig")
     top = first.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("sig").collect()], np.int64).view(np.uint64)))
     classes = durable(rows.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
@@ -265,23 +371,47 @@ def jaccard_components(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     blocks = docs.select(F.col("text").cast("binary")).mapInArrow(_emit_blocks(frequent, buckets, percent), "bucket int, keys binary, sigs binary")
     found = durable(blocks.groupBy("bucket").applyInArrow(_match, "kind byte, a long, b long"), "blocks")
     pairs = durable(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    links = _links(docs, classes, pairs, percent)
+    sketches = durable(_texts(docs, classes, pairs).mapInArrow(_sketches(percent), "sig long, n long, sketch binary"), "sketches")
+    links = _links(docs, classes, _sketched(pairs, sketches, percent), percent)
     labels = components(links)
-    more = durable(_across(found.filter("kind = 1").select("a", "b"), classes, labels, pairs, percent), "pairs")
-    if not more.isEmpty():
-        labels = components(links.union(_links(docs, classes, more, percent)))
+    for nearest in (True, False):
+        more = durable(_across(found.filter("kind = 1").select("a", "b"), sketches, labels, percent, nearest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty() and not nearest:
+            break
+        links, pairs = links.union(_links(docs, classes, more, percent)), pairs.union(more)
+        labels = components(links)
     roots = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))
     least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = roots.join(least, "root").select("sig", "component_id")
-    out = rows.join(named, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.join(roots.select("sig", "root").join(least, "root"), "sig", "left")
+    return out.select("doc_id", "text_hash", "n", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
+
+    component_id is the least doc_id that links reach, itself included. Null
+    and empty texts have no shingles and are linked with nothing. Repeated rows
+    each come back. A null doc_id joins the components of its text, without
+    lending them its id. Further columns of `docs` are ignored; an empty table
+    gives an empty one.
+    """
+    return _components(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row with the least doc_id (ties: the least text)."""
-    found = jaccard_components(docs, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    """The rows of `docs` without near copies, with their own columns: of each component the least doc_id (ties: the least hash of the text).
+
+    Rows without shingles stay, but repeated rows of one doc_id and text are one.
+    """
+    rows = durable(_components(docs, percent), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    kept = rows.filter("root IS NOT NULL").groupBy("root").agg(first.alias("r")).select("r.doc_id", "r.text_hash")
+    kept = kept.union(rows.filter("root IS NULL").select("doc_id", "text_hash").distinct()).toDF("_id", "_hash")
+    out = docs.withColumn("_text_hash", F.xxhash64("text"))
+    out = out.join(kept.hint("shuffle_hash"), out["doc_id"].eqNullSafe(kept["_id"]) & (out["_text_hash"] == kept["_hash"]), "left_semi")
+    if not rows.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_text_hash"])
+    return out.drop("_text_hash")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

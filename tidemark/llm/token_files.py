@@ -11,7 +11,6 @@ keeps the order, so that places of documents in the whole come from the counts.
 from __future__ import annotations
 
 import functools
-import re
 import string
 import struct
 import zlib
@@ -26,14 +25,12 @@ from tidemark.session import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Distinct pieces of text whose ids a worker remembers, of each of two kinds; about 200 bytes each.
-MEMORY = 400_000
+#: Distinct pieces of text whose ids a worker remembers, twice over at most; about 200 bytes each.
+MEMORY = 500_000
 SIGNS = string.punctuation
 #: How byte-level vocabularies write bytes: those without a printable sign of their own follow upon 255.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: White space behind a space, or a space at the end.
-SPACE_BEHIND = re.compile(r" (?:\s|[\x1c-\x1f]|$)")
 #: Bytes of ids that one batch hands to the writer, about.
 BATCH_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
@@ -45,17 +42,23 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Joined(Exception):
+    """A piece that the tokenizer may join with the one before."""
+
+
 class _Memo(dict):
-    """A function's results while they fit; when full, it starts anew."""
+    """A function's results: those of late, and of what was there when it was last full, those that are asked for again."""
 
-    def __init__(self, function):
+    def __init__(self, function, most: int):
         super().__init__()
-        self.function = function
+        self.function, self.most, self.old = function, most, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[key] = out = self.function(key)
+        out = self.old.get(key)
+        self[key] = out = self.function(key) if out is None else out
         return out
 
 
@@ -75,8 +78,8 @@ class Encoder:
         self.model = tokenizers.Tokenizer.from_file(path)
         self.merges = self.model.model
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.behind_space = _Memo(lambda part: self._piece(" " + part))
-        self.alone = _Memo(self._alone)
+        self.behind_space = _Memo(self._behind_space, MEMORY)
+        self.alone = _Memo(self._alone, MEMORY // 4)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -86,6 +89,11 @@ class Encoder:
         mapped = text.encode().decode("latin-1").translate(BYTE_SIGNS)
         return struct.pack(f"<{len(t := self.merges.tokenize(mapped))}I", *[x.id for x in t])
 
+    def _behind_space(self, part: str) -> bytes:
+        if not part or part[0].isspace() or part[0] in "\x1c\x1d\x1e\x1f":
+            raise _Joined
+        return self._piece(" " + part)
+
     def _piece(self, piece: str) -> bytes:
         lines = piece.split("\n")
         if len(lines) > 1 and all(x.strip() for x in lines) and not any(c.isspace() for c in piece[1:] if c != "\n"):
@@ -100,10 +108,13 @@ class Encoder:
         """The ids as little-endian 32-bit integers; null is empty."""
         if not text:
             return b""
-        if any(a in text for a in self.added) or SPACE_BEHIND.search(text):
+        if any(a in text for a in self.added):
             return self._ids(text)
         first, *rest = text.split(" ")
-        return (self._piece(first) if first else b"") + b"".join(map(self.behind_space.__getitem__, rest))
+        try:
+            return (self._piece(first) if first else b"") + b"".join(map(self.behind_space.__getitem__, rest))
+        except _Joined:
+            return self._ids(text)
 
 
 @functools.cache
