@@ -14,8 +14,8 @@ sampled (every eighth, and every run's first). Spans that overlap are merged.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ BLOCK_BYTES = 64 << 20
 SAMPLED = 8
 #: A-Z to a-z, and each byte of [\x00-\x2F\x3A-\x60\x7B-\x7F] to a space.
 WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in LOWER)
+#: The same words in a text whose letters are as they were.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 STATE = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
 
 
@@ -245,6 +247,22 @@ def _search(block, size: int):
     return run
 
 
+def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    """`text` without the words of `spans` (ascending, apart) and without what stands before each of these words."""
+    ends = [0, *(m.end() for m in WORD.finditer(text))]
+    out, at = [], 0
+    for s in spans:
+        out.append(text[at : ends[s["first"]]])
+        at = ends[s["last"] + 1]
+    return b"".join([*out, text[at:]])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [without(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
     """row (the columns of `docs` but the text), text, n_words, spans and items."""
     spark = docs.sparkSession
@@ -283,12 +301,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     All else of the text stays as it is. Rows of which no word is left go.
     """
     found = _found(docs, benchmark, window, block_bytes)
-    cut = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    word, gap = F.regexp_extract_all("text", F.lit(cut), F.lit(0)), F.split("text", cut, -1)
-    pieces = F.transform(word, lambda w, i: F.when(F.exists("spans", lambda s: (s["first"] <= i) & (i <= s["last"])), F.lit("")).otherwise(F.concat(F.get(gap, i), w)))
-    text = F.concat(F.array_join(pieces, ""), F.element_at(gap, -1))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    left = found.filter((F.size("spans") == 0) | (gone < F.col("n_words"))).withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    left = found.filter((F.size("spans") == 0) | (gone < F.col("n_words"))).select("row", F.col("text").cast("binary"), "n_words", "spans", "items")
+    row = next(f.dataType.simpleString() for f in left.schema if f.name == "row")
+    left = left.mapInArrow(_cut, f"row {row}, text binary, {STATE}").withColumn("text", F.col("text").cast("string"))
     n_chars = lambda c: F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`"))
     columns = {c: F.col("text") if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
     return left.select(*[v.alias(c) for c, v in columns.items()])
