@@ -53,6 +53,36 @@ def test_counts_meet_large_budgets():
         assert all(0 < c <= counts[n] for n, c in got.items())
 
 
+def nearest(counts, rest):
+    sums = {0}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= rest}
+    return max(sums)
+
+
+def test_counts_are_best_above_reach():
+    assert m.choose_counts({100002: 1, 100000: 1}, 100001) == {100000: 1}
+    assert m.choose_counts({120000: 1, 115000: 1, 105000: 1, 100000: 1}, 220000) in ({120000: 1, 100000: 1}, {115000: 1, 105000: 1})
+    r = random.Random(5)
+    for _ in range(60):
+        counts = {n: r.randint(1, 3) for n in r.sample(range(20_000, 300_000), r.randint(1, 6))}
+        rest = r.randrange(1, sum(n * c for n, c in counts.items()))
+        got = m.choose_counts(counts, rest)
+        assert sum(n * c for n, c in got.items()) == nearest(counts, rest), (counts, rest)
+        assert all(0 < c <= counts[n] for n, c in got.items())
+
+
+def test_counts_are_best_with_little_reach(monkeypatch):
+    monkeypatch.setattr(m, "REACH", 16)
+    r = random.Random(6)
+    for _ in range(300):
+        counts = {n: r.choice([1, 2, 60]) for n in r.sample(range(2, 30), r.randint(1, 4))}
+        rest = r.randrange(1, sum(n * c for n, c in counts.items()))
+        got = m.choose_counts(counts, rest)
+        assert sum(n * c for n, c in got.items()) == nearest(counts, rest), (counts, rest)
+        assert all(0 < c <= counts[n] for n, c in got.items())
+
+
 def test_mix(spark, tmp_path):
     r = random.Random(3)
     rows = [(k, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "c", None])) for k in range(600)] + [(1000, None, "a"), (1001, "", "d"), (5, "x y", "a"), (5, "x y", "a")]

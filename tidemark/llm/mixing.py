@@ -4,14 +4,17 @@ The plan sees documents only as counts by exact length. A source is taken as
 often as its whole size fits its target, and the rest of the target is filled
 from the counts: every length gives the share of its documents that the rest
 is of the source, lengths whose share has the largest fraction give one more
-while that fits, and a bounded-knapsack dynamic programme over the lengths that
-are still free fits what remains below its reach, exactly where any subset can.
+while that fits, and a bounded-knapsack dynamic programme over the documents
+that are still free fits what remains. Where that misses, as with few and very
+long documents, less is given by shares and more is left to the programme,
+until no subset can come nearer.
 Documents are then chosen by a seeded hash until each length has its count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -22,7 +25,7 @@ from tidemark.session import durable
 SEED = 20240607
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MOST_TIMES = 150, 2
-#: Words that the dynamic programme fits; its tables take about a bit for each word, and lengths beyond are no help to it.
+#: Words that are left to the dynamic programme at first; its tables take about a bit for each word.
 REACH = 1 << 16
 #: Documents of one length that one bucket of the ranking holds, about.
 RANKED = 4096
@@ -56,12 +59,28 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _subset(sums: list[int], total: int) -> list[int]:
+    """Places of `sums` that come to `total`, which a subset does: half of them from below meets the other half from above."""
+    if not total:
+        return []
+    if len(sums) == 1:
+        return [0]
+    half, mask = len(sums) // 2, (1 << total + 1) - 1
+    low, high = 1, 1 << total
+    for x in sums[:half]:
+        low |= low << x & mask if x <= total else 0
+    for x in sums[half:]:
+        high |= high >> x
+    at = (low & high).bit_length() - 1
+    return _subset(sums[:half], at) + [half + k for k in _subset(sums[half:], total - at)]
+
+
 def knapsack(free: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many of each length come nearest to `budget` from below; free: (length, count).
 
     Counts fall into powers of two. Sums that can be reached are the bits of
-    one integer; each sum keeps the piece that reached it first, so its subset
-    is read backwards.
+    one integer; the subset of the best is found by halves, in twice the time
+    and a few integers of that size.
     """
     pieces = []
     for length, count in free:
@@ -71,49 +90,84 @@ def knapsack(free: list[tuple[int, int]], budget: int) -> dict[int, int]:
             count -= min(step, count)
             step *= 2
     mask = (1 << budget + 1) - 1
-    reached, by = 1, {}
-    for k, (length, count) in enumerate(pieces):
-        new = reached << length * count & mask & ~reached
-        reached |= new
-        while new:
-            low = new & -new
-            by[low.bit_length() - 1] = k
-            new ^= low
-        if reached >> budget & 1:
-            break
-    best = reached.bit_length() - 1
+    reached, used = 1, 0
+    while used < len(pieces) and not reached >> budget & 1:
+        length, count = pieces[used]
+        reached |= reached << length * count & mask
+        used += 1
     out: dict[int, int] = {}
-    while best:
-        length, count = pieces[by[best]]
+    for k in _subset([length * count for length, count in pieces[:used]], reached.bit_length() - 1):
+        length, count = pieces[k]
         out[length] = out.get(length, 0) + count
-        best -= length * count
     return out
 
 
-def choose_counts(counts: dict[int, int], rest: int) -> dict[int, int]:
-    """How many documents of each length to take so that their words come to `rest`, or as near as a fit finds.
+def _words(taken: dict[int, int]) -> int:
+    return sum(n * c for n, c in taken.items())
 
-    counts: documents by length (all above 0); rest is below their whole size.
-    """
-    whole = sum(n * c for n, c in counts.items())
-    if rest <= 0 or not whole:
-        return {}
+
+def _filled(counts: dict[int, int], taken: dict[int, int], rest: int) -> dict[int, int]:
+    """`taken` and what the programme adds so that the words come nearest to `rest` from below."""
+    left = rest - _words(taken)
+    free = [(n, counts[n] - taken[n]) for n in sorted(counts, reverse=True) if n <= left and counts[n] > taken[n]]
+    more = knapsack(free, left)
+    return {n: taken[n] + more.get(n, 0) for n in counts if taken[n] + more.get(n, 0)}
+
+
+def _fit(counts: dict[int, int], rest: int, reach: int) -> dict[int, int]:
+    """By shares, with about `reach` words left to the programme."""
+    whole = _words(counts)
     taken = {n: c * rest // whole for n, c in counts.items()}
-    left = rest - sum(n * c for n, c in taken.items())
+    left = rest - _words(taken)
     # What the fit may still move: keep its reach, hand out the rest by the largest fraction, longest first among equals.
     for n in sorted(counts, key=lambda n: (-(counts[n] * rest % whole), -n)):
-        if left - n >= min(REACH, rest) // 2 and taken[n] < counts[n]:
+        if left - n >= min(reach, rest) // 2 and taken[n] < counts[n]:
             taken[n] += 1
             left -= n
     for n in sorted(counts, reverse=True):
-        if left >= REACH and taken[n] < counts[n]:
-            more = min(counts[n] - taken[n], (left - REACH // 2) // n)
+        if left >= reach and taken[n] < counts[n]:
+            more = min(counts[n] - taken[n], (left - reach // 2) // n)
             taken[n] += max(0, more)
             left -= n * max(0, more)
-    free = [(n, counts[n] - taken[n]) for n in sorted(counts, reverse=True) if n <= left and counts[n] > taken[n]]
-    for n, c in knapsack(free, min(left, REACH)).items():
-        taken[n] += c
-    return {n: c for n, c in taken.items() if c}
+    return _filled(counts, taken, rest)
+
+
+def _sure(counts: dict[int, int], rest: int) -> dict[int, int]:
+    """How many of each length may be taken outright so that the programme over the others still finds a best subset.
+
+    Take any subset within the longest length L of `rest`. A best one differs
+    from it by at most 2 L documents: put the differences in an order in which
+    their sums stay within L on both sides; among more than 2 L of them a sum
+    comes twice, and what lies between can be left out of both.
+    """
+    whole = _words(counts)
+    taken = {n: c * rest // whole for n, c in counts.items()}
+    left = rest - _words(taken)
+    for n in sorted(counts, reverse=True):
+        more = min(counts[n] - taken[n], left // n)
+        taken[n] += more
+        left -= n * more
+    return {n: max(0, c - 2 * max(counts)) for n, c in taken.items()}
+
+
+def choose_counts(counts: dict[int, int], rest: int) -> dict[int, int]:
+    """How many documents of each length to take so that their words come nearest to `rest` from below.
+
+    counts: documents by length (all above 0); rest is below their whole size.
+    A fit by shares that meets `rest` (or its nearest multiple of what divides
+    all lengths) is a best one; otherwise the reach grows until the programme
+    runs over all that a best subset may move.
+    """
+    if rest <= 0 or not _words(counts):
+        return {}
+    best = rest // gcd(*counts) * gcd(*counts)
+    sure, reach = _sure(counts, rest), REACH
+    while reach < rest - _words(sure):
+        taken = _fit(counts, rest, reach)
+        if _words(taken) == best:
+            return taken
+        reach *= 16
+    return _filled(counts, sure, rest)
 
 
 def _plan(key: tuple, group: pa.Table) -> pa.Table:
