@@ -58,5 +58,18 @@ def test_terms_that_reveal(spark):
     assert "ann@" not in text[0] and "Zorblax" not in text[0] and "[EMAIL]" in text[0] and text[61] == "ask Zorblax" and text[60] is None
 
 
+def test_terms_of_the_whole_text(spark):
+    common = [(100 + k, f"the weather of the day is fine and the road is dry w{k}") for k in range(40)]
+    far = "\n".join(["the day is dry"] * 30)
+    told = [(k, f"Name: Zorblax\nMail: ann@example.org {w}\n{far}\nthe ZORBLAX, é😀 zorblax. Zorblaxian prezorblax") for k, w in enumerate(["day", "road", "weather", "sun"])]
+    docs = spark.createDataFrame([*common, *told], "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in pii.find_personal_data(docs).collect()}
+    for i, t in told:
+        want = [(x.start(), x.end()) for x in re.finditer(r"\bzorblax\b", t, re.I)]
+        assert len(want) == 3 and [(s.start, s.end) for s in got[i] if s.value == "zorblax"] == want
+        assert not any(s.value in ("the", "day", "is", "dry") for s in got[i])
+    assert all(got[i] == [] for i, _ in common)
+
+
 def test_empty_table(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0

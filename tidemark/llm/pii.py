@@ -2,21 +2,23 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; these
 values are the protected entities. Co-occurrence over the corpus then tells
-what other words reveal: for an entity c and a term t near it, the pointwise
-mutual information log2(N * n_ct / (n_c * n_t)), where n_ct and n_c count
-distinct contexts (the entity with the words up to 128 characters before and
-after it in its line), n_t counts distinct lines with the term and N all
-distinct lines, both by sketches that tasks merge (an error of a tenth is a
-seventh of a bit). Terms that give away a share of the entity's information
-log2(N / n_c) are generalised, and removed above a higher share. Only contexts
-that differ count, so copies of one text are no evidence.
+what other words reveal: for an entity c and a term t in the same text, the
+pointwise mutual information log2(N * n_ct / (n_c * n_t)), where n_ct and n_c
+count distinct texts with both and with the entity, n_t counts distinct texts
+with the term and N all distinct texts, both by sketches that tasks merge (an
+error of a tenth is a seventh of a bit). Terms that give away a share of the
+entity's information log2(N / n_c) are generalised, and removed above a higher
+share, wherever they stand in a text that holds the entity. Only texts that
+differ count, so copies of one text are no evidence.
 
 All of it is DataFrame expressions. Matching is done once, where the texts
-lie; what is shuffled afterwards is the few words around what was found.
+lie; what is shuffled afterwards are texts with an entity that SUPPORT texts hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.llm.tables import table
@@ -31,9 +33,9 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEAR = 128
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Distinct contexts that an entity and a term must share.
+IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = IN_WORD + "+"
+#: Distinct texts that an entity and a term must share.
 SUPPORT = 3
 #: Shares of an entity's information above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
@@ -42,10 +44,10 @@ BROADCAST_TERMS = 500_000
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value) of the leftmost matches that do not overlap, in code points."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("gap"))
+    both = F.arrays_zip(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("gap"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
@@ -103,49 +105,50 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
 
 
-def _with_contexts(docs: DataFrame) -> DataFrame:
-    """`row` (unique), the own columns but the text as `kept`, spans, and the context of each span."""
+def words(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """`row` (unique), the own columns but the text as `kept`, spans, and the text where it has any."""
     others = [c for c in docs.columns if c != "text"]
     found = docs.select(F.struct(*others).alias("kept"), F.coalesce("text", F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
+    return found.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))).withColumn("row", F.monotonically_increasing_id())
+
 
-    def context(x: Column) -> Column:
-        before = F.substring_index(F.substr("text", F.greatest(x["start"] - NEAR, F.lit(0)) + 1, F.least(x["start"], F.lit(NEAR))), "\n", -1)
-        after = F.substring_index(F.substr("text", x["end"] + 1, F.lit(NEAR)), "\n", 1)
-        cut_first = (F.length(before) == NEAR) & (x["start"] > NEAR)
-        cut_last = F.length(after) == NEAR
-        return F.struct(entity(x["kind"], x["value"]).alias("entity"), before.alias("before"), after.alias("after"), (x["start"] - F.length(before)).alias("before_at"), x["end"].alias("after_at"), cut_first.alias("cut_first"), cut_last.alias("cut_last"))
+def _held(found: DataFrame) -> DataFrame:
+    """row, entity and `seen` (a hash of the text) of the entities that each row holds."""
+    entities = F.array_distinct(F.transform("spans", lambda x: entity(x["kind"], x["value"])))
+    return found.filter(F.size("spans") > 0).select("row", F.xxhash64("text").alias("seen"), F.explode(entities).alias("entity"))
 
-    return found.withColumn("contexts", F.transform("spans", context)).drop("text").withColumn("row", F.monotonically_increasing_id())
 
+def _terms(found: DataFrame, of_entity: DataFrame) -> DataFrame:
+    """row, seen, its entities that are in `of_entity`, and the words outside its spans."""
+    rows = _held(found).join(of_entity.select("entity"), "entity").groupBy("row", "seen").agg(F.collect_list("entity").alias("entities"))
+    outside = _replaced(F.col("text"), F.col("spans"), lambda _: F.lit(" "))
+    return found.select("row", "text", "spans").join(rows, "row").select("row", "seen", "entities", words(outside).alias("terms"))
 
-def _terms(contexts: DataFrame) -> DataFrame:
-    """A row for each word near a span: row, entity, context (a hash), term, start, end."""
-    def side(text: Column, at: Column, drop: Column) -> Column:
-        return F.transform(F.filter(located(text, WORD), lambda w: ~drop(w)), lambda w: F.struct(F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
 
-    c = F.col("context")
-    before = side(c["before"], c["before_at"], lambda w: (c["cut_first"] & (w["start"] == 0)) | (w["end"] == F.length(c["before"])))
-    after = side(c["after"], c["after_at"], lambda w: (c["cut_last"] & (w["end"] == F.length(c["after"]))) | (w["start"] == 0))
-    rows = contexts.select("row", F.explode("contexts").alias("context"))
-    rows = rows.select("row", c["entity"].alias("entity"), F.xxhash64(c["entity"], c["before"], c["after"]).alias("seen"), F.explode(F.concat(before, after)).alias("t"))
-    return rows.select("row", "entity", "seen", "t.*")
+def _pairs(terms: DataFrame) -> DataFrame:
+    return terms.select("row", "entities", F.explode("terms").alias("term")).select("row", "term", F.explode("entities").alias("entity"))
 
 
-def revealing(terms: DataFrame, docs: DataFrame) -> DataFrame:
+def revealing(terms: DataFrame, of_entity: DataFrame, docs: DataFrame) -> DataFrame:
     """(entity, term, share): the share of the entity's information that the term gives away, where it exceeds GENERALISE.
 
     Counts cover all rows of `docs`; a term counts where it shares SUPPORT
-    contexts with the entity at least.
+    distinct texts with the entity at least.
     """
-    pairs = terms.select("entity", "term", "seen").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
+    first = terms.groupBy("seen").agg(F.min("row").alias("row")).select("row")
+    pairs = _pairs(terms.join(first, "row", "left_semi")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
     pairs = durable(pairs.filter(F.col("n_ct") >= SUPPORT), "pairs")
     wanted = durable(pairs.select("term").distinct(), "terms")
     few = wanted.count()
-    of_entity = terms.select("entity", "seen").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    total = lines.agg(F.approx_count_distinct("line", 0.01)).first()[0] if few else 1
-    words = lines.select(F.xxhash64("line").alias("line"), F.explode(F.array_distinct(F.split(F.lower("line"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))).alias("term"))
-    of_term = words.join(F.broadcast(wanted) if few <= BROADCAST_TERMS else wanted, "term").groupBy("term").agg(F.approx_count_distinct("line", 0.1).alias("n_t"))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    total = texts.agg(F.approx_count_distinct("text", 0.01)).first()[0] if few else 1
+    all_words = texts.select(F.xxhash64("text").alias("seen"), F.explode(words(F.col("text"))).alias("term"))
+    of_term = all_words.join(F.broadcast(wanted) if few <= BROADCAST_TERMS else wanted, "term").groupBy("term").agg(F.approx_count_distinct("seen", 0.1).alias("n_t"))
     n = F.lit(float(max(total, 1)))
     scored = pairs.join(of_entity, "entity").join(of_term, "term")
     known = F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
@@ -153,6 +156,18 @@ def revealing(terms: DataFrame, docs: DataFrame) -> DataFrame:
     return durable(scored.select("entity", "term", (shared / known).alias("share")).filter(F.col("share") >= GENERALISE), "revealing")
 
 
+def _occurrences(text: Column, shares: Column) -> Column:
+    """Spans of all words of the text that are a key of `shares` (a map from term to share)."""
+    forms = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.map_contains_key(shares, F.lower(w)))
+    pattern = F.concat(F.lit(f"(?<!{IN_WORD})(?:"), F.array_join(forms, "|"), F.lit(f")(?!{IN_WORD})"))
+
+    def span(w: Column) -> Column:
+        term = F.lower(w["value"])
+        return F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), term.alias("value"), F.when(shares[term] >= REMOVE, "remove").otherwise("generalise").alias("action"))
+
+    return F.when(F.size(forms) > 0, F.transform(located(text, pattern), span))
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """The columns of `docs` but the text, with spans: array of (kind, start, end, value, action), by kind, then start.
 
@@ -161,22 +176,23 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     generalise or remove for terms. Null counts as empty. Repeated rows each
     come back. A column named like one of this operator's own does no harm.
     """
-    contexts = durable(_with_contexts(docs), "contexts")
-    terms = durable(_terms(contexts), "near")
-    given = revealing(terms, docs)
-    term = F.struct(F.lit("term").alias("kind"), "start", "end", F.col("term").alias("value"), F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("action"))
-    more = terms.join(given, ["entity", "term"]).groupBy("row", "start", "end", "term").agg(F.max("share").alias("share"))
-    more = more.groupBy("row").agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    found = durable(_with_spans(docs), "found")
+    of_entity = _held(found).select("entity", "seen").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
+    of_entity = durable(of_entity.filter(F.col("n_c") >= SUPPORT), "entities")
+    terms = durable(_terms(found, of_entity), "near")
+    given = revealing(terms, of_entity, docs)
+    more = _pairs(terms).join(F.broadcast(given) if given.count() <= BROADCAST_TERMS else given, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    more = more.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     base = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit("replace").alias("action")))
     clear = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    out = found.join(more, "row", "left").withColumn("terms", F.when(F.col("shares").isNotNull(), _occurrences(F.col("text"), F.col("shares"))))
     extra = F.filter("terms", clear)
-    out = contexts.join(more, "row", "left")
     return out.select("kept.*", F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, extra)).alias("spans"))
 
 
-def sanitise(text: Column, spans: Column) -> Column:
-    """`text` with each span replaced by its kind in brackets; terms to remove leave nothing. Of overlapping spans the first wins."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))).alias("by"))))
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """`text` with each span replaced; of overlapping spans the first wins."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), by(x).alias("by"))))
 
     def step(state: Column, x: Column) -> Column:
         kept = F.concat(state["out"], F.substr(text, state["at"] + 1, x["start"] - state["at"]), x["by"])
@@ -187,6 +203,11 @@ def sanitise(text: Column, spans: Column) -> Column:
     return F.concat(done["out"], F.substr(text, done["at"] + 1))
 
 
+def sanitise(text: Column, spans: Column) -> Column:
+    """`text` with each span replaced by its kind in brackets; terms to remove leave nothing. Of overlapping spans the first wins."""
+    return _replaced(text, spans, lambda x: F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"] != "term")
