@@ -180,6 +180,11 @@ def text_normal_forms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", x.slug(F.substring("text", 1, 60)).alias("slug"), x.searchable(F.substring("text", 1, 200)).alias("searchable"))
 
 
+@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^@', ''), 'https?://(www\\.)?', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS searchable FROM documents""")
+def text_normal_forms_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", x.slug(F.col("text")).alias("slug"), x.searchable(F.col("text")).alias("searchable"))
+
+
 @query("""SELECT c_custkey, CAST(CASE WHEN c_acctbal >= 1000 THEN floor(floor(c_acctbal / 1000 * 10 + 0.5) / 10 * 1000 + 0.5) WHEN c_acctbal >= 0 THEN floor(c_acctbal + 0.5) END AS BIGINT) AS n FROM customer WHERE c_acctbal >= 0""")
 def compact_number(spark, sf_dir):
     c = read(spark, sf_dir, "customer").filter("c_acctbal >= 0")
@@ -222,6 +227,13 @@ def phrase_attribution(spark, sf_dir):
     return a.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
 
 
+@query(f"""WITH t AS (SELECT doc_id, ' ' || {PLAIN.format("text")} || ' ' AS t FROM documents), p AS (SELECT item_id AS phrase_id, {PLAIN.format("text")} AS p FROM benchmark)
+SELECT doc_id, phrase_id FROM t JOIN p ON p <> '' AND contains(t, ' ' || p || ' ')""")
+def phrase_attribution_whole(spark, sf_dir):
+    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+    return a.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
+
+
 @query("""WITH f AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'x' WHEN 'view' THEN 'instagram' WHEN 'purchase' THEN 'github' WHEN 'signup' THEN 'reddit' ELSE 'web' END AS platform, value AS contribution,
   event_id % 11 <> 0 AS resolved, event_id % 3 = 0 AS verified, event_id % 5 = 0 AS own, event_id % 13 = 0 AS context, event_id % 7 = 0 AS quote, event_id % 4 = 0 AS conflict, event_id % 6 = 0 AS off FROM events
 ), g AS (SELECT *, CASE WHEN NOT resolved THEN 1 WHEN platform = 'web' THEN 2 WHEN platform = 'github' AND (verified OR own) THEN 2 WHEN platform = 'github' THEN 1 WHEN context THEN 3 WHEN platform = 'instagram' AND NOT verified THEN 1
@@ -318,6 +330,13 @@ def attempt_patterns(spark, sf_dir):
     return p.attempt_patterns(rows)
 
 
+@query("""SELECT role AS platform, CASE WHEN length(text) > 200 THEN 'ok' ELSE 'empty' END AS status, substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]+"', '{name}', 'g'), 'https?://[^ ]+', '{url}', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), 1, 180) AS pattern,
+  count(*) AS n, CAST(sum(turn) AS BIGINT) AS results FROM conversations GROUP BY 1, 2, 3 ORDER BY n DESC, platform, status, pattern LIMIT 30""")
+def attempt_patterns_whole(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    return p.attempt_patterns(c.select(F.col("role").alias("platform"), F.when(F.length("text") > 200, "ok").otherwise("empty").alias("status"), F.col("text").alias("query"), F.col("turn").alias("results")))
+
+
 @query("""WITH RECURSIVE n AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS k FROM events), digits AS (SELECT '0123456789abcdefghijklmnopqrstuvwxyz' AS d)
 SELECT event_id, 'ev-' || CASE WHEN k >= 46656 THEN d[((k // 46656) % 36 + 1)::BIGINT] ELSE '' END || CASE WHEN k >= 1296 THEN d[((k // 1296) % 36 + 1)::BIGINT] ELSE '' END || CASE WHEN k >= 36 THEN d[((k // 36) % 36 + 1)::BIGINT] ELSE '' END || d[(k % 36 + 1)::BIGINT] AS compact_id FROM n, digits""")
 def sanitized_ids(spark, sf_dir):
