@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, match, num, text, urls
 from tidemark.operators import attribution, config, dedupe, graph, ranking, scoring, snapshots
+from tidemark.plans import relations
 
 
 def one(spark, column):
@@ -123,6 +124,13 @@ def test_greedy_edges_are_those_taken_one_by_one(spark):
     assert graph.greedy_edges(df.limit(0)).count() == 0
 
 
+def test_greedy_query_takes_edges_down_to_the_default_threshold(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    edges = [tuple(x) for x in graph.similarity_edges(relations.items(spark, sf_dir)).collect()]
+    got = sorted(tuple(x) for x in relations.greedy_degree_capped_edges(spark, sf_dir).collect())
+    assert got == greedy(edges, 2, len(edges)) and 0.28 <= min(w for _, _, w in got) < 0.8
+
+
 def test_filters_and_chains(spark):
     rows = spark.createDataFrame([("a", "A", "p", "i", "m", ["x"], 5.0), ("b", "B", "p", "i", "m", ["y"], 3.0), ("c", "C", None, "i", "m", [], 9.0)], "id string, label string, partner string, industry string, model string, platforms array<string>, score double")
     assert [(e.source, e.target) for e in graph.chain_edges(rows, "partner", F.desc("score"), "label").collect()] == [("a", "b")]

@@ -75,9 +75,14 @@ def tag_similarity_edges(spark, sf_dir):
     return g.similarity_edges(items(spark, sf_dir), threshold=0.5)
 
 
+@query(f"WITH {EDGES} SELECT source, target, weight FROM edges WHERE weight >= 0.28")
+def tag_similarity_edges_default(spark, sf_dir):
+    return g.similarity_edges(items(spark, sf_dir))
+
+
 @query()
 def greedy_degree_capped_edges(spark, sf_dir):
-    return g.greedy_edges(g.similarity_edges(items(spark, sf_dir), threshold=0.8), most=None)
+    return g.greedy_edges(g.similarity_edges(items(spark, sf_dir)), most=None)
 
 
 @query()
