@@ -11,13 +11,18 @@ keeps the order, so that places of documents in the whole come from the counts.
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
+import json
+import re
 import string
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.tables import shuffle_partitions, table
@@ -25,12 +30,17 @@ from tidemark.session import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-#: Distinct pieces of text whose ids a worker remembers, twice over at most; about 200 bytes each.
-MEMORY = 500_000
-SIGNS = string.punctuation
+#: Bytes of text that are encoded at once, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 8 << 20
+#: Bytes of the ids and pieces that a worker remembers from chunk to chunk, about.
+MEMORY_BYTES = 16 << 20
+SIGNS = re.escape(string.punctuation)
+#: A word and the signs behind it, twice where a line end parts them.
+SHAPE = re.compile(rf"( [^\W\d_]+)([{SIGNS}]+)?(?:(\n)([^\W\d_]+)([{SIGNS}]+)?)?")
 #: How byte-level vocabularies write bytes: those without a printable sign of their own follow upon 255.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+SPACE_SIGN = chr(BYTE_SIGNS[32])
 #: Bytes of ids that one batch hands to the writer, about.
 BATCH_BYTES = 4 << 20
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
@@ -42,34 +52,15 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Joined(Exception):
-    """A piece that the tokenizer may join with the one before."""
-
-
-class _Memo(dict):
-    """A function's results: those of late, and of what was there when it was last full, those that are asked for again."""
-
-    def __init__(self, function, most: int):
-        super().__init__()
-        self.function, self.most, self.old = function, most, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        out = self.old.get(key)
-        self[key] = out = self.function(key) if out is None else out
-        return out
-
-
 class Encoder:
-    """Encodes whole texts piece by piece; a piece is encoded once while it is remembered.
+    """Encodes whole texts by the distinct pieces of a chunk of them; ids are those of the tokenizer over each whole text.
 
     A byte-level tokenizer takes a space together with what stands behind it,
     unless that is white space too, so the text before such a space and the
-    text from it on have ids of their own. Letters, and the ASCII signs behind
-    them, likewise. A text that spells out an added token, or has white space
-    behind a space, is encoded in one go.
+    text from it on have ids of their own. Letters, the ASCII signs behind
+    them, and single line ends between words, likewise. A text that spells out
+    an added token, or has white space behind a space, is encoded in one go, as
+    is every text where the tokenizer is not of this kind.
     """
 
     def __init__(self, path: str):
@@ -78,74 +69,146 @@ class Encoder:
         self.model = tokenizers.Tokenizer.from_file(path)
         self.merges = self.model.model
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.behind_space = _Memo(self._behind_space, MEMORY)
-        self.alone = _Memo(self._alone, MEMORY // 4)
+        made = json.loads(self.model.to_str())
+        plain = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+        splits = made["pre_tokenizer"] or {}
+        self.by_pieces = (
+            splits.get("type") == "ByteLevel" and not splits["add_prefix_space"] and splits["use_regex"] and not made["normalizer"] and not made["truncation"] and not made["padding"]
+            and made["model"]["type"] == "BPE" and all((made["model"].get(k) or v) == v for k, v in plain.items())
+        )
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _alone(self, text: str) -> bytes:
-        """Of one word, or of signs, that the tokenizer does not part further before it merges."""
-        mapped = text.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return struct.pack(f"<{len(t := self.merges.tokenize(mapped))}I", *[x.id for x in t])
-
-    def _behind_space(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[0] in "\x1c\x1d\x1e\x1f":
-            raise _Joined
-        return self._piece(" " + part)
-
-    def _piece(self, piece: str) -> bytes:
-        lines = piece.split("\n")
-        if len(lines) > 1 and all(x.strip() for x in lines) and not any(c.isspace() for c in piece[1:] if c != "\n"):
-            return self.alone["\n"].join(map(self._piece, lines))
-        word = piece.rstrip(SIGNS)
-        signs = piece[len(word) :]
-        if word.removeprefix(" ").isalpha():
-            return self.alone[word] + (self.alone[signs] if signs else b"")
-        return self._ids(piece)
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self._ids(text)
-        first, *rest = text.split(" ")
+    def _units(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The ids of words, or of signs, that the tokenizer does not part further before it merges."""
+        out, tokenize, pack = {}, self.merges.tokenize, struct.pack
+        for word in words:
+            if word.isascii() and word[0] == " ":
+                units = tokenize(SPACE_SIGN + word[1:])
+            else:
+                units = tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))
+            out[word] = pack(f"<{len(units)}I", *[x.id for x in units])
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of each piece (a space and what stands behind it); None where the tokenizer may join it with the one before."""
+        known = self.known
+        out = list(map(known.get, pieces))
+        words: dict[str, None] = {}
+        alone, parted = [], []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            piece = pieces[k]
+            rest = piece[1:]
+            if rest.isalpha():
+                words[piece] = None
+                alone.append(k)
+            elif not rest or rest[0].isspace():
+                continue
+            elif (m := SHAPE.fullmatch(piece)) and m[1][1:].isalpha() and (not m[4] or m[4].isalpha()):
+                units = [x for x in m.groups() if x]
+                for x in units:
+                    if x not in known:
+                        words[x] = None
+                parted.append((k, units))
+            else:
+                out[k] = self._ids(piece)
+        fresh = self._units(words)
+        for k in alone:
+            out[k] = fresh[pieces[k]]
+        for k, units in parted:
+            out[k] = b"".join([fresh[x] if x in fresh else known[x] for x in units])
+        return out
+
+    def _remember(self, pieces: list[str], ids: list[bytes | None]) -> None:
+        """Pieces that a chunk has more than once, within MEMORY_BYTES."""
+        for piece, x in zip(pieces, ids, strict=True):
+            if x is not None and piece not in self.known:
+                if self.held >= MEMORY_BYTES:
+                    self.known, self.held = {}, 0
+                self.known[piece] = x
+                self.held += 150 + 2 * len(piece) + len(x)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and the ids of all, with end_id behind each text; null is empty."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and looking for it again and again takes a third of the time
         try:
-            return (self._piece(first) if first else b"") + b"".join(map(self.behind_space.__getitem__, rest))
-        except _Joined:
-            return self._ids(text)
+            return self._encode(pc.fill_null(texts, ""), end_id)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_pieces or not len(texts):
+            blobs = [self._ids(x.as_py()) for x in texts]
+            n = np.array([len(b) // 4 for b in blobs], np.int64)
+            ids = np.insert(np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(n), end_id)
+            return n + 1, ids
+        parts = pc.split_pattern(texts, " ")
+        at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        first = pc.take(parts.flatten(), pa.array(at[:-1])).dictionary_encode()
+        behind = coded.dictionary.to_pylist()
+        ids = self._pieces([" " + x for x in behind]) + [b"" if not x else self._ids(x) for x in first.dictionary.to_pylist()]
+        index = coded.indices.to_numpy().astype(np.int64)
+        often = np.flatnonzero(np.bincount(index, minlength=len(behind)) > 1).tolist()
+        self._remember([" " + behind[k] for k in often], [ids[k] for k in often])
+        index[at[:-1]] = len(behind) + first.indices.to_numpy()
+        joined = np.array([x is None for x in ids])[index]
+        whole = np.logical_or.reduceat(joined, at[:-1])
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        empty = len(ids)
+        ids.append(b"")
+        for k in np.flatnonzero(whole).tolist():
+            index[at[k] : at[k + 1]] = empty
+            index[at[k]] = len(ids)
+            ids.append(self._ids(texts[k].as_py()))
+        index = np.insert(index, at[1:], len(ids))
+        ids.append(struct.pack("<I", end_id))
+        lengths = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u4")
+        starts = np.cumsum(lengths) - lengths
+        n = lengths[index]
+        upto = np.cumsum(n)
+        take = np.repeat(starts[index] - (upto - n), n) + np.arange(upto[-1])
+        return np.add.reduceat(n, at[:-1] + np.arange(len(texts))), flat[take]
 
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, whose tasks share what it remembers."""
+    """One for each Python worker."""
     return Encoder(path)
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (its last column the texts) of about CHUNK_BYTES of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[-1]), 0).to_numpy(zero_copy_only=False))
+    begin, upto = 0, 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(sizes, upto + CHUNK_BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin, upto = end, int(sizes[end - 1])
+
+
 def _encode(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    end = np.array([end_id], "<u4").tobytes()
-
-    def batch_of(ids: list, blobs: list[bytes]) -> pa.RecordBatch:
-        n = np.array([len(b) // 4 for b in blobs], np.int64)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-        values = pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.ListArray.from_arrays(offsets, values)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            ids, blobs, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                blobs.append(coder.encode(text.as_py()) + end)
-                ids.append(doc_id)
-                size += len(blobs[-1])
-                if size >= BATCH_BYTES:
-                    yield batch_of(ids, blobs)
-                    ids, blobs, size = [], [], 0
-            if ids:
-                yield batch_of(ids, blobs)
+            for part in _chunks(batch):
+                n, ids = coder.encode(part.column(1), end_id)
+                upto = np.concatenate([[0], np.cumsum(n)])
+                begin = 0
+                while begin < len(n):  # small batches: the writer takes each as a whole
+                    end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + BATCH_BYTES // 4, side="right")) - 1)
+                    tokens = pa.ListArray.from_arrays(pa.array(upto[begin : end + 1] - upto[begin], pa.int32()), pa.array(ids[upto[begin] : upto[end]].view("<i4")))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, end - begin), pa.array(n[begin:end]), tokens], schema=schema)
+                    begin = end
 
     return run
 
@@ -174,27 +237,43 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     return spark.read.schema(out.schema).parquet(path)
 
 
-def places(files: DataFrame) -> DataFrame:
-    """seq, doc_id, n_tokens and start, the number of ids of all rows before; reads no ids."""
-    meta = files.select("seq", "doc_id", "n_tokens", F.shiftright("seq", 33).alias("part"))
-    parts = meta.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+def _placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """`rows` (seq, n_tokens and others) with start, the number of ids of all rows of `files` before.
+
+    The counts by range, one row for each task that wrote, give where a range
+    begins; within one, rows add up in order.
+    """
+    part = F.shiftright("seq", 33)
+    parts = files.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("n"))
     base = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
-    return meta.withColumn("within", within).join(base, "part").select("seq", "doc_id", "n_tokens", (F.col("base") + F.col("within")).alias("start"))
+    rows = rows.withColumn("part", part).withColumn("within", within).join(F.broadcast(base), "part")
+    return rows.withColumn("start", F.col("base") + F.col("within")).drop("part", "base", "within")
+
+
+def places(files: DataFrame) -> DataFrame:
+    """seq, doc_id, n_tokens and start; reads no ids."""
+    return _placed(files.select("seq", "doc_id", "n_tokens"), files)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crc = []
-        for x in batch.column(3):
-            crc.append(zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) if x.is_valid else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64())], ["seq", "ids_crc32"])
+        lists = batch.column(3)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+        crc = [zlib.crc32(ids[a:b]) for a, b in itertools.pairwise(at.tolist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["seq", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def read_digests(files: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the files."""
-    crc = files.select("seq", "doc_id", "n_tokens", "tokens").mapInArrow(_checksums, "seq long, ids_crc32 long")
-    return places(files).join(crc, "seq").select("doc_id", "start", "n_tokens", "ids_crc32")
+    """doc_id, start, n_tokens and ids_crc32 of each row, by one pass over the files and one over their counts."""
+    rows = files.select("seq", "doc_id", "n_tokens", "tokens").mapInArrow(_checksums, "seq long, doc_id long, n_tokens long, ids_crc32 long")
+    return _placed(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def read_tokens(files: DataFrame, first: int, last: int) -> DataFrame:
+    """The rows of `files` with doc_id from first to last; row groups and pages without any are not read."""
+    return files.filter(F.col("doc_id").between(first, last))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
