@@ -1,5 +1,8 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from tidemark.session import durable, release
 from tidemark.sources import landed
 from tidemark.streaming import incremental
 
@@ -55,3 +58,12 @@ def test_streamed_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.table("ids").collect()) == [1, 2]
+
+
+def test_written_tables_are_released(spark):
+    out = durable(spark.range(5), "five")
+    assert out.count() == 5
+    path = Path(out.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert path.exists()
+    release(spark)
+    assert not path.exists()
