@@ -23,7 +23,7 @@ FUNCTION_WORDS = """the of and to in is that it was for on are as with be at by
 der die das und ist von zu den mit nicht ein eine auf für sich
 de la le les et des est un une en que dans pour
 el los las y se por del con una""".split()
-ROUNDS = 25
+#: The estimation ends when no share moves by more than this.
 TOLERANCE = 1e-4
 #: What is believed before any vote: the share of good documents, and of votes (-1, 0, 1) on good and on bad ones; it weighs as many documents.
 PRIOR_GOOD = 0.85
@@ -39,7 +39,8 @@ def features(docs: DataFrame) -> DataFrame:
     """`docs` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_digits, n_function_words and n_shouts.
 
     Whole texts; null counts as empty. Three-word windows are compared by
-    64-bit hashes within their text.
+    64-bit hashes within their text. Columns of `docs` with these names are
+    replaced; `keep_good` keeps its rows whole beside them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
@@ -99,11 +100,13 @@ def fit(patterns: DataFrame, names: list[str]) -> tuple[Accuracy, float]:
     """Shares of votes of each rule and the share of good documents, by expectation-maximisation.
 
     patterns: a row for each vote pattern with its count `n`. Each round sends
-    four sums a rule to the driver. Without rows the prior beliefs stay.
+    four sums a rule to the driver. No round makes the estimate less likely, so
+    moves die out, and rounds go on until none exceeds TOLERANCE. Without rows
+    the prior beliefs stay.
     """
     accuracy: Accuracy = [dict(PRIOR_VOTES) for _ in names]
     prior = PRIOR_GOOD
-    for _ in range(ROUNDS):
+    while True:
         good = F.col("n") * F.col("q")
         sums = [F.sum(F.when(F.col(c) == v, x)) for c in names for x in (good, F.col("n") - good) for v in (-1, 1)]
         got = patterns.withColumn("q", posterior([F.col(c) for c in names], accuracy, prior)).agg(F.sum("n"), F.sum(good), *sums).first()
@@ -147,15 +150,15 @@ def keep_good(docs: DataFrame) -> DataFrame:
     aside meanwhile.
     """
     plain = docs.select(F.struct("*").alias("_row"), F.col("text"))
-    scored = features(plain).drop("text")
-    # Rows pass a generator of one: else the filter below would be pushed into the features and compute them anew for each use.
-    scored = scored.select("_row", F.inline(F.array(F.struct(*[c for c in scored.columns if c != "_row"]))))
+    # Written once: what follows needs the features twice, and they cost far more than the rows take to read.
+    scored = durable(features(plain).drop("text"), "features")
     patterns, names = vote_patterns(scored)
     accuracy, prior = fit(patterns, names)
     return verdict(scored, accuracy, prior).filter("kept").select("_row.*")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with their features, base_failed, the verdict and the posterior; null and empty texts fail, repeated rows share a verdict."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = durable(features(docs).drop("text"), "features")
     patterns, names = vote_patterns(scored)
