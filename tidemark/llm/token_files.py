@@ -16,7 +16,6 @@ import itertools
 import json
 import re
 import string
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,18 +24,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.tables import shuffle_partitions, table
+from tidemark.llm.tables import releasing, shuffle_partitions, table
 from tidemark.session import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Bytes of text that are encoded at once, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 8 << 20
-#: Bytes of the ids and pieces that a worker remembers from chunk to chunk, about.
+#: Most bytes of pieces and their ids that a worker remembers from chunk to chunk.
 MEMORY_BYTES = 16 << 20
 SIGNS = re.escape(string.punctuation)
 #: A word and the signs behind it, twice where a line end parts them.
-SHAPE = re.compile(rf"( [^\W\d_]+)([{SIGNS}]+)?(?:(\n)([^\W\d_]+)([{SIGNS}]+)?)?")
+SHAPE = re.compile(rf"([^\W\d_]+)([{SIGNS}]+)?(?:(\n)([^\W\d_]+)([{SIGNS}]+)?)?")
 #: How byte-level vocabularies write bytes: those without a printable sign of their own follow upon 255.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -76,60 +75,59 @@ class Encoder:
             splits.get("type") == "ByteLevel" and not splits["add_prefix_space"] and splits["use_regex"] and not made["normalizer"] and not made["truncation"] and not made["padding"]
             and made["model"]["type"] == "BPE" and all((made["model"].get(k) or v) == v for k, v in plain.items())
         )
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        # What is remembered: words without the space before them, and the ids of both.
+        self.known, self.known_ids = pa.array([], pa.string()), _lists([])
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
 
-    def _units(self, words: Iterable[str]) -> dict[str, bytes]:
+    def _units(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The ids of words, or of signs, that the tokenizer does not part further before it merges."""
-        out, tokenize, pack = {}, self.merges.tokenize, struct.pack
+        out, tokenize = {}, self.merges.tokenize
         for word in words:
-            if word.isascii() and word[0] == " ":
-                units = tokenize(SPACE_SIGN + word[1:])
-            else:
-                units = tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))
-            out[word] = pack(f"<{len(units)}I", *[x.id for x in units])
+            signs = SPACE_SIGN + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            out[word] = [x.id for x in tokenize(signs)]
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """The ids of each piece (a space and what stands behind it); None where the tokenizer may join it with the one before."""
-        known = self.known
-        out = list(map(known.get, pieces))
+    def _fresh(self, pieces: list[str]) -> list[list[int] | None]:
+        """The ids of a space and each piece; None where the tokenizer may join the space with the one before."""
+        out: list[list[int] | None] = [None] * len(pieces)
         words: dict[str, None] = {}
         alone, parted = [], []
-        for k in [k for k, x in enumerate(out) if x is None]:
-            piece = pieces[k]
-            rest = piece[1:]
-            if rest.isalpha():
-                words[piece] = None
+        for k, piece in enumerate(pieces):
+            if piece.isalpha():
+                words[" " + piece] = None
                 alone.append(k)
-            elif not rest or rest[0].isspace():
+            elif not piece or piece[0].isspace():
                 continue
-            elif (m := SHAPE.fullmatch(piece)) and m[1][1:].isalpha() and (not m[4] or m[4].isalpha()):
-                units = [x for x in m.groups() if x]
-                for x in units:
-                    if x not in known:
-                        words[x] = None
-                parted.append((k, units))
+            elif (m := SHAPE.fullmatch(piece)) and m[1].isalpha() and (not m[4] or m[4].isalpha()):
+                parted.append((k, m.groups()))
             else:
-                out[k] = self._ids(piece)
-        fresh = self._units(words)
+                out[k] = self._ids(" " + piece)
+        heads = list(dict.fromkeys(g[0] for _, g in parted if " " + g[0] not in words))
+        place = pc.index_in(pa.array(heads, pa.string()), value_set=self.known)
+        units = dict(zip([" " + x for x in heads], pc.take(self.known_ids, place).to_pylist(), strict=True))
+        words.update((x, None) for x, ids in units.items() if ids is None)
+        words.update((x, None) for _, g in parted for x in g[1:] if x)
+        units.update(self._units(words))
         for k in alone:
-            out[k] = fresh[pieces[k]]
-        for k, units in parted:
-            out[k] = b"".join([fresh[x] if x in fresh else known[x] for x in units])
+            out[k] = units[" " + pieces[k]]
+        for k, g in parted:
+            out[k] = ids = units[" " + g[0]].copy()
+            for x in g[1:]:
+                if x:
+                    ids += units[x]
         return out
 
-    def _remember(self, pieces: list[str], ids: list[bytes | None]) -> None:
-        """Pieces that a chunk has more than once, within MEMORY_BYTES."""
-        for piece, x in zip(pieces, ids, strict=True):
-            if x is not None and piece not in self.known:
-                if self.held >= MEMORY_BYTES:
-                    self.known, self.held = {}, 0
-                self.known[piece] = x
-                self.held += 150 + 2 * len(piece) + len(x)
+    def _remember(self, pieces: pa.Array, ids: pa.Array, often: np.ndarray, asked: np.ndarray) -> None:
+        """Takes in fresh pieces; beyond MEMORY_BYTES only what the chunk has more than once, and of the known ones what it asked for."""
+        if self.known.nbytes + self.known_ids.nbytes + pieces.nbytes + ids.nbytes > MEMORY_BYTES:
+            kept, seen = pa.array(np.unique(asked)), pa.array(often)
+            self.known, self.known_ids, pieces, ids = pc.take(self.known, kept), pc.take(self.known_ids, kept), pieces.filter(seen), ids.filter(seen)
+            if self.known.nbytes + self.known_ids.nbytes + pieces.nbytes + ids.nbytes > MEMORY_BYTES:
+                self.known, self.known_ids = self.known[:0], self.known_ids[:0]
+        if pieces.nbytes + ids.nbytes <= MEMORY_BYTES:
+            self.known, self.known_ids = pa.concat_arrays([self.known, pieces]), pa.concat_arrays([self.known_ids, ids])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and the ids of all, with end_id behind each text; null is empty."""
@@ -143,39 +141,45 @@ class Encoder:
 
     def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_pieces or not len(texts):
-            blobs = [self._ids(x.as_py()) for x in texts]
-            n = np.array([len(b) // 4 for b in blobs], np.int64)
-            ids = np.insert(np.frombuffer(b"".join(blobs), "<u4"), np.cumsum(n), end_id)
-            return n + 1, ids
+            out = _lists([[*self._ids(x.as_py()), end_id] for x in texts])
+            return np.diff(out.offsets.to_numpy()).astype(np.int64), out.values.to_numpy()
         parts = pc.split_pattern(texts, " ")
         at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        first = pc.take(parts.flatten(), pa.array(at[:-1])).dictionary_encode()
-        behind = coded.dictionary.to_pylist()
-        ids = self._pieces([" " + x for x in behind]) + [b"" if not x else self._ids(x) for x in first.dictionary.to_pylist()]
-        index = coded.indices.to_numpy().astype(np.int64)
-        often = np.flatnonzero(np.bincount(index, minlength=len(behind)) > 1).tolist()
-        self._remember([" " + behind[k] for k in often], [ids[k] for k in often])
-        index[at[:-1]] = len(behind) + first.indices.to_numpy()
-        joined = np.array([x is None for x in ids])[index]
-        whole = np.logical_or.reduceat(joined, at[:-1])
+        values = parts.flatten()
+        coded, first = values.dictionary_encode(), pc.take(values, pa.array(at[:-1])).dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.known)
+        is_new = pc.is_null(known).to_numpy(zero_copy_only=False)
+        fresh = coded.dictionary.filter(pa.array(is_new))
+        got = self._fresh(fresh.to_pylist())
+        # The table of ids: known pieces, fresh ones, first pieces of texts (no space before them), then the end, nothing, and whole texts.
+        base = len(self.known_ids)
+        more = [x or [] for x in got] + [self._ids(x) if x else [] for x in first.dictionary.to_pylist()] + [[end_id], []]
+        place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        place[is_new] = base + np.arange(len(got))
+        index = place[coded.indices.to_numpy()]
+        index[at[:-1]] = base + len(got) + first.indices.to_numpy()
+        joined = np.zeros(base + len(more), bool)
+        joined[base : base + len(got)] = [x is None for x in got]
+        whole = np.logical_or.reduceat(joined[index], at[:-1])
         for a in self.added:
             whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
-        empty = len(ids)
-        ids.append(b"")
+        end, nothing = base + len(more) - 2, base + len(more) - 1
         for k in np.flatnonzero(whole).tolist():
-            index[at[k] : at[k + 1]] = empty
-            index[at[k]] = len(ids)
-            ids.append(self._ids(texts[k].as_py()))
-        index = np.insert(index, at[1:], len(ids))
-        ids.append(struct.pack("<I", end_id))
-        lengths = np.array([len(x or b"") // 4 for x in ids], np.int64)
-        flat = np.frombuffer(b"".join(x or b"" for x in ids), "<u4")
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[index]
-        upto = np.cumsum(n)
-        take = np.repeat(starts[index] - (upto - n), n) + np.arange(upto[-1])
-        return np.add.reduceat(n, at[:-1] + np.arange(len(texts))), flat[take]
+            index[at[k] : at[k + 1]] = nothing
+            index[at[k]] = base + len(more)
+            more.append(self._ids(texts[k].as_py()))
+        lists = pa.concat_arrays([self.known_ids, _lists(more)])
+        out = pc.take(lists, pa.array(np.insert(index, at[1:], end)))
+        upto = out.offsets.to_numpy()[np.append(at[:-1] + np.arange(len(texts)), len(out))]
+        often = np.bincount(coded.indices.to_numpy(), minlength=len(place))[is_new] > 1
+        certain = pa.array(~joined[base : base + len(got)])
+        self._remember(fresh.filter(certain), lists[base : base + len(got)].filter(certain), often[certain.to_numpy(zero_copy_only=False)], place[~is_new])
+        return np.diff(upto).astype(np.int64), out.values.to_numpy()
+
+
+def _lists(ids: list[list[int]]) -> pa.Array:
+    at = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, at[-1])))
 
 
 @functools.cache
@@ -225,7 +229,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     placed = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    encoded = placed.mapInArrow(_encode(tokenizer or tokenizer_path(), end_id), "doc_id long, n_tokens long, tokens array<int>")
+    encoded = placed.mapInArrow(releasing(_encode(tokenizer or tokenizer_path(), end_id)), "doc_id long, n_tokens long, tokens array<int>")
     out = encoded.select(F.monotonically_increasing_id().alias("seq"), "doc_id", "n_tokens", "tokens")
     options = {
         "compression": "zstd", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.writer.version": "PARQUET_2_0",
@@ -267,7 +271,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row, by one pass over the files and one over their counts."""
-    rows = files.select("seq", "doc_id", "n_tokens", "tokens").mapInArrow(_checksums, "seq long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = files.select("seq", "doc_id", "n_tokens", "tokens").mapInArrow(releasing(_checksums), "seq long, doc_id long, n_tokens long, ids_crc32 long")
     return _placed(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -277,6 +281,7 @@ def read_tokens(files: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows; null and empty texts have the end id alone, repeated rows places of their own."""
     return read_digests(write_tokens(table(spark, sf_dir, "documents")))
 
 
