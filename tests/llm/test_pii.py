@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -71,5 +72,67 @@ def test_terms_of_the_whole_text(spark):
     assert all(got[i] == [] for i, _ in common)
 
 
+def plain_terms(rows):
+    """(entity, term) to the share of information, over distinct texts."""
+    texts = {t or "" for t in rows}
+    have, held = {}, {}
+    for t in texts:
+        spans = plain(t)
+        entities = {k + ":" + (re.sub("[^0-9]", "", t[a:b]) if k in ("card", "phone") else t[a:b].lower()) for k, a, b in spans}
+        outside, at = "", 0
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if a >= at:
+                outside, at = outside + t[at:a] + " ", b
+        outside += t[at:]
+        word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+        have[t] = {w.lower() for w in re.findall(word, t)}
+        held[t] = (entities, {w.lower() for w in re.findall(word, outside)})
+    n, out = len(texts), {}
+    for c in {c for e, _ in held.values() for c in e}:
+        n_c = sum(c in e for e, _ in held.values())
+        for term in {w for e, ws in held.values() if c in e for w in ws} if n_c >= pii.SUPPORT else ():
+            n_ct = sum(c in e and term in ws for e, ws in held.values())
+            n_t = sum(term in ws for ws in have.values())
+            share = math.log2(n * n_ct / (n_c * n_t)) / max(math.log2(n / n_c), 1e-9)
+            if n_ct >= pii.SUPPORT and share >= pii.GENERALISE:
+                out[c, term] = share
+    return out
+
+
+def test_shares_are_those_of_plain_counts(spark):
+    r = random.Random(9)
+    people = [(f"p{k}@mail.example", f"Name{k}", f"20{k}") for k in range(4)]
+    texts = []
+    for _ in range(160):
+        words = [r.choice("the of and day road sun rain house tree".split()) for _ in range(r.randint(3, 12))]
+        for mail, name, year in people:
+            if r.random() < 0.08:
+                words += [mail] * (r.random() < 0.8) + [name] * (r.random() < 0.8) + [year] * (r.random() < 0.6)
+        r.shuffle(words)
+        texts.append(" ".join(words))
+    texts += texts[:30] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.durable(pii._with_spans(docs), "found")
+    of_entity = pii._held(found).select("entity", "seen").distinct().groupBy("entity").count().withColumnRenamed("count", "n_c").filter(F.col("n_c") >= pii.SUPPORT)
+    got = {(x.entity, x.term): x.share for x in pii.revealing(pii.durable(pii._terms(found, of_entity), "near"), of_entity, docs).collect()}
+    want = plain_terms(texts)
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_terms_are_generalised_to_their_class(spark):
+    text = "Ann 1987 ab12 lower a@b.c gone"
+    spans = [("term", 0, 3, "generalise"), ("term", 4, 8, "generalise"), ("term", 9, 13, "generalise"), ("term", 14, 19, "generalise"), ("email", 20, 25, "replace"), ("term", 26, 30, "remove")]
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<kind:string,start:int,end:int,action:string>>")
+    assert df.select(pii.sanitise(F.col("t"), F.col("s")).alias("x")).first().x == "[NAME] [NUMBER] [CODE] [WORD] [EMAIL] "
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "to a@b.c", "s", 5, "k"), (1, "to a@b.c", "s", 5, "k")], "doc_id long, text string, spans string, row int, kept string")
+    out = pii.find_personal_data(docs)
+    assert out.columns == ["doc_id", "row", "kept", "spans"]
+    assert [(x.row, x.kept, [s.kind for s in x.spans]) for x in out.collect()] == [(5, "k", ["email"])] * 2
+
+
 def test_empty_table(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -4,12 +4,16 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers; these
 values are the protected entities. Co-occurrence over the corpus then tells
 what other words reveal: for an entity c and a term t in the same text, the
 pointwise mutual information log2(N * n_ct / (n_c * n_t)), where n_ct and n_c
-count distinct texts with both and with the entity, n_t counts distinct texts
-with the term and N all distinct texts, both by sketches that tasks merge (an
-error of a tenth is a seventh of a bit). Terms that give away a share of the
+count distinct texts with both and with the entity, n_t distinct texts with
+the term, and N all distinct texts. Terms that give away a share of the
 entity's information log2(N / n_c) are generalised, and removed above a higher
 share, wherever they stand in a text that holds the entity. Only texts that
-differ count, so copies of one text are no evidence.
+differ count, so copies of one text are no evidence. All counts are exact:
+merged sketches of n_t only rule out terms that are far too frequent before
+the others are counted.
+
+A generalised term gives way to the class of what is written like it (number,
+code, name or word), which covers so many texts that it reveals next to nothing.
 
 All of it is DataFrame expressions. Matching is done once, where the texts
 lie; what is shuffled afterwards are texts with an entity that SUPPORT texts hold.
@@ -39,6 +43,8 @@ WORD = IN_WORD + "+"
 SUPPORT = 3
 #: Shares of an entity's information above which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.75, 0.9
+#: How far the sketched count of texts may exceed the most that a revealing term can have before the term is ruled out, and the sketches' standard error: ten of these errors.
+MARGIN, SKETCH_ERROR = 2.0, 0.1
 #: Most candidate terms that are broadcast; beyond, the counts are joined by shuffling.
 BROADCAST_TERMS = 500_000
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -135,25 +141,34 @@ def _pairs(terms: DataFrame) -> DataFrame:
 
 
 def revealing(terms: DataFrame, of_entity: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, share): the share of the entity's information that the term gives away, where it exceeds GENERALISE.
+    """(entity, term, share): the share of the entity's information that the term gives away, where it is GENERALISE at least.
 
     Counts cover all rows of `docs`; a term counts where it shares SUPPORT
     distinct texts with the entity at least.
     """
     first = terms.groupBy("seen").agg(F.min("row").alias("row")).select("row")
     pairs = _pairs(terms.join(first, "row", "left_semi")).groupBy("entity", "term").agg(F.count("*").alias("n_ct"))
-    pairs = durable(pairs.filter(F.col("n_ct") >= SUPPORT), "pairs")
-    wanted = durable(pairs.select("term").distinct(), "terms")
-    few = wanted.count()
+    pairs = durable(pairs.filter(F.col("n_ct") >= SUPPORT).join(of_entity, "entity"), "pairs")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    total = texts.agg(F.approx_count_distinct("text", 0.01)).first()[0] if few else 1
-    all_words = texts.select(F.xxhash64("text").alias("seen"), F.explode(words(F.col("text"))).alias("term"))
-    of_term = all_words.join(F.broadcast(wanted) if few <= BROADCAST_TERMS else wanted, "term").groupBy("term").agg(F.approx_count_distinct("seen", 0.1).alias("n_t"))
+    total = texts.select(F.xxhash64("text").alias("seen")).distinct().count()
     n = F.lit(float(max(total, 1)))
-    scored = pairs.join(of_entity, "entity").join(of_term, "term")
+    # A share of GENERALISE needs n_t <= n_ct * (N / n_c) ** (1 - GENERALISE).
+    bound = pairs.groupBy("term").agg(F.max(F.col("n_ct") * F.pow(n / F.col("n_c"), F.lit(1 - GENERALISE))).alias("most"))
+    candidates = durable(bound, "candidates")
+    of_term = _with_words(texts, candidates).groupBy("term").agg(F.approx_count_distinct("seen", SKETCH_ERROR).alias("about"))
+    rare = durable(candidates.join(of_term, "term").filter(F.col("about") <= MARGIN * F.col("most")).select("term"), "rare")
+    of_term = _with_words(texts, rare).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     known = F.greatest(F.log2(n / F.col("n_c")), F.lit(1e-9))
-    shared = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    return durable(scored.select("entity", "term", (shared / known).alias("share")).filter(F.col("share") >= GENERALISE), "revealing")
+    shared = F.log2(n * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+    scored = pairs.join(of_term, "term").select("entity", "term", (shared / known).alias("share"))
+    return durable(scored.filter(F.col("share") >= GENERALISE), "revealing")
+
+
+def _with_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """seen (a hash of the text) and term of all texts that have a wanted term."""
+    every = texts.select(F.xxhash64("text").alias("seen"), F.explode(words(F.col("text"))).alias("term"))
+    few = wanted.count() <= BROADCAST_TERMS
+    return every.join(F.broadcast(wanted.select("term")) if few else wanted.select("term"), "term", "left_semi")
 
 
 def _occurrences(text: Column, shares: Column) -> Column:
@@ -174,8 +189,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     kind is email, ip, card, phone or term; ends are exclusive; positions are
     code points of the whole text. action is replace for the patterns,
     generalise or remove for terms. Null counts as empty. Repeated rows each
-    come back. A column named like one of this operator's own does no harm.
+    come back. A column of `docs` named spans gives way to the new one; other
+    columns named like one of this operator's own stay.
     """
+    docs = docs.drop("spans")
     found = durable(_with_spans(docs), "found")
     of_entity = _held(found).select("entity", "seen").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     of_entity = durable(of_entity.filter(F.col("n_c") >= SUPPORT), "entities")
@@ -203,12 +220,25 @@ def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Co
     return F.concat(done["out"], F.substr(text, done["at"] + 1))
 
 
+def broader(value: Column) -> Column:
+    """The class of what is written like a word: NUMBER (digits), CODE (digits and others), NAME (a capital first) or WORD."""
+    first = value.substr(1, 1)
+    return F.when(value.rlike("^[0-9]+$"), "NUMBER").when(value.rlike("[0-9]"), "CODE").when(first != F.lower(first), "NAME").otherwise("WORD")
+
+
 def sanitise(text: Column, spans: Column) -> Column:
-    """`text` with each span replaced by its kind in brackets; terms to remove leave nothing. Of overlapping spans the first wins."""
-    return _replaced(text, spans, lambda x: F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
+    """`text` with each span replaced by its kind in brackets, a generalised term by its class; terms to remove leave nothing. Of overlapping spans the first wins."""
+
+    def by(x: Column) -> Column:
+        written = F.substr(text, x["start"] + 1, x["end"] - x["start"])
+        name = F.when(x["kind"] == "term", broader(written)).otherwise(F.upper(x["kind"]))
+        return F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), name, F.lit("]")))
+
+    return _replaced(text, spans, by)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with counts and spans; null and empty texts have none, repeated rows have the same."""
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"] != "term")
     join = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
