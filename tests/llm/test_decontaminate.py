@@ -98,3 +98,46 @@ def test_cutting_takes_one_pass_over_a_long_text():
     out = d.without(text, spans)
     assert time.process_time() - began < 5
     assert out == b"".join(b"- W%d" % i for i in range(n) if i % 4 > 1) + b"!"
+
+
+@pytest.mark.parametrize("shard,chunk", [(7, 1 << 20), (50, 40), (1 << 19, 40)])
+def test_hits_across_shards_and_pieces(monkeypatch, shard, chunk):
+    from tidemark.llm import shingles
+
+    monkeypatch.setattr(d, "SHARD_WORDS", shard)
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", chunk)
+    r = random.Random(shard)
+    text = lambda n: " ".join(r.choice(["ab", "c", "é", "12", "dd", "e"]) for _ in range(n))
+    bench = [(str(k), text(r.choice([2, 5, 10, 14]))) for k in range(10)]
+    rows = [(k, text(r.randint(0, 60))) for k in range(12)] + [(50, text(30) + " " + bench[3][1] + " " + text(40) + " " + bench[3][1]), (51, None), (52, "x" * 200 + " " + bench[4][1])]
+    n, spans, items = d.search_texts([t and t.encode() for _, t in rows], d.Windows([(k, t.encode()) for k, t in bench], 10), 10)
+    got = [(i, n[k], sum(b - a + 1 for a, b in spans.get(k, ())), items.get(k, [])) for k, (i, _) in enumerate(rows)]
+    assert sorted(got, key=repr) == brute(rows, bench)
+
+
+def test_hits_of_many_blocks_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(d, "BROADCAST_HITS", 3)
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice(["ab", "c", "é", "12", "dd", "e"]) for _ in range(n))
+    bench = [(k, text(r.choice([2, 5, 10, 14]))) for k in range(10)]
+    rows = [(k, text(r.randint(0, 60))) for k in range(12)] + [(51, None), (5, text(9))]
+    assert digest(d.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=200)) == brute(rows, bench)
+
+
+def test_suffix_array_sorts_suffixes():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        text = np.concatenate([np.append(r.integers(1, 3, r.integers(0, 30)), 0) for _ in range(5)] + [np.tile([1, 2], 20), [0]]).astype(np.int64)
+        zeros = np.cumsum(text == 0) - 1 - (text == 0).sum()  # the zeros are apart, by place
+        plain = sorted(range(len(text)), key=lambda i: [int(zeros[k]) if text[k] == 0 else int(text[k]) for k in range(i, len(text))])
+        assert d.suffix_array(text).tolist() == plain
+
+
+def test_a_block_of_windows_takes_little():
+    items = [(str(k), b" ".join(b"w%d" % ((k * 7919 + i * i) % 50_000) for i in range(700))) for k in range(900)]
+    began = time.process_time()
+    w = d.Windows(items, 10)
+    known = np.unique(w.hashes)
+    sought, patterns = w.patterns(known)
+    assert time.process_time() - began < 5 and len(sought) == 900 * 691
+    assert w.hashes.nbytes + w.first.nbytes + w.item.nbytes + w.length.nbytes + patterns.nbytes < 64 << 20  # for 4 MB of items

@@ -65,6 +65,27 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("flush,small,tile,seed", [(1 << 20, 2, 4, 4), (60, 2, 3, 5), (60, 64, 4096, 6)])
+def test_components_in_large_blocks(spark, monkeypatch, flush, small, tile, seed):
+    """Blocks that many classes share, combined by flushes and cut into tiles."""
+    for name, value in (("FLUSH_KEYS", flush), ("SMALL", small), ("TILE", tile), ("BUCKET_KEYS", 300)):
+        monkeypatch.setattr(j, name, value)
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5)))
+    texts = []
+    for size, copies, edits in ((60, 24, 3), (60, 16, 9), (12, 20, 1), (200, 12, 30)):
+        base = [word() for _ in range(size)]
+        for _ in range(copies):  # some link, some are near without linking
+            t = base.copy()
+            for _ in range(r.randint(0, edits)):
+                t[r.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = j.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    assert sorted((tuple(x) for x in got), key=repr) == brute(rows)
+
+
 def test_nulls_repeats_ties_extra_columns_and_long_texts(spark):
     long = " ".join(str(k) for k in range(60_000))
     rows = [(5, "a b c d e f"), (None, "a b c d e f"), (3, "A b c d e f"), (7, None), (7, ""), (9, long), (8, long + " x"), (5, "a b c d e f")]

@@ -1,116 +1,113 @@
 """Benchmark decontamination with an FM-index over each shard of the training texts.
 
-A shard is a run of documents that one task holds at a time. Its words become
-symbols: the numbers of benchmark words. Only admissible runs enter the index:
-consecutive words each pair of which also stands side by side in a benchmark
-item. Every occurrence of a window lies within such a run, so nothing is lost,
-and the index grows with what may match rather than with the corpus.
-
-The suffix array of the runs gives the Burrows-Wheeler transform; a wavelet
-matrix over it answers ranks; all windows are searched backwards at once; and
-their occurrences are located by stepping to suffix positions that were
-sampled (every eighth, and every run's first). Spans that overlap are merged.
+A shard is a run of words of documents that one task holds at a time. All its
+words become symbols, the places of their 64-bit hashes among the shard's; a
+zero ends each document. The suffix array gives the Burrows-Wheeler transform;
+a wavelet matrix over it answers ranks; all windows of the benchmark are
+searched backwards at once; and their occurrences are located by stepping to
+suffix positions that were sampled (every eighth, and every document's first).
+Spans that overlap are merged.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.shingles import LOWER
-from tidemark.llm.tables import table
+from tidemark.llm.shingles import LOWER, word_stream
+from tidemark.llm.tables import releasing, table
+from tidemark.session import durable
 
 WINDOW_WORDS = 10
-#: Bytes of text in a shard, about; a longer text is one shard.
-SHARD_BYTES = 8 << 20
-#: Bound of the benchmark text that is broadcast at once; a larger benchmark is searched in blocks.
-BLOCK_BYTES = 64 << 20
+#: Words of a shard, about. A document of more is cut into shards that overlap by a window.
+SHARD_WORDS = 1 << 19
+#: Bytes of benchmark text that are broadcast at once, about; a larger benchmark is searched in blocks, one pass for each.
+BLOCK_BYTES = 4 << 20
+#: Hits of a larger benchmark that are broadcast to the documents; beyond, both sides are shuffled.
+BROADCAST_HITS = 200_000
 SAMPLED = 8
-#: A-Z to a-z, and each byte of [\x00-\x2F\x3A-\x60\x7B-\x7F] to a space.
-WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in LOWER)
-#: The same words in a text whose letters are as they were.
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-STATE = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-
-
-def words(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(WORDS).split()
+#: A-Z to a-z, and each byte of [\x00-\x2F\x3A-\x60\x7B-\x7F], which part words, once A-Z are a-z.
+PARTS = np.zeros(256, bool)
+PARTS[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
+SPACED = bytes(32 if p else b for b, p in enumerate(PARTS))
+SPANS = "array<struct<first:int,last:int>>"
+STATE = f"n_words long, spans {SPANS}, items array<string>"
 
 
 class Windows:
-    """The distinct windows of a block of items, as symbol sequences, and the items that have each."""
+    """The windows of a block of items: the hashes of all words in a row, and of each window its first word, length and item."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
-        self.symbol: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        pairs: set[int] = set()
-        sequences = []
-        for item, text in items:
-            s = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in words(text)]
-            sequences.append(s)
-            for i in range(max(1, len(s) - size + 1) if s else 0):
-                found.setdefault(tuple(s[i : i + size]), set()).add(item)
-        self.width = len(self.symbol) + 1
-        for s in sequences:
-            pairs.update(a * self.width + b for a, b in itertools.pairwise(s))
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.least = min(map(len, found), default=0)
-        self.items = [sorted(v) for v in found.values()]
-        self.length = np.array([len(w) for w in found], np.int64)
-        self.symbols = np.zeros((len(found), size), np.int64)  # right-aligned: the last symbol is searched first
-        for k, w in enumerate(found):
-            self.symbols[k, size - len(w) :] = w
-
-    def runs(self, s: np.ndarray) -> Iterator[tuple[int, int]]:
-        """First and end of each admissible run of the symbols (0: no benchmark word) that is long enough for a window."""
-        known = s > 0
-        if len(s) < self.least or not known.any():
-            return
-        joined = known[1:] & known[:-1]
-        at = np.flatnonzero(joined)
-        if len(at):
-            key = s[at].astype(np.int64) * self.width + s[at + 1]
-            near = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
-            joined[at] = self.pairs[near] == key if len(self.pairs) else False
-        starts = np.flatnonzero(known & ~np.concatenate([[False], joined]))
-        ends = np.flatnonzero(known & ~np.concatenate([joined, [False]])) + 1
-        for k in np.flatnonzero(ends - starts >= self.least):
-            yield int(starts[k]), int(ends[k])
+        self.size = size
+        self.names = [name for name, _ in items]
+        words = list(word_stream([text for _, text in items], LOWER, PARTS))
+        n = np.array([len(w) for w in words], np.int64)
+        self.hashes = np.concatenate([*words, np.zeros(0, np.uint64)])
+        many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(items)), many)
+        self.first = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(np.cumsum(n) - n, many)
+        self.length = np.repeat(np.minimum(n, size), many)
+
+    def patterns(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows all of whose words are among the sorted hashes `known`, and their symbols (places from 1 there), right-aligned: the last is searched first."""
+        at = np.minimum(np.searchsorted(known, self.hashes), max(len(known) - 1, 0))
+        symbol = np.where(known[at] == self.hashes, at + 1, 0) if len(known) else np.zeros(len(self.hashes), np.int64)
+        absent = np.concatenate([[0], np.cumsum(symbol == 0)])
+        sought = np.flatnonzero(absent[self.first + self.length] == absent[self.first])
+        out = np.zeros((len(sought), self.size), np.int32)
+        for k in range(self.size):  # the k-th last
+            has = self.length[sought] > k
+            out[has, self.size - 1 - k] = symbol[(self.first + self.length)[sought[has]] - 1 - k]
+        return sought, out
+
+
+def words(text: bytes | None) -> list[bytes]:
+    """The words of a text, A-Z as a-z."""
+    return (text or b"").translate(LOWER).translate(SPACED).split()
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By doubling; the zeros that end runs differ from each other, so runs bound the rounds."""
+    """By doubling, over what is not yet apart; the zeros that end documents differ from each other, so these bound the rounds."""
     n = len(text)
-    rank = np.where(text > 0, text + n, np.arange(n))
-    _, rank = np.unique(rank, return_inverse=True)
+    zeros = text == 0
+    rank = np.where(zeros, np.cumsum(zeros) - 1, text + zeros.sum()).astype(np.int64)
+    order = np.argsort(rank, kind="stable")
     step = 1
-    while True:
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:] if step < n else []
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        moved = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = moved
-        if moved[-1] == n - 1:
-            return order
+    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # the first place of equals
+    open_ = _open(new)
+    while len(open_):
+        at = order[open_]
+        after = np.zeros(len(at), np.int64)
+        inside = at + step < n
+        after[inside] = rank[at[inside] + step] + 1
+        key = rank[at] * (n + 2) + after
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[open_] = at
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[at] = np.maximum.accumulate(np.where(new, open_, 0))
+        open_ = open_[_open(new)]
         step *= 2
+    return order
+
+
+def _open(new: np.ndarray) -> np.ndarray:
+    """Places in runs of more than one equal, given where runs begin."""
+    return np.flatnonzero(~new | ~np.append(new[1:], True))
 
 
 class WaveletMatrix:
     def __init__(self, text: np.ndarray, width: int):
         self.levels = []
         for bit in range(max(width - 1, 1).bit_length() - 1, -1, -1):
-            ones = (text >> bit) & 1
-            before = np.concatenate([[0], np.cumsum(ones)])
-            zeros = len(text) - int(before[-1])
-            self.levels.append((bit, before, zeros))
-            text = np.concatenate([text[ones == 0], text[ones == 1]])
+            ones = ((text >> bit) & 1).astype(bool)
+            before = np.concatenate([[0], np.cumsum(ones)]).astype(np.int32)
+            self.levels.append((bit, before, len(text) - int(before[-1])))
+            text = np.concatenate([text[~ones], text[ones]])
         first = np.zeros(width, np.int64)
         values, at = np.unique(text, return_index=True)
         first[values] = at  # where each symbol's rows begin on the last level
@@ -126,14 +123,14 @@ class WaveletMatrix:
     def access(self, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at), np.int64)
         for bit, before, zeros in self.levels:
-            one = before[at + 1] - before[at]
+            one = (before[at + 1] - before[at]).astype(np.int64)
             out |= one << bit
             at = np.where(one == 1, zeros + before[at], at - before[at])
         return out
 
 
 class FMIndex:
-    """Over symbols from 1 and zeros that end each run; no pattern has a zero."""
+    """Over symbols from 1 and zeros that end each document; no pattern has a zero."""
 
     def __init__(self, text: np.ndarray, width: int):
         order = suffix_array(text)
@@ -173,83 +170,102 @@ class FMIndex:
 
 
 def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(first.tolist(), last.tolist(), strict=True)):
-        if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def search_shard(texts: list[bytes | None], windows: Windows) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-    """For each text: its number of words, the merged spans of words (first, last) that windows hit, the items that have those windows."""
-    out: list[tuple[int, list[tuple[int, int]], set[str]]] = []
-    parts, at, doc, word, end = [], [], [], [], 0
-    for i, text in enumerate(texts):
-        w = words(text)
-        out.append((len(w), [], set()))
-        s = np.fromiter(map(windows.symbol.get, w, itertools.repeat(0)), np.int64, len(w))
-        for a, b in windows.runs(s):
-            parts += [s[a:b], np.zeros(1, np.int64)]
-            at.append(end)
-            doc.append(i)
-            word.append(a)
-            end += b - a + 1
-    if not parts:
-        return out
-    index = FMIndex(np.concatenate(parts), windows.width)
-    low, high = index.search(windows.symbols, windows.length)
-    found = np.flatnonzero(low < high)
-    if not len(found):
-        return out
-    many = high[found] - low[found]
-    which = np.repeat(found, many)
-    row = np.repeat(low[found] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    place = index.locate(row)
-    run = np.searchsorted(at, place, side="right") - 1
-    owner, first = np.array(doc)[run], np.array(word)[run] + place - np.array(at)[run]
-    order = np.argsort(owner, kind="stable")
-    owner, first, which = owner[order], first[order], which[order]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-        i = int(owner[a])
-        items = {item for k in np.unique(which[a:b]) for item in windows.items[k]}
-        out[i] = (out[i][0], _merged(first[a:b], first[a:b] + windows.length[which[a:b]] - 1), items)
-    return out
+    """Spans (first, last) without those that overlap or touch, in order."""
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(last[order])
+    begins = np.flatnonzero(np.concatenate([[True], first[1:] > upto[:-1] + 1])) if len(first) else np.zeros(0, np.int64)
+    return list(zip(first[begins].tolist(), upto[np.append(begins[1:], len(first)) - 1].tolist(), strict=True))
+
+
+class Shard:
+    """Words of documents, in parts: the document, and which word of it a part begins with."""
+
+    def __init__(self):
+        self.parts: list[tuple[int, int, np.ndarray]] = []
+        self.size = 0
+
+    def put(self, doc: int, begin: int, words: np.ndarray) -> None:
+        self.parts.append((doc, begin, words))
+        self.size += len(words)
+
+    def search(self, windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each document with hits: its place, first and last words of the hits, and the items of their windows."""
+        if not self.size or not len(windows.first):
+            return
+        known, places = np.unique(np.concatenate([w for _, _, w in self.parts]), return_inverse=True)
+        sought, patterns = windows.patterns(known)
+        if not len(sought):
+            return
+        ends = np.cumsum([len(w) for _, _, w in self.parts])
+        text = np.insert(places.astype(np.int64) + 1, ends, 0)
+        index = FMIndex(text, len(known) + 1)
+        length = windows.length[sought]
+        low, high = index.search(patterns, length)
+        many = high - low
+        found = np.flatnonzero(many)
+        if not len(found):
+            return
+        many = many[found]
+        which = np.repeat(found, many)
+        place = index.locate(np.repeat(low[found] - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+        begins = ends - np.array([len(w) for _, _, w in self.parts]) + np.arange(len(self.parts))
+        part = np.searchsorted(begins, place, side="right") - 1
+        doc = np.array([d for d, _, _ in self.parts])[part]
+        first = np.array([b for _, b, _ in self.parts])[part] + place - begins[part]
+        order = np.argsort(doc, kind="stable")
+        doc, first, which = doc[order], first[order], which[order]
+        cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            yield int(doc[a]), first[a:b], first[a:b] + length[which[a:b]] - 1, np.unique(windows.item[sought[which[a:b]]])
+
+
+def search_texts(texts: list[bytes | None], windows: Windows, size: int) -> tuple[list[int], dict[int, list[tuple[int, int]]], dict[int, list[str]]]:
+    """Of each text its number of words; of those with hits the merged spans of words, and the sorted items that have the windows."""
+    n_words: list[int] = []
+    hits: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    shard = Shard()
+
+    def close() -> Shard:
+        for doc, first, last, item in shard.search(windows):
+            hits.setdefault(doc, []).append((first, last, item))
+        return Shard()
+
+    for doc, hashes in enumerate(word_stream(texts, LOWER, PARTS)):
+        n_words.append(len(hashes))
+        for begin in range(0, max(1, len(hashes) - size + 1) if len(hashes) else 0, SHARD_WORDS):
+            shard.put(doc, begin, hashes[begin : begin + SHARD_WORDS + size - 1])
+            if shard.size >= SHARD_WORDS:
+                shard = close()
+    close()
+    spans = {doc: _merged(*(np.concatenate(x) for x in list(zip(*found, strict=True))[:2])) for doc, found in hits.items()}
+    items = {doc: sorted({windows.names[k] for _, _, item in found for k in item}) for doc, found in hits.items()}
+    return n_words, spans, items
 
 
 def _search(block, size: int):
-    """Adds what one block of the benchmark hits to the state (n_words, spans, items) that earlier blocks left; columns: row, text, state."""
+    """Adds n_words, spans and items to row and text."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(block.value, size)
         for batch in batches:
-            begin, held = 0, 0
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                held += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-                if held < SHARD_BYTES and i < batch.num_rows - 1:
-                    continue
-                part = batch.slice(begin, i + 1 - begin)
-                begin, held = i + 1, 0
-                found = search_shard(part.column(1).to_pylist(), windows)
-                spans, items = [], []
-                for (_, s, x), s0, x0 in zip(found, part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                    if s0:
-                        s = _merged(np.array([t["first"] for t in s0] + [t[0] for t in s]), np.array([t["last"] for t in s0] + [t[1] for t in s]))
-                    spans.append([{"first": a, "last": b} for a, b in s])
-                    items.append(sorted(x.union(x0 or ())))
-                state = [pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *state], ["row", "text", "n_words", "spans", "items"])
-
-    return run
+            n_words, spans, items = search_texts([x.as_py() for x in batch.column(1)], windows, size)
+            found = [[{"first": a, "last": b} for a, b in spans.get(k, ())] for k in range(batch.num_rows)]
+            state = [pa.array(n_words, pa.int64()), pa.array(found, span), pa.array([items.get(k, []) for k in range(batch.num_rows)], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *state], ["row", "text", "n_words", "spans", "items"])
+
+    return releasing(run)
+
+
+def _place_words(text: bytes) -> np.ndarray:
+    """The ends of the words of a text."""
+    inside = ~PARTS[np.frombuffer(text.translate(LOWER), np.uint8)]
+    return np.flatnonzero(inside & ~np.append(inside[1:], False)) + 1
 
 
 def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
     """`text` without the words of `spans` (ascending, apart) and without what stands before each of these words."""
-    ends = [0, *(m.end() for m in WORD.finditer(text))]
+    ends = np.concatenate([[0], _place_words(text)])
     out, at = [], 0
     for s in spans:
         out.append(text[at : ends[s["first"]]])
@@ -263,22 +279,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row in order, without those that overlap or touch, and its items once; columns: _id, spans, items."""
+    for batch in batches:
+        spans, items = [], []
+        for s, i in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            merged = _merged(np.array([x["first"] for x in s]), np.array([x["last"] for x in s]))
+            spans.append([{"first": a, "last": b} for a, b in merged])
+            items.append(sorted(set(i)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.column(1).type), pa.array(items, pa.list_(pa.string()))], ["_id", "spans", "items"])
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """row (the columns of `docs` but the text), text, n_words, spans and items."""
+    """row (the columns of `docs` but the text), text, n_words, spans and items.
+
+    The first block is searched in the pass that hands the documents on. Of a
+    larger benchmark the result is written, and then the hits of each further
+    block, which join it by row in the end; so the driver and a task hold one
+    block at a time.
+    """
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
     total = bench.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
-    out = docs.select(
-        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<first:int,last:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"),
-    )
-    row = next(f.dataType.simpleString() for f in out.schema if f.name == "row")
-    for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()
-        block = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in rows])
-        out = out.mapInArrow(_search(block, window), f"row {row}, text binary, {STATE}")
-    return out.withColumn("text", F.col("text").cast("string"))
+
+    def searched(rows: DataFrame, k: int) -> DataFrame:
+        part = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
+        block = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in part.collect()])
+        kind = rows.schema["row"].dataType.simpleString()
+        return rows.mapInArrow(_search(block, window), f"row {kind}, text binary, {STATE}")
+
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("binary").alias("text"))
+    out = searched(rows, 0)
+    if blocks > 1:
+        out = durable(out.withColumn("_id", F.monotonically_increasing_id()), "searched")
+        hits = out.filter("size(spans) > 0").select("_id", "spans", "items")
+        for k in range(1, blocks):
+            got = searched(out.select(F.struct("_id").alias("row"), "text"), k).filter("size(spans) > 0")
+            hits = hits.union(durable(got.select("row._id", "spans", "items"), "hits"))
+        hits = hits.groupBy("_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        hits = durable(hits.mapInArrow(releasing(_joined), f"_id long, spans {SPANS}, items array<string>"), "hits").toDF("_id", "s", "i")
+        out = out.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, "_id", "left")
+        out = out.withColumns({"spans": F.coalesce("s", "spans"), "items": F.coalesce("i", "items")})
+    return out.select("row", F.col("text").cast("string").alias("text"), "n_words", "spans", "items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -290,7 +333,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     as sorted distinct strings, of the items with windows that occur. Null and
     empty texts have no words. Rows of the benchmark without an id take part
     under the empty id. A benchmark above `block_bytes` is searched in blocks of
-    about that size, one after the other within the same pass.
+    about that size, each in a pass of its own. Words are compared by 64-bit
+    hashes. Repeated rows each come back; other columns are ignored.
     """
     return _found(docs.select("doc_id", "text"), benchmark, window, block_bytes).select("row.doc_id", "n_words", "spans", "items")
 
@@ -304,13 +348,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     left = found.filter((F.size("spans") == 0) | (gone < F.col("n_words"))).select("row", F.col("text").cast("binary"), "n_words", "spans", "items")
     row = next(f.dataType.simpleString() for f in left.schema if f.name == "row")
-    left = left.mapInArrow(_cut, f"row {row}, text binary, {STATE}").withColumn("text", F.col("text").cast("string"))
+    left = left.mapInArrow(releasing(_cut), f"row {row}, text binary, {STATE}").withColumn("text", F.col("text").cast("string"))
     n_chars = lambda c: F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`"))
     columns = {c: F.col("text") if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
     return left.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of documents; null and empty texts have no words and no hits."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.select(

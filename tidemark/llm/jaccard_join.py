@@ -18,7 +18,10 @@ many classes, each is held against the least class first; only what is then
 still in different components is held against each other, by dense sketches
 whose distance rules out nearly all that do not link. In blocks of many classes
 each is first held only against the nearest outside its component, which joins
-most of them. So no link is lost, and no group is expanded into all its pairs.
+most of them; what is left is held against each other in tiles. So no two
+documents that link end in different components. Links between classes that
+others already join are not listed, and within a block only sets that are near
+by their sketches and still apart are verified pair by pair.
 
 Equality of shingles, sets and blocks is that of 64-bit hashes.
 """
@@ -30,11 +33,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_sets
-from tidemark.llm.tables import shuffle_partitions, table
+from tidemark.llm.tables import releasing, shuffle_partitions, table
 from tidemark.session import durable
 
 THRESHOLD = 80
@@ -42,8 +45,10 @@ THRESHOLD = 80
 FREQUENT = 1 << 16
 #: Block keys that one bucket holds, about; 16 bytes each.
 BUCKET_KEYS = 1 << 20
-#: Classes whose blocks are gathered before they are handed to the shuffle.
+#: Block keys that are gathered, and combined, before they are handed to the shuffle.
 FLUSH_KEYS = 1 << 20
+#: Sets that a task remembers so as to send the blocks of equal ones once; 8 bytes each and what holds them.
+SEEN = 1_000_000
 #: Bits of a dense sketch for each block of the sparse one.
 SKETCH_BITS = 4
 #: Most ids of documents that are broadcast, 8 bytes each.
@@ -137,16 +142,25 @@ def _commonest(sets: list[np.ndarray], least: int = 4, most: int = 64) -> tuple[
 
 
 def _emit_blocks(frequent, buckets: int, percent: int):
-    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary())])
+    """Block keys with their classes, by bucket. Where a flush has over two classes of a block, they are combined here: only
+    the least goes to the block's bucket, with the number of their set, and the set itself goes to a bucket of its own, above
+    `buckets`. So a block in any number of documents brings its bucket at most two classes for each flush."""
+    schema = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("sigs", pa.binary()), ("sets", pa.binary())])
 
     def flush(keys: list[np.ndarray], sigs: list[int]) -> pa.RecordBatch:
         owner = np.repeat(np.array(sigs, np.int64), [len(k) for k in keys])
         key = np.concatenate(keys)
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        key, owner, bucket = key[order], owner[order], bucket[order]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        return _batches({"bucket": bucket[cuts], "keys": [k.tobytes() for k in np.split(key, cuts[1:])], "sigs": [s.tobytes() for s in np.split(owner, cuts[1:])]}, schema)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first, size, number = _runs(key, owner)
+        many = size > 2
+        apart = ~np.repeat(many, size)
+        rows = _by_bucket(key[apart], owner[apart], None, buckets) + _by_bucket(key[first[many]], owner[first[many]], number[many], buckets)
+        _, once = np.unique(number[many], return_index=True)
+        first, size, number = first[many][once], size[many][once], number[many][once]
+        if len(first):
+            rows.append((buckets + int(number[0] % np.uint64(buckets)), np.repeat(number, size).tobytes(), owner[_members(first, size)].tobytes(), b""))
+        return _batches(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -155,7 +169,7 @@ def _emit_blocks(frequent, buckets: int, percent: int):
             for s in shingle_sets(batch.column(0).to_pylist()):
                 if not len(s) or (sig := set_signature(s)) in seen:
                     continue
-                if len(seen) >= 1_000_000:
+                if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(sig)
                 if len(k := block_keys(s, frequent.value, percent)):
@@ -168,31 +182,69 @@ def _emit_blocks(frequent, buckets: int, percent: int):
         if keys:
             yield flush(keys, sigs)
 
-    return run
+    return releasing(run)
+
 
+def _by_bucket(key: np.ndarray, owner: np.ndarray, number: np.ndarray | None, buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    bucket = (key % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    key, owner, bucket = key[order], owner[order], bucket[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else np.zeros(0, np.int64)
+    sets = [b""] * len(cuts) if number is None else [x.tobytes() for x in np.split(number[order], cuts[1:])]
+    return list(zip(bucket[cuts].tolist(), [k.tobytes() for k in np.split(key, cuts[1:])], [x.tobytes() for x in np.split(owner, cuts[1:])], sets, strict=False))
 
-def _match(group: pa.Table) -> pa.Table:
-    """Of one bucket: kind 0, pairs (a, b) of the least class of a block and another; kind 1, members b of block a with over two classes."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()])
-    sig = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("sigs").to_pylist()])
-    order = np.lexsort((sig, key))
-    key, sig = key[order], sig[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-    key, sig = key[new], sig[new]
+
+def _runs(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted keys: where each begins, how many rows it has, and a number that stands for the rows' columns."""
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(first, len(key)))
-    first, size = first[size > 1], size[size > 1]
-    # Blocks with the same classes say the same thing once.
-    print_ = mix(sig.view(np.uint64))
+    print_ = np.zeros(len(key), np.uint64)
+    for c in columns:
+        print_ = mix(print_ + c.view(np.uint64))
     total = np.concatenate([[np.uint64(0)], np.cumsum(print_)])
-    _, once = np.unique(np.stack([total[first + size] - total[first], size.astype(np.uint64)], 1), axis=0, return_index=True)
-    first, size = first[once], size[once]
-    member = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(first) else np.zeros(0, np.int64)
-    pivot = np.repeat(sig[first], size) if len(first) else np.zeros(0, np.int64)
-    pairs = np.unique(np.stack([pivot, sig[member]], 1)[sig[member] != pivot], axis=0)
-    big = np.repeat(size > 2, size) if len(first) else np.zeros(0, bool)
-    a, b = np.concatenate([pairs[:, 0], key[member][big].view(np.int64)]), np.concatenate([pairs[:, 1], sig[member][big]])
-    return pa.table({"kind": pa.array(np.repeat([0, 1], [len(pairs), int(big.sum())]), pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return first, size, mix(total[first + size] - total[first] + size.astype(np.uint64))
+
+
+def _members(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The rows of runs, one after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum()) if len(first) else np.zeros(0, np.int64)
+
+
+def _match(buckets: int):
+    """Of one bucket: kind 0, pairs (a, b) of the least class of a block and another; kind 1, members b of block a with over two
+    classes; kind 2, sets b of classes of block a. Of a bucket above `buckets`: kind 3, members b of set a, and pairs."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        read = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(c).to_pylist()])
+        key_, sig = read("keys", np.uint64), read("sigs", np.int64)
+        if key[0].as_py() >= buckets:
+            first = np.flatnonzero(np.concatenate([[True], key_[1:] != key_[:-1]]))
+            pivot = np.repeat(sig[first], np.diff(np.append(first, len(key_))))  # the members of a set are sorted
+            return _kinds((0, pivot[sig != pivot], sig[sig != pivot]), (3, key_.view(np.int64), sig))
+        number = np.concatenate([np.frombuffer(x, np.uint64) if x else np.zeros(len(k) // 8, np.uint64) for x, k in zip(group.column("sets").to_pylist(), group.column("keys").to_pylist(), strict=True)])
+        order = np.lexsort((number, sig, key_))
+        key_, sig, number = key_[order], sig[order], number[order]
+        new = np.concatenate([[True], (key_[1:] != key_[:-1]) | (sig[1:] != sig[:-1]) | (number[1:] != number[:-1])])
+        key_, sig, number = key_[new], sig[new], number[new]
+        first, size, print_ = _runs(key_, sig, number)
+        with_set = np.maximum.reduceat(number, first) > 0
+        # Blocks with the same classes say the same thing once.
+        open_ = np.flatnonzero((size > 1) | with_set)
+        _, once = np.unique(print_[open_], return_index=True)
+        first, size, with_set = first[open_[once]], size[open_[once]], with_set[open_[once]]
+        member = _members(first, size)
+        pivot = np.repeat(sig[first], size) if len(first) else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([pivot, sig[member]], 1)[sig[member] != pivot], axis=0)
+        big = member[np.repeat((size > 2) | with_set, size)] if len(first) else member
+        named = big[number[big] > 0]
+        return _kinds((0, pairs[:, 0], pairs[:, 1]), (1, key_[big].view(np.int64), sig[big]), (2, key_[named].view(np.int64), number[named].view(np.int64)))
+
+    return run
+
+
+def _kinds(*parts: tuple[int, np.ndarray, np.ndarray]) -> pa.Table:
+    kind = np.repeat([k for k, _, _ in parts], [len(a) for _, a, _ in parts])
+    return pa.table({"kind": pa.array(kind, pa.int8()), "a": pa.array(np.concatenate([a for _, a, _ in parts]), pa.int64()), "b": pa.array(np.concatenate([b for _, _, b in parts]), pa.int64())})
 
 
 def parity_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -325,26 +377,26 @@ def _texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold."""
-    sets = durable(_texts(docs, classes, pairs).mapInArrow(_sets, "sig long, shingles binary"), "sets")
+    sets = durable(_texts(docs, classes, pairs).mapInArrow(releasing(_sets), "sig long, shingles binary"), "sets")
     sides = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return durable(sides.select("a", "b", "x", "y").mapInArrow(_verify(percent), _PAIR).distinct(), "verified")
+    return durable(sides.select("a", "b", "x", "y").mapInArrow(releasing(_verify(percent)), _PAIR).distinct(), "verified")
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs that sketches do not rule out."""
     sides = pairs.join(sketches.toDF("a", "n", "x"), "a").join(sketches.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
-    return durable(sides.mapInArrow(_near(percent), _PAIR).distinct(), "near")
+    return durable(sides.mapInArrow(releasing(_near(percent)), _PAIR).distinct(), "near")
 
 
 def _across(groups: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Pairs within blocks that are in different components and near by their sketches.
 
-    groups: (a, b), class b has block a. nearest: small blocks in full, of large
+    groups: (a, b), class b has block a, each once. nearest: small blocks in full, of large
     ones the nearest of each class; else large ones in full. A block of many
     classes is cut into tiles, pairs of its parts, so no task holds more than
     two parts.
     """
-    members = groups.distinct().withColumnRenamed("a", "block").join(labels.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    members = groups.withColumnRenamed("a", "block").join(labels.toDF("b", "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     open_ = members.groupBy("block").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
     open_ = open_ if nearest else open_.filter(F.col("size") > SMALL)
     members = members.join(open_.select("block", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "block")
@@ -360,7 +412,7 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     hashed = docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary"))
-    first = durable(hashed.mapInArrow(_signatures, "kind byte, doc_id long, text_hash long, n long, sig long"), "signatures")
+    first = durable(hashed.mapInArrow(releasing(_signatures), "kind byte, doc_id long, text_hash long, n long, sig long"), "signatures")
     rows = first.filter("kind = 0").select("doc_id", "text_hash", "n", "sig")
     top = first.filter("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in top.select("sig").collect()], np.int64).view(np.uint64)))
@@ -368,14 +420,17 @@ def _components(docs: DataFrame, percent: int) -> DataFrame:
     slope = (100 - percent) * (1 + 100 / percent) / (100 + percent)
     keys = classes.agg(F.sum(F.col("n") * 1.5 * slope + 2)).first()[0] or 0
     buckets = max(shuffle_partitions(spark), int(keys / BUCKET_KEYS) + 1)
-    blocks = docs.select(F.col("text").cast("binary")).mapInArrow(_emit_blocks(frequent, buckets, percent), "bucket int, keys binary, sigs binary")
-    found = durable(blocks.groupBy("bucket").applyInArrow(_match, "kind byte, a long, b long"), "blocks")
+    blocks = docs.select(F.col("text").cast("binary")).mapInArrow(_emit_blocks(frequent, buckets, percent), "bucket int, keys binary, sigs binary, sets binary")
+    found = durable(blocks.groupBy("bucket").applyInArrow(_match(buckets), "kind byte, a long, b long"), "blocks")
+    of = lambda kind: found.filter(F.col("kind") == kind).select("a", "b").distinct()
+    in_sets = of(2).toDF("a", "_set").join(of(3).toDF("_set", "b"), "_set").select("a", "b")
+    members = durable(of(1).union(in_sets).distinct(), "members")
     pairs = durable(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-    sketches = durable(_texts(docs, classes, pairs).mapInArrow(_sketches(percent), "sig long, n long, sketch binary"), "sketches")
+    sketches = durable(_texts(docs, classes, pairs).mapInArrow(releasing(_sketches(percent)), "sig long, n long, sketch binary"), "sketches")
     links = _links(docs, classes, _sketched(pairs, sketches, percent), percent)
     labels = components(links)
     for nearest in (True, False):
-        more = durable(_across(found.filter("kind = 1").select("a", "b"), sketches, labels, percent, nearest).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = durable(_across(members, sketches, labels, percent, nearest).join(pairs, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty() and not nearest:
             break
         links, pairs = links.union(_links(docs, classes, more, percent)), pairs.union(more)
@@ -415,6 +470,7 @@ def keep_one(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows; null texts and texts without words have no shingles and are their own component."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of text that are hashed in one numpy pass; a longer text is still one piece.
+#: Bytes of text that are hashed in one numpy pass, about.
 CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 #: A-Z to a-z, and the bytes \x20 and \x09-\x0D that part words.
@@ -35,12 +35,15 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, and the first word's index of each text (one more at the end)."""
-    joined = b" ".join([*texts, b""]).translate(LOWER)
+def word_hashes(texts: list[bytes], lower: bytes = LOWER, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the first word's index of each text (one more at the end).
+
+    Bytes are translated by `lower`; those that `parts` marks stand between words, a space among them.
+    """
+    joined = b" ".join([*texts, b""]).translate(lower)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     buf = np.frombuffer(joined, np.uint8)
-    inside = np.concatenate([[False], ~SPACE[buf], [False]])
+    inside = np.concatenate([[False], ~parts[buf], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     power, inverse = _powers(len(buf) + 1)
@@ -49,26 +52,60 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, at)
 
 
-def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
-    """For each text its distinct shingles as sorted hashes.
+def _pieces(text: bytes, lower: bytes, parts: np.ndarray) -> Iterator[bytes]:
+    """A long text in pieces of about CHUNK_BYTES, cut between words."""
+    text = text.translate(lower)
+    buf, begin = np.frombuffer(text, np.uint8), 0
+    while begin < len(text):
+        end = begin + CHUNK_BYTES
+        while end < len(text) and not len(gap := np.flatnonzero(parts[buf[end : end + 4096]])):
+            end += 4096
+        end = min(len(text), end + int(gap[0]) if end < len(text) else end)
+        yield text[begin:end]
+        begin = end
 
-    A text of fewer than five words has one shingle, its whole sequence; a
-    text without words, or null, has none.
-    """
+
+def _chunks(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """Runs of texts of about CHUNK_BYTES; a longer text is a run of its own."""
     chunk: list[bytes] = []
     size = 0
     for text in texts:
-        chunk.append(text or b"")
-        size += len(chunk[-1])
-        if size >= CHUNK_BYTES:
-            yield from _sets(chunk)
+        text = text or b""
+        if chunk and size + len(text) > CHUNK_BYTES:
+            yield chunk
             chunk, size = [], 0
+        chunk.append(text)
+        size += len(text)
     if chunk:
+        yield chunk
+
+
+def _hashed(texts: list[bytes], lower: bytes, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+        words = np.concatenate([word_hashes([p], lower, parts)[0] for p in _pieces(texts[0], lower, parts)])
+        return words, np.array([0, len(words)])
+    return word_hashes(texts, lower, parts)
+
+
+def word_stream(texts: list[bytes | None], lower: bytes = LOWER, parts: np.ndarray = SPACE) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words, in order; none for null."""
+    for chunk in _chunks(texts):
+        words, first = _hashed(chunk, lower, parts)
+        yield from (words[a:b] for a, b in zip(first[:-1], first[1:], strict=True))
+
+
+def shingle_sets(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """For each text its distinct shingles as sorted hashes.
+
+    A text of fewer than five words has one shingle, its whole sequence; a
+    text without words, or null, has none.
+    """
+    for chunk in _chunks(texts):
         yield from _sets(chunk)
 
 
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    words, first = word_hashes(texts)
+    words, first = _hashed(texts, LOWER, SPACE)
     n = len(words) - SHINGLE_WORDS + 1
     rolled = np.zeros(max(n, 0), np.uint64)
     for k in range(SHINGLE_WORDS if n > 0 else 0):
