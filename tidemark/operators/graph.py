@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.match import match_score
 from tidemark.functions.num import jround
 from tidemark.functions.text import searchable
+from tidemark.operators.ordering import numbered
 from tidemark.session import durable
 
 
@@ -49,7 +50,8 @@ def visible(rows: DataFrame, nodes: DataFrame, *columns: str, node: str = "id")
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 where both are empty."""
+    """Of two arrays as sets in lower case; 0 where both are empty."""
+    a, b = F.transform(a, F.lower), F.transform(b, F.lower)
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
@@ -120,5 +122,5 @@ def search(labels: DataFrame, text: str, limit: int = 12) -> DataFrame:
 
 def compact_ids(rows: DataFrame, prefix: str, *order: Column | str) -> DataFrame:
     """`rows` with compact_id: the prefix and the place in base 36."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return rows.withColumn("compact_id", F.concat(F.lit(prefix), F.lower(F.conv(place.cast("string"), 10, 36))))
+    place = (F.col("_place") - 1).cast("string")
+    return numbered(rows, "_place", *order).withColumn("compact_id", F.concat(F.lit(prefix), F.lower(F.conv(place, 10, 36)))).drop("_place")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.num import jround
+from tidemark.operators.ordering import numbered, running
 
 
 def leaderboard(entities: DataFrame, score: str = "total", ordinal: str = "ordinal") -> DataFrame:
-    """`entities` with rank. The window has no partition and is meant for entities, not evidence; see `top` for a bounded head."""
-    return entities.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), ordinal)))
+    """`entities` with rank."""
+    return numbered(entities, "rank", F.desc(score), ordinal).withColumn("rank", F.col("rank").cast("int"))
 
 
 def top(rows: DataFrame, k: int, *order: Column | str) -> DataFrame:
@@ -22,15 +23,18 @@ def best_row(rows: DataFrame, keys: list[str], *order: Column | str) -> DataFram
 
 
 def at_most_share(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """The share of values that are at most this one, within the keys."""
-    return rows.withColumn(out, F.cume_dist().over(Window.partitionBy(*keys).orderBy(value)))
+    """The share of values that are at most this one, within the keys; nulls count as the least value."""
+    counts = running(rows.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, "_n", "_upto", "_whole")
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*keys, value)]
+    return rows.alias("a").join(counts.alias("b"), on).select("a.*", (F.col("b._upto") / F.col("b._whole")).alias(out))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, fraction: float, out: str) -> DataFrame:
     """keys and the lower nearest-rank quantile, sorted[floor((n - 1) * fraction)]."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_k"), F.count("*").over(w).alias("_n"))
-    return ranked.filter(F.col("_k") == F.floor((F.col("_n") - 1) * fraction) + 1).select(*keys, F.col(value).alias(out))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    place = F.floor((F.col("_whole") - 1) * fraction) + 1
+    held = running(counts, keys, value, "_n", "_upto", "_whole").filter((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place))
+    return held.select(*keys, F.col(value).alias(out))
 
 
 def radius(rows: DataFrame, score: str, low: float, high: float, power: float = 2.2) -> DataFrame:
@@ -42,18 +46,19 @@ def radius(rows: DataFrame, score: str, low: float, high: float, power: float =
 
 def fastest_gaining(entities: DataFrame, now: str, before: str, ordinal: str = "ordinal") -> DataFrame:
     """`entities` with both ranks, the gain in score and in ranks, in order of gain."""
-    out = entities.withColumn("rank_now", F.row_number().over(Window.orderBy(F.desc(now), ordinal))).withColumn("rank_before", F.row_number().over(Window.orderBy(F.desc(before), ordinal)))
+    out = numbered(numbered(entities, "rank_now", F.desc(now), ordinal), "rank_before", F.desc(before), ordinal)
+    out = out.withColumns({c: F.col(c).cast("int") for c in ("rank_now", "rank_before")})
     out = out.withColumn("gain", jround(F.col(now) - F.col(before), 2)).withColumn("rank_gain", F.col("rank_before") - F.col("rank_now"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gain"), F.desc("rank_gain"), F.desc(now), ordinal)))
+    return numbered(out, "place", F.desc("gain"), F.desc("rank_gain"), F.desc(now), ordinal).withColumn("place", F.col("place").cast("int"))
 
 
 def lanes(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """Round-robin over n lanes in the given order."""
-    return rows.withColumn("lane", (F.row_number().over(Window.orderBy(*order)) - 1) % n)
+    return numbered(rows, "lane", *order).withColumn("lane", ((F.col("lane") - 1) % n).cast("int"))
 
 
 def movers(base: DataFrame, other: DataFrame, key: str, score: str, missing_rank: int = 999) -> DataFrame:
     """key, rank in either table (999 where missing) and the move."""
-    rank = lambda df, out: df.select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias(out))
+    rank = lambda df, out: numbered(df.select(key, score), out, F.desc(score), key).select(key, F.col(out).cast("int").alias(out))
     both = rank(other, "rank_other").join(rank(base, "rank_base"), key, "left").withColumn("rank_base", F.coalesce("rank_base", F.lit(missing_rank)))
     return both.withColumn("move", F.col("rank_base") - F.col("rank_other"))

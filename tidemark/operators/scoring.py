@@ -13,23 +13,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.dates import decay
 from tidemark.functions.num import clamp, jround, safe
 from tidemark.operators.config import LIVE, Scoring, lookup
+from tidemark.operators.ordering import running
 
 
 def weighted_sum(metrics: Column, weights: dict[str, float]) -> Column:
     """Sum of a metric map's values by weight; unknown metrics weigh nothing."""
-    out = F.lit(0.0)
-    for name, weight in weights.items():
-        out = out + safe(F.try_element_at(metrics, F.lit(name))) * float(weight)
-    return out
+    return _summed(metrics, _literal(weights))
+
+
+def _literal(weights: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]) if weights else F.create_map().cast("map<string,double>")
+
+
+def _summed(metrics: Column, weights: Column) -> Column:
+    """Over the metrics that a row has, so the tree stays as small as one term."""
+    term = lambda e: safe(e["value"]) * F.coalesce(weights[e["key"]], F.lit(0.0))
+    return F.aggregate(F.map_entries(metrics), F.lit(0.0), lambda n, e: n + term(e))
 
 
 def raw_engagement(platform: Column, metrics: Column, config: Scoring = LIVE) -> Column:
     """By the platform's weights, or by the fallback platform's where that gives nothing."""
-    fallback = weighted_sum(metrics, config.metric_weights[config.fallback_platform])
-    own = F.lit(0.0)
-    for name, weights in reversed(config.metric_weights.items()):
-        own = F.when(platform == name, weighted_sum(metrics, weights)).otherwise(own)
-    return F.when(own > 0, own).otherwise(fallback)
+    tables = F.create_map(*[x for name, weights in config.metric_weights.items() for x in (F.lit(name), _literal(weights))])
+    empty = F.create_map().cast("map<string,double>")
+    fallback = config.metric_weights[config.fallback_platform]
+    # Both sums stand in one struct, which is computed once.
+    sums = F.struct(_summed(metrics, F.coalesce(tables[platform], empty)).alias("own"), _summed(metrics, _literal(fallback)).alias("other"))
+    return F.element_at(F.transform(F.array(sums), lambda x: F.when(x["own"] > 0, x["own"]).otherwise(x["other"])), 1)
 
 
 def evidence_scores(evidence: DataFrame, as_of: Column, config: Scoring = LIVE) -> DataFrame:
@@ -40,7 +49,9 @@ def evidence_scores(evidence: DataFrame, as_of: Column, config: Scoring = LIVE)
     """
     recency = decay(F.col("posted_at"), as_of, config.half_life(F.col("platform")))
     eligible = F.col("eligible") & ~F.col("platform").isin(*config.unscored)
-    rows = evidence.withColumn("recency", recency).withColumn("logged", F.log1p(F.col("raw") * F.col("recency")))
+    # An array of one is exploded, so that what follows on either side of the join reads values and not expressions.
+    made = F.struct(F.col("raw").alias("raw"), recency.alias("recency"), F.log1p(F.col("raw") * recency).alias("logged"))
+    rows = evidence.select(*[c for c in evidence.columns if c != "raw"], F.inline(F.array(made)))
     counts = eligible & (F.col("raw") * F.col("recency") > 0)
     ends = rows.groupBy("platform").agg(F.min(F.when(counts, F.col("logged"))).alias("low"), F.max(F.when(counts, F.col("logged"))).alias("high"))
     scaled = jround(5 + 95 * (F.col("logged") - F.col("low")) / (F.col("high") - F.col("low")))
@@ -104,11 +115,9 @@ class Library:
 
 
 def midrank(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """(smaller + equal / 2) / n of each value within its keys; counts by value first, so a window runs over distinct values only."""
+    """(smaller + equal / 2) / n of each value within its keys; 0.5 for an unknown value. Counts by value are summed by ranges."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    ranks = counts.select(*keys, value, ((F.sum("_n").over(upto) - F.col("_n") / 2) / F.sum("_n").over(whole)).alias(out))
+    ranks = running(counts, keys, value, "_n", "_upto", "_whole").select(*keys, value, ((F.col("_upto") - F.col("_n") / 2) / F.col("_whole")).alias(out))
     return rows.join(ranks, [*keys, value], "left").withColumn(out, F.coalesce(out, F.lit(0.5)))
 
 
