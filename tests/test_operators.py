@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, match, num, text, urls
-from tidemark.operators import attribution, config, dedupe, graph, ranking, scoring, snapshots
+from tidemark.operators import attribution, config, dedupe, graph, ordering, ranking, scoring, snapshots
 from tidemark.plans import relations
 
 
@@ -65,6 +65,9 @@ def test_urls(spark):
         "https://www.instagram.com/reel/ABC123/?igshid=1": "https://instagram.com/reel/ABC123",
         "https://www.linkedin.com/posts/a-b/?trk=1": "https://linkedin.com/posts/a-b",
         "https://www.Example.com/a/?utm_source=x&b=2&ref=q": "https://example.com/a?b=2",
+        "https://example.com": "https://example.com/",
+        "https://example.com:8080/": "https://example.com:8080/",
+        "https://example.com:443/a": "https://example.com/a",
         "not a url": "",
         "": "",
     }
@@ -146,12 +149,16 @@ def test_radius(spark):
 
 
 def test_guard_rules(spark):
-    flags = dict(platform="x", contribution=10.0, resolved=True, verified_account=False, own_signal=False, context_only=False, quote=False, conflict=False, off_topic=False)
-    cases = [({"resolved": False}, "needs_review", "high", 0), ({"platform": "web"}, "keep", "low", 10), ({"platform": "github"}, "needs_review", "high", 0), ({"context_only": True}, "keep", "low", 0), ({"platform": "instagram", "own_signal": True}, "needs_review", "high", 0),
-             ({"conflict": True}, "needs_review", "high", 0), ({"verified_account": True, "off_topic": True}, "needs_review", "medium", 0), ({"own_signal": True, "conflict": True}, "keep", "low", 10), ({"platform": "reddit"}, "needs_review", "high", 0), ({}, "needs_review", "medium", 0)]
-    for change, decision, risk, guarded in cases:
+    flags = dict(platform="x", contribution=10.5, review_state="verified", resolved=True, verified_account=False, visible_signal=False, own_signal=False, context_only=False, quote=False, conflict=False, off_topic=False)
+    cases = [
+        ({"resolved": False}, "needs_review", "high", 0), ({"platform": "web"}, "verified", "low", 10.5), ({"platform": "web", "review_state": "rejected"}, "rejected", "low", 10.5), ({"platform": "github"}, "needs_review", "high", 0),
+        ({"platform": "github", "own_signal": True}, "verified", "low", 10.5), ({"context_only": True}, "verified", "low", 0), ({"platform": "instagram", "visible_signal": True}, "needs_review", "high", 0), ({"conflict": True, "own_signal": True}, "needs_review", "high", 0),
+        ({"quote": True, "own_signal": True}, "needs_review", "high", 0), ({"quote": True, "visible_signal": True}, "verified", "low", 10.5), ({"verified_account": True, "off_topic": True}, "needs_review", "medium", 0), ({"verified_account": True, "off_topic": True, "own_signal": True}, "needs_review", "medium", 0),
+        ({"visible_signal": True, "conflict": True}, "verified", "low", 10.5), ({"verified_account": True}, "verified", "low", 10.5), ({"platform": "reddit"}, "needs_review", "high", 0), ({}, "needs_review", "medium", 0),
+    ]
+    for change, state, risk, guarded in cases:
         r = attribution.guard(spark.createDataFrame([flags | change])).first()
-        assert (r.decision, r.risk, r.guarded) == (decision, risk, guarded), change
+        assert (r.review_state, r.risk, r.guarded) == (state, risk, guarded), change
 
 
 def test_snapshots(spark):
@@ -165,3 +172,23 @@ def test_snapshots(spark):
     assert snapshots.retained(s, {"daily": 5, "weekly": 2}).count() == 5
     d = snapshots.due(s, F.lit("2026-06-20 12:00:00").cast("timestamp")).first()
     assert (d.daily_due, d.weekly_due) == (False, True)
+
+
+def test_numbers_and_running_sums_by_ranges(spark):
+    r = random.Random(3)
+    rows = [(r.choice("abc") if r.random() < 0.9 else None, r.randint(0, 40), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(3)
+    got = {x.k: x.n for x in ordering.numbered(df, "n", F.desc("v"), "k").collect()}
+    assert got == {k: n + 1 for n, (_, _, k) in enumerate(sorted(rows, key=lambda x: (-x[1], x[2])))}
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("c"))
+    for x in ordering.running(counts, ["g"], "v", "c", "upto", "whole").collect():
+        mine = [v for g, v, _ in rows if g == x.g]
+        assert (x.upto, x.whole) == (sum(v <= x.v for v in mine), len(mine))
+    assert ordering.numbered(df.limit(0), "n", "k").count() == 0
+    p = {x.k: x.p for x in ranking.at_most_share(df, ["g"], "v", "p").collect()}
+    assert all(abs(p[k] - sum(w <= v for h, w, _ in rows if h == g) / sum(h == g for h, _, _ in rows)) < 1e-12 for g, v, k in rows)
+
+
+def test_tokens_and_jaccard(spark):
+    assert one(spark, text.tokens(F.lit("The Company builds AI-tools for teams, tools"))) == ["tools"]
+    assert one(spark, graph.jaccard(F.array(F.lit("A"), F.lit("b")), F.array(F.lit("a")))) == 0.5

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 #: Words that tokens leave out.
-STOP_WORDS = "the and for with that this from your you are our into their they them its use using can all has have more".split()
+STOP_WORDS = "and the for with that from into teams company builds gives".split()
 #: Patterns of secrets, each with what takes its place.
 SECRETS = (
     (r"gh[pousr]_[A-Za-z0-9_]{12,}", "[redacted-public-token]"),
@@ -54,8 +54,8 @@ def has_phrase(text: Column, phrase: Column) -> Column:
 
 
 def tokens(text: Column, stop: bool = True) -> Column:
-    """Distinct tokens of over two letters or digits."""
-    parts = F.split(searchable(text), " ")
+    """Distinct tokens of over two letters or digits, without the stop words."""
+    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " ")
     drop = STOP_WORDS if stop else [""]
     return F.array_distinct(F.filter(parts, lambda t: (F.length(t) > 2) & ~t.isin(drop)))
 

@@ -35,7 +35,7 @@ def platform_of(url: Column) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Without fragment, tracking parameters, www and a last slash; one host and path for each post; empty if it is no URL."""
+    """Without fragment, tracking parameters, www and a last slash (but a root keeps its own); one host and path for each post; empty if it is no URL."""
     h = F.regexp_replace(host(url), r"^(mobile\.)?twitter\.com$", "x.com")
     path, query = F.coalesce(part(url, "PATH"), F.lit("")), F.coalesce(part(url, "QUERY"), F.lit(""))
     status, media = r"(?i)^/([^/]+)/status/([0-9]+).*$", r"(?i)^/(p|reel|tv)/([^/]+).*$"
@@ -45,7 +45,12 @@ def canonical_url(url: Column) -> Column:
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).rlike(TRACKING)), "&")
     kept = F.when(is_status | is_media | linked, F.lit("")).otherwise(kept)
     scheme = F.lower(part(url, "PROTOCOL"))
-    out = F.concat(scheme, F.lit("://"), h, F.regexp_replace(new_path, "/$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+    port = F.regexp_extract(F.coalesce(part(url, "AUTHORITY"), F.lit("")), ":([0-9]+)$", 1)
+    usual = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")) | (port == "")
+    h = F.when(usual, h).otherwise(F.concat(h, F.lit(":"), port))
+    new_path = F.when(linked, F.regexp_replace(new_path, "/$", "")).otherwise(new_path)
+    new_path = F.when(new_path.isin("", "/"), "/").otherwise(F.regexp_replace(new_path, "/$", ""))
+    out = F.concat(scheme, F.lit("://"), h, new_path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
     return F.coalesce(out, F.lit(""))
 
 

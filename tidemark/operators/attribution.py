@@ -30,24 +30,28 @@ def classify(text: Column, classes=CLASSES, otherwise: str = "b2b") -> Column:
 def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str) -> DataFrame:
     """id, phrase_id of phrases (phrase_id, phrase) that stand in a text as whole tokens.
 
-    Joined on the phrase's first token among the distinct tokens of a text and
-    verified on the whole, so no text meets every phrase.
+    Ids of texts meet phrases by the phrase's longest token among the distinct
+    tokens of the text; the texts follow for those pairs only and verify them.
     """
     t = texts.select(F.col(id_column), plain(F.col(text)).alias("_t"))
-    t = t.select(id_column, "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_token"))
-    p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p")).filter("_p <> ''").withColumn("_token", F.split_part("_p", F.lit(" "), F.lit(1)))
-    return t.join(p, "_token").filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
+    tokens = t.select(id_column, F.explode(F.array_distinct(F.split("_t", " "))).alias("_token"))
+    longest = F.array_max(F.transform(F.split("_p", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
+    p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p")).filter("_p <> ''").withColumn("_token", longest)
+    pairs = tokens.join(p, "_token").select(id_column, "phrase_id", "_p").distinct()
+    return t.join(pairs, id_column).filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
 
 
 def guard(rows: DataFrame) -> DataFrame:
-    """`rows` with decision, multiplier, risk and guarded contribution.
+    """`rows` with the guarded review_state, multiplier, risk and contribution.
 
-    rows: platform, contribution, and the flags resolved, verified_account,
-    own_signal, context_only, quote, conflict, off_topic.
+    rows: platform, contribution, review_state (null counts as verified), and
+    the flags resolved, verified_account, visible_signal (of the own entity, in
+    what the post shows), own_signal (there, or in who wrote it and where),
+    context_only, quote, conflict and off_topic. The first rule that holds decides.
     """
     f = F.col
-    own, verified = f("own_signal"), f("verified_account")
-    review_high, keep, drop = ("needs_review", 0.0, "high"), ("keep", 1.0, "low"), ("keep", 0.0, "low")
+    visible, own, verified = f("visible_signal"), f("own_signal") | f("visible_signal"), f("verified_account")
+    review_high, keep, drop = ("needs_review", 0.0, "high"), (None, 1.0, "low"), (None, 0.0, "low")
     rules = [
         (~f("resolved"), review_high),
         (f("platform").isin("web", "rss"), keep),
@@ -55,34 +59,37 @@ def guard(rows: DataFrame) -> DataFrame:
         (f("platform") == "github", review_high),
         (f("context_only"), drop),
         ((f("platform") == "instagram") & ~verified, review_high),
-        ((f("platform") == "x") & f("quote") & ~own, review_high),
-        (f("conflict") & ~own, review_high),
-        (verified & f("off_topic") & ~own, ("needs_review", 0.0, "medium")),
+        ((f("platform") == "x") & f("quote") & ~visible, review_high),
+        (f("conflict") & ~visible, review_high),
+        (verified & f("off_topic") & ~visible, ("needs_review", 0.0, "medium")),
         (verified | own, keep),
         (f("platform").isin(*AMBIGUOUS), review_high),
     ]
-    out = F.struct(F.lit("needs_review").alias("decision"), F.lit(0.0).alias("multiplier"), F.lit("medium").alias("risk"))
-    for when, (decision, multiplier, risk) in reversed(rules):
-        out = F.when(when, F.struct(F.lit(decision).alias("decision"), F.lit(multiplier).alias("multiplier"), F.lit(risk).alias("risk"))).otherwise(out)
+    held = F.coalesce(f("review_state"), F.lit("verified"))
+    result = lambda state, multiplier, risk: F.struct((F.lit(state) if state else held).alias("state"), F.lit(multiplier).alias("multiplier"), F.lit(risk).alias("risk"))
+    out = result("needs_review", 0.0, "medium")
+    for when, decided in reversed(rules):
+        out = F.when(when, result(*decided)).otherwise(out)
     rows = rows.withColumn("_g", out)
-    return rows.select(*[c for c in rows.columns if c != "_g"], "_g.*", jround(F.col("contribution") * F.col("_g.multiplier")).alias("guarded"))
+    guarded = F.when(F.col("_g.multiplier") > 0, F.col("contribution")).otherwise(jround(F.col("contribution") * F.col("_g.multiplier")))
+    return rows.select(*[c for c in rows.columns if c not in ("_g", "review_state")], F.col("_g.state").alias("review_state"), "_g.multiplier", "_g.risk", guarded.alias("guarded"))
 
 
 def identity(rows: DataFrame) -> DataFrame:
-    """`rows` with state and canonical: explicit states win, then the rules that verify; else rejected without any sign, or needs_review.
+    """`rows` with state and canonical: explicit states win, then the rules that verify; all else needs review.
 
     Flags: explicit (a state or null), official_site, exact_company, domain,
     exact_founder, founder_role, bio_mentions, bio_program, batch_context.
     """
     f = F.col
     verified = (
-        f("official_site") | (f("exact_company") & f("domain")) | (f("exact_founder") & f("founder_role") & f("bio_mentions")) | (f("exact_founder") & f("bio_program") & f("batch_context"))
+        f("official_site") | (f("exact_company") & f("domain")) | (f("exact_founder") & f("founder_role") & (f("bio_mentions") | f("domain"))) | (f("exact_founder") & f("bio_program") & f("batch_context"))
     )
     state = F.when(f("explicit").isin("rejected", "verified"), f("explicit")).when(verified, "verified").otherwise("needs_review")
     return rows.withColumn("state", state).withColumn("canonical", F.col("state") == "verified")
 
 
 def rank_candidates(rows: DataFrame) -> DataFrame:
-    """`rows` (state, official_site, n_matches) with rank_value: 100 by state, 4 for the official site, 1 a match."""
-    state = F.when(F.col("state") == "verified", 2).when(F.col("state") == "needs_review", 1).otherwise(0)
+    """`rows` (state, official_site, n_matches) with rank_value: 100 by the state's rank (verified 3, needs_review 2, rejected 1), 4 for the official site, 1 a match."""
+    state = F.when(F.col("state") == "verified", 3).when(F.col("state") == "needs_review", 2).otherwise(1)
     return rows.withColumn("rank_value", state * 100 + F.col("official_site").cast("int") * 4 + F.col("n_matches"))

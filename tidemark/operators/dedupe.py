@@ -71,7 +71,8 @@ def groups(rows: DataFrame, key: str, owner: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(owner).alias("n_owners")).filter("n > 1")
 
 
-def near_duplicates(rows: DataFrame, text: str, owner: str, least: int = 28) -> DataFrame:
-    """fingerprint groups of texts of at least `least` characters that several owners share."""
-    keyed = rows.filter(F.length(text) >= least).withColumn("fingerprint", fingerprint(F.col(text))).filter("length(fingerprint) > 0")
-    return groups(keyed, "fingerprint", owner).filter("n_owners > 1")
+def near_duplicates(rows: DataFrame, text: str, owner: str, platform: str, score: str, least: int = 28, most_platforms: int = 2) -> DataFrame:
+    """fingerprint, n, n_owners and n_platforms of scored rows whose fingerprint, of at least `least` characters, several owners share on at most two platforms."""
+    keyed = rows.filter(F.col(score) > 0).withColumn("fingerprint", fingerprint(F.col(text))).filter(F.length("fingerprint") >= least)
+    found = keyed.groupBy("fingerprint").agg(F.count("*").alias("n"), F.countDistinct(owner).alias("n_owners"), F.countDistinct(platform).alias("n_platforms"))
+    return found.filter((F.col("n_owners") > 1) & (F.col("n_platforms") <= most_platforms))

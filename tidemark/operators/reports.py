@@ -43,26 +43,59 @@ def facets(rows: DataFrame, column: str) -> DataFrame:
 
 
 def attempt_patterns(attempts: DataFrame, limit: int = 30) -> DataFrame:
-    """The most frequent patterns of (platform, status, query, failure) with counts and results, placeholders for names and URLs."""
-    rows = attempts.select("platform", "status", normal_query(F.col("query")).alias("pattern"), "results")
-    agg = rows.groupBy("platform", "status", "pattern").agg(F.count("*").alias("n"), F.sum("results").alias("results"))
+    """The most frequent patterns of (platform, status, query) with counts, results and up to five addresses, placeholders for names and URLs."""
+    rows = attempts.select("platform", "status", normal_query(F.col("query")).alias("pattern"), "results", *[c for c in ("url",) if c in attempts.columns])
+    urls = [F.array_join(F.slice(F.array_sort(F.collect_set("url")), 1, 5), " ").alias("examples")] if "url" in attempts.columns else []
+    agg = rows.groupBy("platform", "status", "pattern").agg(F.count("*").alias("n"), F.sum("results").alias("results"), *urls)
     return agg.orderBy(F.desc("n"), "platform", "status", "pattern").limit(limit)
 
 
-def rule_rows(features: DataFrame, rules: dict[str, tuple[Column, str]], key: str) -> DataFrame:
-    """key, rule and severity of each rule that holds; one pass over the features."""
-    hits = F.array(*[F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"))) for name, (when, severity) in rules.items()])
-    return features.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select(key, "h.*")
+def discovery_paths(paths: DataFrame, limit: int = 30) -> DataFrame:
+    """The most frequent ways of discovery: host, platform, state, reason and their counts."""
+    agg = paths.groupBy("host", "platform", "state", "reason").agg(F.count("*").alias("n"))
+    return agg.orderBy(F.desc("n"), "host", "platform", "state", "reason").limit(limit)
 
 
-def anomaly_rules() -> dict[str, tuple[Column, str]]:
-    """Fixed thresholds over views, stars, n_social, n_scored and score."""
+#: What text suggests that an entity posts pictures.
+LIKELY_PICTURES = "consumer|creator|video|design|game|social|media|assistant"
+
+
+def anomaly_rules() -> dict[str, tuple[Column, tuple[str, ...]]]:
+    """Kind of anomaly: when it holds, and who follows it up. Fixed thresholds.
+
+    Over views, stars, n_social, n_scored, score, text, n_instagram,
+    has_x_account, n_x and n_foreign (rows attached to another entity).
+    """
     f = F.col
     return {
-        "views_without_score": ((f("views") >= 50_000) & (f("score") < 40), "high"),
-        "stars_without_score": ((f("stars") >= 1_000) & (f("score") < 45), "high"),
-        "social_without_score": ((f("n_social") >= 3) & (f("score") < 45), "medium"),
-        "evidence_without_score": ((f("n_scored") >= 10) & (f("score") < 35), "medium"),
-        "nothing_scored": (f("n_scored") == 0, "low"),
-        "score_from_little": ((f("score") >= 70) & (f("n_scored") <= 2), "medium"),
+        "high_raw_views_low_score": ((f("views") >= 50_000) & (f("score") < 40), ("scoring_worker", "metric_worker")),
+        "high_github_low_score": ((f("stars") >= 1_000) & (f("score") < 45), ("scoring_worker", "discovery_worker")),
+        "high_social_low_score": ((f("n_social") >= 3) & (f("score") < 45), ("scoring_worker",)),
+        "many_posts_low_score": ((f("n_scored") >= 10) & (f("score") < 35), ("dedupe_worker", "scoring_worker")),
+        "no_scored_evidence": (f("n_scored") == 0, ("discovery_worker", "website_worker")),
+        "missing_likely_instagram": ((f("n_instagram") == 0) & F.lower("text").rlike(LIKELY_PICTURES), ("instagram_worker", "discovery_worker")),
+        "missing_x_posts": (f("has_x_account") & (f("n_x") == 0), ("profile_worker", "platform_post_worker")),
+        "cross_company_attribution": (f("n_foreign") > 0, ("dedupe_worker", "profile_worker")),
     }
+
+
+def anomalies(features: DataFrame, key: str, ordinal: str, most: dict[str, int] | None = None) -> DataFrame:
+    """key, kind, n (rows that the kind stands for) and workers of each rule that holds, in one pass; `most` bounds a kind to its first entities by `ordinal`."""
+    rules = anomaly_rules()
+    many = {"cross_company_attribution": F.col("n_foreign")}
+    made = [
+        F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("kind"), many.get(kind, F.lit(1)).cast("long").alias("n"), F.array(*map(F.lit, workers)).alias("workers")))
+        for kind, (when, workers) in rules.items()
+    ]
+    rows = features.select(key, F.col(ordinal).alias("_ordinal"), F.explode(F.filter(F.array(*made), lambda h: h.isNotNull())).alias("h")).select(key, "_ordinal", "h.*")
+    for kind, k in ({"missing_likely_instagram": 50} if most is None else most).items():
+        first = rows.filter(F.col("kind") == kind).orderBy("_ordinal", key).limit(k)
+        rows = rows.filter(F.col("kind") != kind).unionByName(first)
+    return rows.drop("_ordinal")
+
+
+def follow_ups(found: DataFrame, names: DataFrame, key: str, name: str, batch: str) -> DataFrame:
+    """A task for each worker of each anomaly: key, kind, worker, priority and query_seed."""
+    rows = found.join(names.select(key, name), key).select(key, "kind", name, F.explode("workers").alias("worker"), "n")
+    priority = F.when(F.contains("kind", F.lit("instagram")), "high").otherwise("normal")
+    return rows.select(key, "kind", "worker", "n", priority.alias("priority"), F.concat_ws(" ", name, F.lit(batch)).alias("query_seed"))

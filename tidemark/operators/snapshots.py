@@ -19,9 +19,10 @@ def baseline(snapshots: DataFrame, day: Column, days_back: int) -> DataFrame:
 
 
 def momentum(current: DataFrame, base: DataFrame, prefix: str) -> DataFrame:
-    """`current` (entity_id, score, rank) with the change in score, in percent and in ranks against `base`; 0 where it has no row."""
-    b = base.select("entity_id", F.col("score").alias("_score"), F.col("rank").alias("_rank"))
-    out = current.join(b, "entity_id", "left")
+    """`current` (entity_id, score, rank, and batch if there are several) with the change in score, in percent and in ranks against `base`; 0 where it has no row."""
+    keys = [c for c in ("batch", "entity_id") if c in current.columns]
+    b = base.select(*keys, F.col("score").alias("_score"), F.col("rank").alias("_rank"))
+    out = current.join(b, keys, "left")
     delta = F.coalesce(F.col("score") - F.col("_score"), F.lit(0.0))
     percent = F.coalesce(delta / F.greatest("_score", F.lit(1.0)) * 100, F.lit(0.0))
     out = out.withColumns({f"{prefix}_delta": jround(delta, 1), f"{prefix}_percent": jround(percent, 1), f"{prefix}_ranks": F.coalesce(F.col("_rank") - F.col("rank"), F.lit(0))})

@@ -70,13 +70,8 @@ def items(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ordinal"), tags.alias("tags"), digits.alias("tokens"))
 
 
-@query(f"WITH {EDGES} SELECT source, target, weight FROM edges WHERE weight >= 0.5")
-def tag_similarity_edges(spark, sf_dir):
-    return g.similarity_edges(items(spark, sf_dir), threshold=0.5)
-
-
 @query(f"WITH {EDGES} SELECT source, target, weight FROM edges WHERE weight >= 0.28")
-def tag_similarity_edges_default(spark, sf_dir):
+def tag_similarity_edges(spark, sf_dir):
     return g.similarity_edges(items(spark, sf_dir))
 
 
@@ -136,12 +131,13 @@ def cross_entity_duplicates(spark, sf_dir):
     return d.groups(read(spark, sf_dir, "documents").select("text", "source"), "text", "source").filter("n_owners > 1")
 
 
-FINGERPRINT = """f AS (SELECT doc_id, source, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(text), 'https?://[^\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 2)[1:28], ' ') AS fingerprint FROM documents WHERE length(text) >= 28)"""
+FINGERPRINT = """f AS (SELECT source, lang, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower(text), 'https?://[^\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 2)[1:28], ' ') AS fingerprint FROM documents WHERE n_chars > 0)"""
 
 
-@query(f"WITH {FINGERPRINT} SELECT fingerprint, count(*) AS n, count(DISTINCT source) AS n_owners FROM f WHERE fingerprint <> '' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT source) > 1")
+@query(f"WITH {FINGERPRINT} SELECT fingerprint, count(*) AS n, count(DISTINCT source) AS n_owners, count(DISTINCT lang) AS n_platforms FROM f WHERE length(fingerprint) >= 28 GROUP BY 1 HAVING count(DISTINCT source) > 1 AND count(DISTINCT lang) <= 2")
 def text_fingerprint_groups(spark, sf_dir):
-    return d.near_duplicates(read(spark, sf_dir, "documents").select("text", "source"), "text", "source")
+    rows = read(spark, sf_dir, "documents").select("text", "source", "lang", F.col("n_chars").alias("score"))
+    return d.near_duplicates(rows, "text", "source", "lang", "score")
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
@@ -160,7 +156,7 @@ def url_host(spark, sf_dir):
 
 @query("""WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS s, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '') AS h, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '') AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages
 ), k AS (SELECT *, array_to_string(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(split_part(x, '=', 1)), '^(utm_.*|fbclid|gclid|igshid|mc_.*|ref|ref_src|s|t)$')), '&') AS kept FROM p)
-SELECT page_id, s || '://' || h || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM k""")
+SELECT page_id, s || '://' || h || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM k""")
 def canonical_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", u.canonical_url(F.col("url")).alias("url"))
 
@@ -180,13 +176,8 @@ def post_id_from_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", u.post_id(F.when(even, "x").otherwise("youtube"), F.when(even, status).otherwise(video)).alias("post_id"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS searchable FROM documents""")
-def text_normal_forms(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", x.slug(F.substring("text", 1, 60)).alias("slug"), x.searchable(F.substring("text", 1, 200)).alias("searchable"))
-
-
 @query("""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^@', ''), 'https?://(www\\.)?', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS searchable FROM documents""")
-def text_normal_forms_whole(spark, sf_dir):
+def text_normal_forms(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", x.slug(F.col("text")).alias("slug"), x.searchable(F.col("text")).alias("searchable"))
 
 
@@ -225,48 +216,43 @@ def classifier_case(spark, sf_dir):
 PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://(www\\.)?', ''), '[_-]+', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, ' ' || {PLAIN.format("text")} || ' ' AS t FROM documents), p AS (SELECT item_id AS phrase_id, {PLAIN.format("array_to_string(string_split(text, ' ')[1:3], ' ')")} AS p FROM benchmark)
-SELECT doc_id, phrase_id FROM t JOIN p ON p <> '' AND contains(t, ' ' || p || ' ')""")
-def phrase_attribution(spark, sf_dir):
-    phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("phrase"))
-    return a.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
-
-
 @query(f"""WITH t AS (SELECT doc_id, ' ' || {PLAIN.format("text")} || ' ' AS t FROM documents), p AS (SELECT item_id AS phrase_id, {PLAIN.format("text")} AS p FROM benchmark)
 SELECT doc_id, phrase_id FROM t JOIN p ON p <> '' AND contains(t, ' ' || p || ' ')""")
-def phrase_attribution_whole(spark, sf_dir):
+def phrase_attribution(spark, sf_dir):
     phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
     return a.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
 
 
-@query("""WITH f AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'x' WHEN 'view' THEN 'instagram' WHEN 'purchase' THEN 'github' WHEN 'signup' THEN 'reddit' ELSE 'web' END AS platform, value AS contribution,
-  event_id % 11 <> 0 AS resolved, event_id % 3 = 0 AS verified, event_id % 5 = 0 AS own, event_id % 13 = 0 AS context, event_id % 7 = 0 AS quote, event_id % 4 = 0 AS conflict, event_id % 6 = 0 AS off FROM events
+@query("""WITH f AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'x' WHEN 'view' THEN 'instagram' WHEN 'purchase' THEN 'github' WHEN 'signup' THEN 'reddit' ELSE 'web' END AS platform, value AS contribution, CASE WHEN event_id % 17 = 0 THEN 'rejected' END AS held,
+  event_id % 11 <> 0 AS resolved, event_id % 3 = 0 AS verified, event_id % 5 = 0 AS visible, event_id % 9 = 0 OR event_id % 5 = 0 AS own, event_id % 13 = 0 AS context, event_id % 7 = 0 AS quote, event_id % 4 = 0 AS conflict, event_id % 6 = 0 AS off FROM events
 ), g AS (SELECT *, CASE WHEN NOT resolved THEN 1 WHEN platform = 'web' THEN 2 WHEN platform = 'github' AND (verified OR own) THEN 2 WHEN platform = 'github' THEN 1 WHEN context THEN 3 WHEN platform = 'instagram' AND NOT verified THEN 1
-  WHEN platform = 'x' AND quote AND NOT own THEN 1 WHEN conflict AND NOT own THEN 1 WHEN verified AND off AND NOT own THEN 4 WHEN verified OR own THEN 2 WHEN platform = 'reddit' THEN 1 ELSE 4 END AS r FROM f)
-SELECT event_id, ['needs_review', 'keep', 'keep', 'needs_review'][r] AS decision, ['high', 'low', 'low', 'medium'][r] AS risk, floor(contribution * CASE WHEN r = 2 THEN 1 ELSE 0 END + 0.5)::DOUBLE AS guarded FROM g""")
+  WHEN platform = 'x' AND quote AND NOT visible THEN 1 WHEN conflict AND NOT visible THEN 1 WHEN verified AND off AND NOT visible THEN 4 WHEN verified OR own THEN 2 WHEN platform = 'reddit' THEN 1 ELSE 4 END AS r FROM f)
+SELECT event_id, CASE WHEN r IN (2, 3) THEN coalesce(held, 'verified') ELSE 'needs_review' END AS review_state, ['high', 'low', 'low', 'medium'][r] AS risk, CASE WHEN r = 2 THEN contribution ELSE 0 END AS guarded FROM g""")
 def attribution_guard(spark, sf_dir):
     i = F.col("event_id")
     platform = F.when(F.col("event_type") == "click", "x").when(F.col("event_type") == "view", "instagram").when(F.col("event_type") == "purchase", "github").when(F.col("event_type") == "signup", "reddit").otherwise("web")
     rows = read(spark, sf_dir, "events").select(
-        "event_id", platform.alias("platform"), F.col("value").alias("contribution"), (i % 11 != 0).alias("resolved"), (i % 3 == 0).alias("verified_account"), (i % 5 == 0).alias("own_signal"),
-        (i % 13 == 0).alias("context_only"), (i % 7 == 0).alias("quote"), (i % 4 == 0).alias("conflict"), (i % 6 == 0).alias("off_topic"),
+        "event_id", platform.alias("platform"), F.col("value").alias("contribution"), F.when(i % 17 == 0, "rejected").alias("review_state"), (i % 11 != 0).alias("resolved"), (i % 3 == 0).alias("verified_account"),
+        (i % 5 == 0).alias("visible_signal"), (i % 9 == 0).alias("own_signal"), (i % 13 == 0).alias("context_only"), (i % 7 == 0).alias("quote"), (i % 4 == 0).alias("conflict"), (i % 6 == 0).alias("off_topic"),
     )
-    return a.guard(rows).select("event_id", "decision", "risk", "guarded")
+    return a.guard(rows).select("event_id", "review_state", "risk", "guarded")
 
 
-@query("""WITH r AS (SELECT s_suppkey, c_custkey, CASE WHEN (s_suppkey + c_custkey) % 17 = 0 THEN 'rejected' END AS e, c_custkey % 10 = s_suppkey % 10 AS site, c_custkey % 7 = s_suppkey % 7 AS name, c_custkey % 3 = s_suppkey % 3 AS dom, c_acctbal > 5000 AS role FROM supplier JOIN customer ON s_nationkey = c_nationkey
-), s AS (SELECT *, CASE WHEN e = 'rejected' THEN 'rejected' WHEN site OR (name AND dom) OR (name AND role AND dom) THEN 'verified' ELSE 'needs_review' END AS state FROM r)
-SELECT s_suppkey, c_custkey, state, (CASE state WHEN 'verified' THEN 200 WHEN 'needs_review' THEN 100 ELSE 0 END + site::INTEGER * 4 + name::INTEGER + dom::INTEGER)::INTEGER AS rank_value FROM s""")
+#: Each customer as a candidate for one supplier.
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), r AS (SELECT s_suppkey, c_custkey, CASE WHEN (s_suppkey + c_custkey) % 17 = 0 THEN 'rejected' WHEN c_custkey % 19 = 0 THEN 'verified' END AS e, c_custkey % 10 = 1 AS site, c_custkey % 7 = s_suppkey % 7 AS company,
+    c_custkey % 3 = s_suppkey % 3 AS dom, c_custkey % 5 = s_suppkey % 5 AS founder, c_acctbal > 5000 AS role, c_custkey % 4 = 0 AS bio, c_custkey % 6 < 3 AS program, c_custkey % 2 = 0 AS batch FROM customer, n JOIN supplier ON s_suppkey = c_custkey % n.n + 1
+), s AS (SELECT *, CASE WHEN e IS NOT NULL THEN e WHEN site OR (company AND dom) OR (founder AND role AND (bio OR dom)) OR (founder AND program AND batch) THEN 'verified' ELSE 'needs_review' END AS state FROM r)
+SELECT s_suppkey, c_custkey, state, (CASE state WHEN 'verified' THEN 300 WHEN 'needs_review' THEN 200 ELSE 100 END + site::INTEGER * 4 + site::INTEGER + company::INTEGER + dom::INTEGER + founder::INTEGER + role::INTEGER + bio::INTEGER + program::INTEGER + batch::INTEGER)::INTEGER AS rank_value FROM s""")
 def identity_rank(spark, sf_dir):
     s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    rows = s.join(c, s["s_nationkey"] == c["c_nationkey"])
-    same = lambda k: (F.col("c_custkey") % k) == (F.col("s_suppkey") % k)
-    no = F.lit(False)
-    rows = rows.select(
-        "s_suppkey", "c_custkey", F.when((F.col("s_suppkey") + F.col("c_custkey")) % 17 == 0, "rejected").alias("explicit"), same(10).alias("official_site"), same(7).alias("exact_company"), same(3).alias("domain"),
-        same(7).alias("exact_founder"), (F.col("c_acctbal") > 5000).alias("founder_role"), same(3).alias("bio_mentions"), no.alias("bio_program"), no.alias("batch_context"),
-    )
-    rows = a.identity(rows).withColumn("n_matches", F.col("exact_company").cast("int") + F.col("domain").cast("int"))
+    rows = c.join(s, s["s_suppkey"] == c["c_custkey"] % s.count() + 1)
+    k, same = F.col("c_custkey"), lambda n: (F.col("c_custkey") % n) == (F.col("s_suppkey") % n)
+    explicit = F.when((F.col("s_suppkey") + k) % 17 == 0, "rejected").when(k % 19 == 0, "verified")
+    signals = {
+        "official_site": k % 10 == 1, "exact_company": same(7), "domain": same(3), "exact_founder": same(5), "founder_role": F.col("c_acctbal") > 5000, "bio_mentions": k % 4 == 0, "bio_program": k % 6 < 3, "batch_context": k % 2 == 0,
+    }
+    rows = rows.select("s_suppkey", "c_custkey", explicit.alias("explicit"), *[v.alias(n) for n, v in signals.items()])
+    rows = a.identity(rows).withColumn("n_matches", sum((F.col(n).cast("int") for n in signals), F.lit(0)))
     return a.rank_candidates(rows).select("s_suppkey", "c_custkey", "state", "rank_value")
 
 
@@ -311,33 +297,40 @@ def facet_counts(spark, sf_dir):
     return p.facets(read(spark, sf_dir, "part"), "p_brand").unionByName(p.facets(read(spark, sf_dir, "customer"), "c_mktsegment"))
 
 
-FEATURES = """f AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18, 2))) FILTER (event_type = 'view') AS DOUBLE) * 40 AS views, max(value) FILTER (event_type = 'purchase') * 5 AS stars, count(*) FILTER (event_type IN ('click', 'signup')) AS n_social, count(*) FILTER (value > 60) AS n_scored, floor(avg(value) + 0.5) AS score FROM events GROUP BY 1)"""
+FEATURES = """f AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18, 2))) FILTER (event_type = 'view') AS DOUBLE) * 40 AS views, max(value) FILTER (event_type = 'purchase') * 5 AS stars, count(*) FILTER (event_type IN ('click', 'signup') AND value > 60) AS n_social, count(*) FILTER (value > 60) AS n_scored,
+    floor(avg(value) + 0.5) AS score, count(*) FILTER (event_type = 'view') AS n_instagram, count(*) FILTER (event_type = 'click' AND value > 60) AS n_x, count(*) FILTER (event_id % 97 = 0) AS n_foreign, user_id % 5 < 2 AS has_x, CASE WHEN user_id % 3 = 0 THEN 'A Video tool' ELSE 'Payroll' END AS text FROM events GROUP BY 1
+), found AS (SELECT user_id, 'high_raw_views_low_score' AS kind, 1 AS n FROM f WHERE views >= 50000 AND score < 40 UNION ALL SELECT user_id, 'high_github_low_score', 1 FROM f WHERE stars >= 1000 AND score < 45 UNION ALL SELECT user_id, 'high_social_low_score', 1 FROM f WHERE n_social >= 3 AND score < 45
+  UNION ALL SELECT user_id, 'many_posts_low_score', 1 FROM f WHERE n_scored >= 10 AND score < 35 UNION ALL SELECT user_id, 'no_scored_evidence', 1 FROM f WHERE n_scored = 0
+  UNION ALL (SELECT user_id, 'missing_likely_instagram', 1 FROM f WHERE n_instagram = 0 AND regexp_matches(lower(text), 'consumer|creator|video|design|game|social|media|assistant') ORDER BY user_id LIMIT 50)
+  UNION ALL SELECT user_id, 'missing_x_posts', 1 FROM f WHERE has_x AND n_x = 0 UNION ALL SELECT user_id, 'cross_company_attribution', n_foreign FROM f WHERE n_foreign > 0)"""
+
+
+def anomaly_features(spark, sf_dir):
+    e, t, v, u = read(spark, sf_dir, "events"), F.col("event_type"), F.col("value"), F.col("user_id")
+    scored = v > 60
+    return e.groupBy("user_id").agg(
+        (F.sum(F.when(t == "view", v.cast("decimal(18,2)"))).cast("double") * 40).alias("views"), (F.max(F.when(t == "purchase", v)) * 5).alias("stars"), F.count_if(t.isin("click", "signup") & scored).alias("n_social"),
+        F.count_if(scored).alias("n_scored"), jround(F.avg(v)).alias("score"), F.count_if(t == "view").alias("n_instagram"), F.count_if((t == "click") & scored).alias("n_x"), F.count_if(F.col("event_id") % 97 == 0).alias("n_foreign"),
+    ).withColumns({"has_x_account": u % 5 < 2, "text": F.when(u % 3 == 0, "A Video tool").otherwise("Payroll")})
 
 
-@query(f"""WITH {FEATURES} SELECT user_id, rule, severity FROM (
-  SELECT user_id, 'views_without_score' AS rule, 'high' AS severity FROM f WHERE views >= 50000 AND score < 40 UNION ALL SELECT user_id, 'stars_without_score', 'high' FROM f WHERE stars >= 1000 AND score < 45
-  UNION ALL SELECT user_id, 'social_without_score', 'medium' FROM f WHERE n_social >= 3 AND score < 45 UNION ALL SELECT user_id, 'evidence_without_score', 'medium' FROM f WHERE n_scored >= 10 AND score < 35
-  UNION ALL SELECT user_id, 'nothing_scored', 'low' FROM f WHERE n_scored = 0 UNION ALL SELECT user_id, 'score_from_little', 'medium' FROM f WHERE score >= 70 AND n_scored <= 2)""")
+@query(f"WITH {FEATURES} SELECT user_id, kind, n FROM found")
 def anomaly_rules(spark, sf_dir):
-    e, t, v = read(spark, sf_dir, "events"), F.col("event_type"), F.col("value")
-    features = e.groupBy("user_id").agg(
-        (F.sum(F.when(t == "view", v.cast("decimal(18,2)"))).cast("double") * 40).alias("views"), (F.max(F.when(t == "purchase", v)) * 5).alias("stars"), F.count_if(t.isin("click", "signup")).alias("n_social"),
-        F.count_if(v > 60).alias("n_scored"), jround(F.avg(v)).alias("score"),
-    )
-    return p.rule_rows(features, p.anomaly_rules(), "user_id")
+    return p.anomalies(anomaly_features(spark, sf_dir), "user_id", "user_id").select("user_id", "kind", "n")
 
 
-@query("""SELECT role AS platform, CASE WHEN length(text) > 200 THEN 'ok' ELSE 'empty' END AS status, substr(trim(regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 12), '"[^"]+"', '{name}', 'g'), 'https?://[^ ]+', '{url}', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), 1, 180) AS pattern,
-  count(*) AS n, CAST(sum(turn) AS BIGINT) AS results FROM conversations GROUP BY 1, 2, 3 ORDER BY n DESC, platform, status, pattern LIMIT 30""")
-def attempt_patterns(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    rows = c.select(F.col("role").alias("platform"), F.when(F.length("text") > 200, "ok").otherwise("empty").alias("status"), F.substring("text", 1, 12).alias("query"), F.col("turn").alias("results"))
-    return p.attempt_patterns(rows)
+@query(f"""WITH {FEATURES}, w AS (SELECT * FROM (VALUES ('high_raw_views_low_score', 'scoring_worker'), ('high_raw_views_low_score', 'metric_worker'), ('high_github_low_score', 'scoring_worker'), ('high_github_low_score', 'discovery_worker'), ('high_social_low_score', 'scoring_worker'), ('many_posts_low_score', 'dedupe_worker'), ('many_posts_low_score', 'scoring_worker'),
+  ('no_scored_evidence', 'discovery_worker'), ('no_scored_evidence', 'website_worker'), ('missing_likely_instagram', 'instagram_worker'), ('missing_likely_instagram', 'discovery_worker'), ('missing_x_posts', 'profile_worker'), ('missing_x_posts', 'platform_post_worker'), ('cross_company_attribution', 'dedupe_worker'), ('cross_company_attribution', 'profile_worker')) AS v(kind, worker))
+SELECT user_id, kind, worker, n, CASE WHEN contains(kind, 'instagram') THEN 'high' ELSE 'normal' END AS priority, c_mktsegment || ' Spring' AS query_seed FROM found JOIN w USING (kind) JOIN customer ON c_custkey = user_id""")
+def anomaly_follow_ups(spark, sf_dir):
+    found = p.anomalies(anomaly_features(spark, sf_dir), "user_id", "user_id")
+    names = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    return p.follow_ups(found, names, "user_id", "c_mktsegment", "Spring")
 
 
 @query("""SELECT role AS platform, CASE WHEN length(text) > 200 THEN 'ok' ELSE 'empty' END AS status, substr(trim(regexp_replace(regexp_replace(regexp_replace(text, '"[^"]+"', '{name}', 'g'), 'https?://[^ ]+', '{url}', 'g'), '[ \\t\\r\\n]+', ' ', 'g')), 1, 180) AS pattern,
   count(*) AS n, CAST(sum(turn) AS BIGINT) AS results FROM conversations GROUP BY 1, 2, 3 ORDER BY n DESC, platform, status, pattern LIMIT 30""")
-def attempt_patterns_whole(spark, sf_dir):
+def attempt_patterns(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     return p.attempt_patterns(c.select(F.col("role").alias("platform"), F.when(F.length("text") > 200, "ok").otherwise("empty").alias("status"), F.col("text").alias("query"), F.col("turn").alias("results")))
 

@@ -32,6 +32,8 @@ BY_PLATFORM = SCORED + """, placed AS (SELECT *, row_number() OVER (PARTITION BY
     WHEN platform IN ('x', 'instagram', 'linkedin') THEN 0.6::DOUBLE * best + 0.35::DOUBLE * top3 + 0.05::DOUBLE * least(100, n / 5 * 100)
     ELSE 0.7::DOUBLE * top5 + 0.2::DOUBLE * mean + 0.1::DOUBLE * least(100, n / 5 * 100) END + 0.5)::DOUBLE AS platform_score FROM parts
 ), weighed AS (SELECT *, CASE platform WHEN 'x' THEN 0.34 WHEN 'instagram' THEN 0.22 WHEN 'github' THEN 0.14 WHEN 'linkedin' THEN 0.14 END::DOUBLE AS w FROM by_platform)"""
+#: The experiments' platform score has no branch for platforms of many views.
+BY_PLATFORM_D = "".join(x for x in BY_PLATFORM.splitlines(keepends=True) if not x.strip().startswith("WHEN platform IN ('x', 'instagram', 'linkedin')"))
 ENTITIES = BY_PLATFORM + """, entities AS (
   SELECT entity_id, count(*) AS n_platforms, CAST(sum(n) AS BIGINT) AS n_evidence, floor(sum(platform_score * w) / sum(w) * (0.85::DOUBLE + 0.15::DOUBLE * sqrt(count(*) / 7.0::DOUBLE)) + 0.5)::DOUBLE AS total
   FROM weighed WHERE w IS NOT NULL GROUP BY 1)"""
@@ -220,15 +222,15 @@ def snaps(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("batch", "recorded_at").orderBy(F.desc("score"), "entity_id")))
 
 
-@query(f"""WITH {SNAPS}, d AS (SELECT max(CAST(recorded_at AS DATE)) AS d FROM snaps), now AS (SELECT * FROM snaps, d WHERE batch = 'click' AND CAST(recorded_at AS DATE) = d
-), b1 AS (SELECT * FROM snaps, d WHERE batch = 'click' AND CAST(recorded_at AS DATE) = d - 1), b7 AS (SELECT * FROM snaps, d WHERE batch = 'click' AND CAST(recorded_at AS DATE) = d - 7)
-SELECT n.entity_id, n.score, n.rank, floor(coalesce(n.score - b1.score, 0) * 10 + 0.5) / 10 AS day_delta, floor(coalesce((n.score - b1.score) / greatest(b1.score, 1) * 100, 0) * 10 + 0.5) / 10 AS day_percent, coalesce(b1.rank - n.rank, 0) AS day_ranks,
+@query(f"""WITH {SNAPS}, d AS (SELECT max(CAST(recorded_at AS DATE)) AS d FROM snaps), now AS (SELECT * FROM snaps, d WHERE CAST(recorded_at AS DATE) = d
+), b1 AS (SELECT * FROM snaps, d WHERE CAST(recorded_at AS DATE) = d - 1), b7 AS (SELECT * FROM snaps, d WHERE CAST(recorded_at AS DATE) = d - 7)
+SELECT n.batch, n.entity_id, n.score, n.rank, floor(coalesce(n.score - b1.score, 0) * 10 + 0.5) / 10 AS day_delta, floor(coalesce((n.score - b1.score) / greatest(b1.score, 1) * 100, 0) * 10 + 0.5) / 10 AS day_percent, coalesce(b1.rank - n.rank, 0) AS day_ranks,
   floor(coalesce(n.score - b7.score, 0) * 10 + 0.5) / 10 AS week_delta, floor(coalesce((n.score - b7.score) / greatest(b7.score, 1) * 100, 0) * 10 + 0.5) / 10 AS week_percent, coalesce(b7.rank - n.rank, 0) AS week_ranks
-FROM now n LEFT JOIN b1 ON n.entity_id = b1.entity_id LEFT JOIN b7 ON n.entity_id = b7.entity_id""")
+FROM now n LEFT JOIN b1 ON n.batch = b1.batch AND n.entity_id = b1.entity_id LEFT JOIN b7 ON n.batch = b7.batch AND n.entity_id = b7.entity_id""")
 def momentum_dod_wow(spark, sf_dir):
-    all_ = snaps(spark, sf_dir).filter("batch = 'click'")
+    all_ = snaps(spark, sf_dir)
     day = F.lit(read(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).first()[0])
-    out = t.baseline(all_, day, 0).select("entity_id", "score", "rank")
+    out = t.baseline(all_, day, 0).select("batch", "entity_id", "score", "rank")
     return t.momentum(t.momentum(out, t.baseline(all_, day, 1), "day"), t.baseline(all_, day, 7), "week")
 
 
@@ -259,12 +261,12 @@ def experiment_movers(spark, sf_dir):
     return r.movers(e.select("entity_id", F.col("total").alias("score")), s.calibrate(e).select("entity_id", F.col("final").alias("score")), "entity_id", "score")
 
 
-@query(f"""WITH {BY_PLATFORM}, x AS (SELECT *, CASE platform WHEN 'x' THEN 0.1 WHEN 'instagram' THEN 0.1 WHEN 'github' THEN 0.5 WHEN 'linkedin' THEN 0.3 END::DOUBLE AS w2 FROM by_platform
+@query(f"""WITH {BY_PLATFORM_D}, x AS (SELECT *, CASE platform WHEN 'x' THEN 0.1 WHEN 'instagram' THEN 0.1 WHEN 'github' THEN 0.5 WHEN 'linkedin' THEN 0.3 END::DOUBLE AS w2 FROM by_platform
 ), e AS (SELECT entity_id, count(*) AS n_platforms, sum(n) AS n_evidence, floor(sum(platform_score * w2) / sum(w2) * (0.85::DOUBLE + 0.15::DOUBLE * sqrt(count(*) / 4.0::DOUBLE)) + 0.5) AS total FROM x WHERE w2 IS NOT NULL GROUP BY 1
 ), h AS (SELECT *, total * (0.72::DOUBLE + 0.28::DOUBLE * least(1, sqrt(n_evidence / 5.0::DOUBLE))) AS held FROM e), g AS (SELECT min(held) AS low, max(held) AS high FROM h)
 SELECT entity_id, n_platforms, floor((0.82::DOUBLE * held + 0.18::DOUBLE * (held - low) / (high - low) * 100) * 100 + 0.5) / 100 AS experiment FROM h, g""")
 def experiment_diagnostics(spark, sf_dir):
-    return s.experiment_scores(s.platform_scores(scored(spark, sf_dir)), {"x": 0.1, "instagram": 0.1, "github": 0.5, "linkedin": 0.3})
+    return s.experiment_scores(s.platform_scores(scored(spark, sf_dir), view_heavy=False), {"x": 0.1, "instagram": 0.1, "github": 0.5, "linkedin": 0.3})
 
 
 @query("""SELECT event_id, least(100, greatest(0, floor(18 * ln(1 + value) + 0.5)))::DOUBLE AS seed, least(100, greatest(1, floor(100 * ln(1 + value * 2.5::DOUBLE) / ln(1 + 5000.0::DOUBLE) + 0.5)))::DOUBLE AS saturated FROM events""")
