@@ -39,18 +39,24 @@ def key_part(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """For attribution: no scheme, letters, digits and dots only."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "https?://(www\\.)?", "")
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "https?://(www\\.)?", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[_-]+", " "), "[^a-z0-9.]+", " "))
 
 
+def compact(text: Column) -> Column:
+    """Letters and digits only, in lower case."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "")
+
+
 def searchable(text: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "^@", ""), "https?://(www\\.)?", "")
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
-    """Whether a phrase stands in a text as whole tokens; both in `plain` or `searchable` form."""
-    return (F.length(phrase) > 0) & F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+    """Whether a phrase stands in a text with no letter or digit at either end; both in `plain` or `searchable` form."""
+    pattern = F.concat(F.lit("(^|[^a-z0-9])"), F.replace(phrase, F.lit("."), F.lit("\\.")), F.lit("([^a-z0-9]|$)"))
+    return (F.length(phrase) > 0) & F.contains(text, phrase) & F.rlike(text, pattern)
 
 
 def tokens(text: Column, stop: bool = True) -> Column:

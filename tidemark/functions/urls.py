@@ -82,3 +82,22 @@ def handle(platform: Column, url: Column) -> Column:
     parts = F.filter(F.split(F.coalesce(part(url, "PATH"), F.lit("")), "/"), lambda p: p != "")
     got = F.when(platform == "linkedin", F.get(parts, F.size(parts) - 1)).otherwise(F.get(parts, F.lit(0)))
     return F.regexp_replace(F.lower(got), "^@", "")
+
+
+def own_handle(value: Column) -> Column:
+    """A handle as written by hand: lower case, no @, only its own signs."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "^@", ""), "[^a-z0-9._-]+", "")
+    return F.regexp_replace(kept, "^-+|-+$", "")
+
+
+def site_handle(url: Column) -> Column:
+    """The handle in an address: the first path segment on github, instagram and x, the last on linkedin, else the address itself in `own_handle` form; empty if it is no URL."""
+    h = F.lower(part(url, "HOST"))
+    parts = F.filter(F.split(F.coalesce(part(url, "PATH"), F.lit("")), "/"), lambda p: p != "")
+    has = lambda *names: h.rlike("|".join(n.replace(".", r"\.") for n in names))
+    got = F.when(has("github.com", "instagram.com", "x.com", "twitter.com"), F.get(parts, F.lit(0))).when(has("linkedin.com"), F.get(parts, F.size(parts) - 1)).otherwise(url)
+    return F.when(h.isNotNull(), own_handle(got)).otherwise(F.lit(""))
+
+
+def same_host(a: Column, b: Column) -> Column:
+    return F.coalesce(host(a) == host(b), F.lit(False))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.num import jround
-from tidemark.functions.text import has_phrase, plain
+from tidemark.functions.text import compact, has_phrase, plain
+from tidemark.functions.urls import host, own_handle, site_handle
 
 #: What may well be about something else unless the text says so.
 AMBIGUOUS = ("product_hunt", "youtube", "hacker_news", "reddit", "linkedin")
@@ -34,13 +35,120 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str)
     tokens of the text; the texts follow for those pairs only and verify them.
     """
     t = texts.select(F.col(id_column), plain(F.col(text)).alias("_t"))
-    tokens = t.select(id_column, F.explode(F.array_distinct(F.split("_t", " "))).alias("_token"))
-    longest = F.array_max(F.transform(F.split("_p", " "), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
+    tokens = t.select(id_column, F.explode(F.array_distinct(F.split("_t", "[ .]+"))).alias("_token"))
+    longest = F.array_max(F.transform(F.split("_p", "[ .]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
     p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p")).filter("_p <> ''").withColumn("_token", longest)
     pairs = tokens.join(p, "_token").select(id_column, "phrase_id", "_p").distinct()
     return t.join(pairs, id_column).filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
 
 
+#: Single words that are names of entities and say nothing by themselves.
+GENERIC_NAMES = """aice arden bloom chert cohesion dispatch drafted flow flowscope frame hedge hub hyper
+jo modern pentagon pluto primitive replicas result runtime stage standout superset thomas walter""".split()
+#: Hosts of which an address does not make a site one's own; words of private life.
+SOCIAL_HOSTS = ("x.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "youtu.be")
+OFF_TOPIC = r"\b(3 idiots|algorithm wants|barista|coffee shop|gym|hoop|marina theater|milk|movie|movies|restaurant|subtitles|theater|theatre|vacation|wedding)\b"
+
+
+def distinctive_names(name: Column, slug: Column) -> Column:
+    """The forms of a name and its slug that can stand for it: of several words, or one of five letters that is not generic."""
+    forms = F.array_distinct(F.array(plain(name), plain(F.replace(slug, F.lit("-"), F.lit(" "))), compact(name), compact(slug)))
+    return F.filter(forms, lambda x: (x != "") & (F.contains(x, F.lit(" ")) | ((F.length(x) >= 5) & ~x.isin(GENERIC_NAMES))))
+
+
+def signals(entities: DataFrame, links: DataFrame, members: DataFrame) -> DataFrame:
+    """entity_id, kind (name, member, domain, handle), platform (of handles) and value, each once.
+
+    entities: entity_id, name, slug, website. links: entity_id, platform, url,
+    own (of the entity, not of a member). members: entity_id, name.
+    """
+    none = F.lit(None).cast("string")
+    of = lambda df, kind, value, platform=none: df.select("entity_id", F.lit(kind).alias("kind"), platform.alias("platform"), value.alias("value"))
+    names = of(entities, "name", F.explode(distinctive_names(F.col("name"), F.col("slug"))))
+    sites = entities.select("entity_id", F.col("website").alias("url")).unionByName(links.filter("own").select("entity_id", "url"))
+    rows = names.unionByName(of(members, "member", plain(F.col("name")))).unionByName(of(sites, "domain", host(F.col("url"))))
+    return rows.unionByName(of(links, "handle", site_handle(F.col("url")), F.col("platform"))).filter("value <> ''").distinct()
+
+
+def visible_text(text: Column, raw: Column) -> Column:
+    """What a post shows: its text and, of a captured JSON record, the fields with words; else the capture as it is."""
+    parsed = F.try_parse_json(raw)
+    fields = [F.try_variant_get(parsed, f"$.{k}", "string") for k in ("text", "caption", "title", "story_text", "description", "full_text")]
+    body = F.when(parsed.isNull(), raw).otherwise(F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in fields]))
+    return F.concat_ws(" ", F.nullif(text, F.lit("")), F.nullif(body, F.lit("")))
+
+
+def conflicts(evidence: DataFrame, signal: DataFrame) -> DataFrame:
+    """id and other, the entities besides its own whose name, domain or handle the visible text of evidence shows.
+
+    evidence: id, entity_id, visible. Keys out of the text meet the signals'
+    keys, and the text of those pairs is looked at; no text meets every entity.
+    """
+    own, t = F.col("entity_id"), plain(F.col("visible"))
+    tokens = F.array_distinct(F.split(t, "[ .]+"))
+    grams = F.array_distinct(F.flatten(F.transform(F.filter(F.split(t, " "), lambda x: F.contains(x, F.lit("."))), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 3, F.lit(1))), lambda i: F.substr(x, i, F.lit(4))))))
+    low = F.lower(F.coalesce("visible", F.lit("")))
+    tagged = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9])@([a-z0-9._-]{4,})"), F.lit(1))
+    linked = F.regexp_extract_all(low, F.lit(r"(?:x|twitter|instagram|linkedin|github)\.com/([^/\"'\s?#]{4,})"), F.lit(1))
+    ends = F.flatten(F.transform(tagged, lambda x: F.filter(F.transform(F.sequence(F.lit(4), F.length(x)), lambda i: F.when((i == F.length(x)) | F.rlike(F.substr(x, i + 1, F.lit(1)), F.lit("[^a-z0-9]")), F.substr(x, F.lit(1), i))), lambda y: y.isNotNull())))
+    keyed = lambda kind, keys: evidence.select("id", own.alias("own"), F.lit(kind).alias("by"), F.explode(keys).alias("key"))
+    asked = keyed("token", tokens).unionByName(keyed("gram", grams)).unionByName(keyed("handle", F.array_distinct(F.concat(ends, linked)))).distinct()
+    longest = F.array_max(F.transform(F.split("value", "[ .]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
+    by = F.when(F.col("kind") == "name", "token").when(F.col("kind") == "domain", "gram").otherwise("handle")
+    key = F.when(F.col("kind") == "name", longest).when(F.col("kind") == "domain", F.substring("value", 1, 4)).otherwise(F.col("value"))
+    given = signal.filter("kind <> 'member' AND (kind <> 'handle' OR length(value) >= 4)").select(F.col("entity_id").alias("other"), "kind", "value", by.alias("by"), key.alias("key"))
+    pairs = asked.join(given, ["by", "key"]).filter("own <> other").select("id", "other", "kind", "value").distinct()
+    seen = pairs.join(evidence.select("id", t.alias("_t")), "id")
+    holds = F.when(F.col("kind") == "name", has_phrase(F.col("_t"), F.col("value"))).when(F.col("kind") == "domain", F.contains("_t", "value")).otherwise(F.lit(True))
+    return seen.filter(holds).select("id", "other").distinct()
+
+
+def evidence_flags(evidence: DataFrame, signal: DataFrame, entities: DataFrame) -> DataFrame:
+    """`evidence` with the flags that `guard` reads.
+
+    evidence: id (unique), entity_id (the entity it is attached to), platform,
+    contribution, review_state, text, raw, author_name, author_handle,
+    source_url, account_url, match_reason, why.
+    """
+    own = signal.groupBy("entity_id").agg(
+        F.collect_set(F.when(F.col("kind").isin("name", "member"), F.col("value"))).alias("_names"), F.collect_set(F.when(F.col("kind") == "domain", F.col("value"))).alias("_domains"),
+        F.collect_set(F.when(F.col("kind") == "handle", F.struct("platform", "value"))).alias("_handles"),
+    )
+    known = entities.select("entity_id").distinct().withColumn("resolved", F.lit(True))
+    rows = evidence.join(known, "entity_id", "left").join(own, "entity_id", "left").withColumn("visible", visible_text(F.col("text"), F.col("raw")))
+    empty = F.array().cast("array<string>")
+    handles = F.transform(F.filter("_handles", lambda h: h["platform"] == F.col("platform")), lambda h: h["value"])
+    rows = rows.withColumns({"_names": F.coalesce("_names", empty), "_domains": F.coalesce("_domains", empty), "_mine": F.coalesce(handles, empty)})
+    shows = lambda text: F.exists("_names", lambda n: has_phrase(text, n)) | F.exists("_domains", lambda d: F.contains(text, d)) | F.exists("_mine", lambda h: F.contains(text, h))
+    site = host(F.col("source_url"))
+    social = F.coalesce(F.exists(F.array(*map(F.lit, SOCIAL_HOSTS)), lambda s: (site == s) | F.endswith(site, F.concat(F.lit("."), s))), F.lit(True))
+    at_home = ~social & F.exists("_domains", lambda d: (site == d) | F.endswith(site, F.concat(F.lit("."), d)))
+    who = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("author_name", "author_handle", "source_url", "account_url", "match_reason", "why")])
+    capture = F.when(F.col("platform") == "instagram", captured_handle(F.col("raw")))
+    accounts = F.array(own_handle(F.coalesce("author_handle", "author_name")), site_handle(F.coalesce("account_url", "source_url")), site_handle(F.col("source_url")), capture)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    x = F.col("platform") == "x"
+    context = (F.col("contribution") <= 0) & F.coalesce("why", "match_reason").rlike("(?i)profile|identity context|context only")
+    found = conflicts(rows.select("id", "entity_id", "visible"), signal).select("id").distinct().withColumn("conflict", F.lit(True))
+    rows = rows.join(found, "id", "left").withColumn("visible", plain(F.col("visible")))
+    flags = {
+        "resolved": yes(F.col("resolved")), "conflict": yes(F.col("conflict")), "visible_signal": yes(shows(F.col("visible"))) | yes(at_home), "own_signal": yes(shows(plain(who))),
+        "verified_account": yes(F.exists(F.filter(accounts, lambda a: F.coalesce(a, F.lit("")) != ""), lambda a: F.array_contains("_mine", a))),
+        "context_only": yes(x & F.col("raw").rlike(r'(?i)"is_retweet"\s*:\s*true')) | yes(context), "quote": yes(x & F.col("visible").rlike(r"\bquote\b")), "off_topic": yes(F.col("visible").rlike(OFF_TOPIC)),
+    }
+    return rows.withColumns(flags).select(*evidence.columns, *flags)
+
+
+def captured_handle(raw: Column) -> Column:
+    """The account in a captured record of a picture post."""
+    some = lambda p: F.nullif(own_handle(F.regexp_extract(raw, p, 1)), F.lit(""))
+    field = lambda p: F.nullif(F.get_json_object(raw, p), F.lit(""))
+    post = r"(?i)instagram\.com/([^/]+)/(?:p|reel|tv)/"
+    href = F.coalesce(field("$.gridUrl.rawHref"), field("$.gridUrl.href"))
+    parsed = F.coalesce(F.nullif(site_handle(field("$.profile.url")), F.lit("")), F.nullif(own_handle(field("$.profile.username")), F.lit("")), F.nullif(own_handle(F.regexp_extract(href, post, 1)), F.lit("")))
+    return F.when(F.try_parse_json(raw).isNotNull(), parsed).otherwise(F.coalesce(some(post), some(r'(?i)"url"\s*:\s*"https?://(?:www\.)?instagram\.com/([^"/]+)')))
+
+
 def guard(rows: DataFrame) -> DataFrame:
     """`rows` with the guarded review_state, multiplier, risk and contribution.
 

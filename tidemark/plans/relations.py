@@ -213,11 +213,11 @@ def classifier_case(spark, sf_dir):
 
 # Attribution and identity.
 
-PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://(www\\.)?', ''), '[_-]+', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
+PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://(www\\.)?', ' ', 'g'), '[_-]+', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g'))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, ' ' || {PLAIN.format("text")} || ' ' AS t FROM documents), p AS (SELECT item_id AS phrase_id, {PLAIN.format("text")} AS p FROM benchmark)
-SELECT doc_id, phrase_id FROM t JOIN p ON p <> '' AND contains(t, ' ' || p || ' ')""")
+@query(f"""WITH t AS (SELECT doc_id, {PLAIN.format("text")} AS t FROM documents), p AS (SELECT item_id AS phrase_id, {PLAIN.format("text")} AS p FROM benchmark)
+SELECT doc_id, phrase_id FROM t JOIN p ON p <> '' AND contains(t, p) AND regexp_matches(t, '(^|[^a-z0-9])' || replace(p, '.', '\\.') || '([^a-z0-9]|$)')""")
 def phrase_attribution(spark, sf_dir):
     phrases = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
     return a.phrase_hits(read(spark, sf_dir, "documents"), phrases, "doc_id", "text")
@@ -238,6 +238,56 @@ def attribution_guard(spark, sf_dir):
     return a.guard(rows).select("event_id", "review_state", "risk", "guarded")
 
 
+#: Suppliers as companies with a site, two accounts and a founder; events as posts attached to one of them.
+POSTED = """co AS (SELECT s_suppkey AS c, 'alpha works ' || s_suppkey AS name, 'alphaworks' || s_suppkey AS short, 'alpha' || s_suppkey || '.io' AS site, 'alpha_' || s_suppkey AS xh, 'al' || s_suppkey || 'pha' AS ih, 'ann person' || s_suppkey AS who FROM supplier
+), n AS (SELECT count(*) AS n FROM supplier), posted AS (SELECT event_id AS id, user_id % (n + 3) AS c, CASE event_type WHEN 'click' THEN 'x' WHEN 'view' THEN 'instagram' WHEN 'purchase' THEN 'github' WHEN 'signup' THEN 'reddit' ELSE 'web' END AS platform, value AS contribution,
+  (event_id * 7) % n AS o, CASE event_id % 7 WHEN 0 THEN 'new release of alpha works ' || (user_id % (n + 3)) || ' today' WHEN 1 THEN 'see alpha' || ((event_id * 7) % n) || '.io news' WHEN 2 THEN 'hello @alpha_' || ((event_id * 7) % n) WHEN 3 THEN 'movie night with friends' WHEN 4 THEN 'quote of the day' WHEN 5 THEN 'thanks ann person' || (user_id % (n + 3)) ELSE 'alpha works ' || ((event_id * 7) % n) || ' and more' END AS t FROM events, n
+), plain AS (SELECT *, trim(regexp_replace(regexp_replace(t, '[_-]+', ' ', 'g'), '[^a-z0-9.]+', ' ', 'g')) AS p, event_id_handle FROM (SELECT *, CASE WHEN id % 4 = 0 THEN 'alpha_' || c ELSE 'someone' END AS event_id_handle FROM posted)
+), seen AS (SELECT plain.*, co.name IS NOT NULL AS resolved, coalesce(regexp_matches(p, '(^|[^a-z0-9])(' || co.name || '|' || co.short || '|' || co.who || ')([^a-z0-9]|$)') OR contains(p, replace(co.site, '_', ' ')) OR (platform = 'x' AND contains(p, co.xh)) OR (platform = 'instagram' AND contains(p, co.ih)), false) AS visible,
+    platform = 'x' AND id % 4 = 0 AND co.name IS NOT NULL AS verified, platform = 'instagram' AND contains(event_id_handle, co.ih) AS iown FROM plain LEFT JOIN co USING (c)
+), other AS (SELECT id, bool_or(regexp_matches(p, '(^|[^a-z0-9])(' || co.name || '|' || co.short || ')([^a-z0-9]|$)') OR contains(p, co.site) OR regexp_matches(t, '(^|[^a-z0-9])@(' || co.xh || '|' || co.ih || ')([^a-z0-9]|$)')) AS conflict FROM seen, co WHERE co.c <> seen.c GROUP BY 1
+), flags AS (SELECT seen.*, coalesce(conflict, false) AS conflict, platform = 'x' AND regexp_matches(p, '\\bquote\\b') AS quote, regexp_matches(p, '\\bmovie\\b') AS off FROM seen LEFT JOIN other USING (id))"""
+
+
+def posts_with_flags(spark, sf_dir):
+    s, e = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "events")
+    k, n = F.col("s_suppkey").cast("string"), s.count()
+    entities = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Alpha Works "), k).alias("name"), F.concat(F.lit("alpha-works-"), k).alias("slug"), F.concat(F.lit("https://www.alpha"), k, F.lit(".io")).alias("website"))
+    link = lambda platform, url, own: s.select(F.col("s_suppkey").alias("entity_id"), F.lit(platform).alias("platform"), url.alias("url"), F.lit(own).alias("own"))
+    links = link("x", F.concat(F.lit("https://x.com/alpha_"), k), False).unionByName(link("instagram", F.concat(F.lit("https://instagram.com/al"), k, F.lit("pha/")), False))
+    members = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Ann Person"), k).alias("name"))
+    i, own, o = F.col("event_id"), (F.col("user_id") % (n + 3)).cast("string"), ((F.col("event_id") * 7) % n).cast("string")
+    t, m = F.col("event_type"), F.col("event_id") % 7
+    platform = F.when(t == "click", "x").when(t == "view", "instagram").when(t == "purchase", "github").when(t == "signup", "reddit").otherwise("web")
+    text = F.when(m == 0, F.concat(F.lit("New release of Alpha Works "), own, F.lit(" today"))).when(m == 1, F.concat(F.lit("see https://alpha"), o, F.lit(".io/news"))).when(m == 2, F.concat(F.lit("hello @alpha_"), o))
+    text = text.when(m == 3, "movie night with friends").when(m == 4, "Quote of the day").when(m == 5, F.concat(F.lit("thanks Ann Person"), own)).otherwise(F.concat(F.lit("Alpha Works "), o, F.lit(" and more")))
+    none = F.lit(None).cast("string")
+    handle = F.when(i % 4 == 0, F.concat(F.lit("@Alpha_"), own)).otherwise("someone")
+    evidence = e.select(
+        i.alias("id"), (F.col("user_id") % (n + 3)).alias("entity_id"), platform.alias("platform"), F.col("value").alias("contribution"), none.alias("review_state"), text.alias("text"), none.alias("raw"), none.alias("author_name"),
+        handle.alias("author_handle"), F.lit("https://news.example.org/a").alias("source_url"), none.alias("account_url"), none.alias("match_reason"), none.alias("why"),
+    )
+    return a.evidence_flags(evidence, a.signals(entities, links, members), entities)
+
+
+@query(f"WITH {POSTED} SELECT id, resolved, visible AS visible_signal, verified AS verified_account, conflict, quote, off AS off_topic FROM flags")
+def attribution_signals(spark, sf_dir):
+    return posts_with_flags(spark, sf_dir).select("id", "resolved", "visible_signal", "verified_account", "conflict", "quote", "off_topic")
+
+
+@query(f"""WITH {POSTED}, r AS (SELECT *, CASE WHEN NOT resolved THEN 1 WHEN platform = 'web' THEN 2 WHEN platform = 'github' AND visible THEN 2 WHEN platform = 'github' THEN 1 WHEN platform = 'instagram' THEN 1
+  WHEN platform = 'x' AND quote AND NOT visible THEN 1 WHEN conflict AND NOT visible THEN 1 WHEN verified AND off AND NOT visible THEN 4 WHEN verified OR visible THEN 2 WHEN platform = 'reddit' THEN 1 ELSE 4 END AS r FROM flags)
+SELECT id, CASE WHEN r = 2 THEN 'verified' ELSE 'needs_review' END AS review_state, CASE r WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS risk, CASE WHEN r = 2 THEN contribution ELSE 0 END AS guarded FROM r""")
+def attribution_audit(spark, sf_dir):
+    return a.guard(posts_with_flags(spark, sf_dir)).select("id", "review_state", "risk", "guarded")
+
+
+@query(f"""WITH {POSTED}, k AS (SELECT platform, CASE WHEN NOT resolved THEN 'high' WHEN platform = 'web' OR (platform <> 'instagram' AND visible) OR (platform = 'x' AND verified AND NOT quote AND NOT conflict AND NOT off) THEN 'low' WHEN platform = 'x' AND NOT quote AND NOT conflict THEN 'medium' ELSE 'high' END AS risk FROM flags)
+SELECT platform, risk, count(*) AS n FROM k GROUP BY 1, 2""")
+def risk_counts(spark, sf_dir):
+    return a.guard(posts_with_flags(spark, sf_dir)).groupBy("platform", "risk").agg(F.count("*").alias("n"))
+
+
 #: Each customer as a candidate for one supplier.
 @query("""WITH n AS (SELECT count(*) AS n FROM supplier), r AS (SELECT s_suppkey, c_custkey, CASE WHEN (s_suppkey + c_custkey) % 17 = 0 THEN 'rejected' WHEN c_custkey % 19 = 0 THEN 'verified' END AS e, c_custkey % 10 = 1 AS site, c_custkey % 7 = s_suppkey % 7 AS company,
     c_custkey % 3 = s_suppkey % 3 AS dom, c_custkey % 5 = s_suppkey % 5 AS founder, c_acctbal > 5000 AS role, c_custkey % 4 = 0 AS bio, c_custkey % 6 < 3 AS program, c_custkey % 2 = 0 AS batch FROM customer, n JOIN supplier ON s_suppkey = c_custkey % n.n + 1
