@@ -59,3 +59,22 @@ def test_odd_pages(spark, model):
     assert got[1].text == got[None].text == got[7].text == "A&B é A\none two three\nfour fivesix"
     assert got[2].text == got[3].text == "" and len(got[8].text) == 399_999 == got[8].n_chars
     assert h.extract_text(docs.limit(0), model).count() == 0
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    for source in ("<a title='" * 200_000, "<div " * 400_000, "<p a=\"'>" * 250_000, "<p t='>x" * 250_000, "<p t=\">" + "<q u='1'>" * 200_000, "<!--" + "<a " * 500_000, "<svg>" * 400_000, "<p a='b' c=\"" * 150_000 + ">"):
+        began = time.process_time()
+        h.parse(source)
+        assert time.process_time() - began < 5, source[:20]
+
+
+def test_quotes_and_unclosed_elements():
+    text = lambda source: [run for _, run in h.parse(source).runs]
+    assert text("<p title='a > b'>one</p><p title=it's>two</p>") == ["one", "two"]
+    assert text("<p title=\"x>three</p><p>four</p>") == ["three", "four"]
+    assert text("<p>a <math><mi>x</mi></math> b <object>c</object></p>") == ["a x b c"]
+    assert text("<p>a<select><p>b</p>") == ["a", "b"]
+    assert text("<p>a<script>var b = '</p>'") == ["a"]
+    assert text("<p>a <b") == ["a"]

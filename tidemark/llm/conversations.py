@@ -58,6 +58,7 @@ def collapse(turns: DataFrame) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations of the table, rendered."""
     return collapse(table(spark, sf_dir, "conversations"))
 
 

@@ -11,19 +11,19 @@ Spans that overlap are merged.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.shingles import LOWER, word_stream
-from tidemark.llm.tables import releasing, table
+from tidemark.llm.tables import releasing, small_batches, table
 from tidemark.session import durable
 
 WINDOW_WORDS = 10
 #: Words of a shard, about. A document of more is cut into shards that overlap by a window.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 #: Bytes of benchmark text that are broadcast at once, about; a larger benchmark is searched in blocks, one pass for each.
 BLOCK_BYTES = 4 << 20
 #: Hits of a larger benchmark that are broadcast to the documents; beyond, both sides are shuffled.
@@ -242,8 +242,8 @@ def search_texts(texts: list[bytes | None], windows: Windows, size: int) -> tupl
     return n_words, spans, items
 
 
-def _search(block, size: int):
-    """Adds n_words, spans and items to row and text."""
+def _search(block, size: int, cut: bool):
+    """Adds n_words, spans and items to row and text. cut: the words of the spans go, and rows of which none is left."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,8 @@ def _search(block, size: int):
             n_words, spans, items = search_texts([x.as_py() for x in batch.column(1)], windows, size)
             found = [[{"first": a, "last": b} for a, b in spans.get(k, ())] for k in range(batch.num_rows)]
             state = [pa.array(n_words, pa.int64()), pa.array(found, span), pa.array([items.get(k, []) for k in range(batch.num_rows)], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *state], ["row", "text", "n_words", "spans", "items"])
+            out = pa.RecordBatch.from_arrays([*batch.columns, *state], ["row", "text", "n_words", "spans", "items"])
+            yield from _cut([out]) if cut else [out]
 
     return releasing(run)
 
@@ -273,10 +274,12 @@ def without(text: bytes, spans: list[dict[str, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [without(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column(1), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names)
+        spans = batch.column(3).to_pylist()
+        left = [n is None or n == 0 or sum(x["last"] - x["first"] + 1 for x in s) < n for n, s in zip(batch.column(2).to_pylist(), spans, strict=True)]
+        texts = [without(t.as_py(), s) if s else t.as_py() for t, s in zip(batch.column(1), spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]], batch.schema.names).filter(pa.array(left))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +293,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, batch.column(1).type), pa.array(items, pa.list_(pa.string()))], ["_id", "spans", "items"])
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """row (the columns of `docs` but the text), text, n_words, spans and items.
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, cut: bool = False) -> DataFrame:
+    """row (the columns of `docs` but the text), text, n_words, spans and items; cut: the text without the spans' words, and no row of which none is left.
 
     The first block is searched in the pass that hands the documents on. Of a
     larger benchmark the result is written, and then the hits of each further
@@ -299,6 +302,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
     block at a time.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.col("text").cast("binary").alias("text")).filter("length(text) > 0")
     total = bench.agg(F.sum(F.length("text") + 64)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
@@ -307,7 +311,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
         part = bench.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         block = spark.sparkContext.broadcast([(r["id"], bytes(r["text"])) for r in part.collect()])
         kind = rows.schema["row"].dataType.simpleString()
-        return rows.mapInArrow(_search(block, window), f"row {kind}, text binary, {STATE}")
+        return rows.mapInArrow(_search(block, window, cut and blocks == 1), f"row {kind}, text binary, {STATE}")
 
     rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("binary").alias("text"))
     out = searched(rows, 0)
@@ -320,7 +324,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int)
         hits = hits.groupBy("_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
         hits = durable(hits.mapInArrow(releasing(_joined), f"_id long, spans {SPANS}, items array<string>"), "hits").toDF("_id", "s", "i")
         out = out.join(F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits, "_id", "left")
-        out = out.withColumns({"spans": F.coalesce("s", "spans"), "items": F.coalesce("i", "items")})
+        out = out.select("row", "text", "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"))
+        if cut:
+            out = out.mapInArrow(releasing(_cut), f"row {rows.schema['row'].dataType.simpleString()}, text binary, {STATE}")
     return out.select("row", F.col("text").cast("string").alias("text"), "n_words", "spans", "items")
 
 
@@ -344,11 +350,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
 
     All else of the text stays as it is. Rows of which no word is left go.
     """
-    found = _found(docs, benchmark, window, block_bytes)
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    left = found.filter((F.size("spans") == 0) | (gone < F.col("n_words"))).select("row", F.col("text").cast("binary"), "n_words", "spans", "items")
-    row = next(f.dataType.simpleString() for f in left.schema if f.name == "row")
-    left = left.mapInArrow(releasing(_cut), f"row {row}, text binary, {STATE}").withColumn("text", F.col("text").cast("string"))
+    left = _found(docs, benchmark, window, block_bytes, cut=True)
     n_chars = lambda c: F.when(F.size("spans") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`"))
     columns = {c: F.col("text") if c == "text" else n_chars(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns}
     return left.select(*[v.alias(c) for c, v in columns.items()])

@@ -20,11 +20,13 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm.tables import table
+from tidemark.llm.tables import releasing, small_batches, table
 
 #: Fixed values of HTML: elements without an end tag, those whose text is never shown as prose, those that part blocks, and what closes an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select xmp noembed".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select noembed noframes".split())
+#: Of these, those that hide the rest of a page where their end tag is missing.
+TO_THE_END = frozenset("script style".split())
 BLOCK = frozenset(
     """html head body address article aside blockquote button center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul label legend""".split()
@@ -36,9 +38,9 @@ CLOSES = {
 #: Elements that bound the search for one to close.
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, **dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), {"table"})}
 LEAVES_P_OPEN = frozenset("html head body button label legend td th caption li dd dt".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
-)
+OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+INSIDE = re.compile(r"=\s*[\"']|>")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 LABEL = re.compile(r"\bdata-content\s*=\s*\"?([01])")
@@ -58,9 +60,66 @@ class Page:
     links: list[int] = field(default_factory=lambda: [0])
 
 
+class Tags:
+    """The tags of a page, one after the other, in time that grows with the page however its quotes and ends are missing."""
+
+    def __init__(self, source: str):
+        self.source, self.plain = source, False
+        self.absent: dict[str, int] = {}  # what was sought in vain, and from where on
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.absent and at >= self.absent[what]:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.absent[what] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        """The > that ends a tag whose name ends at `at`: the first outside of quoted values; of a value that never ends, the first behind its quote."""
+        j = at
+        while not self.plain:
+            m = INSIDE.search(self.source, j)
+            if m and m[0] == ">":
+                return m.start()
+            k = self._find(m[0][-1], m.end()) if m else -1
+            if k >= 0:
+                j = k + 1
+            elif m and (end := self._find(">", m.end())) >= 0:
+                return end
+            else:
+                self.plain = True  # no > is left outside of quotes: from here on quotes mean nothing
+        return self._find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Of the next tag from `at` on: begin, end, whether it closes, name (empty for comments and the like) and attributes."""
+        m = OPEN.search(self.source, at)
+        if not m:
+            return None
+        if m[0] == "<!--":
+            end = self._find("-->", m.end())
+            return m.start(), len(self.source) if end < 0 else end + 3, False, "", ""
+        if m[0][1] in "!?":
+            end = self._find(">", m.end())
+            return None if end < 0 else (m.start(), end + 1, False, "", "")
+        name = NAME.match(self.source, m.end() - 1)
+        end = self._end(name.end())
+        return None if end < 0 else (m.start(), end + 1, m[0][1] == "/", name[0].lower(), self.source[name.end() : end])
+
+    def content_end(self, tag: str, at: int) -> int:
+        """Where the end tag of an element, whose content is not read, ends; -1 where there is none."""
+        key = f"</{tag}"
+        if key in self.absent and at >= self.absent[key]:
+            return -1
+        done = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(self.source, at)
+        if not done:
+            self.absent[key] = at
+        return done.end() if done else -1
+
+
 def parse(source: str) -> Page:
     page, stack, text, in_link, at = Page(), [0], [], False, 0
-    end = len(source)
+    end, tags = len(source), Tags(source)
 
     def flush() -> None:
         if text and (run := " ".join("".join(text).split())):
@@ -75,21 +134,20 @@ def parse(source: str) -> Page:
             page.links[stack[-1]] += n * in_link
 
     while at < end:
-        m = TOKEN.search(source, at)
-        if not m:
+        found = tags.after(at)
+        if not found:
             rest = source[at:]
             put(rest[: cut.start()] if (cut := re.search(r"<[a-zA-Z/!][^<>]*\Z", rest)) else rest)
             break
-        put(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        begin, upto, closing, tag, attributes = found
+        put(source[at:begin])
+        at = upto
         if not tag:
             continue
         if tag in RAW and not closing:
-            if not attributes.endswith("/") or tag not in ("svg", "math", "iframe", "object"):
-                done = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(source, at)
-                at = done.end() if done else end
+            if not attributes.endswith("/") or tag not in ("svg", "iframe"):
+                done = tags.content_end(tag, at)
+                at = done if done >= 0 else end if tag in TO_THE_END else at
         elif tag == "a":
             in_link = not closing
         elif tag == "br":
@@ -357,11 +415,13 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     far as it goes. Other columns are ignored; repeated rows each come back.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model or default_model(spark))
-    return pages.select("page_id", "url", "html").mapInArrow(_extract(shared), "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(releasing(_extract(shared)), "page_id long, url string, text string, n_chars long")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of pages; null and empty pages have an empty text, repeated rows the same."""
     return extract_text(table(spark, sf_dir, "pages"))
 
 

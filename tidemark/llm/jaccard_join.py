@@ -37,18 +37,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.shingles import mix, shingle_sets
-from tidemark.llm.tables import releasing, shuffle_partitions, table
+from tidemark.llm.tables import releasing, shuffle_partitions, small_batches, table
 from tidemark.session import durable
 
 THRESHOLD = 80
 #: Bound of the broadcast list of frequent shingles, 8 bytes each.
 FREQUENT = 1 << 16
 #: Block keys that one bucket holds, about; 16 bytes each.
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
 #: Block keys that are gathered, and combined, before they are handed to the shuffle.
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 19
 #: Sets that a task remembers so as to send the blocks of equal ones once; 8 bytes each and what holds them.
-SEEN = 1_000_000
+SEEN = 200_000
 #: Bits of a dense sketch for each block of the sparse one.
 SKETCH_BITS = 4
 #: Most ids of documents that are broadcast, 8 bytes each.
@@ -410,6 +410,7 @@ def _across(groups: DataFrame, sketches: DataFrame, labels: DataFrame, percent:
 def _components(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, text_hash, n, root and component_id of each row; root names the component, null without shingles."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     hashed = docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary"))
     first = durable(hashed.mapInArrow(releasing(_signatures), "kind byte, doc_id long, text_hash long, n long, sig long"), "signatures")

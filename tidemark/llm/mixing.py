@@ -28,7 +28,7 @@ SHARE_PERCENT, MOST_TIMES = 150, 2
 #: Words that are left to the dynamic programme at first; its tables take about a bit for each word.
 REACH = 1 << 16
 #: Documents of one length that one bucket of the ranking holds, about.
-RANKED = 4096
+RANKED = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -234,6 +234,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows; null and empty texts have size 0, a null source is one of its own, the last in order."""
     return mix_sizes(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

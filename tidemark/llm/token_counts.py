@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.tables import table
+from tidemark.llm.tables import releasing, small_batches, table
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Fixed value: the sign that opens a word in the vocabulary file.
@@ -125,11 +125,13 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     Null and empty texts have none of either. The pieces, whose number the
     vocabulary file bounds, are broadcast.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(pieces))
-    return docs.select("doc_id", "text").mapInArrow(_count(shared), "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(releasing(_count(shared)), "doc_id long, n_words long, n_tokens long")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """All rows; null and empty texts have no words and no tokens."""
     if vocabulary is None:
         import public_tokenizers
 

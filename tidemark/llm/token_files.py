@@ -24,13 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidemark.llm.tables import releasing, shuffle_partitions, table
+from tidemark.llm.tables import releasing, shuffle_partitions, small_batches, table
 from tidemark.session import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 #: Bytes of text that are encoded at once, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Most bytes of pieces and their ids that a worker remembers from chunk to chunk.
 MEMORY_BYTES = 16 << 20
 SIGNS = re.escape(string.punctuation)
@@ -41,7 +41,7 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 SPACE_SIGN = chr(BYTE_SIGNS[32])
 #: Bytes of ids that one batch hands to the writer, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 
 
@@ -213,6 +213,7 @@ def _encode(path: str, end_id: int):
                     tokens = pa.ListArray.from_arrays(pa.array(upto[begin : end + 1] - upto[begin], pa.int32()), pa.array(ids[upto[begin] : upto[end]].view("<i4")))
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(begin, end - begin), pa.array(n[begin:end]), tokens], schema=schema)
                     begin = end
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -227,6 +228,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
     empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     placed = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
     encoded = placed.mapInArrow(releasing(_encode(tokenizer or tokenizer_path(), end_id)), "doc_id long, n_tokens long, tokens array<int>")
