@@ -107,3 +107,74 @@ def normal_query(text: Column) -> Column:
     """Query and failure patterns: quoted names and URLs as placeholders, 180 characters."""
     t = F.regexp_replace(F.regexp_replace(text, r'"[^"]+"', "{name}"), r"https?://[^ ]+", "{url}")
     return F.substring(F.trim(F.regexp_replace(t, "[ \t\r\n]+", " ")), 1, 180)
+
+
+def clean(text: Column) -> Column:
+    """Escaped ampersands decoded, white space collapsed."""
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\u0026"), F.lit("&")), r"\s+", " "))
+
+
+def without_links(text: Column) -> Column:
+    """Markdown without pictures, and links as their words."""
+    return F.regexp_replace(F.regexp_replace(clean(text), r"!\[[^\]]*\]\([^)]+\)", ""), r"\[([^\]]+)\]\([^)]+\)", "$1")
+
+
+def markdown_links(text: Column) -> Column:
+    """Array of (label, url) of the links of a Markdown text, without pictures."""
+    found = F.regexp_extract_all(text, F.lit(r"(?:^|[^!])(\[[^\]]+\]\(https?://[^)\s]+\))"), F.lit(1))
+    return F.transform(found, lambda x: F.struct(F.regexp_extract(x, r"^\[([^\]]+)\]", 1).alias("label"), F.regexp_extract(x, r"\((https?://[^)\s]+)\)$", 1).alias("url")))
+
+
+def batch_slug(text: Column) -> Column:
+    """YC Spring 2026, s 2026, Winter 2025: as S2026, W2025; else without spaces."""
+    t = F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), r"^YC\s+", ""), r"\s+", " ")
+    short, long = r"\b([SW])\s*(20[0-9]{2})\b", r"\b(SPRING|SUMMER|WINTER)\s+(20[0-9]{2})\b"
+    season = F.when(F.regexp_extract(t, long, 1) == "WINTER", "W").otherwise("S")
+    return F.when(t.rlike(short), F.concat(F.regexp_extract(t, short, 1), F.regexp_extract(t, short, 2))).when(t.rlike(long), F.concat(season, F.regexp_extract(t, long, 2))).otherwise(F.regexp_replace(t, " ", ""))
+
+
+def batch_label(slug: Column) -> Column:
+    """S2026 as Spring 2026, W2026 as Winter 2026."""
+    n = batch_slug(slug)
+    return F.when(n.rlike("^[SW]20[0-9]{2}$"), F.concat(F.when(F.startswith(n, F.lit("S")), "Spring ").otherwise("Winter "), F.substring(n, 2, 4))).otherwise(n)
+
+
+def metric_pills(metrics: Column, order: list[str], most: int = 4) -> Column:
+    """The first `most` positive metrics in the order, as label and compact number."""
+    each = F.array(*[F.when(F.coalesce(metrics[k], F.lit(0.0)) > 0, F.concat_ws(" ", compact_label(metrics[k]), F.lit(k))) for k in order])
+    return F.slice(F.filter(each, lambda x: x.isNotNull()), 1, most)
+
+
+def post_text(text: Column, author: Column) -> Column:
+    """A post's text as scraped, without controls of the page, what follows a relative time, and the author's name in front."""
+    t = F.regexp_replace(clean(text), r"(?i)\b(see more|follow|like|comment|repost|send|feed post number [0-9]+)\b", " ")
+    t = F.regexp_replace(t, r"(?i)\s[0-9]+\s?(m|h|d|w|mo|yr)\s?(ago|•|·).*$", "")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.when(F.startswith(F.lower(t), F.lower(author)) & (F.length(author) > 0), F.substr(t, F.length(author) + 1)).otherwise(t))
+
+
+def rolling_hash(text: Column, factor: int, modulus: int) -> Column:
+    """(h * factor + code) mod modulus over the characters."""
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), lambda h, c: ((h * factor + F.ascii(c)) % modulus).cast("int"))
+
+
+def jitter(text: Column, width: float) -> Column:
+    """A fixed displacement within half of `width` to either side."""
+    return (rolling_hash(text, 33, 1009) / 1009.0 - 0.5) * width
+
+
+#: Colours of groups without one of their own.
+PALETTE = ("#F09EA7", "#F6CA94", "#FAFABE", "#C1EBC0", "#C7CAFF", "#CDABEB", "#F6C2F3")
+
+
+def group_colour(name: Column, own: dict[str, str] | None = None) -> Column:
+    key = F.lower(F.trim(name))
+    other = F.element_at(F.array(*map(F.lit, PALETTE)), rolling_hash(key, 31, 9973) % len(PALETTE) + 1)
+    mine = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])[key] if own else F.lit(None).cast("string")
+    return F.coalesce(mine, other)
+
+
+def tag_set(industry: Column, industries: Column, path: Column, tags: Column) -> Column:
+    """Distinct tags in lower case: the industry, the others, the parts of a path (a -> b), and tags."""
+    all_ = F.concat(F.array(industry), industries, F.split(path, "->"), tags)
+    return F.array_distinct(F.filter(F.transform(all_, lambda x: F.trim(F.lower(x))), lambda x: x != ""))

@@ -76,3 +76,42 @@ def near_duplicates(rows: DataFrame, text: str, owner: str, platform: str, score
     keyed = rows.filter(F.col(score) > 0).withColumn("fingerprint", fingerprint(F.col(text))).filter(F.length("fingerprint") >= least)
     found = keyed.groupBy("fingerprint").agg(F.count("*").alias("n"), F.countDistinct(owner).alias("n_owners"), F.countDistinct(platform).alias("n_platforms"))
     return found.filter((F.col("n_owners") > 1) & (F.col("n_platforms") <= most_platforms))
+
+
+#: Which source of an entity's record is better.
+RELIABILITY = {"high": 3, "medium": 2, "low": 1}
+
+
+def reliability_rank(value: Column) -> Column:
+    out = F.lit(0)
+    for name, rank in RELIABILITY.items():
+        out = F.when(value == name, rank).otherwise(out)
+    return out
+
+
+def by_reliability(rows: DataFrame, key: str, reliability: str = "reliability", ordinal: str = "ordinal") -> DataFrame:
+    """One row for each key: of the best source, of equal ones the first."""
+    return survivors(rows, [key], reliability_rank(F.col(reliability)).desc(), ordinal=ordinal)
+
+
+def strongest_reliability(rows: DataFrame, keys: list[str], reliability: str = "reliability") -> DataFrame:
+    """keys and the best reliability of their rows; none where there is no known one."""
+    best = F.max(F.struct(reliability_rank(F.col(reliability)).alias("r"), F.col(reliability).alias("v")))
+    return rows.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.when(F.col("_b.r") > 0, F.col("_b.v")).otherwise("none").alias("reliability"))
+
+
+def review_state_of(reliability: Column) -> Column:
+    return F.when(reliability == "high", "verified").otherwise("needs_review")
+
+
+def duplicate_groups(rows: DataFrame, key: str, row_id: str, url: str, at: str, most_ids: int = 10) -> DataFrame:
+    """key, n, up to `most_ids` ids and addresses in order, and the latest date, of keys with more than one row."""
+    some = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most_ids)
+    often = rows.join(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), key)
+    return often.groupBy(key).agg(F.max("n").alias("n"), some(row_id).alias("ids"), some(url).alias("urls"), F.max(at).alias("latest"))
+
+
+def duplicate_accounts(entity_accounts: DataFrame, member_accounts: DataFrame, key: Column) -> DataFrame:
+    """entity_id, account and n: accounts (entity_id, platform, url, handle) that an entity has more than once, its members' included."""
+    rows = entity_accounts.unionByName(member_accounts).withColumn("account", F.concat_ws(":", "platform", key))
+    return rows.groupBy("entity_id", "account").agg(F.count("*").alias("n")).filter("n > 1")

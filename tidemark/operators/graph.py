@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.match import match_score
 from tidemark.functions.num import jround
-from tidemark.functions.text import searchable
+from tidemark.functions.text import jitter, searchable
 from tidemark.operators.ordering import numbered
 from tidemark.session import durable
 
@@ -124,3 +125,73 @@ def compact_ids(rows: DataFrame, prefix: str, *order: Column | str) -> DataFrame
     """`rows` with compact_id: the prefix and the place in base 36."""
     place = (F.col("_place") - 1).cast("string")
     return numbered(rows, "_place", *order).withColumn("compact_id", F.concat(F.lit(prefix), F.lower(F.conv(place, 10, 36)))).drop("_place")
+
+
+@dataclass(frozen=True)
+class View:
+    """What a graph query gives: each part a DataFrame."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    evidence: DataFrame
+    leaderboard: DataFrame
+    review: DataFrame
+    parts: dict[str, DataFrame] = field(default_factory=dict)
+
+
+def query(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, review: DataFrame, filters: Filters, least_weight: float = 0.0) -> View:
+    """The graph under filters. nodes: id, label, score and what filters ask for; edges: source, target, weight; evidence and review: entity_id, platform.
+
+    Edges stay where both ends do, evidence and review rows where their entity
+    and platform do, and what is left is ranked anew.
+    """
+    kept = nodes.filter(matches(filters))
+    edges = visible(edges.filter(F.col("weight") >= least_weight), kept, "source", "target")
+    of_platform = selected(F.col("platform"), filters.platforms)
+    rows, open_ = visible(evidence.filter(of_platform), kept, "entity_id"), visible(review.filter(of_platform), kept, "entity_id")
+    board = numbered(kept.select("id", "label", "score"), "rank", F.desc("score"), "id").withColumn("rank", F.col("rank").cast("int"))
+    return View(kept, edges, rows, board, open_)
+
+
+def attach(board: DataFrame, momentum: DataFrame, key: str) -> DataFrame:
+    """Rows of a filtered board with their momentum, ranked by gain; those without any go."""
+    rows = board.join(momentum, key)
+    return numbered(rows, "place", F.desc("gain"), F.desc("rank_gain"), F.desc("score"), key).withColumn("place", F.col("place").cast("int"))
+
+
+def review_queue(accounts: DataFrame, platforms: tuple[str, ...] = ()) -> DataFrame:
+    """`accounts` (entity_type, entity_id, entity_name, platform, state) that are not verified, of the selected platforms, with their place: those to review first, then the rejected, by name."""
+    open_ = accounts.filter((F.col("state") != "verified") & selected(F.col("platform"), platforms))
+    first = F.when(F.col("state") == "needs_review", 0).otherwise(1)
+    return numbered(open_.withColumn("_first", first), "place", "_first", "entity_name", "entity_type", "entity_id", "platform").drop("_first")
+
+
+def member_edges(members: DataFrame, weight: float = 1.0) -> DataFrame:
+    """source (member), target (entity) of every entity in a member's list of ids."""
+    return members.select(F.col("id").alias("source"), F.explode("entity_ids").alias("target")).distinct().withColumn("weight", F.lit(weight))
+
+
+def spiral(nodes: DataFrame) -> DataFrame:
+    """`nodes` (id, cluster, label, score, radius) with x and y: clusters by size along a spiral, and their nodes by score along one of their own.
+
+    Fixed values: steps between 205 and 300, and 52 and 84, ellipses of 1.16 by
+    0.88 and 1 by 0.78.
+    """
+    angle = math.pi * (3 - math.sqrt(5))
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("_size"), F.greatest(F.max("radius"), F.lit(20.0)).alias("_widest"))
+    sizes = numbered(sizes, "_c", F.desc("_size"), "cluster").withColumn("_c", F.col("_c") - 1)
+    many = sizes.agg(F.count("*").alias("_many"))
+    rows = nodes.join(sizes, "cluster").crossJoin(F.broadcast(many))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "label", "id")) - 1)
+    step = F.greatest(F.lit(205.0), F.least(F.lit(300.0), 840 / F.sqrt(F.greatest("_many", F.lit(1)))))
+    out, turn = F.sqrt("_c") * step, F.col("_c") * angle - math.pi / 2
+    near = F.greatest(F.lit(52.0), F.least(F.lit(84.0), F.col("_widest") * 1.05))
+    reach = F.when(F.col("_n") == 0, 0.0).otherwise(F.sqrt("_n") * near + F.col("_widest") * 0.38)
+    own = F.col("_n") * angle + jitter(F.col("id").cast("string"), 0.45)
+    x = F.cos(turn) * out * 1.16 + F.cos(own) * reach + jitter(F.concat(F.col("id").cast("string"), F.lit(":x")), 10.0)
+    y = F.sin(turn) * out * 0.88 + F.sin(own) * reach * 0.78 + jitter(F.concat(F.col("id").cast("string"), F.lit(":y")), 8.0)
+    return rows.select("id", "cluster", x.alias("x"), y.alias("y"))
+
+
+def centroids(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))

@@ -7,12 +7,13 @@ few platforms, and a window over one would hold a large share of all rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.dates import decay
 from tidemark.functions.num import clamp, jround, safe
-from tidemark.operators.config import LIVE, Scoring, lookup
+from tidemark.operators.config import DEMO_METRICS, LIBRARY_PLATFORMS, LIVE, Scoring, lookup
 from tidemark.operators.ordering import running
 
 
@@ -190,6 +191,86 @@ def experiment_scores(by_platform: DataFrame, platform_weights: dict[str, float]
     return rows.crossJoin(F.broadcast(ends)).select("entity_id", "n_platforms", jround(0.82 * F.col("held") + 0.18 * spread, 2).alias("experiment"))
 
 
+def composite_total(by_platform: DataFrame, platform_weights: dict[str, float] = LIBRARY_PLATFORMS) -> DataFrame:
+    """entity_id, absolute, percentile, total, coverage and review_state of platform scores (entity_id, platform, score, state).
+
+    Verified scores above 0 of weighted platforms are averaged by weight and
+    held down by 0.85 + 0.15 * sqrt(share of platforms); the total is the mid-rank
+    percentile of that among the entities. coverage: the share of weight there.
+    """
+    rows = by_platform.withColumn("_w", lookup(platform_weights, F.col("platform"), 0.0))
+    rows = rows.withColumn("_on", (F.col("_w") > 0) & (F.col("score") > 0) & (F.col("state") == "verified"))
+    w = F.when(F.col("_on"), F.col("_w"))
+    agg = rows.groupBy("entity_id").agg(
+        F.count_if("_on").alias("n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("weight"), F.coalesce(F.sum(F.col("score") * w) / F.sum(w), F.lit(0.0)).alias("mean"),
+        F.bool_or(F.col("state") == "verified").alias("_any"), F.bool_and(F.col("state") == "rejected").alias("_all"),
+    )
+    factor = F.when(F.col("n") > 0, 0.85 + 0.15 * F.sqrt(F.col("n") / len(platform_weights))).otherwise(0.0)
+    agg = agg.withColumn("absolute", jround(jround(F.col("mean"), 2) * factor, 2))
+    ranked = midrank(agg, [], "absolute", "percentile")
+    state = F.when(F.col("_any"), "verified").when(F.col("_all"), "rejected").otherwise("needs_review")
+    return ranked.select("entity_id", "absolute", "percentile", jround(F.col("percentile") * 100, 2).alias("total"), F.least(F.lit(1.0), F.col("weight") / sum(platform_weights.values())).alias("coverage"), state.alias("review_state"))
+
+
+def weighted_average(value: Column, weight: Column, fallback: float) -> Column:
+    """An aggregate: the mean by weight of finite values with a weight above 0; the fallback where there is none."""
+    good = value.isNotNull() & ~F.isnan(value) & (weight > 0)
+    return F.coalesce(F.sum(F.when(good, value * weight)) / F.sum(F.when(good, weight)), F.lit(fallback))
+
+
+# The demonstration model: shares of values that are at most one's own, accounts that count in full or not at all.
+
+
+def demo_raw(metrics: Column) -> Column:
+    return weighted_sum(metrics, DEMO_METRICS)
+
+
+def demo_platform_scores(posts: DataFrame, top: int = 5) -> DataFrame:
+    """entity_id, platform, n, score: 0.75 of the top posts' mean, 0.15 of how many there are of five, 0.10 for a verified account, and 0 without one.
+
+    posts: entity_id, platform, normalized, ordinal, state (of the account).
+    """
+    order = Window.partitionBy("entity_id", "platform").orderBy(F.desc("normalized"), "ordinal")
+    rows = posts.withColumn("_k", F.row_number().over(order))
+    agg = rows.groupBy("entity_id", "platform").agg(F.count("*").alias("n"), F.avg(F.when(F.col("_k") <= top, F.col("normalized"))).alias("top"), F.max("state").alias("state"))
+    full = clamp(0.75 * F.col("top") + 0.15 * clamp(F.col("n") / top * 100, 0.0, 100.0) + 0.1 * 100, 0.0, 100.0)
+    return agg.select("entity_id", "platform", "n", "state", F.when(F.col("state") == "verified", full).otherwise(0.0).alias("score"))
+
+
+def demo_entity_scores(by_platform: DataFrame, platform_weights: dict[str, float] = LIBRARY_PLATFORMS, other: float = 0.05) -> DataFrame:
+    """entity_id, total (by weight, 0.05 for other platforms), review_state and penalty, which is recorded and not applied."""
+    w = lookup(platform_weights, F.col("platform"), other)
+    agg = by_platform.groupBy("entity_id").agg((F.sum(F.col("score") * w) / F.sum(w)).alias("total"), F.count("*").alias("n"), F.bool_or(F.col("state") == "verified").alias("_any"))
+    return agg.select("entity_id", clamp(F.col("total"), 0.0, 100.0).alias("total"), F.when(F.col("_any"), "verified").otherwise("needs_review").alias("review_state"), F.least(F.lit(1.0), 0.65 + 0.08 * F.col("n")).alias("penalty"))
+
+
+def experiment_lists(rows: DataFrame, most: int = 25) -> DataFrame:
+    """list and entity_id: what an experiment's report lists, each list its first `most` by score.
+
+    rows: entity_id, score, n_evidence, views, stars, top_share (of the weight,
+    of the first platform), n_platforms, code (score of the repositories, or null) and social (mean of social scores, or 0).
+    """
+    f, code = F.col, F.coalesce("code", F.lit(0.0))
+    lists = {
+        "top": F.lit(True), "one_platform": f("top_share") >= 0.85, "cross_platform": f("n_platforms") >= 3, "sparse": (f("score") >= 50) & (f("n_evidence") <= 2), "high_code_low_social": (code >= 70) & (f("social") < 30),
+        "viral_low_code": (f("social") >= 60) & (code < 30), "high_code_low_total": (f("stars") >= 1_000) & (f("score") < 45),
+    }
+    cut = lambda name, df, n, *order: df.orderBy(*order).limit(n).select(F.lit(name).alias("list"), "entity_id")
+    best = (F.desc("score"), "entity_id")
+    out = [cut(name, rows.filter(when), most, *best) for name, when in lists.items()]
+    out.append(cut("bottom", rows, most, "score", F.desc("entity_id")))
+    out.append(cut("views_low_score", rows.filter((f("views") >= 50_000) & (f("score") < 50)), most, F.desc("views"), "entity_id"))
+    issue = ((f("score") >= 70) & (f("n_evidence") <= 1)) | ((f("views") >= 100_000) & (f("score") < 40)) | ((f("stars") >= 5_000) & (code < 65))
+    out.append(cut("formula_issues", rows.filter(issue), 30, *best))
+    return reduce(DataFrame.unionByName, out)
+
+
+def config_quality(lists: DataFrame, priority: Column) -> DataFrame:
+    """config and value of lists (config, list): twice the cross-platform entities, less sparse ones, a fifth of unscored views and a tenth of those of one platform, and the priority of the weights."""
+    n = lambda name: F.count_if(F.col("list") == name)
+    return lists.groupBy("config").agg((2 * n("cross_platform") - n("sparse") - 0.2 * n("views_low_score") - 0.1 * n("one_platform")).alias("value")).withColumn("value", F.col("value") + priority)
+
+
 # Seeds at ingestion.
 
 

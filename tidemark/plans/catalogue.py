@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import audits, relations, scoring
+from tidemark.plans import audits, evidence, relations, scoring, views
 
-_MODULES = (scoring, relations, audits)
+_MODULES = (scoring, relations, audits, evidence, views)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark.operators.dedupe import last_wins
+from tidemark.operators.snapshots import due, retained
 
 
 def pending(tasks: DataFrame, log: DataFrame, key: str = "task_key", *, force: bool = False) -> DataFrame:
@@ -49,3 +50,19 @@ def replay(spark: SparkSession, batches: list[DataFrame], step: Callable[[DataFr
     for b in batches:
         out = step(out, b)
     return out
+
+
+def recorded(stored: DataFrame, current: DataFrame, now: Column, keep: dict[str, int]) -> DataFrame:
+    """`stored` snapshots with `current` (batch, entity_id, score, rank) as today's and this week's where they are due, and what is retained."""
+    gates = current.select("batch").distinct().join(due(stored, now), "batch", "left")
+    rows = []
+    for granularity, gate in (("daily", "daily_due"), ("weekly", "weekly_due")):
+        open_ = gates.filter(F.coalesce(gate, F.lit(True))).select("batch")
+        rows.append(current.join(open_, "batch", "left_semi").withColumn("granularity", F.lit(granularity)).withColumn("recorded_at", now))
+    return retained(stored.unionByName(rows[0].select(*stored.columns)).unionByName(rows[1].select(*stored.columns)), keep)
+
+
+def cooling(failures: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """platform and until, of platforms whose last refusal (platform, at, refused) has not yet expired."""
+    last = failures.filter("refused").groupBy("platform").agg(F.max("at").alias("at"))
+    return last.withColumn("until", F.col("at") + F.make_interval(mins=F.lit(minutes))).filter(F.col("until") > now).select("platform", "until")
