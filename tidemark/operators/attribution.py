@@ -201,3 +201,47 @@ def rank_candidates(rows: DataFrame) -> DataFrame:
     """`rows` (state, official_site, n_matches) with rank_value: 100 by the state's rank (verified 3, needs_review 2, rejected 1), 4 for the official site, 1 a match."""
     state = F.when(F.col("state") == "verified", 3).when(F.col("state") == "needs_review", 2).otherwise(1)
     return rows.withColumn("rank_value", state * 100 + F.col("official_site").cast("int") * 4 + F.col("n_matches"))
+
+
+def identity_signals(rows: DataFrame, as_of: Column) -> DataFrame:
+    """`rows` with the flags that `identity` reads, and n_matches, how many of the ten hold.
+
+    rows: entity_type (company or founder), name, company_name, batch, website
+    of the entity; explicit, display_name, handle, bio, site, verified,
+    on_official_site, active_at of the candidate. Null texts match nothing.
+    """
+    f, key = F.col, compact
+    has = lambda text, part: (key(part) != "") & F.contains(key(text), key(part))
+    named = ((key(f("display_name")) == key(f("name"))) | (key(f("handle")) == key(f("name")))) & (key(f("name")) != "")
+    company = F.coalesce("company_name", F.when(f("entity_type") == "company", f("name")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(f("active_at").cast("timestamp"))) / 86_400_000_000.0
+    flags = {
+        "official_site": yes(f("on_official_site")), "exact_company": (f("entity_type") == "company") & named, "exact_founder": (f("entity_type") == "founder") & named, "domain": yes(host(f("website")) == host(f("site"))),
+        "bio_mentions": has(f("bio"), company), "bio_program": yes(f("bio").rlike(r"(?i)\bYC\b|Y\s*Combinator")), "founder_role": (f("entity_type") == "founder") & yes(f("bio").rlike(r"(?i)\bfounder\b|\bco-founder\b")),
+        "batch_context": has(f("bio"), f("batch")), "verified_account": yes(f("verified")), "recent_activity": yes(age.between(0, 90)),
+    }
+    return rows.withColumns(flags).withColumn("n_matches", sum((F.col(k).cast("int") for k in flags), F.lit(0)))
+
+
+def profile_matches(rows: DataFrame) -> DataFrame:
+    """`rows` with `matches`: whether a picture profile is an entity's.
+
+    rows: entity_type, name, company_name, website, reason of the target;
+    display_name, external, bio, followers of the profile. A link that names
+    the company or its site decides; else the display name must be exact, and
+    where it came from, how many words it has, and followers or bio must bear it out.
+    """
+    f = F.col
+    domain = F.split_part(host(f("website")), F.lit("."), F.lit(1))
+    tokens = F.filter(F.array(compact(f("company_name")), compact(domain)), lambda t: F.length(t) >= 4)
+    external, bio, shown = compact(f("external")), compact(f("bio")), compact(f("display_name"))
+    own = F.when(f("entity_type") == "company", f("company_name")).otherwise(f("name"))
+    exact = (shown != "") & ((shown == compact(own)) | (shown == compact(f("company_name"))))
+    told = lambda pattern: F.coalesce(f("reason").rlike(pattern), F.lit(False))
+    searched = told("(?i)Web Instagram search|OpenCLI Instagram search") & ~told("(?i)live instagram identity validation|manual verified|visible read-only social profiles")
+    several = F.size(F.split(F.trim(own), r"\s+")) >= 2
+    company = told("(?i)official company website|official website outbound|source chain starts") | (several & (F.coalesce("followers", F.lit(100)) >= 100))
+    founder = several | F.exists(tokens, lambda t: F.contains(bio, t))
+    linked = (external != "") & F.exists(tokens, lambda t: F.contains(external, t))
+    return rows.withColumn("matches", linked | (exact & ~searched & F.when(f("entity_type") == "company", company).otherwise(founder)))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Fixed names of fields that name and describe an entity in foreign records.
 NAME_FIELDS, URL_FIELDS, TAGLINE_FIELDS = ("name", "companyName", "title"), ("website", "websiteUrl", "url"), ("tagline", "oneLiner", "one_liner", "description")
@@ -121,3 +121,31 @@ def _candidate(origin: str, score: int):
         return F.struct((F.when(poor, 60).otherwise(0) - score).alias("order"), place.alias("place"), F.lit(origin).alias("origin"), image.alias("image"))
 
     return make
+
+
+def search_records(results: DataFrame, batch: str) -> DataFrame:
+    """`results` (title, snippet, url) that speak of the programme, with name (the title up to a sign that parts it) and reliability: medium on the programme's own pages that name the batch, else low."""
+    own = F.contains("url", F.lit("ycombinator.com/companies"))
+    speaks = F.concat_ws(" ", "title", "snippet", "url").rlike(r"(?i)y\s*combinator|yc\b")
+    named = F.contains(F.regexp_replace(F.lower(F.concat_ws(" ", "title", "snippet")), "[^a-z0-9]", ""), F.lit(re.sub("[^a-z0-9]", "", batch.lower())))
+    name = F.trim(F.regexp_extract("title", r"^([^|:–—]+?)(?:\s[|:–—-]\s.*|\s*[|:–—].*)?$", 1))
+    rows = results.filter(speaks | own).withColumn("name", name).filter("name <> ''")
+    return rows.withColumn("reliability", F.when(own & named, "medium").otherwise("low"))
+
+
+def stories(hits: DataFrame) -> DataFrame:
+    """`hits` (title, text) of a story search that name the batch."""
+    return hits.filter(F.concat_ws(" ", "title", "text").rlike(r"(?i)\bYC\s*(P26|S26|Spring\s+2026)\b"))
+
+
+def embedded_videos(pages: DataFrame, key: str, source: str = "html", most: int = 20) -> DataFrame:
+    """key, place, video and title of the first videos, each once, in a page's embedded record."""
+    found = F.regexp_extract_all(source, F.lit(r'(?s)("videoId":"[^"]+".{0,500}?"title":\{"runs":\[\{"text":"[^"]+")'), F.lit(1))
+    each = F.transform(found, lambda x: F.struct(F.regexp_extract(x, r'^"videoId":"([^"]+)"', 1).alias("video"), F.regexp_extract(x, r'"text":"([^"]+)"$', 1).alias("title")))
+    first = F.filter(each, lambda x, i: ~F.exists(F.slice(each, 1, i), lambda y: y["video"] == x["video"]))
+    return pages.select(key, F.posexplode(F.slice(first, 1, most)).alias("place", "v")).select(key, "place", "v.*")
+
+
+def drop_nulls(values: Column) -> Column:
+    """A map without entries whose value is null."""
+    return F.map_filter(values, lambda _, v: v.isNotNull())
