@@ -14,10 +14,9 @@ import functools
 import gc
 import itertools
 import json
-import re
 import string
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,6 @@ END_ID = 2
 CHUNK_BYTES = 4 << 20
 #: Most bytes of pieces and their ids that a worker remembers from chunk to chunk.
 MEMORY_BYTES = 16 << 20
-SIGNS = re.escape(string.punctuation)
-#: A word and the signs behind it, twice where a line end parts them.
-SHAPE = re.compile(rf"([^\W\d_]+)([{SIGNS}]+)?(?:(\n)([^\W\d_]+)([{SIGNS}]+)?)?")
 #: How byte-level vocabularies write bytes: those without a printable sign of their own follow upon 255.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -75,52 +71,27 @@ class Encoder:
             splits.get("type") == "ByteLevel" and not splits["add_prefix_space"] and splits["use_regex"] and not made["normalizer"] and not made["truncation"] and not made["padding"]
             and made["model"]["type"] == "BPE" and all((made["model"].get(k) or v) == v for k, v in plain.items())
         )
-        # What is remembered: words without the space before them, and the ids of both.
+        # What is remembered: units and their ids.
         self.known, self.known_ids = pa.array([], pa.string()), _lists([])
 
     def _ids(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def _units(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of words, or of signs, that the tokenizer does not part further before it merges."""
-        out, tokenize = {}, self.merges.tokenize
-        for word in words:
-            signs = SPACE_SIGN + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-            out[word] = [x.id for x in tokenize(signs)]
-        return out
-
-    def _fresh(self, pieces: list[str]) -> list[list[int] | None]:
-        """The ids of a space and each piece; None where the tokenizer may join the space with the one before."""
-        out: list[list[int] | None] = [None] * len(pieces)
-        words: dict[str, None] = {}
-        alone, parted = [], []
-        for k, piece in enumerate(pieces):
-            if piece.isalpha():
-                words[" " + piece] = None
-                alone.append(k)
-            elif not piece or piece[0].isspace():
-                continue
-            elif (m := SHAPE.fullmatch(piece)) and m[1].isalpha() and (not m[4] or m[4].isalpha()):
-                parted.append((k, m.groups()))
+    def _merged(self, units: list[str]) -> list[list[int]]:
+        """The ids of units: words, with the space before them or without, signs, or a line end; the tokenizer does not part these further before it merges."""
+        out, tokenize = [], self.merges.tokenize
+        for unit in units:
+            if unit.isascii() and unit.isalnum():
+                signs = unit
+            elif unit.isascii() and unit[:1] == " ":
+                signs = SPACE_SIGN + unit[1:]
             else:
-                out[k] = self._ids(" " + piece)
-        heads = list(dict.fromkeys(g[0] for _, g in parted if " " + g[0] not in words))
-        place = pc.index_in(pa.array(heads, pa.string()), value_set=self.known)
-        units = dict(zip([" " + x for x in heads], pc.take(self.known_ids, place).to_pylist(), strict=True))
-        words.update((x, None) for x, ids in units.items() if ids is None)
-        words.update((x, None) for _, g in parted for x in g[1:] if x)
-        units.update(self._units(words))
-        for k in alone:
-            out[k] = units[" " + pieces[k]]
-        for k, g in parted:
-            out[k] = ids = units[" " + g[0]].copy()
-            for x in g[1:]:
-                if x:
-                    ids += units[x]
+                signs = unit.encode().decode("latin-1").translate(BYTE_SIGNS)
+            out.append([x.id for x in tokenize(signs)] if signs else [])
         return out
 
     def _remember(self, pieces: pa.Array, ids: pa.Array, often: np.ndarray, asked: np.ndarray) -> None:
-        """Takes in fresh pieces; beyond MEMORY_BYTES only what the chunk has more than once, and of the known ones what it asked for."""
+        """Takes in fresh units; beyond MEMORY_BYTES only what the chunk has more than once, and of the known ones what it asked for."""
         if self.known.nbytes + self.known_ids.nbytes + pieces.nbytes + ids.nbytes > MEMORY_BYTES:
             kept, seen = pa.array(np.unique(asked)), pa.array(often)
             self.known, self.known_ids, pieces, ids = pc.take(self.known, kept), pc.take(self.known_ids, kept), pieces.filter(seen), ids.filter(seen)
@@ -147,36 +118,92 @@ class Encoder:
         at = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         values = parts.flatten()
         coded, first = values.dictionary_encode(), pc.take(values, pa.array(at[:-1])).dictionary_encode()
-        known = pc.index_in(coded.dictionary, value_set=self.known)
+        index = coded.indices.to_numpy().astype(np.int64)
+        table, others, units, n_units, joined = _units_of(coded.dictionary)
+        # The rows of ids: known units, fresh ones, other pieces, first pieces of texts (no space before them), the end, and whole texts.
+        known = pc.index_in(table, value_set=self.known)
         is_new = pc.is_null(known).to_numpy(zero_copy_only=False)
-        fresh = coded.dictionary.filter(pa.array(is_new))
-        got = self._fresh(fresh.to_pylist())
-        # The table of ids: known pieces, fresh ones, first pieces of texts (no space before them), then the end, nothing, and whole texts.
+        fresh = table.filter(pa.array(is_new))
+        made = self._merged(fresh.to_pylist())
         base = len(self.known_ids)
-        more = [x or [] for x in got] + [self._ids(x) if x else [] for x in first.dictionary.to_pylist()] + [[end_id], []]
+        more = made + [self._ids(x) for x in others] + [self._ids(x) if x else [] for x in first.dictionary.to_pylist()] + [[end_id]]
         place = pc.fill_null(known, 0).to_numpy().astype(np.int64)
-        place[is_new] = base + np.arange(len(got))
-        index = place[coded.indices.to_numpy()]
-        index[at[:-1]] = base + len(got) + first.indices.to_numpy()
-        joined = np.zeros(base + len(more), bool)
-        joined[base : base + len(got)] = [x is None for x in got]
-        whole = np.logical_or.reduceat(joined[index], at[:-1])
+        place[is_new] = base + np.arange(len(made))
+        place = np.concatenate([place, base + len(made) + np.arange(len(others))])
+        # The rows of units: pieces, first pieces, the end, nothing, and whole texts.
+        single = base + len(made) + len(others) + np.arange(len(first.dictionary) + 1)
+        end = len(n_units) + len(first.dictionary)
+        index[at[:-1]] = len(n_units) + first.indices.to_numpy()
+        rows, sizes = [place[units], single], [n_units, np.ones(len(single), np.int64), [0]]
+        whole = np.logical_or.reduceat(np.append(joined, np.zeros(len(single), bool))[index], at[:-1])
         for a in self.added:
             whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
-        end, nothing = base + len(more) - 2, base + len(more) - 1
-        for k in np.flatnonzero(whole).tolist():
-            index[at[k] : at[k + 1]] = nothing
-            index[at[k]] = base + len(more)
+        alone = np.flatnonzero(whole)
+        for j, k in enumerate(alone.tolist()):
+            index[at[k] : at[k + 1]] = end + 1
+            index[at[k]] = end + 2 + j
             more.append(self._ids(texts[k].as_py()))
+        rows.append(single[-1] + 1 + np.arange(len(alone)))
+        sizes.append(np.ones(len(alone), np.int64))
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        pieces = pc.take(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(rows))), pa.array(np.insert(index, at[1:], end)))
         lists = pa.concat_arrays([self.known_ids, _lists(more)])
-        out = pc.take(lists, pa.array(np.insert(index, at[1:], end)))
-        upto = out.offsets.to_numpy()[np.append(at[:-1] + np.arange(len(texts)), len(out))]
-        often = np.bincount(coded.indices.to_numpy(), minlength=len(place))[is_new] > 1
-        certain = pa.array(~joined[base : base + len(got)])
-        self._remember(fresh.filter(certain), lists[base : base + len(got)].filter(certain), often[certain.to_numpy(zero_copy_only=False)], place[~is_new])
+        out = pc.take(lists, pieces.values)
+        ends = np.append(at[:-1] + np.arange(len(texts)), len(pieces))
+        upto = out.offsets.to_numpy()[pieces.offsets.to_numpy()[ends]]
+        used = np.bincount(units, np.repeat(np.bincount(coded.indices.to_numpy(), minlength=len(n_units)), n_units), len(table))[: len(table)]
+        self._remember(fresh, lists[base : base + len(made)], used[is_new] > 1, place[: len(table)][~is_new])
         return np.diff(upto).astype(np.int64), out.values.to_numpy()
 
 
+def _units_of(pieces: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """What pieces with a space before them consist of: a table of units, other pieces (with the space) that are to be encoded whole,
+    the units of all pieces in a row (places in table and others), their numbers, and the pieces that the tokenizer may join with the space before."""
+    lines = pc.split_pattern(pieces, "\n")
+    n_lines = np.diff(lines.offsets.to_numpy()).astype(np.int64)
+    subs = lines.flatten()
+    heads = pc.utf8_rtrim(subs, characters=string.punctuation)
+    begins = np.cumsum(n_lines) - n_lines
+    good = np.logical_and.reduceat(pc.utf8_is_alpha(heads).to_numpy(zero_copy_only=False), begins)
+    kept = np.repeat(good, n_lines)
+    leads = np.zeros(len(subs), bool)
+    leads[begins] = True
+    leads = leads[kept]
+    subs, heads = subs.filter(pa.array(kept)), heads.filter(pa.array(kept))
+    spaces = pa.DictionaryArray.from_arrays(pa.array(np.where(leads, 0, 1), pa.int8()), pa.array([" ", ""])).cast(pa.string())
+    length = pc.binary_length(heads).to_numpy().astype(np.int64)
+    n_signs = pc.binary_length(subs).to_numpy().astype(np.int64) - length
+    coded = pa.concat_arrays([pc.binary_join_element_wise(spaces, heads, ""), _slices(subs, length, n_signs), pa.array(["\n"])]).dictionary_encode()
+    code, m = coded.indices.to_numpy().astype(np.int64), len(subs)
+    each = np.stack([np.where(leads, -1, code[-1]), code[:m], np.where(n_signs > 0, code[m : 2 * m], -1)], 1)
+    rows = np.flatnonzero(good)
+    of_piece = np.repeat(np.arange(len(rows)), n_lines[good])
+    n_units = np.zeros(len(pieces), np.int64)
+    n_units[rows] = np.bincount(of_piece, (each >= 0).sum(1), len(rows)).astype(np.int64)
+    others, joined = [], np.zeros(len(pieces), bool)
+    for k in np.flatnonzero(~good).tolist():
+        piece = pieces[k].as_py()
+        if not piece or piece[0].isspace():
+            joined[k] = True
+        else:
+            n_units[k] = 1
+            others.append(" " + piece)
+    units = np.empty(n_units.sum(), np.int64)
+    of_good = np.repeat(good, n_units)
+    units[of_good] = each[each >= 0]
+    units[~of_good] = len(coded.dictionary) + np.arange(len(others))
+    return coded.dictionary, others, units, n_units, joined
+
+
+def _slices(values: pa.Array, begin: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Of each string the bytes from `begin` on."""
+    at = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    upto = np.cumsum(length)
+    take = np.repeat(at[:-1] + begin - (upto - length), length) + np.arange(length.sum())
+    data = np.frombuffer(values.buffers()[2], np.uint8)[take] if len(take) else np.zeros(0, np.uint8)
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(np.concatenate([[0], upto]).astype(np.int32)), pa.py_buffer(data))
+
+
 def _lists(ids: list[list[int]]) -> pa.Array:
     at = np.cumsum([0, *map(len, ids)])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, at[-1])))
