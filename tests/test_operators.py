@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, match, num, text, urls
-from tidemark.operators import attribution, config, dedupe, graph, ordering, ranking, scoring, snapshots
+from tidemark.operators import attribution, config, dedupe, graph, media, ordering, params, ranking, scoring, snapshots
 from tidemark.plans import relations
 
 
@@ -192,3 +193,56 @@ def test_numbers_and_running_sums_by_ranges(spark):
 def test_tokens_and_jaccard(spark):
     assert one(spark, text.tokens(F.lit("The Company builds AI-tools for teams, tools"))) == ["tools"]
     assert one(spark, graph.jaccard(F.array(F.lit("A"), F.lit("b")), F.array(F.lit("a")))) == 0.5
+
+
+def test_request_parameters():
+    known = ["x", "github", "web"]
+    assert params.parse_list("x, nope,github,", known) == ["x", "github"] and params.parse_list("a,,b ") == ["a", "b"] and params.parse_list(None) is None
+    assert params.parse_number("1.5") == 1.5 and params.parse_number("x") is None and params.parse_number("inf") is None and params.parse_number("") is None
+    assert params.distinct(["a", "", None, "b", "a"]) == ["a", "b"]
+    assert params.resolve_batch("W1", ["W1", "S2026"]) == "W1" and params.resolve_batch("no", ["W1", "S2026"]) == "S2026" and params.resolve_batch("no", ["W1"]) == "W1" and params.resolve_batch("no", []) is None
+    assert params.filters_of({"minScore": "40", "platforms": "x,bad", "q": "luca"}, known) == graph.Filters(40.0, platforms=("x",), text="luca")
+    assert params.BatchRequest.of({"batchSlug": " S26 ", "options": {"demo": True, "maxCompanies": 5, "platforms": ["x"]}}, known) == params.BatchRequest("S26", {"demo": True}, 5, ("x",))
+    for bad in ({"x": 1}, {"batchSlug": ""}, {"options": {"maxCompanies": 0}}, {"options": {"maxCompanies": True}}, {"options": {"platforms": ["no"]}}, {"options": {"demo": 1}}, {"options": {"sessionId": "a"}}, {"options": [{"apiKey": 1}]}):
+        with pytest.raises(ValueError):
+            params.BatchRequest.of(bad, known)
+
+
+def test_attribution_of_given_cases(spark):
+    schema = "entity_id string, name string, slug string, website string"
+    entities = spark.createDataFrame([("alpha", "Alpha AI", "alpha-ai", "https://www.alpha.ai"), ("beta", "Beta Labs", "beta-labs", "https://beta.dev"), ("flow", "Flow", "flow", None)], schema)
+    links = spark.createDataFrame([("alpha", "x", "https://x.com/alphaai", True), ("alpha", "x", "https://x.com/anaalpha", False), ("alpha", "instagram", "https://instagram.com/alpha.ai/", True), ("beta", "x", "https://twitter.com/betalabs", True)], "entity_id string, platform string, url string, own boolean")
+    members = spark.createDataFrame([("alpha", "Ana Gomez")], "entity_id string, name string")
+    signal = attribution.signals(entities, links, members)
+    assert {r.value for r in signal.filter("entity_id = 'flow'").collect()} == set()
+    base = dict(entity_id="alpha", platform="x", contribution=50.0, review_state="verified", text="", raw=None, author_name=None, author_handle="anaalpha", source_url="https://x.com/anaalpha/status/1", account_url="https://x.com/anaalpha", match_reason=None, why=None)
+    cases = [
+        ({"text": "new customer workflow video"}, "verified", "low"), ({"text": "Rented out a theater for a movie night with friends."}, "needs_review", "medium"), ({"text": "support tickets by guiding users"}, "verified", "low"),
+        ({"text": "Beta Labs raised", "author_handle": "someone", "source_url": "https://x.com/someone/status/2", "account_url": None}, "needs_review", "high"), ({"text": "Alpha AI and Beta Labs"}, "verified", "low"), ({"text": "thanks @betalabs!"}, "needs_review", "high"),
+        ({"text": "see https://docs.beta.dev/a"}, "needs_review", "high"), ({"entity_id": "nobody"}, "needs_review", "high"), ({"text": "x", "raw": '{"is_retweet": true}'}, "verified", "low"), ({"text": "hello", "platform": "instagram"}, "needs_review", "high"),
+        ({"text": "hello", "platform": "instagram", "raw": '{"profile": {"url": "https://www.instagram.com/alpha.ai/"}}'}, "verified", "low"), ({"text": "about Ana Gomez", "platform": "youtube", "author_handle": None, "source_url": "https://youtu.be/1", "account_url": None}, "verified", "low"),
+        ({"text": "Quote of it", "author_handle": None, "source_url": "https://x.com/who/status/1", "account_url": None}, "needs_review", "high"), ({"text": "fun", "platform": "reddit", "author_handle": None, "source_url": "https://blog.alpha.ai/p", "account_url": None}, "verified", "low"),
+    ]
+    rows = [base | change | {"id": k} for k, (change, _, _) in enumerate(cases)]
+    types = "id long, entity_id string, platform string, contribution double, review_state string, text string, raw string, author_name string, author_handle string, source_url string, account_url string, match_reason string, why string"
+    got = {r.id: (r.review_state, r.risk) for r in attribution.guard(attribution.evidence_flags(spark.createDataFrame(rows, types), signal, entities)).collect()}
+    for k, (change, state, risk) in enumerate(cases):
+        assert got[k] == (state, risk), change
+
+
+def test_small_functions(spark):
+    assert one(spark, text.batch_slug(F.lit("YC Spring 2026"))) == "S2026" and one(spark, text.batch_slug(F.lit("w 2025"))) == "W2025" and one(spark, text.batch_label(F.lit("winter 2025"))) == "Winter 2025"
+    now = F.lit("2026-06-20 12:00:00").cast("timestamp")
+    assert str(one(spark, dates.spoken(F.lit("5h ago"), now))) == "2026-06-20 07:00:00" and str(one(spark, dates.spoken(F.lit("Jun 3"), now))) == "2026-06-03 00:00:00" and one(spark, dates.spoken(F.lit("soon"), now)) is None
+    assert one(spark, urls.site_handle(F.lit("https://www.linkedin.com/in/Jane-Doe/"))) == "jane-doe" and one(spark, urls.site_handle(F.lit("no url"))) == "" and one(spark, urls.own_handle(F.lit("@A.b-"))) == "a.b"
+    picture = lambda platform, stored, many, raw, url: one(spark, media.resolve(F.lit(platform), F.lit(stored), F.array(*map(F.lit, many)).cast("array<string>"), F.lit(raw), F.lit(url)))
+    assert picture("youtube", None, [], None, "https://youtu.be/abc-1").picture == "https://i.ytimg.com/vi/abc-1/hqdefault.jpg"
+    assert picture("x", None, ["https://a.com/1.png", "https://pbs.twimg.com/media/2?format=jpg"], None, None).picture == "https://pbs.twimg.com/media/2?format=jpg"
+    assert picture("x", None, [], "![x](https://a.com/favicon.png)", None) == (None, None)
+
+
+def test_library_company_score(spark):
+    rows = [("c", "x", 64.0, "verified"), ("c", "github", 60.0, "verified"), ("c", "youtube", 90.0, "needs_review"), ("d", "x", 20.0, "rejected"), ("e", "x", 100.0, "verified")]
+    got = {r.entity_id: r for r in scoring.composite_total(spark.createDataFrame(rows, "entity_id string, platform string, score double, state string")).collect()}
+    assert (got["c"].absolute, got["c"].review_state) == (58.28, "verified") and got["d"].absolute == 0 and got["d"].review_state == "rejected"
+    assert abs(got["c"].coverage - 0.45) < 1e-9 and got["c"].total == 50.0
