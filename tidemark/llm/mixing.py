@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.tables import table
+from tidemark.operators.ordering import numbered
 from tidemark.session import durable
 
 SEED = 20240607
@@ -41,22 +42,23 @@ def targets(sizes: DataFrame) -> DataFrame:
 
     Sources by code point, null last, weigh 5, 2, 1, and so on. All share 150 %
     of the whole; a target stops at twice its source, and the excess goes to
-    the others by weight. That is a level: sorted by size over weight, the
-    sources under the level are full and the others get the level by weight.
-    The windows run over one row for each source.
+    the others by weight. That is a level: sources that twice their size keeps
+    under it are full, and the others get the level by weight. It rises until
+    no other source is full, one aggregate over the sources at a time, so there
+    may be as many sources as there are sites.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    rank = F.col("_rank") - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (rank % len(WEIGHTS) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * MOST_TIMES)
-    up = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum(F.col("source_size").cast("double")).over(whole) * SHARE_PERCENT / 100
-    rows = rows.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    fits = F.col("level") * F.col("weight") <= F.col("cap")
-    first = F.struct((-F.col("cap") / F.col("weight")).alias("order"), F.col("level").alias("level"))
-    rows = rows.withColumn("first", F.when(fits, first)).withColumn("level", F.max("first").over(whole)["level"])
-    return rows.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    rows = numbered(sizes.select("source", "source_size"), "_rank", F.col("source").asc_nulls_last())
+    rows = durable(rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size").cast("double") * MOST_TIMES).alias("cap")), "sources")
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight") if n_full >= 0 else F.lit(False)
+        got = rows.agg(F.sum(F.col("source_size").cast("double")), F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not got[3] or got[1] == n_full:
+            break
+        level, n_full = (got[0] * SHARE_PERCENT / 100 - (got[2] or 0.0)) / got[3], got[1]
+    return rows.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _subset(sums: list[int], total: int) -> list[int]:

@@ -16,8 +16,6 @@ from tidemark.session import durable
 
 SLOTS = 4096
 SHARDS = 8
-#: Moves of slots after which an edit stops at the latest.
-MOST_MOVES = SLOTS
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -31,14 +29,14 @@ def first_map(slots: int, shards: int) -> list[int]:
     return [s % shards for s in range(slots)]
 
 
-def edited_map(before: list[int], sizes: list[int], shards: int, most_moves: int = MOST_MOVES) -> list[int]:
-    """`before` with slots moved, or two exchanged, from the fullest shard to the least full one until no such edit narrows their gap."""
+def edited_map(before: list[int], sizes: list[int], shards: int) -> list[int]:
+    """`before` with slots moved, or two exchanged, from the fullest shard to the least full one until no such edit narrows their gap. Each edit makes the loads less unequal, so there is an end."""
     shard = [s if s < shards else s % shards for s in before]
     held: list[set[int]] = [set() for _ in range(shards)]
     for slot, s in enumerate(shard):
         held[s].add(slot)
     load = [sum(sizes[x] for x in held[s]) for s in range(shards)]
-    for _ in range(most_moves):
+    while True:
         full, least = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
         gap = load[full] - load[least]
         # Best: what leaves the gap nearest to zero. A move takes twice a slot's size off it, an exchange twice the difference.
