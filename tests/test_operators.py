@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, match, num, text, urls
-from tidemark.operators import attribution, config, dedupe, graph, media, ordering, params, ranking, scoring, snapshots
+from tidemark.operators import attribution, config, dedupe, graph, media, ordering, params, ranking, reports, scoring, snapshots
 from tidemark.plans import relations
+from tidemark.sources import landed
 
 
 def one(spark, column):
@@ -246,3 +247,11 @@ def test_library_company_score(spark):
     got = {r.entity_id: r for r in scoring.composite_total(spark.createDataFrame(rows, "entity_id string, platform string, score double, state string")).collect()}
     assert (got["c"].absolute, got["c"].review_state) == (58.28, "verified") and got["d"].absolute == 0 and got["d"].review_state == "rejected"
     assert abs(got["c"].coverage - 0.45) < 1e-9 and got["c"].total == 50.0
+
+
+def test_reports_and_sources(spark):
+    rows = spark.createDataFrame([("a|b", 1), (None, 2)], "x string, n long").coalesce(1)
+    assert reports.markdown(rows, "T") == "## T\n\n| x | n |\n| --- | --- |\n| a/b | 1 |\n|  | 2 |\n"
+    got, warnings = landed.first_filled([("official", rows.limit(0)), ("fallback", rows)], 3)
+    assert got.count() == 2 and warnings == ["official: no rows", "fallback: 2 rows, expected 3"]
+    assert one(spark, text.stable_id(F.lit("A b" * 100)))[:7] == "a-ba-ba" and len(one(spark, text.stable_id(F.lit("A b" * 100)))) == 180

@@ -21,7 +21,3 @@ def clamp(x: Column, low: float, high: float) -> Column:
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return F.when(bad, F.lit(low)).otherwise(F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
-
-def share(part: Column, whole: Column) -> Column:
-    """part / whole, null where whole is 0."""
-    return part / F.nullif(whole, F.lit(0.0))

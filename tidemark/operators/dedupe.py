@@ -24,6 +24,12 @@ def evidence_freshness(*texts: Column) -> Column:
     return freshness(*[lenient(t) for t in texts])
 
 
+def fresh_survivors(rows: DataFrame, key: str, times: list[str], contribution: str = "contribution", metrics: str = "metrics", ordinal: str = "ordinal") -> DataFrame:
+    """Of each key the row that is freshest by its times (texts), then that of the largest contribution * 1e6 + sum of metrics; ties keep the first."""
+    total = F.aggregate(F.map_values(metrics), F.lit(0.0), lambda n, v: n + F.coalesce(v, F.lit(0.0)))
+    return survivors(rows, [key], evidence_freshness(*[F.col(t) for t in times]).desc(), (F.coalesce(contribution, F.lit(0.0)) * 1e6 + total).desc(), ordinal=ordinal)
+
+
 def survivors(rows: DataFrame, keys: list[str], *rank: Column | str, ordinal: str = "ordinal") -> DataFrame:
     """The best row of each key; ties keep the first."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank, ordinal))).filter("_place = 1").drop("_place")

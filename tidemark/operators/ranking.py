@@ -62,3 +62,11 @@ def movers(base: DataFrame, other: DataFrame, key: str, score: str, missing_rank
     rank = lambda df, out: numbered(df.select(key, score), out, F.desc(score), key).select(key, F.col(out).cast("int").alias(out))
     both = rank(other, "rank_other").join(rank(base, "rank_base"), key, "left").withColumn("rank_base", F.coalesce("rank_base", F.lit(missing_rank)))
     return both.withColumn("move", F.col("rank_base") - F.col("rank_other"))
+
+
+def feed(rows: DataFrame, sort: str, k: int = 20, *, ascending: bool = False, ordinal: str = "ordinal") -> DataFrame:
+    """The first `k` of `rows` (posted_at, metrics, platform, contribution) by the reader's choice: newest, views, likes, comments, platform or contribution; unknown values count 0, platforms go by name."""
+    keys = {"newest": F.col("posted_at"), "platform": F.col("platform"), "contribution": F.coalesce("contribution", F.lit(0.0))}
+    key = keys.get(sort, F.coalesce(F.try_element_at("metrics", F.lit(sort)), F.lit(0.0)))
+    up = ascending != (sort == "platform")
+    return rows.orderBy(key.asc_nulls_last() if up else key.desc_nulls_last(), ordinal).limit(k)

@@ -99,3 +99,9 @@ def follow_ups(found: DataFrame, names: DataFrame, key: str, name: str, batch: s
     rows = found.join(names.select(key, name), key).select(key, "kind", name, F.explode("workers").alias("worker"), "n")
     priority = F.when(F.contains("kind", F.lit("instagram")), "high").otherwise("normal")
     return rows.select(key, "kind", "worker", "n", priority.alias("priority"), F.concat_ws(" ", name, F.lit(batch)).alias("query_seed"))
+
+
+def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
+    """A report's table as Markdown: its first `most` rows, which is what the driver gets."""
+    line = lambda values: "| " + " | ".join("" if v is None else str(v).replace("|", "/") for v in values) + " |"
+    return "\n".join([f"## {title}", "", line(rows.columns), line(["---"] * len(rows.columns)), *(line(r) for r in rows.limit(most).collect()), ""])

@@ -320,3 +320,34 @@ def snapshot_append(spark, sf_dir):
     current = e.select(F.col("event_type").alias("batch"), F.lit(1).alias("entity_id")).distinct()
     out = incremental.recorded(stored, current, F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp"), {"daily": 45, "weekly": 20})
     return out.select("batch", "granularity", F.unix_micros("recorded_at").alias("at_us"))
+
+
+@query("""WITH f AS (SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_type, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m-%d') END AS seen, CASE WHEN event_id % 4 = 0 THEN '2023-01-01' ELSE 'bad' END AS checked FROM events
+), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY greatest(coalesce(epoch_ms(seen::TIMESTAMP), 0), CASE WHEN checked = 'bad' THEN 0 ELSE epoch_ms(TIMESTAMP '2023-01-01') END) DESC, value * 1e6::DOUBLE + k DESC, event_id) AS p FROM f)
+SELECT user_id, event_type, event_id FROM r WHERE p = 1""")
+def fresh_survivors(spark, sf_dir):
+    i = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(
+        "user_id", "event_type", "event_id", joined(F.col("user_id"), ":", F.col("event_type")).alias("key"), F.when(i % 3 == 0, F.date_format("ts", "yyyy-MM-dd")).alias("seen"), F.when(i % 4 == 0, "2023-01-01").otherwise("bad").alias("checked"),
+        F.col("value").alias("contribution"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k").cast("double"), F.lit("none"), F.lit(None).cast("double")).alias("metrics"),
+    )
+    return d.fresh_survivors(rows, "key", ["seen", "checked"], ordinal="event_id").select("user_id", "event_type", "event_id")
+
+
+@query("""WITH f AS (SELECT event_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events), r AS (
+  SELECT 'newest' AS sort, event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS p FROM f UNION ALL SELECT 'likes', event_id, row_number() OVER (ORDER BY k DESC, event_id) FROM f UNION ALL SELECT 'platform', event_id, row_number() OVER (ORDER BY event_type, event_id) FROM f UNION ALL SELECT 'contribution', event_id, row_number() OVER (ORDER BY value DESC, event_id) FROM f)
+SELECT sort, event_id FROM r WHERE p <= 20""")
+def feeds(spark, sf_dir):
+    from functools import reduce
+
+    from tidemark.operators.ranking import feed
+
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("ts").alias("posted_at"), F.col("event_type").alias("platform"), F.col("value").alias("contribution"), F.create_map(F.lit("likes"), F.get_json_object("props", "$.k").cast("double")).alias("metrics"))
+    cut = lambda sort: feed(rows, sort, ordinal="event_id").select(F.lit(sort).alias("sort"), "event_id")
+    return reduce(lambda x, y: x.unionByName(y), map(cut, ("newest", "likes", "platform", "contribution")))
+
+
+@query("SELECT page_id, 0 AS place, 'https://github.com/acme/r' || page_id AS url FROM pages UNION ALL SELECT page_id, 1, 'https://github.com/acme' FROM pages")
+def links_on_pages(spark, sf_dir):
+    head = joined('<a href="https://github.com/acme/r', F.col("page_id"), "/\">r</a><a href='https://github.com/acme'>o</a><a href=\"https://github.com/acme\">o</a><a href=\"https://github.com/features\">f</a><a href=\"https://x.com/a\">x</a>")
+    return landed.links_on_pages(read(spark, sf_dir, "pages").select("page_id", head.alias("html")), "page_id", "github.com", "/features$")

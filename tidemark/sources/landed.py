@@ -149,3 +149,23 @@ def embedded_videos(pages: DataFrame, key: str, source: str = "html", most: int
 def drop_nulls(values: Column) -> Column:
     """A map without entries whose value is null."""
     return F.map_filter(values, lambda _, v: v.isNotNull())
+
+
+def first_filled(sources: list[tuple[str, DataFrame]], expected: int | None = None) -> tuple[DataFrame, list[str]]:
+    """The first source with rows, and warnings: which were empty, and a count that is not the expected one."""
+    warnings = []
+    for name, rows in sources:
+        n = rows.count()
+        if n:
+            if expected is not None and n != expected:
+                warnings.append(f"{name}: {n} rows, expected {expected}")
+            return rows, warnings
+        warnings.append(f"{name}: no rows")
+    return sources[-1][1], warnings
+
+
+def links_on_pages(pages: DataFrame, key: str, site: str, skip: str, source: str = "html", most: int = 6) -> DataFrame:
+    """key, place and url of the first links of a page, each once, to a site (a host), without those whose path matches `skip`."""
+    found = F.regexp_extract_all(source, F.lit(rf"(?i)href=[\"'](https?://(?:www\.)?{re.escape(site)}/[^\"'?#\s]+)"), F.lit(1))
+    good = F.filter(F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, "/+$", ""))), lambda u: ~u.rlike(skip))
+    return pages.select(key, F.posexplode(F.slice(good, 1, most)).alias("place", "url"))
