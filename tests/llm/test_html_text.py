@@ -93,3 +93,8 @@ def test_pages_labelled_by_hand(model):
             wrong += (content[owner] >= 0.5) != (run in want)
         assert set(want) <= {run for _, run in page.runs}
     assert right / (right + wrong) >= 0.9
+
+
+def test_repeated_rows_each_come_back(spark, model):
+    pages = spark.createDataFrame([(1, "u", "<article><p>one and two and three and four</p></article>", 5)] * 2, "page_id long, url string, html string, n_chars int")
+    assert [tuple(r) for r in h.extract_text(pages, model).collect()] == [(1, "u", "one and two and three and four", 30)] * 2

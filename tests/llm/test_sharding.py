@@ -36,3 +36,10 @@ def test_edit_with_one_heavy_slot():
 def test_empty_table(spark):
     placed = s.with_slots(spark.createDataFrame([], "doc_id long, text string"))
     assert s.assign(placed, s.slot_map(placed)).count() == 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 7, 8, "x"), (1, "a", 7, 8, "x")], "doc_id long, text string, virtual_slot int, size int, text_crc32 string")
+    placed = s.with_slots(docs)
+    assert placed.columns == ["doc_id", "size", "text_crc32", "virtual_slot"]
+    assert sorted(x.slot for x in s.assign(placed, s.slot_map(placed)).collect()) == [0, 1]
