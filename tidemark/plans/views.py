@@ -351,3 +351,12 @@ def feeds(spark, sf_dir):
 def links_on_pages(spark, sf_dir):
     head = joined('<a href="https://github.com/acme/r', F.col("page_id"), "/\">r</a><a href='https://github.com/acme'>o</a><a href=\"https://github.com/acme\">o</a><a href=\"https://github.com/features\">f</a><a href=\"https://x.com/a\">x</a>")
     return landed.links_on_pages(read(spark, sf_dir, "pages").select("page_id", head.alias("html")), "page_id", "github.com", "/features$")
+
+
+@query("""WITH h AS (SELECT user_id, list(DISTINCT event_type) FILTER (value > 150) AS h FROM events GROUP BY 1) SELECT user_id AS entity_id, coalesce(len(h), 0)::INTEGER AS n_have FROM h ORDER BY 2, 1 LIMIT 75""")
+def weakest_coverage(spark, sf_dir):
+    from tidemark.operators.reports import missing
+
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("platform"), "value")
+    out = q.weakest(missing(e.select("entity_id").distinct(), ["click", "error", "purchase", "refund", "signup", "view"], e.filter("value > 150")))
+    return out.select("entity_id", F.size("have").alias("n_have"))
