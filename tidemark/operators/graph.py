@@ -62,7 +62,8 @@ def similarity_edges(items: DataFrame, threshold: float = 0.28, tag_weight: floa
 
     items: id, ordinal, tags, tokens. Candidates are pairs with a tag in common,
     and where tokens alone can reach the threshold, with a token in common: no
-    other pair can, so no cross join is needed.
+    other pair can, so no cross join is needed. At the default threshold a tag
+    in common nearly makes an edge of few tags, so the work is that of the output.
     """
     blocks = [items.select("id", "ordinal", F.explode(F.transform("tags", lambda t: F.concat(F.lit("t:"), t))).alias("block"))]
     if token_weight + 0.5 / 10**digits >= threshold:
