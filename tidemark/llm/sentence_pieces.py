@@ -14,6 +14,7 @@ without its normaliser.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import re
@@ -28,8 +29,8 @@ from tidemark.llm.tables import releasing, small_batches, table
 VOCABULARY = "piece_bpe_32k.model"
 #: Characters of normalised text whose units are held at once, about, and of a unit that is remembered or encoded in one go.
 BLOCK_CHARS, UNIT_CHARS = 1 << 20, 64
-#: Units that a worker remembers, a few hundred bytes each; then it starts anew.
-MEMORY = 200_000
+#: Units that a worker remembers, about 150 bytes each; then it starts anew.
+MEMORY = 400_000
 #: Fixed values of the model's format: the sign for a space, and the numbers of fields and kinds.
 SIGN = "▁"
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -207,17 +208,13 @@ class Pieces:
         self.units = re.compile(f"{sign}*[^{sign}]+|{sign}+")
         self.cut = re.compile(f"(?<=[^{sign}]){sign}")
         self.bonds = np.unique(np.array([ord(a) << 32 | ord(b) for t in usual for a, b in zip(t, t[1:], strict=False)], np.int64))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
-        """Ids and the number of characters of each: of the bytes of a character none but the last has it."""
-        out = np.array(ids, np.int64)
-        byte = self.bytes[out]
-        sizes = np.where(byte < 0, self.sizes[out], 1)
-        goes_on = np.append((byte[1:] & 0xC0) == 0x80, False) & (byte >= 0)
-        goes_on[:-1] &= byte[1:] >= 0
-        sizes[goes_on] = 0
-        return out.astype("<u4").tobytes(), sizes.astype("<u4").tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def _sizes(self, ids: np.ndarray) -> np.ndarray:
+        """The number of characters of each piece: of the bytes of a character none but the last has it."""
+        byte = self.bytes[ids]
+        goes_on = np.append((byte[1:] >= 0) & ((byte[1:] & 0xC0) == 0x80), False) & (byte >= 0)
+        return np.where(goes_on, 0, np.where(byte < 0, self.sizes[ids], 1))
 
     def _parts(self, unit: str) -> list[str]:
         """A long unit, cut between characters that stand together in no piece."""
@@ -228,33 +225,32 @@ class Pieces:
         ends = [0, *(np.flatnonzero(~bound) + 1).tolist(), len(unit)]
         return [unit[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _encode(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, normal: str) -> np.ndarray:
         units = self.units.findall(normal) if self.by_units else [normal]
         if any(len(u) > UNIT_CHARS for u in units):
             units = [p for u in units for p in (self._parts(u) if len(u) > UNIT_CHARS else [u])]
         if len(self.known) > MEMORY:
             self.known.clear()
-        fresh = list(set(units) - self.known.keys())
-        coded = dict(zip(fresh, map(self._coded, self.plain.encode(fresh, num_threads=1)), strict=True)) if fresh else {}
-        self.known |= {u: c for u, c in coded.items() if len(u) <= UNIT_CHARS}
-        both = [coded.get(u) or self.known[u] for u in units] if coded else list(map(self.known.__getitem__, units))
-        return (np.frombuffer(b"".join(c[k] for c in both), "<u4") for k in (0, 1))
+        known, long = self.known, {}
+        fresh = [u for u in set(units) if u not in known]
+        for unit, ids in zip(fresh, self.plain.encode(fresh, num_threads=1) if fresh else [], strict=True):
+            (known if len(unit) <= UNIT_CHARS else long)[unit] = array.array("I", ids).tobytes()
+        return np.frombuffer(b"".join([long.get(u) or known[u] for u in units] if long else map(known.__getitem__, units)), np.uint32)
 
     def encode(self, text: str, begin_id: bool = True, end_id: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each the byte of `text` in UTF-8 where its source begins and the one where it ends; begin and end ids have empty spans."""
         normal, source = self.normalizer.normalize(text)
-        ids, sizes, done = [], [], 0
+        parts, done = [], 0
         while done < len(normal):
             # Only cut where units part; a text without such a place is one block.
             cut = self.cut.search(normal, done + BLOCK_CHARS) if self.by_units and len(normal) > done + BLOCK_CHARS else None
             end = cut.start() if cut else len(normal)
-            for out, part in zip((ids, sizes), self._encode(normal[done:end]), strict=True):
-                out.append(part)
+            parts.append(self._encode(normal[done:end]))
             done = end
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
         first, last = [self.library.bos_id()] * begin_id, [self.library.eos_id()] * end_id
-        upto = np.cumsum(np.concatenate([[0], np.zeros(len(first)), *sizes, np.zeros(len(last))])).astype(np.int64)
-        at = source[upto]
-        return np.concatenate([first, *ids, last]).astype(np.int64), at[:-1], at[1:]
+        at = source[np.cumsum(np.concatenate([[0], [0] * len(first), self._sizes(ids), [0] * len(last)]).astype(np.int64))]
+        return np.concatenate([first, ids, last]).astype(np.int64), at[:-1], at[1:]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
