@@ -98,3 +98,45 @@ def test_pages_labelled_by_hand(model):
 def test_repeated_rows_each_come_back(spark, model):
     pages = spark.createDataFrame([(1, "u", "<article><p>one and two and three and four</p></article>", 5)] * 2, "page_id long, url string, html string, n_chars int")
     assert [tuple(r) for r in h.extract_text(pages, model).collect()] == [(1, "u", "one and two and three and four", 30)] * 2
+
+
+def test_nested_and_unmatched_tags_take_linear_time(model):
+    import time
+
+    n = 1 << 20
+    for source in ("<div>" * (n // 5), "<div>" * (n // 9) + "</p>" * (n // 9), "<div><p>" * (n // 8), "<ul><li>" * (n // 8), "<table><tr><td>" * (n // 15), "<p><span></i>" * (n // 13), "<dl><dt><p>" * (n // 11) + "</section>" * (n // 11)):
+        began = time.process_time()
+        page = h.parse(source)
+        assert time.process_time() - began < 4, source[:20]
+        assert len(page.tag) > n // 20
+    assert h.main_text("<div>" * (n // 5) + "x", model) in ("", "x")
+
+
+def test_tree_is_that_of_a_plain_stack():
+    """Random tags against a stack that is looked through as a whole each time."""
+    import random
+
+    r = random.Random(8)
+    tags = "div p ul li table tr td dl dt dd label h1 body head section button".split()
+    for _ in range(400):
+        page, stack, tree = [(bool(r.random() < 0.6), r.choice(tags)) for _ in range(r.randint(1, 40))], ["#page"], []
+        for opens, tag in page:
+            if not opens:
+                if tag in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index(tag) :]
+                continue
+            for closed, bounds in ([({"p"}, h.P_BOUNDS)] if tag not in h.LEAVES_P_OPEN else []) + ([(h.CLOSES[tag], h.SCOPE.get(tag, set()))] if tag in h.CLOSES else []):
+                cut = None
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k] in closed:
+                        cut = k
+                    elif stack[k] in bounds:
+                        break
+                if cut:
+                    del stack[cut:]
+            stack.append(tag)
+            tree.append((len(stack) - 1, tag))
+        got, depth = h.parse("".join(f"<{'' if o else '/'}{t}>" for o, t in page)), [0]
+        for v in range(1, len(got.tag)):
+            depth.append(depth[got.parent[v]] + 1)
+        assert list(zip(depth, got.tag, strict=True))[1:] == tree, page

@@ -10,6 +10,7 @@ is the page's main text. The potentials are counted on labelled pages.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
@@ -38,6 +39,8 @@ CLOSES = {
 #: Elements that bound the search for one to close.
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, **dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), {"table"})}
 LEAVES_P_OPEN = frozenset("html head body button label legend td th caption li dd dt".split())
+#: Elements that bound the search for an open paragraph.
+P_BOUNDS = LEAVES_P_OPEN - {"label", "legend", "button"}
 OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 INSIDE = re.compile(r"=\s*[\"']|>")
@@ -119,6 +122,7 @@ class Tags:
 
 def parse(source: str) -> Page:
     page, stack, text, in_link, at = Page(), [0], [], False, 0
+    open_: dict[str, list[int]] = {}  # by tag, where its open elements lie in the stack
     end, tags = len(source), Tags(source)
 
     def flush() -> None:
@@ -157,17 +161,15 @@ def parse(source: str) -> Page:
         elif closing:
             flush()
             in_link = False
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            if open_.get(tag):
+                _end(page, stack, open_, open_[tag][-1])
         else:
             flush()
             in_link = False
             if tag not in LEAVES_P_OPEN:
-                _close(page, stack, {"p"}, LEAVES_P_OPEN - {"label", "legend", "button"})
+                _close(page, stack, open_, {"p"}, P_BOUNDS)
             if tag in CLOSES:
-                _close(page, stack, CLOSES[tag], SCOPE.get(tag, set()))
+                _close(page, stack, open_, CLOSES[tag], SCOPE.get(tag, set()))
             if tag in VOID:
                 continue
             page.parent.append(stack[-1])
@@ -175,21 +177,25 @@ def parse(source: str) -> Page:
             page.attributes.append(attributes)
             page.words.append(0)
             page.links.append(0)
+            open_.setdefault(tag, []).append(len(stack))
             stack.append(len(page.tag) - 1)
     flush()
     return page
 
 
-def _close(page: Page, stack: list[int], tags: set[str], bounds: Iterable[str]) -> None:
+def _end(page: Page, stack: list[int], open_: dict[str, list[int]], upto: int) -> None:
+    """Ends all open elements from place `upto` of the stack on."""
+    while len(stack) > upto:
+        open_[page.tag[stack.pop()]].pop()
+
+
+def _close(page: Page, stack: list[int], open_: dict[str, list[int]], tags: set[str], bounds: Iterable[str]) -> None:
     """Ends the outermost open element of `tags` above the nearest of `bounds`, with all that is open in it."""
-    cut = None
-    for k in range(len(stack) - 1, 0, -1):
-        if page.tag[stack[k]] in tags:
-            cut = k
-        elif page.tag[stack[k]] in bounds:
-            break
-    if cut is not None:
-        del stack[cut:]
+    if any(map(open_.get, tags)):
+        bound = max((open_[t][-1] for t in bounds if t not in tags and open_.get(t)), default=0)
+        above = [w[k] for t in tags if (w := open_.get(t)) and (k := bisect.bisect(w, bound)) < len(w)]
+        if above:
+            _end(page, stack, open_, min(above))
 
 
 def _bucket(n: int, bounds: tuple[int, ...]) -> int:
