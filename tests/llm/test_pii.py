@@ -136,3 +136,38 @@ def test_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_of_many_matches_take_little_time(spark):
+    import time
+
+    text = "".join(f"a{k}@b{k % 97}.c, é Zed{k % 50}\n" for k in range(100_000))
+    assert len(text.encode()) > 2_000_000
+    want = plain(text)
+    began = time.perf_counter()
+    df = spark.createDataFrame([(text,)], "t string").select("t", pii.base_spans(F.col("t")).alias("s"))
+    got = df.select(F.xxhash64("s"), "s", pii._replaced(F.col("t"), F.col("s"), lambda x: F.concat(F.lit("<"), x["written"], F.lit(">"))).alias("r")).first()
+    assert time.perf_counter() - began < 30
+    assert [(x.kind, x.start, x.end) for x in got.s] == want
+    assert got.r == re.sub(PATTERNS["email"], lambda x: f"<{x[0]}>", text)
+
+
+def test_replaced_and_clear_spans_are_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    monkeypatch.setattr(pii, "CHUNK", 5)
+    r = random.Random(12)
+    rows = []
+    for _ in range(300):
+        text = "".join(r.choice("abé\n😀 ") for _ in range(r.randint(0, 40)))
+        cuts = [sorted((r.randint(0, len(text)), r.randint(0, len(text)))) for _ in range(r.randint(0, 9))]
+        rows.append((text, [("email", a, b, "replace") for a, b in cuts if a < b], [("term", k, k + 2, f"v{k}", "remove") for k in range(0, 40, 3)]))
+    span = "array<struct<kind:string,start:int,end:int,action:string>>"
+    df = spark.createDataFrame(rows, f"t string, s {span}, w array<struct<kind:string,start:int,end:int,value:string,action:string>>")
+    got = df.select("t", "s", "w", pii._replaced(F.col("t"), F.col("s"), lambda x: F.concat(F.lit("<"), x["written"], F.lit(">"))).alias("r"), pii._clear(F.col("w"), F.col("s")).alias("c")).collect()
+    for x in got:
+        out, at = "", 0
+        for a, b, by in sorted((s.start, s.end, f"<{x.t[s.start : s.end]}>") for s in x.s):
+            if a >= at:
+                out, at = out + x.t[at:a] + by, b
+        assert x.r == out + x.t[at:]
+        assert [c.start for c in x.c] == [w.start for w in x.w if not any(s.start < w.end and w.start < s.end for s in x.s)]

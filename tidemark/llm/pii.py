@@ -47,22 +47,54 @@ GENERALISE, REMOVE = 0.75, 0.9
 MARGIN, SKETCH_ERROR = 2.0, 0.1
 #: Most candidate terms that are broadcast; beyond, the counts are joined by shuffling.
 BROADCAST_TERMS = 500_000
+#: Elements that are scanned, and characters that are cut out, block by block.
+BLOCK, CHUNK = 256, 4096
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scan(xs: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """All that `step` (state and element to the next state and an array of `kind`) gives along `xs`, from the state `first` on.
+
+    Appending copies an array, so elements go in blocks: a step copies what its
+    block has, and a block the list of blocks, not all before it.
+    """
+
+    def within(state: Column, block: Column) -> Column:
+        start = F.struct(state.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+        def one(s: Column, x: Column) -> Column:
+            at, out = step(s["at"], x)
+            return F.struct(at.alias("at"), F.concat(s["out"], out).alias("out"))
+
+        return F.aggregate(block, start, one)
+
+    def along(xs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda k: F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(first.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        done = F.aggregate(blocks, start, lambda s, b: _let(within(s["at"], b), lambda r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out"))))
+        return F.flatten(done["out"])
+
+    return _let(xs, lambda xs: F.when(F.size(xs) > 0, along(xs)).otherwise(F.array().cast(f"array<{kind}>")))
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, value) of the leftmost matches that do not overlap, in code points."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     both = F.arrays_zip(F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("value"), gaps.alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    kind = "struct<start:int,end:int,value:string>"
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        begin = at + x["gap"]
         end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
         found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), state["out"]).otherwise(F.concat(state["out"], found)).alias("out"))
+        return end, F.when(x["value"].isNotNull(), found).otherwise(F.array().cast(f"array<{kind}>"))
 
-    return F.aggregate(both, start, step)["out"]
+    return _scan(both, F.lit(0), step, kind)
 
 
 def _digits(x: Column) -> Column:
@@ -201,23 +233,58 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     more = _pairs(terms).join(F.broadcast(given) if given.count() <= BROADCAST_TERMS else given, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
     more = more.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
     base = F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.lit("replace").alias("action")))
-    clear = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
     out = found.join(more, "row", "left").withColumn("terms", F.when(F.col("shares").isNotNull(), _occurrences(F.col("text"), F.col("shares"))))
-    extra = F.filter("terms", clear)
+    extra = _clear(F.col("terms"), F.col("spans"))
     return out.select("kept.*", F.when(F.col("terms").isNull(), base).otherwise(F.concat(base, extra)).alias("spans"))
 
 
+def _clear(terms: Column, spans: Column) -> Column:
+    """`terms` that overlap no span: in order of place, no span that begins before a term ends reaches into it."""
+    kind = "struct<kind:string,start:int,end:int,value:string,action:string>"
+    none = F.lit(None).cast(kind)
+    rows = [
+        F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("after"), s["end"].alias("end"), none.alias("term"))),
+        F.transform(terms, lambda t: F.struct(t["end"].alias("at"), F.lit(0).alias("after"), t["start"].alias("end"), t.alias("term"))),
+    ]
+
+    def step(reach: Column, x: Column) -> tuple[Column, Column]:
+        is_term = x["after"] == 0
+        return F.when(is_term, reach).otherwise(F.greatest(reach, x["end"])), F.when(is_term & (reach <= x["end"]), F.array(x["term"])).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _scan(F.array_sort(F.concat(*rows)), F.lit(0), step, kind)
+
+
+def _between(chunks: Column, begin: Column, end: Column) -> Column:
+    """Characters from `begin` to `end` of a text that is cut into chunks of CHUNK: only those that hold them are walked."""
+    places = F.sequence(F.floor(begin / CHUNK), F.floor((end - 1) / CHUNK))
+
+    def part(k: Column) -> Column:
+        low = F.greatest(begin - k * CHUNK, F.lit(0))
+        return F.substr(chunks[k], (low + 1).cast("int"), (F.least(end - k * CHUNK, F.lit(CHUNK)) - low).cast("int"))
+
+    return F.when(end > begin, F.array_join(F.transform(places, part), "")).otherwise("")
+
+
 def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
-    """`text` with each span replaced; of overlapping spans the first wins."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), by(x).alias("by"))))
+    """`text` with each span replaced; of overlapping spans the first wins. `by` is given the span, with the text there as `written`."""
+
+    def replaced(chunks: Column) -> Column:
+        last = F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit(None).cast("string").alias("by"))
+
+        def full(x: Column) -> Column:
+            written = _between(chunks, x["start"], x["end"])
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), by(x.withField("written", written)).alias("by"))
+
+        order = F.array_append(F.array_sort(F.transform(spans, full)), last)
+
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            pieces = F.array(_between(chunks, at, x["start"]), F.coalesce(x["by"], F.lit("")))
+            late = (x["start"] < at) & x["by"].isNotNull()
+            return F.when(late, at).otherwise(x["end"]), F.when(late, F.array().cast("array<string>")).otherwise(pieces)
 
-    def step(state: Column, x: Column) -> Column:
-        kept = F.concat(state["out"], F.substr(text, state["at"] + 1, x["start"] - state["at"]), x["by"])
-        late = x["start"] < state["at"]
-        return F.struct(F.when(late, state["at"]).otherwise(x["end"]).alias("at"), F.when(late, state["out"]).otherwise(kept).alias("out"))
+        return F.array_join(_scan(order, F.lit(0), step, "string"), "")
 
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substr(text, done["at"] + 1))
+    return F.when(text.isNotNull(), _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), replaced))
 
 
 def broader(value: Column) -> Column:
@@ -230,8 +297,7 @@ def sanitise(text: Column, spans: Column) -> Column:
     """`text` with each span replaced by its kind in brackets, a generalised term by its class; terms to remove leave nothing. Of overlapping spans the first wins."""
 
     def by(x: Column) -> Column:
-        written = F.substr(text, x["start"] + 1, x["end"] - x["start"])
-        name = F.when(x["kind"] == "term", broader(written)).otherwise(F.upper(x["kind"]))
+        name = F.when(x["kind"] == "term", broader(x["written"])).otherwise(F.upper(x["kind"]))
         return F.when(x["action"] == "remove", "").otherwise(F.concat(F.lit("["), name, F.lit("]")))
 
     return _replaced(text, spans, by)
