@@ -83,6 +83,40 @@ def test_counts_are_best_with_little_reach(monkeypatch):
         assert all(0 < c <= counts[n] for n, c in got.items())
 
 
+def test_counts_that_no_subset_can_meet():
+    """Long documents of one divisor and few short ones: the best is below `rest`, and known without all the sums between."""
+    import time
+    import tracemalloc
+
+    for per, most in ((1_000_000, 200), (20_000, 60)):
+        counts = {512 * k: per for k in range(1, most + 1)} | {1: 3}
+        rest = (512 * per * most * (most + 1) // 2) // 1024 * 512 + 300
+        tracemalloc.start()
+        began = time.process_time()
+        got = m.choose_counts(counts, rest)
+        assert time.process_time() - began < 5 and tracemalloc.get_traced_memory()[1] < 200 << 20
+        tracemalloc.stop()
+        assert sum(n * c for n, c in got.items()) == rest - 297
+        assert all(0 < c <= counts[n] for n, c in got.items())
+
+
+def test_residues_bound_and_meet():
+    r = random.Random(7)
+    met = 0
+    for _ in range(400):
+        counts = {n: r.choice([1, 2, 9]) for n in r.sample(range(2, 40), r.randint(2, 4))}
+        rest = r.randrange(1, sum(n * c for n, c in counts.items()))
+        start = m._greedy(counts, rest)
+        for by in counts:
+            most, moved = m._moved(counts, start, rest - m._words(start), by)
+            assert m._words(start) + most >= nearest(counts, rest)
+            if moved:
+                met += 1
+                assert m._words(moved) == m._words(start) + most == nearest(counts, rest)
+                assert all(0 <= c <= counts[n] for n, c in moved.items())
+    assert met > 100
+
+
 def test_mix(spark, tmp_path):
     r = random.Random(3)
     rows = [(k, " ".join(["w"] * r.randint(0, 40)), r.choice(["a", "b", "c", None])) for k in range(600)] + [(1000, None, "a"), (1001, "", "d"), (5, "x y", "a"), (5, "x y", "a")]

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -28,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, MOST_TIMES = 150, 2
 #: Words that are left to the dynamic programme at first; its tables take about a bit for each word.
 REACH = 1 << 16
+#: Shortest lengths whose residues are tried, and most of residues times lengths; both decide the work, never the result.
+PIVOTS, RESIDUES = 4, 1 << 26
 #: Documents of one length that one bucket of the ranking holds, about.
 RANKED = 512
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,6 +137,18 @@ def _fit(counts: dict[int, int], rest: int, reach: int) -> dict[int, int]:
     return _filled(counts, taken, rest)
 
 
+def _greedy(counts: dict[int, int], rest: int) -> dict[int, int]:
+    """By shares, then the longest that still fit."""
+    whole = _words(counts)
+    taken = {n: c * rest // whole for n, c in counts.items()}
+    left = rest - _words(taken)
+    for n in sorted(counts, reverse=True):
+        more = min(counts[n] - taken[n], left // n)
+        taken[n] += more
+        left -= n * more
+    return taken
+
+
 def _sure(counts: dict[int, int], rest: int) -> dict[int, int]:
     """How many of each length may be taken outright so that the programme over the others still finds a best subset.
 
@@ -142,14 +157,40 @@ def _sure(counts: dict[int, int], rest: int) -> dict[int, int]:
     their sums stay within L on both sides; among more than 2 L of them a sum
     comes twice, and what lies between can be left out of both.
     """
-    whole = _words(counts)
-    taken = {n: c * rest // whole for n, c in counts.items()}
-    left = rest - _words(taken)
-    for n in sorted(counts, reverse=True):
-        more = min(counts[n] - taken[n], left // n)
-        taken[n] += more
-        left -= n * more
-    return {n: max(0, c - 2 * max(counts)) for n, c in taken.items()}
+    return {n: max(0, c - 2 * max(counts)) for n, c in _greedy(counts, rest).items()}
+
+
+def _moved(counts: dict[int, int], taken: dict[int, int], left: int, by: int) -> tuple[int, dict[int, int] | None]:
+    """The most of `left` words that documents added to and removed from `taken` can come to, if as many of length `by` move as are wanted; and what to take then, if there are as many.
+
+    Only residues modulo `by` decide: for each, a 0/1 programme over powers of
+    two of the other lengths finds the fewest words that move to reach it. So
+    the first figure is a bound on every subset, and with the second it is met.
+    """
+    cost = np.full(by, np.iinfo(np.int64).max // 4)
+    cost[0] = 0
+    pieces = []
+    for n in counts:
+        for sign, most in ((1, counts[n] - taken[n]), (-1, taken[n])):
+            step, most = 1, min(most, by - 1) if n % by else 0
+            while most > 0:
+                pieces.append((n, sign * min(step, most)))
+                most -= min(step, most)
+                step *= 2
+    better = []
+    for n, k in pieces:
+        other = np.roll(cost, n * k % by) + n * abs(k)
+        better.append(np.packbits(other < cost))
+        cost = np.minimum(cost, other)
+    most = next(d for d in range(left, -1, -1) if cost[d % by] < np.iinfo(np.int64).max // 8)
+    out, r, words = dict(taken), most % by, most
+    for (n, k), bits in zip(reversed(pieces), reversed(better), strict=True):
+        if bits[r >> 3] >> (7 - (r & 7)) & 1:
+            out[n] += k
+            words -= n * k
+            r = (r - n * k) % by
+    out[by] += words // by
+    return most, out if 0 <= out[by] <= counts[by] else None
 
 
 def choose_counts(counts: dict[int, int], rest: int) -> dict[int, int]:
@@ -157,12 +198,24 @@ def choose_counts(counts: dict[int, int], rest: int) -> dict[int, int]:
 
     counts: documents by length (all above 0); rest is below their whole size.
     A fit by shares that meets `rest` (or its nearest multiple of what divides
-    all lengths) is a best one; otherwise the reach grows until the programme
+    all lengths) is a best one. Otherwise residues modulo one of the shortest
+    lengths bound what a subset can come to, and mostly give one that does.
+    Where they do not, the reach grows until the bound is met or the programme
     runs over all that a best subset may move.
     """
     if rest <= 0 or not _words(counts):
         return {}
     best = rest // gcd(*counts) * gcd(*counts)
+    taken = _fit(counts, rest, REACH)
+    if _words(taken) == best:
+        return taken
+    start = _greedy(counts, rest)
+    for by in sorted(counts)[:PIVOTS]:
+        if by * len(counts) <= RESIDUES:
+            most, moved = _moved(counts, start, rest - _words(start), by)
+            best = min(best, _words(start) + most)
+            if moved and _words(moved) == best:
+                return {n: c for n, c in moved.items() if c}
     sure, reach = _sure(counts, rest), REACH
     while reach < rest - _words(sure):
         taken = _fit(counts, rest, reach)
