@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.functions.num import jround
 from tidemark.functions.text import compact, has_phrase, plain
 from tidemark.functions.urls import host, own_handle, site_handle
+from tidemark.session import durable
 
 #: What may well be about something else unless the text says so.
 AMBIGUOUS = ("product_hunt", "youtube", "hacker_news", "reddit", "linkedin")
@@ -28,18 +29,70 @@ def classify(text: Column, classes=CLASSES, otherwise: str = "b2b") -> Column:
     return out
 
 
+#: Most distinct keys that are broadcast to sift what texts hold; beyond, they are joined by shuffling.
+BROADCAST_KEYS = 500_000
+#: Texts with one key that one task holds; those of a hotter key are dealt over several.
+SPREAD = 200_000
+
+
+def rarest_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
+    """The columns of `asked` and `given` but the keys, for each item of `given` and each row of `asked` that holds the item's rarest key.
+
+    asked: by, key and others, each once. given: by, keys (all of which what
+    holds the item has) and others, each once. Only keys of `given` leave the
+    rows they stand in; the fewer rows hold a key, the fewer pairs it makes. An
+    item with a key that nothing holds is in no pair. Rows of a key that more
+    than SPREAD of them hold are dealt out, and its items copied to each deal.
+    """
+    wanted = given.select("by", F.explode("keys").alias("key")).distinct()
+    few = wanted.count() <= BROADCAST_KEYS
+    hits = durable(asked.join(F.broadcast(wanted) if few else wanted, ["by", "key"], "left_semi"), "hits")
+    held = hits.groupBy("by", "key").agg(F.count("*").alias("_n"))
+    others = [c for c in given.columns if c not in ("by", "keys")]
+    keyed = given.select("by", *others, F.explode("keys").alias("key")).join(held, ["by", "key"], "left")
+    chosen = keyed.groupBy("by", *others).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "key")).alias("_k")).filter("_k.n > 0")
+    deals = F.ceil(F.col("_k.n") / SPREAD).cast("int")
+    chosen = chosen.select("by", *others, F.col("_k.key").alias("key"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
+    hot = held.filter(F.col("_n") > SPREAD).select("by", "key", F.ceil(F.col("_n") / SPREAD).cast("int").alias("_deals"))  # a row for SPREAD hits at most
+    dealt = hits.join(F.broadcast(hot), ["by", "key"], "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.floor(F.rand(1) * F.col("_deals")).cast("int")))
+    return dealt.join(chosen, ["by", "key", "_deal"]).drop("by", "key", "_deal", "_deals")
+
+
+def _words(text: Column) -> Column:
+    """The words of a text in plain form; points part them too."""
+    return F.filter(F.split(text, "[ .]+"), lambda w: w != "")
+
+
+def _neighbours(words: Column) -> Column:
+    """Each two neighbouring words."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _phrase_keys(phrase: Column) -> Column:
+    """What a text that has the phrase has: its neighbouring words, or its only one."""
+    words = _words(phrase)
+    return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(_neighbours(words)))
+
+
+def _text_keys(text: Column) -> Column:
+    words = _words(text)
+    return F.array_distinct(F.concat(words, _neighbours(words)))
+
+
 def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str) -> DataFrame:
     """id, phrase_id of phrases (phrase_id, phrase) that stand in a text as whole tokens.
 
-    Ids of texts meet phrases by the phrase's longest token among the distinct
-    tokens of the text; the texts follow for those pairs only and verify them.
+    Ids of texts meet phrases by the phrase's rarest two neighbouring words;
+    the texts of these pairs follow and verify them. Phrases without a letter
+    or digit stand in no text.
     """
-    t = texts.select(F.col(id_column), plain(F.col(text)).alias("_t"))
-    tokens = t.select(id_column, F.explode(F.array_distinct(F.split("_t", "[ .]+"))).alias("_token"))
-    longest = F.array_max(F.transform(F.split("_p", "[ .]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
-    p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p")).filter("_p <> ''").withColumn("_token", longest)
-    pairs = tokens.join(p, "_token").select(id_column, "phrase_id", "_p").distinct()
-    return t.join(pairs, id_column).filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
+    asked = texts.select(F.col(id_column), F.lit("words").alias("by"), F.explode(_text_keys(plain(F.col(text)))).alias("key"))
+    p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p"))
+    given = p.select("phrase_id", "_p", F.lit("words").alias("by"), _phrase_keys(F.col("_p")).alias("keys")).distinct()
+    pairs = durable(rarest_pairs(asked, given), "pairs")
+    met = texts.select(id_column, text).join(pairs.select(id_column).distinct(), id_column, "left_semi").select(id_column, plain(F.col(text)).alias("_t"))
+    return met.join(pairs, id_column).filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
 
 
 #: Single words that are names of entities and say nothing by themselves.
@@ -78,29 +131,35 @@ def visible_text(text: Column, raw: Column) -> Column:
     return F.concat_ws(" ", F.nullif(text, F.lit("")), F.nullif(body, F.lit("")))
 
 
-def conflicts(evidence: DataFrame, signal: DataFrame) -> DataFrame:
-    """id and other, the entities besides its own whose name, domain or handle the visible text of evidence shows.
+def conflict_pairs(evidence: DataFrame, signal: DataFrame) -> DataFrame:
+    """id, other, kind and value of signals that the visible text of evidence may show, for entities besides its own.
 
-    evidence: id, entity_id, visible. Keys out of the text meet the signals'
-    keys, and the text of those pairs is looked at; no text meets every entity.
+    evidence: id, entity_id, visible. Names meet a text by their rarest two
+    neighbouring words, domains by the rarest of their labels that a point
+    follows (the first may be the end of a longer one in the text, others stand
+    alone), handles by themselves; so no text meets every entity.
     """
-    own, t = F.col("entity_id"), plain(F.col("visible"))
-    tokens = F.array_distinct(F.split(t, "[ .]+"))
-    grams = F.array_distinct(F.flatten(F.transform(F.filter(F.split(t, " "), lambda x: F.contains(x, F.lit("."))), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 3, F.lit(1))), lambda i: F.substr(x, i, F.lit(4))))))
-    low = F.lower(F.coalesce("visible", F.lit("")))
+    signal = signal.filter("kind = 'name' OR kind = 'domain' AND value LIKE '%.%' OR kind = 'handle' AND length(value) >= 4")
+    labels = F.filter(F.split(F.regexp_replace("value", r"\.[^.]*$", ""), r"\."), lambda x: x != "")
+    keys = F.when(F.col("kind") == "name", _phrase_keys(F.col("value"))).when(F.col("kind") == "domain", labels).otherwise(F.array("value"))
+    given = signal.select(F.col("entity_id").alias("other"), "kind", "value", F.col("kind").alias("by"), F.array_distinct(keys).alias("keys")).distinct()
+    longest = given.filter("kind = 'domain'").agg(F.max(F.array_max(F.transform("keys", lambda k: F.length(k))))).first()[0] or 0
+    t, low = plain(F.col("visible")), F.lower(F.coalesce("visible", F.lit("")))
+    before = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"([^ .]+)(?=\.)"), F.lit(1)), lambda x: F.transform(F.sequence(F.lit(1), F.least(F.length(x), F.lit(longest))), lambda n: F.right(x, n))))
     tagged = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9])@([a-z0-9._-]{4,})"), F.lit(1))
     linked = F.regexp_extract_all(low, F.lit(r"(?:x|twitter|instagram|linkedin|github)\.com/([^/\"'\s?#]{4,})"), F.lit(1))
     ends = F.flatten(F.transform(tagged, lambda x: F.filter(F.transform(F.sequence(F.lit(4), F.length(x)), lambda i: F.when((i == F.length(x)) | F.rlike(F.substr(x, i + 1, F.lit(1)), F.lit("[^a-z0-9]")), F.substr(x, F.lit(1), i))), lambda y: y.isNotNull())))
-    keyed = lambda kind, keys: evidence.select("id", own.alias("own"), F.lit(kind).alias("by"), F.explode(keys).alias("key"))
-    asked = keyed("token", tokens).unionByName(keyed("gram", grams)).unionByName(keyed("handle", F.array_distinct(F.concat(ends, linked)))).distinct()
-    longest = F.array_max(F.transform(F.split("value", "[ .]+"), lambda x: F.struct(F.length(x).alias("n"), x.alias("token"))))["token"]
-    by = F.when(F.col("kind") == "name", "token").when(F.col("kind") == "domain", "gram").otherwise("handle")
-    key = F.when(F.col("kind") == "name", longest).when(F.col("kind") == "domain", F.substring("value", 1, 4)).otherwise(F.col("value"))
-    given = signal.filter("kind <> 'member' AND (kind <> 'handle' OR length(value) >= 4)").select(F.col("entity_id").alias("other"), "kind", "value", by.alias("by"), key.alias("key"))
-    pairs = asked.join(given, ["by", "key"]).filter("own <> other").select("id", "other", "kind", "value").distinct()
-    seen = pairs.join(evidence.select("id", t.alias("_t")), "id")
+    keyed = F.map_from_arrays(F.array(*map(F.lit, ("name", "domain", "handle"))), F.array(_text_keys(t), F.array_distinct(before), F.array_distinct(F.concat(ends, linked))))
+    asked = evidence.select("id", F.col("entity_id").alias("own"), F.explode(keyed).alias("by", "_keys")).select("id", "own", "by", F.explode("_keys").alias("key"))
+    return rarest_pairs(asked, given).filter("own <> other").select("id", "other", "kind", "value").distinct()
+
+
+def conflicts(evidence: DataFrame, signal: DataFrame) -> DataFrame:
+    """id and other, the entities besides its own whose name, domain or handle the visible text of evidence shows."""
+    pairs = durable(conflict_pairs(evidence, signal), "pairs")
+    met = evidence.join(pairs.select("id").distinct(), "id", "left_semi").select("id", plain(F.col("visible")).alias("_t"))
     holds = F.when(F.col("kind") == "name", has_phrase(F.col("_t"), F.col("value"))).when(F.col("kind") == "domain", F.contains("_t", "value")).otherwise(F.lit(True))
-    return seen.filter(holds).select("id", "other").distinct()
+    return met.join(pairs, "id").filter(holds).select("id", "other").distinct()
 
 
 def evidence_flags(evidence: DataFrame, signal: DataFrame, entities: DataFrame) -> DataFrame:
