@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.match import match_score
@@ -57,20 +59,67 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def _rarest_first(sets: DataFrame, column: str, share: float, out: str) -> DataFrame:
+    """`sets` with `out`: the rarest elements of `column`, so many that two sets with a Jaccard similarity of `share` have one of them in common.
+
+    The order is by how often elements that make up one in 256 of all are found, others first by name.
+    """
+    each = sets.select(F.explode(column).alias("_x")).groupBy("_x").agg(F.count("*").alias("_n"))
+    total = each.agg(F.sum("_n").alias("_total"))
+    often = each.join(F.broadcast(total)).filter("_n * 256 >= _total").agg(F.map_from_entries(F.collect_list(F.struct("_x", "_n"))).alias("_often"))
+    order = F.array_sort(F.transform(column, lambda x: F.struct(F.coalesce(F.try_element_at("_often", x), F.lit(0)).alias("n"), x.alias("x"))))
+    n = F.size(column)
+    first = F.slice(order, F.lit(1), F.when(n > 0, n - F.ceil(n * share - 1e-9).cast("int") + 1).otherwise(0))
+    return sets.crossJoin(F.broadcast(often)).withColumn(out, F.transform(first, lambda x: x["x"])).drop("_often")
+
+
+#: Rows of one key that one task pairs with one another; those of a hotter key are dealt into cells.
+DEAL = 2_000
+
+
+def _pairs_of(keyed: DataFrame, share: float) -> DataFrame:
+    """source and target of rows (id, ordinal, size, kind, a, b) with the same key whose sizes allow `share`. A hot key's rows are dealt into lanes, and each two lanes meet in a cell of their own."""
+    key = ["kind", "a", "b"]
+    hot = keyed.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > DEAL).select(*key, F.ceil(F.col("_n") / DEAL).cast("int").alias("_lanes"))
+    rows = keyed.join(hot, key, "left").withColumn("_lanes", F.coalesce("_lanes", F.lit(1)))
+    rows = rows.withColumn("_lane", F.pmod(F.hash("id"), F.col("_lanes"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_lanes") - 1)))
+    left = rows.select(*key, F.col("id").alias("source"), F.col("ordinal").alias("o1"), F.col("size").alias("s1"), F.col("_lane").alias("_i"), F.col("_other").alias("_j"))
+    right = rows.select(*key, F.col("id").alias("target"), F.col("ordinal").alias("o2"), F.col("size").alias("s2"), F.col("_other").alias("_i"), F.col("_lane").alias("_j"))
+    fits = F.least("s1", "s2") >= F.greatest("s1", "s2") * share - 1e-9
+    return left.join(right, [*key, "_i", "_j"]).filter((F.col("o1") < F.col("o2")) & fits).select("source", "target")
+
+
+def similar_candidates(items: DataFrame, threshold: float = 0.28, tag_weight: float = 0.75, token_weight: float = 0.25, digits: int = 2) -> DataFrame:
+    """source and target of the pairs that `similarity_edges` looks at, each once.
+
+    A pair that reaches the threshold has a similarity of `share` in its tags or
+    in its tokens, for were both below, so would their weighed sum be. The first
+    have one of their rarest tags in common, the second one of their rarest
+    tokens and, where tokens alone cannot reach the threshold, a tag besides.
+    Elements that most items have come last, so they make few pairs.
+    """
+    least = threshold - 0.5 / 10**digits
+    share = least / (tag_weight + token_weight)
+    if least <= 0:
+        raise ValueError("a threshold that items with nothing in common reach makes all pairs")
+    lower = lambda c: F.array_distinct(F.transform(c, F.lower))
+    sets = durable(items.select("id", "ordinal", lower("tags").alias("tags"), lower("tokens").alias("tokens")), "sets")
+    sets = _rarest_first(_rarest_first(sets, "tags", share, "_tags"), "tokens", share, "_tokens")
+    none = F.lit("")
+    of_tags = sets.select("id", "ordinal", F.size("tags").alias("size"), F.lit("tag").alias("kind"), F.explode("_tags").alias("a"), none.alias("b"))
+    of_tokens = sets.select("id", "ordinal", F.size("tokens").alias("size"), F.lit("token").alias("kind"), "tags", F.explode("_tokens").alias("a"))
+    of_tokens = of_tokens.withColumn("b", none).drop("tags") if token_weight >= least else of_tokens.withColumn("b", F.explode("tags")).drop("tags")
+    return _pairs_of(durable(of_tags.unionByName(of_tokens), "keyed"), share).distinct()
+
+
 def similarity_edges(items: DataFrame, threshold: float = 0.28, tag_weight: float = 0.75, token_weight: float = 0.25, digits: int = 2) -> DataFrame:
     """source, target (source before target by ordinal) and weight, the weighted Jaccard similarity of tags and of tokens, rounded.
 
-    items: id, ordinal, tags, tokens. Candidates are pairs with a tag in common,
-    and where tokens alone can reach the threshold, with a token in common: no
-    other pair can, so no cross join is needed. At the default threshold a tag
-    in common nearly makes an edge of few tags, so the work is that of the output.
+    items: id, ordinal, tags, tokens. No pair that reaches the threshold is
+    lost, and there is no cross join. Where one tag in common makes an edge, as
+    with few tags and tokens, the work is that of the edges themselves.
     """
-    blocks = [items.select("id", "ordinal", F.explode(F.transform("tags", lambda t: F.concat(F.lit("t:"), t))).alias("block"))]
-    if token_weight + 0.5 / 10**digits >= threshold:
-        blocks.append(items.select("id", "ordinal", F.explode(F.transform("tokens", lambda t: F.concat(F.lit("w:"), t))).alias("block")))
-    keys = blocks[0] if len(blocks) == 1 else blocks[0].unionByName(blocks[1])
-    a, b = keys.toDF("source", "o1", "block"), keys.toDF("target", "o2", "block")
-    pairs = a.join(b, "block").filter("o1 < o2").select("source", "target").distinct()
+    pairs = similar_candidates(items, threshold, tag_weight, token_weight, digits)
     side = lambda c: items.select(F.col("id").alias(c), F.col("tags").alias(f"{c}_tags"), F.col("tokens").alias(f"{c}_tokens"))
     rows = pairs.join(side("source"), "source").join(side("target"), "target")
     weight = jround(tag_weight * jaccard(F.col("source_tags"), F.col("target_tags")) + token_weight * jaccard(F.col("source_tokens"), F.col("target_tokens")), digits)
@@ -83,35 +132,65 @@ def chain_edges(items: DataFrame, group: str, *order: Column | str, weight: floa
     return items.filter(F.col(group).isNotNull()).select(before.alias("source"), F.col("id").alias("target"), F.col(group).alias("group")).filter("source IS NOT NULL").withColumn("weight", F.lit(weight))
 
 
-def greedy_edges(edges: DataFrame, per_node: int = 2, most: int | None = 140) -> DataFrame:
-    """Edges (source, target, weight) taken by weight, then ids, while both ends have fewer than `per_node`; of these the first `most`.
+#: Edges that one task takes one by one.
+CHUNK = 200_000
+
+
+def _one_by_one(per_node: int):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: dict = {}
+        for part in parts:
+            kept = []
+            for k, (a, b, before_a, before_b) in enumerate(zip(part["source"], part["target"], part["used_source"], part["used_target"], strict=True)):
+                n, m = used.setdefault(a, before_a), used.setdefault(b, before_b)
+                if n < per_node and m < per_node:
+                    used[a], used[b] = n + 1, m + 1
+                    kept.append(k)
+            yield part.iloc[kept][["source", "target", "weight"]]
+
+    return run
+
+
+def greedy_edges(edges: DataFrame, per_node: int = 2, most: int | None = 140, chunk: int = CHUNK) -> DataFrame:
+    """Edges (source, target, weight; each pair of nodes once, no node with itself) taken by weight, then ids, while both ends have fewer than `per_node`; of these the first `most`.
 
-    Each round takes the edges that are within the open places of both ends
-    among their live edges, then closes places; the result is that of taking
-    edges one by one. Rounds are written, not kept by executors.
+    The result is that of taking edges one by one. Two kinds of rounds get there:
+    a wide one takes all edges that are within the open places of both ends
+    among their live edges, wherever they are; a deep one takes the `chunk`
+    heaviest live edges one by one in one task, whose size is bounded. Where
+    `most` are asked for, deep rounds alone give the first of them. Else rounds
+    are wide while these settle half of the live edges, and so few that a chain
+    of falling weights costs no round for each link. Rounds are written.
     """
     order = [F.desc("weight"), "source", "target"]
     live = durable(edges.select("source", "target", "weight"), "live")
-    taken: DataFrame | None = None
-    while True:
-        ends = live.select("source", "target", "weight", F.explode(F.array("source", "target")).alias("node"))
-        if taken is None:
-            open_ = ends.select("node").distinct().withColumn("places", F.lit(per_node))
+    taken, left, deep = live.limit(0), live.count(), most is not None
+    while left:
+        used = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
+        if deep or left <= chunk:
+            heaviest = durable(live.orderBy(*order).limit(chunk), "heaviest")
+            given = heaviest
+            for end in ("source", "target"):
+                given = given.join(used.select(F.col("node").alias(end), F.col("used").alias(f"used_{end}")), end, "left")
+            given = given.select("source", "target", "weight", *[F.coalesce(f"used_{e}", F.lit(0)).alias(f"used_{e}") for e in ("source", "target")])
+            new = durable(given.coalesce(1).sortWithinPartitions(*order).mapInPandas(_one_by_one(per_node), edges.select("source", "target", "weight").schema), "taken")
+            settled = heaviest
         else:
-            used = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used"))
-            open_ = ends.select("node").distinct().join(used, "node", "left").select("node", (F.lit(per_node) - F.coalesce("used", F.lit(0))).alias("places"))
-        ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(*order))).join(open_, "node")
-        good = ranked.filter(F.col("place") <= F.col("places")).groupBy("source", "target", "weight").agg(F.count("*").alias("n")).filter("n = 2").drop("n")
-        new = durable(good, "taken")
-        if new.isEmpty():
+            ends = live.select("source", "target", "weight", F.explode(F.array("source", "target")).alias("node"))
+            places = F.lit(per_node) - F.coalesce("used", F.lit(0))
+            ranked = ends.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(*order))).join(used, "node", "left")
+            good = ranked.filter(F.col("place") <= places).groupBy("source", "target", "weight").agg(F.count("*").alias("n")).filter("n = 2").drop("n")
+            new = settled = durable(good, "taken")
+        taken = durable(taken.unionByName(new), "taken")
+        if most is not None and taken.count() >= most:
             break
-        taken = new if taken is None else durable(taken.unionByName(new), "taken")
-        full = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("used")).filter(F.col("used") >= per_node).select("node")
-        live = live.join(new, ["source", "target"], "left_anti")
+        full = taken.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= per_node).select("node")
+        live = live.join(settled, ["source", "target"], "left_anti")
         live = live.join(full.withColumnRenamed("node", "source"), "source", "left_anti").join(full.withColumnRenamed("node", "target"), "target", "left_anti")
         live = durable(live.select("source", "target", "weight"), "live")
-    out = edges.select("source", "target", "weight").limit(0) if taken is None else taken
-    return out.orderBy(*order).limit(most) if most else out
+        before, left = left, live.count()
+        deep = most is not None or (not deep and 2 * left > before)
+    return taken.orderBy(*order).limit(most) if most is not None else taken
 
 
 def search(labels: DataFrame, text: str, limit: int = 12) -> DataFrame:

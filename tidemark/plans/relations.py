@@ -56,8 +56,8 @@ def partner_chain_edges(spark, sf_dir):
     return g.chain_edges(part, "p_brand", F.desc("p_retailprice"), "p_name", "id")
 
 
-#: Customers as entities: tags are groups of six, and of a segment within forty (so edges grow with the customers, not with their square), tokens the digits of the balance.
-ITEMS = """items AS (SELECT c_custkey AS id, ['g' || (c_custkey // 6), 's' || c_mktsegment || (c_custkey // 40)] AS tags, list_distinct(string_split(CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), '')) AS tokens FROM customer)"""
+#: Customers as entities: tags are the nation, which many share, and a part of a segment; tokens the digits of the balance.
+ITEMS = """items AS (SELECT c_custkey AS id, ['n' || c_nationkey, 's' || c_mktsegment || (c_custkey % 40)] AS tags, list_distinct(string_split(CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR), '')) AS tokens FROM customer)"""
 EDGES = ITEMS + """, pairs AS (SELECT a.id AS source, b.id AS target, len(list_intersect(a.tags, b.tags)) AS ti, len(list_distinct(list_concat(a.tags, b.tags))) AS tu, len(list_intersect(a.tokens, b.tokens)) AS ki, len(list_distinct(list_concat(a.tokens, b.tokens))) AS ku
   FROM items a JOIN items b ON a.id < b.id
 ), edges AS (SELECT source, target, floor((0.75::DOUBLE * CASE WHEN tu = 0 THEN 0 ELSE ti::DOUBLE / tu END + 0.25::DOUBLE * CASE WHEN ku = 0 THEN 0 ELSE ki::DOUBLE / ku END) * 100 + 0.5) / 100 AS weight FROM pairs)"""
@@ -65,7 +65,7 @@ EDGES = ITEMS + """, pairs AS (SELECT a.id AS source, b.id AS target, len(list_i
 
 def items(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    tags = F.array(F.concat(F.lit("g"), F.floor(F.col("c_custkey") / 6).cast("string")), F.concat(F.lit("s"), "c_mktsegment", F.floor(F.col("c_custkey") / 40).cast("string")))
+    tags = F.array(F.concat(F.lit("n"), "c_nationkey"), F.concat(F.lit("s"), "c_mktsegment", (F.col("c_custkey") % 40).cast("string")))
     digits = F.array_distinct(F.split(F.floor("c_acctbal").cast("string"), ""))
     return c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ordinal"), tags.alias("tags"), digits.alias("tokens"))
 
