@@ -255,3 +255,15 @@ def test_reports_and_sources(spark):
     got, warnings = landed.first_filled([("official", rows.limit(0)), ("fallback", rows)], 3)
     assert got.count() == 2 and warnings == ["official: no rows", "fallback: 2 rows, expected 3"]
     assert one(spark, text.stable_id(F.lit("A b" * 100)))[:7] == "a-ba-ba" and len(one(spark, text.stable_id(F.lit("A b" * 100)))) == 180
+
+
+def test_midranks_of_foreign_and_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    pop = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", nan), ("a", inf), ("a", None), (None, 5.0), ("b", nan)], "g string, v double")
+    probes = spark.createDataFrame([("a", 2.0), ("a", 1.5), ("a", 9.0), ("a", 0.0), ("a", nan), ("a", -inf), ("a", None), (None, 5.0), ("b", 1.0), ("c", 1.0)], "g string, v double")
+    got = [(x.g, str(x.v), round(x.p, 6)) for x in scoring.midranks(probes, ["g"], {"v": "p"}, pop).collect()]
+    want = [("a", "2.0", 0.666667), ("a", "1.5", 0.333333), ("a", "9.0", 1.0), ("a", "0.0", 0.0), ("a", "nan", 0.0), ("a", "-inf", 0.0), ("a", "None", 0.5), (None, "5.0", 0.5), ("b", "1.0", 0.5), ("c", "1.0", 0.5)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    two = scoring.midranks(pop.withColumn("w", -F.col("v")), ["g"], {"v": "p", "w": "q"}).filter("g = 'a' AND v = 2").first()
+    assert round(two.p, 6) == 0.666667 and round(two.q, 6) == 0.333333
+    assert scoring.midranks(pop.limit(0), ["g"], {"v": "p"}).count() == 0

@@ -45,9 +45,13 @@ def radius(rows: DataFrame, score: str, low: float, high: float, power: float =
 
 
 def fastest_gaining(entities: DataFrame, now: str, before: str, ordinal: str = "ordinal") -> DataFrame:
-    """`entities` with both ranks, the gain in score and in ranks, in order of gain."""
-    out = numbered(numbered(entities, "rank_now", F.desc(now), ordinal), "rank_before", F.desc(before), ordinal)
-    out = out.withColumns({c: F.col(c).cast("int") for c in ("rank_now", "rank_before")})
+    """`entities` (`ordinal` is unique) with both ranks, the gain in score and in ranks, in order of gain. Both boards are ranked in one pass."""
+    place = lambda c: F.struct(F.col(c).isNull().alias("last"), (-F.col(c)).alias("value"), F.col(ordinal).alias("ordinal"))
+    both = entities.select(ordinal, F.inline(F.array(*[F.struct(F.lit(out).alias("_board"), place(c).alias("_place")) for c, out in ((now, "rank_now"), (before, "rank_before"))])))
+    ranks = running(both.withColumn("_one", F.lit(1)), ["_board"], "_place", "_one", "_rank", "_all").groupBy(ordinal).agg(
+        *[F.max(F.when(F.col("_board") == out, F.col("_rank"))).cast("int").alias(out) for out in ("rank_now", "rank_before")]
+    )
+    out = entities.join(ranks, ordinal)
     out = out.withColumn("gain", jround(F.col(now) - F.col(before), 2)).withColumn("rank_gain", F.col("rank_before") - F.col("rank_now"))
     return numbered(out, "place", F.desc("gain"), F.desc("rank_gain"), F.desc(now), ordinal).withColumn("place", F.col("place").cast("int"))
 

@@ -15,6 +15,7 @@ from tidemark.functions.dates import decay
 from tidemark.functions.num import clamp, jround, safe
 from tidemark.operators.config import DEMO_METRICS, LIBRARY_PLATFORMS, LIVE, Scoring, lookup
 from tidemark.operators.ordering import running
+from tidemark.session import durable
 
 
 def weighted_sum(metrics: Column, weights: dict[str, float]) -> Column:
@@ -115,11 +116,39 @@ class Library:
     top: int = 5
 
 
+def midranks(rows: DataFrame, keys: list[str], measures: dict[str, str], population: DataFrame | None = None) -> DataFrame:
+    """`rows` with a column for each of `measures` (value to name): the share of the population's values within its keys that are smaller, those equal by half.
+
+    population has the keys and values, and is `rows` itself if not given. A
+    value that it lacks ranks by the smaller ones. Null ranks 0.5, as does any
+    value where the population has none; what is not finite ranks 0 and counts
+    for nothing. All measures are summed in one pass by ranges.
+    """
+    finite = lambda v: F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(F.col(v)) != F.lit(float("inf")))
+    rows = durable(rows.withColumns({v: F.col(v).cast("double") for v in measures}), "probes")
+
+    def melted(df: DataFrame, n: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(v).alias("_kind"), F.when(finite(v), F.col(v)).alias("_value")) for v in measures])
+        return df.select(*keys, F.inline(each)).filter("_value IS NOT NULL").groupBy(*keys, "_kind", "_value").agg((F.count("*") * n).alias("_n"))
+
+    if population is None:
+        counts = melted(rows, 1)
+    else:
+        both = melted(population.withColumns({v: F.col(v).cast("double") for v in measures}), 1).unionByName(melted(rows, 0))
+        counts = both.groupBy(*keys, "_kind", "_value").agg(F.sum("_n").alias("_n"))
+    held = running(counts, [*keys, "_kind"], "_value", "_n", "_upto", "_whole")
+    ranks = durable(held.select(*keys, "_kind", "_value", F.when(F.col("_whole") > 0, (F.col("_upto") - F.col("_n") / 2) / F.col("_whole")).alias("_rank")), "ranks")
+    for v, out in measures.items():
+        of = ranks.filter(F.col("_kind") == v).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_value", "_rank")
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(v) == F.col("_value")]
+        rank = F.when(F.col(v).isNotNull() & ~finite(v), 0.0).otherwise(F.coalesce("_rank", F.lit(0.5)))
+        rows = rows.join(of, on, "left").withColumn(out, rank).drop("_value", "_rank", *[f"_k{i}" for i in range(len(keys))])
+    return rows
+
+
 def midrank(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """(smaller + equal / 2) / n of each value within its keys; 0.5 for an unknown value. Counts by value are summed by ranges."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ranks = running(counts, keys, value, "_n", "_upto", "_whole").select(*keys, value, ((F.col("_upto") - F.col("_n") / 2) / F.col("_whole")).alias(out))
-    return rows.join(ranks, [*keys, value], "left").withColumn(out, F.coalesce(out, F.lit(0.5)))
+    """`rows` with the mid-rank of one value among themselves."""
+    return midranks(rows, keys, {value: out})
 
 
 def post_scores(posts: DataFrame, config: Library = Library()) -> DataFrame:
@@ -131,8 +160,7 @@ def post_scores(posts: DataFrame, config: Library = Library()) -> DataFrame:
     recency = F.when(F.col("age_days").isNull(), 0.75).when(F.isnan("age_days") | (F.col("age_days") < 0), 1.0).otherwise(F.pow(F.lit(0.5), F.col("age_days") / max(config.half_life_days, 1.0)))
     rows = posts.withColumn("_log", F.log1p("raw")).withColumn("recency", recency)
     rows = rows.withColumn("_rate", F.col("raw") / F.greatest(F.abs("followers"), F.lit(1.0))).withColumn("_momentum", F.col("_log") * F.col("recency"))
-    for value, out in (("_log", "p_log"), ("_rate", "p_rate"), ("_momentum", "p_momentum")):
-        rows = midrank(rows, ["platform"], value, out)
+    rows = midranks(rows, ["platform"], {"_log": "p_log", "_rate": "p_rate", "_momentum": "p_momentum"})
     score = 100 * (0.5 * F.col("p_log") + 0.3 * F.col("p_rate") + 0.2 * F.col("p_momentum"))
     return rows.withColumn("post_score", jround(clamp(score, 0.0, 100.0), 2)).drop("_log", "_rate", "_momentum")
 

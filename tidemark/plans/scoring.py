@@ -99,6 +99,15 @@ def midrank_percentile(spark, sf_dir):
     return s.midrank(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "p").select("c_custkey", jround(F.col("p"), 6).alias("percentile"))
 
 
+@query("""SELECT c_custkey, floor(coalesce((count(*) FILTER (s_acctbal < c_acctbal) + count(*) FILTER (s_acctbal = c_acctbal) / 2.0::DOUBLE) / nullif(count(s_acctbal), 0), 0.5::DOUBLE) * 1e6 + 0.5) / 1e6 AS percentile
+FROM customer LEFT JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey""")
+def midrank_among_suppliers(spark, sf_dir):
+    """Customers among the suppliers of their nation, whose values they mostly do not have."""
+    balance = lambda t, p: read(spark, sf_dir, t).select(F.col(f"{p}_nationkey").alias("nation"), F.col(f"{p}_acctbal").alias("balance"), *(["c_custkey"] if p == "c" else []))
+    out = s.midranks(balance("customer", "c"), ["nation"], {"balance": "p"}, balance("supplier", "s"))
+    return out.select("c_custkey", jround(F.col("p"), 6).alias("percentile"))
+
+
 @query("SELECT c_custkey, floor(cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) * 1e6 + 0.5) / 1e6 AS percentile FROM customer")
 def le_percentile(spark, sf_dir):
     return r.at_most_share(read(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "p").select("c_custkey", jround(F.col("p"), 6).alias("percentile"))
