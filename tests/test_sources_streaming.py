@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import durable, release
 from tidemark.sources import landed
-from tidemark.streaming import incremental
+from tidemark.streaming import cooldown, incremental
 
 
 def test_json_with_schema_and_fallback(spark, tmp_path):
@@ -40,7 +40,7 @@ def test_incremental_is_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     q = incremental.write_upserts(stream, f"{tmp_path}/out", "id", "version", f"{tmp_path}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v{q.lastProgress['batchId']}").collect())) == want
+    assert sorted(map(tuple, incremental.read_upserts(spark, f"{tmp_path}/out", out.schema, q.lastProgress["batchId"]).collect())) == want
     tasks = spark.createDataFrame([("t1",), ("t2",)], "task_key string")
     log = spark.createDataFrame([("t1", "done"), ("t2", "failed")], "task_key string, status string")
     assert [r.task_key for r in incremental.pending(tasks, log).collect()] == ["t2"] and incremental.pending(tasks, log, force=True).count() == 2
@@ -67,3 +67,51 @@ def test_written_tables_are_released(spark):
     assert path.exists()
     release(spark)
     assert not path.exists()
+
+
+def test_upserts_rewrite_touched_buckets_only(spark, tmp_path):
+    schema = "id long, version long, text string"
+    batches = [[(k, 1, "a") for k in range(40)], [(3, 2, "b"), (5, 2, "b"), (3, 0, "old")], [(None, 1, "n")], [(3, 2, "c"), (None, 0, "m")]]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    path = f"{tmp_path}/table"
+    run = lambda cp: incremental.write_upserts(stream, path, "id", "version", f"{tmp_path}/{cp}", buckets=8).trigger(availableNow=True).start()
+    run("cp").awaitTermination()
+    read = lambda epoch: {(x.id, x.version, x.text) for x in incremental.read_upserts(spark, path, stream.schema, epoch).collect()}
+    whole = {(k, 1, "a") for k in range(40)}
+    want = [whole, whole - {(3, 1, "a"), (5, 1, "a")} | {(3, 2, "b"), (5, 2, "b")}]
+    want += [want[1] | {(None, 1, "n")}, want[1] - {(3, 2, "b")} | {(3, 2, "c"), (None, 1, "n")}]
+    assert [read(e) for e in range(4)] == want
+    folders = [len(list(Path(f"{path}/data/v{e}").glob("bucket=*"))) for e in range(4)]
+    assert folders[0] == 8 and all(1 <= n <= 2 for n in folders[1:])
+    files = {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")}
+    run("cp-lost").awaitTermination()  # every epoch is replayed
+    assert {f: f.stat().st_mtime_ns for f in Path(path).rglob("*.parquet")} == files and read(3) == want[3]
+
+
+def test_streamed_cooldowns_are_those_of_the_batch(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    r, start = random.Random(4), datetime(2026, 1, 1)
+    rows = [(r.choice(["x", "github", None]), start + timedelta(minutes=r.randint(0, 6000)), r.random() < 0.4) for _ in range(400)]
+    rows.sort(key=lambda x: x[1])
+    for k in range(4):
+        part = rows[100 * k : 100 * k + 100]
+        r.shuffle(part)
+        spark.createDataFrame(part, "platform string, at timestamp, refused boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([("end", start + timedelta(days=99), False)], "platform string, at timestamp, refused boolean").coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema("platform string, at timestamp, refused boolean").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = cooldown.write_cooldowns(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    batch = [tuple(x) for x in cooldown.intervals(spark.createDataFrame(rows, "platform string, at timestamp, refused boolean")).collect()]
+    plain = []
+    for p in {x[0] for x in rows}:
+        for at in sorted(x[1] for x in rows if x[0] == p and x[2]):
+            if plain and plain[-1][0] == p and at <= plain[-1][2]:
+                plain[-1] = (p, plain[-1][1], at + timedelta(minutes=30))
+            else:
+                plain.append((p, at, at + timedelta(minutes=30)))
+    assert sorted(got, key=repr) == sorted(batch, key=repr) == sorted(plain, key=repr) and len(plain) > 40

@@ -11,8 +11,9 @@ from tidemark.operators.config import LIBRARY_PLATFORMS
 from tidemark.plans.adapters import read
 from tidemark.plans.evidence import by, joined
 from tidemark.plans.registry import registry
+from tidemark.session import durable, new_dir
 from tidemark.sources import landed
-from tidemark.streaming import incremental
+from tidemark.streaming import cooldown, incremental
 
 QUERIES, ORACLE, query = registry()
 
@@ -310,6 +311,33 @@ def platforms_cooling(spark, sf_dir):
     return incremental.cooling(rows, F.lit(e.agg(F.max("ts")).first()[0]).cast("timestamp")).select("platform", F.unix_micros("until").alias("until_us"))
 
 
+@query("""WITH r AS (SELECT event_type AS platform, ts AS t, ts > max(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 30 MINUTE AS apart FROM events WHERE value > 20
+), g AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY platform ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM r), i AS (SELECT platform, min(t) AS since, max(t) + INTERVAL 30 MINUTE AS until FROM g GROUP BY platform, g)
+SELECT platform, epoch_us(since) AS since_us, epoch_us(until) AS until_us FROM i WHERE (epoch_us(until) + 999) // 1000 + 1 + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+def streamed_cooldowns(spark, sf_dir):
+    """Refusals as a stream in four batches; cooldowns that have ended by the last watermark."""
+    e = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("platform"), F.col("ts").cast("timestamp").alias("at"), (F.col("value") > 20).alias("refused"))
+    first, last = e.agg(F.min("at"), F.max("at")).first()
+    since = lambda t: F.unix_micros(t) - F.unix_micros(F.lit(first))
+    quarter, landed_in, out = F.floor(since("at") * 3.999 / since(F.lit(last))), new_dir(spark, "attempts"), new_dir(spark, "cooldowns")
+    for k in range(4):  # one after the other, as they come to lie
+        e.filter(quarter == k).coalesce(1).write.mode("append").parquet(landed_in)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landed_in)
+    cooldown.write_cooldowns(stream, out, new_dir(spark, "checkpoint"), minutes=30, late="1 hour").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(cooldown.SCHEMA).parquet(out).select("platform", F.unix_micros("since").alias("since_us"), F.unix_micros("until").alias("until_us"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def streamed_upserts(spark, sf_dir):
+    """Events as a stream in four batches, upserted by user."""
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    parts, path = durable(e.repartition(4, F.col("event_id") % 4), "batches"), new_dir(spark, "upserts")
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(parts.inputFiles()[0].rsplit("/", 1)[0])
+    q = incremental.write_upserts(stream, path, "user_id", "event_id", new_dir(spark, "checkpoint"), buckets=8).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return incremental.read_upserts(spark, path, parts.schema, q.lastProgress["batchId"])
+
+
 @query("""WITH s AS (SELECT DISTINCT event_type AS batch, ts FROM events WHERE extract(day FROM ts) % 3 = 0), now AS (SELECT max(ts) AS now FROM events), last AS (SELECT batch, max(ts) AS l FROM s GROUP BY 1), all_ AS (SELECT DISTINCT event_type AS batch FROM events
 ), due AS (SELECT batch, l IS NULL OR l::DATE <> now::DATE AS d FROM all_ LEFT JOIN last USING (batch), now), u AS (SELECT batch, 'daily' AS granularity, ts FROM s UNION ALL SELECT batch, 'daily', now FROM due, now WHERE d UNION ALL SELECT batch, 'weekly', now FROM all_, now
 ), k AS (SELECT *, row_number() OVER (PARTITION BY batch, granularity ORDER BY ts DESC) AS k FROM u)

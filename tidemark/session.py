@@ -43,6 +43,16 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A folder of this application in the shared one that nothing else has; it is there until `release`."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it again.
 
@@ -50,7 +60,7 @@ def durable(df: DataFrame, name: str, **options: str) -> DataFrame:
     executors that computed it. Tables stay until `release`.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_dir(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
