@@ -94,12 +94,17 @@ def first_sentence(text: Column, most: int = 118) -> Column:
     return F.when(F.length(got) > most, F.concat(F.substring(got, 1, most - 1), F.lit("…"))).otherwise(got)
 
 
+def decode_entities(text: Column) -> Column:
+    """The common entities decoded, & last."""
+    for entity, sign in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
+
+
 def readable_html(page: Column) -> Column:
     """Text without scripts, styles and tags; the common entities decoded; spaces collapsed."""
     t = F.regexp_replace(page, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
+    t = decode_entities(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
     return F.trim(F.regexp_replace(t, r"[ \t\r\n]+", " "))
 
 

@@ -207,6 +207,46 @@ def compact_ids(rows: DataFrame, prefix: str, *order: Column | str) -> DataFrame
     return numbered(rows, "_place", *order).withColumn("compact_id", F.concat(F.lit(prefix), F.lower(F.conv(place, 10, 36)))).drop("_place")
 
 
+@dataclass(frozen=True)
+class Public:
+    """What of a graph may be given out: each part a DataFrame."""
+
+    nodes: DataFrame
+    evidence: DataFrame
+    leaderboard: DataFrame
+
+
+def sanitize(nodes: DataFrame, evidence: DataFrame, leaderboard: DataFrame, *, non_scoring: bool = False, why: bool = False, compact: bool = True) -> Public:
+    """A graph without what is not to be shown.
+
+    evidence (id, ordinal, contribution, why, and others) loses raw_visible_text
+    and match_reason, rows without contribution unless `non_scoring`, and what
+    `why` says unless that is asked for; the rest is numbered by ordinal, and
+    `compact` ids take the place of ids. nodes: id, evidence_ids, and founders,
+    an array of structs with evidence_ids of their own; ids in these lists
+    become compact ones in their order, those of dropped rows go. leaderboard:
+    entity_id and biggest, an evidence struct with an id or null; it is cleaned
+    likewise, and keeps its id where its row is dropped.
+    """
+    kept = evidence if non_scoring else evidence.filter("contribution > 0")
+    place = (F.col("_place") - 1).cast("string")
+    rows = numbered(kept, "_place", "ordinal", "id").withColumn("_id", F.concat(F.lit("ev-"), F.lower(F.conv(place, 10, 36))) if compact else F.col("id"))
+    ids = durable(rows.select(F.col("id").alias("_old"), F.col("_id").alias("_new")), "ids")
+    shown = [c for c in evidence.columns if c not in ("id", "why", "raw_visible_text", "match_reason")]
+    clean = rows.select(F.col("_id").alias("id"), *shown, (F.col("why") if why else F.lit("")).alias("why"))
+    lists = F.concat(F.array(F.struct(F.lit(-1).alias("slot"), F.col("evidence_ids").alias("ids"))), F.coalesce(F.transform("founders", lambda x, i: F.struct(i.alias("slot"), x["evidence_ids"].alias("ids"))), F.array()))
+    each = nodes.select(F.col("id").alias("_node"), F.inline(lists)).select("_node", "slot", F.posexplode("ids").alias("pos", "_old")).join(ids, "_old")
+    by_list = each.groupBy("_node", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "_new"))), lambda x: x["_new"]).alias("ids"))
+    mapped = by_list.groupBy("_node").agg(F.map_from_entries(F.collect_list(F.struct("slot", "ids"))).alias("_lists"))
+    of = lambda slot: F.coalesce(F.try_element_at("_lists", slot), F.array().cast("array<string>"))
+    founders = F.transform("founders", lambda x, i: x.withField("evidence_ids", of(i)))
+    out = nodes.join(mapped, nodes["id"] == mapped["_node"], "left").withColumns({"evidence_ids": of(F.lit(-1)), "founders": founders}).select(*nodes.columns)
+    best = leaderboard.join(ids, leaderboard["biggest.id"] == ids["_old"], "left")
+    cleaned = F.col("biggest").dropFields("raw_visible_text", "match_reason").withField("id", F.coalesce("_new", F.col("biggest.id")))
+    cleaned = cleaned if why else cleaned.withField("why", F.lit(""))
+    return Public(out, clean, best.withColumn("biggest", F.when(F.col("biggest").isNotNull(), cleaned)).select(*leaderboard.columns))
+
+
 @dataclass(frozen=True)
 class View:
     """What a graph query gives: each part a DataFrame."""

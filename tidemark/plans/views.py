@@ -12,7 +12,7 @@ from tidemark.plans.adapters import read
 from tidemark.plans.evidence import by, joined
 from tidemark.plans.registry import registry
 from tidemark.session import durable, new_dir
-from tidemark.sources import landed
+from tidemark.sources import landed, nested
 from tidemark.streaming import cooldown, incremental
 
 QUERIES, ORACLE, query = registry()
@@ -388,3 +388,78 @@ def weakest_coverage(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_type").alias("platform"), "value")
     out = q.weakest(missing(e.select("entity_id").distinct(), ["click", "error", "purchase", "refund", "signup", "view"], e.filter("value > 150")))
     return out.select("entity_id", F.size("have").alias("n_have"))
+
+
+#: Nations as nested records: their suppliers, and customers a level deeper.
+@query("""SELECT n_nationkey, 0 AS ordinal, n_name AS name, NULL AS url, r_name AS tagline FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey), c_name, NULL, c_mktsegment FROM customer
+UNION ALL SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey), s_name, 'https://s' || s_suppkey || '.example', NULL FROM supplier""")
+def nested_records(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", F.col("c_name").alias("title"), F.col("c_mktsegment").alias("oneLiner")))).alias("customers"))
+    s = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.concat(F.lit("  "), "s_name").alias("name"), F.concat(F.lit("https://s"), "s_suppkey", F.lit(".example")).alias("website")))).alias("suppliers"))
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey")).join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    record = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("r_name").alias("description"), "suppliers", F.struct("customers").alias("meta")))
+    walked = nested.walk(n.select("n_nationkey", F.try_parse_json(record).alias("json")), "n_nationkey", "json")
+    return nested.entity_records(walked, "n_nationkey", landed.NAME_FIELDS, landed.URL_FIELDS, landed.TAGLINE_FIELDS)
+
+
+@query("SELECT event_id, j.key AS name, CASE WHEN j.type = 'VARCHAR' THEN j.value->>'$' ELSE CAST(j.value AS VARCHAR) END AS text FROM events, json_each(props) j")
+def property_leaves(spark, sf_dir):
+    """Every value in the properties of events."""
+    walked = nested.walk(read(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("json")), "event_id", "json")
+    return nested.leaves(walked).select("event_id", "name", "text")
+
+
+@query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]+"[^>]*>.*?</a>') AS a FROM pages), e AS (SELECT page_id, unnest(a) AS a, generate_subscripts(a, 1) - 1 AS ordinal FROM a
+), c AS (SELECT page_id, ordinal, regexp_extract(a, 'href="([^"]+)"', 1) AS url, trim(regexp_replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS name FROM e) SELECT page_id, CAST(ordinal AS INTEGER) AS ordinal, url, name FROM c WHERE url LIKE '/%' AND name <> ''""")
+def page_cards(spark, sf_dir):
+    """The links of real pages, as cards."""
+    return landed.card_records(read(spark, sf_dir, "pages"), "page_id", "^/")
+
+
+@query("""WITH l AS (SELECT conv_id, list(text ORDER BY turn) AS t, list(role ORDER BY turn) AS r FROM conversations GROUP BY 1)
+SELECT conv_id, array_to_string(list_filter(list_transform(list_concat(t, r), lambda x: trim(x)), lambda x: x <> ''), '|') AS texts, len(list_filter(list_transform(string_split_regex(t[1], ',| and '), lambda x: trim(x)), lambda x: x <> '')) AS n_people FROM l""")
+def coerced_lists(spark, sf_dir):
+    """Lists of strings and of objects, and names parted by commas or "and"."""
+    t = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text", "role"))).alias("l"))
+    listed = F.concat(F.transform("l", lambda x: F.parse_json(F.to_json(F.array(x["text"])))), F.transform("l", lambda x: F.parse_json(F.to_json(F.array(F.struct(x["role"].alias("title")))))))
+    each = F.to_variant_object(F.transform(listed, lambda v: F.variant_get(v, "$[0]", "variant")))
+    people = nested.people_of(F.to_variant_object(F.array(F.col("l")[0]["text"])))
+    first = F.variant_get(F.to_variant_object(F.array(F.col("l")[0]["text"])), "$[0]", "variant")
+    return t.select("conv_id", F.array_join(nested.texts_of(each), "|").alias("texts"), F.size(nested.people_of(first)).cast("long").alias("n_people"))
+
+
+#: Users as nodes: their events are evidence, and two founders have the clicks and the views.
+@query("""WITH k AS (SELECT event_id, user_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE value > 20
+), c AS (SELECT *, list_aggregate(list_transform([5, 4, 3, 2, 1, 0], lambda d: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((n // CAST(power(36, d) AS BIGINT)) % 36 AS INTEGER) + 1, 1)), 'string_agg', '') AS digits FROM k
+), f AS (SELECT *, 'ev-' || CASE WHEN n = 0 THEN '0' ELSE ltrim(digits, '0') END AS id FROM c
+), d AS (SELECT user_id, list(id ORDER BY event_id DESC) AS ids, list(id ORDER BY event_id) FILTER (event_type = 'click') AS clicks, list(id ORDER BY event_id) FILTER (event_type = 'view') AS views FROM f GROUP BY 1)
+SELECT u.user_id AS id, coalesce(array_to_string(ids, ','), '') AS evidence_ids, coalesce(array_to_string(clicks, ','), '') AS clicks, coalesce(array_to_string(views, ','), '') AS views FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN d ON u.user_id = d.user_id""")
+def sanitized_nodes(spark, sf_dir):
+    return sanitized(spark, sf_dir).nodes.select("id", *[F.array_join(ids, ",").alias(out) for out, ids in (("evidence_ids", F.col("evidence_ids")), ("clicks", F.col("founders")[0]["evidence_ids"]), ("views", F.col("founders")[1]["evidence_ids"]))])
+
+
+@query("SELECT event_id AS ordinal, row_number() OVER (ORDER BY event_id) AS n, '' AS why FROM events WHERE value > 20")
+def sanitized_evidence(spark, sf_dir):
+    e = sanitized(spark, sf_dir).evidence
+    return e.select("ordinal", (F.conv(F.substr("id", F.lit(4)), 36, 10).cast("long") + 1).alias("n"), "why")
+
+
+@query("""WITH b AS (SELECT user_id, arg_max(event_id, event_id) AS e, arg_max(value, event_id) AS v FROM events GROUP BY 1), k AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE value > 20)
+SELECT user_id AS entity_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'e' || e END AS old, '' AS why FROM b LEFT JOIN k ON event_id = e""")
+def sanitized_leaderboard(spark, sf_dir):
+    rows = sanitized(spark, sf_dir).leaderboard
+    new = F.startswith("biggest.id", F.lit("ev-"))
+    return rows.select("entity_id", F.when(new, F.conv(F.substr("biggest.id", F.lit(4)), 36, 10).cast("long") + 1).otherwise(F.lit(0)).alias("n"), F.when(~new, F.col("biggest.id")).alias("old"), F.col("biggest.why").alias("why"))
+
+
+def sanitized(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    name = lambda c: F.concat(F.lit("e"), c)
+    rows = e.select(name("event_id").alias("id"), F.col("event_id").alias("ordinal"), F.col("user_id").alias("entity_id"), "event_type", F.greatest(F.col("value") - 20, F.lit(0.0)).alias("contribution"), F.lit("raw").alias("raw_visible_text"), F.lit("since").alias("match_reason"), F.lit("why").alias("why"))
+    some = lambda t: F.transform(F.sort_array(F.collect_list(F.when(F.col("event_type") == t, F.col("ordinal")))), name)
+    founder = lambda n, t: F.struct(F.lit(n).alias("name"), some(t).alias("evidence_ids"))
+    nodes = rows.groupBy(F.col("entity_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list("ordinal"), False), name).alias("evidence_ids"), F.array(founder("a", "click"), founder("b", "view")).alias("founders"))
+    board = rows.groupBy("entity_id").agg(F.max_by(F.struct("id", "why", "raw_visible_text", "match_reason", "contribution"), "ordinal").alias("biggest"))
+    out = g.sanitize(nodes, rows, board)
+    return g.Public(out.nodes, out.evidence.drop("entity_id", "event_type"), out.leaderboard)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import html
-import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tidemark.functions.text import decode_entities
+from tidemark.sources import nested
+
 #: Fixed names of fields that name and describe an entity in foreign records.
 NAME_FIELDS, URL_FIELDS, TAGLINE_FIELDS = ("name", "companyName", "title"), ("website", "websiteUrl", "url"), ("tagline", "oneLiner", "one_liner", "description")
 
@@ -44,53 +43,13 @@ def feed_items(pages: DataFrame, xml: str = "html") -> DataFrame:
     return rows.select("*", tag("title").alias("title"), link.alias("link"), tag("pubDate|published|updated").alias("published"), tag("description|summary|content").alias("summary")).drop("item")
 
 
-def _first(record: dict, names: tuple[str, ...]) -> str | None:
-    return next((str(record[n]).strip() for n in names if isinstance(record.get(n), str | int | float) and str(record[n]).strip()), None)
-
-
-def _records(value) -> Iterator[dict]:
-    """Objects with a name and a URL or tagline, anywhere within a JSON value, outermost first."""
-    stack = [value]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, dict):
-            if _first(x, NAME_FIELDS) and (_first(x, URL_FIELDS) or _first(x, TAGLINE_FIELDS)):
-                yield x
-            stack.extend(reversed(list(x.values())))
-        elif isinstance(x, list):
-            stack.extend(reversed(x))
-
-
-def _embedded(text: str) -> Iterator[dict]:
-    for kind, body in re.findall(r"(?is)<script[^>]*type=[\"'](application/(?:ld\+)?json)[\"'][^>]*>(.*?)</script>", text):
-        try:
-            yield from _records(json.loads(body))
-        except ValueError:
-            continue
-    for body in re.findall(r"(?is)\sdata-page=\"([^\"]*)\"", text):
-        try:
-            yield from _records(json.loads(html.unescape(body)))
-        except ValueError:
-            continue
-
-
 def embedded_records(pages: DataFrame, key: str, source: str = "html") -> DataFrame:
-    """key, ordinal, name, url, tagline of records that pages embed as JSON; a walk of any depth, so it runs in Python by batches."""
-    kind = next(f.dataType.simpleString() for f in pages.schema if f.name == key)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, text in zip(frame[key], frame[source], strict=True):
-                seen = set()
-                for record in _embedded(text or ""):
-                    row = (_first(record, NAME_FIELDS), _first(record, URL_FIELDS), _first(record, TAGLINE_FIELDS))
-                    if row not in seen:
-                        seen.add(row)
-                        rows.append((k, len(seen) - 1, *row))
-            yield pd.DataFrame(rows, columns=[key, "ordinal", "name", "url", "tagline"])
-
-    return pages.select(key, source).mapInPandas(run, f"{key} {kind}, ordinal int, name string, url string, tagline string")
+    """key, ordinal, name, url, tagline of records that pages embed as JSON, in scripts and then in data-page attributes, at any depth. What is no JSON is passed over."""
+    scripts = F.regexp_extract_all(source, F.lit(r"(?is)<script[^>]*type=[\"']application/(?:ld\+)?json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    attributes = F.transform(F.regexp_extract_all(source, F.lit(r"(?is)\sdata-page=\"([^\"]*)\""), F.lit(1)), decode_entities)
+    bodies = F.filter(F.transform(F.concat(scripts, attributes), F.try_parse_json), lambda x: x.isNotNull())
+    walked = nested.walk(pages.select(key, F.to_variant_object(bodies).alias("_json")), key, "_json")
+    return nested.entity_records(walked, key, NAME_FIELDS, URL_FIELDS, TAGLINE_FIELDS)
 
 
 def card_records(pages: DataFrame, key: str, pattern: str, source: str = "html") -> DataFrame:
