@@ -240,6 +240,19 @@ def composite_total(by_platform: DataFrame, platform_weights: dict[str, float] =
     return ranked.select("entity_id", "absolute", "percentile", jround(F.col("percentile") * 100, 2).alias("total"), F.least(F.lit(1.0), F.col("weight") / sum(platform_weights.values())).alias("coverage"), state.alias("review_state"))
 
 
+def founder_scores(by_platform: DataFrame, relevance: DataFrame, platform_weights: dict[str, float] = LIBRARY_PLATFORMS, unknown: float = 0.85) -> DataFrame:
+    """`composite_total` of founders with relevance, how much of it concerns their company (entity_id, relevance), within 0 and 1, and known, whether that was given. It is recorded and does not change the total."""
+    rows = composite_total(by_platform, platform_weights).join(relevance, "entity_id", "left")
+    return rows.withColumn("known", F.col("relevance").isNotNull()).withColumn("relevance", F.when(F.col("known"), clamp(F.col("relevance"), 0.0, 1.0)).otherwise(unknown))
+
+
+def top_platform(by_platform: DataFrame, platform_weights: dict[str, float]) -> DataFrame:
+    """entity_id and platform: the one with the most weighed score, or where none has weight the highest score; of equal ones the first by ordinal."""
+    rows = by_platform.withColumn("_w", F.col("score") * lookup(platform_weights, F.col("platform"), 0.0))
+    best = lambda value, when=F.lit(True): F.max_by(F.when(when, F.col("platform")), F.when(when, F.struct(value, (-F.col("ordinal")).alias("o"))))
+    return rows.groupBy("entity_id").agg(F.coalesce(best("_w", F.col("_w") > 0), best("score")).alias("platform"))
+
+
 def weighted_average(value: Column, weight: Column, fallback: float) -> Column:
     """An aggregate: the mean by weight of finite values with a weight above 0; the fallback where there is none."""
     good = value.isNotNull() & ~F.isnan(value) & (weight > 0)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import audits, evidence, media, relations, scoring, views
+from tidemark.plans import audits, evidence, media, planning, relations, scoring, views
 
-_MODULES = (scoring, relations, audits, evidence, views, media)
+_MODULES = (scoring, relations, audits, evidence, views, media, planning)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

@@ -115,9 +115,19 @@ TOTALS = """b AS (SELECT c_nationkey * 1000 + c_custkey % 40 AS entity_id, ['x',
 
 @query(f"""WITH {TOTALS} SELECT entity_id, absolute, floor(pct * 100 * 100 + 0.5) / 100 AS total, floor(least(1, weight) * 1e6 + 0.5) / 1e6 AS coverage, CASE WHEN v THEN 'verified' WHEN r THEN 'rejected' ELSE 'needs_review' END AS review_state FROM k""")
 def composite_totals(spark, sf_dir):
+    return s.composite_total(account_rows(spark, sf_dir), LIBRARY_PLATFORMS).select("entity_id", "absolute", "total", jround(F.col("coverage"), 6).alias("coverage"), "review_state")
+
+
+def account_rows(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    rows = c.select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 40).alias("entity_id"), by("c_custkey", 5, "x", "linkedin", "github", "youtube", "reddit").alias("platform"), (F.greatest("c_acctbal", F.lit(0.0)) / 100).alias("score"), by("c_custkey", 4, "verified", "verified", "needs_review", "rejected").alias("state"))
-    return s.composite_total(rows, LIBRARY_PLATFORMS).select("entity_id", "absolute", "total", jround(F.col("coverage"), 6).alias("coverage"), "review_state")
+    return c.select((F.col("c_nationkey") * 1000 + F.col("c_custkey") % 40).alias("entity_id"), by("c_custkey", 5, "x", "linkedin", "github", "youtube", "reddit").alias("platform"), (F.greatest("c_acctbal", F.lit(0.0)) / 100).alias("score"), by("c_custkey", 4, "verified", "verified", "needs_review", "rejected").alias("state"))
+
+
+@query(f"""WITH {TOTALS} SELECT entity_id, absolute, floor(pct * 100 * 100 + 0.5) / 100 AS total, entity_id % 3 = 0 AS known, CASE WHEN entity_id % 3 = 0 THEN least(1, entity_id % 7 / 5.0::DOUBLE) ELSE 0.85 END::DOUBLE AS relevance FROM k""")
+def founder_totals(spark, sf_dir):
+    rows = account_rows(spark, sf_dir)
+    relevance = rows.select("entity_id").distinct().filter("entity_id % 3 = 0").withColumn("relevance", F.col("entity_id") % 7 / 5.0)
+    return s.founder_scores(rows, relevance).select("entity_id", "absolute", "total", "known", "relevance")
 
 
 DEMO = """m AS (SELECT event_id, user_id, ['x', 'linkedin', 'reddit'][event_id % 3 + 1] AS platform, floor((event_id % 50) * 1 + (event_id % 9) * 3 + value * 0.05::DOUBLE + (event_id % 4) * 1.5::DOUBLE) AS raw FROM events
