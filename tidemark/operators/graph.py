@@ -193,11 +193,64 @@ def greedy_edges(edges: DataFrame, per_node: int = 2, most: int | None = 140, ch
     return taken.orderBy(*order).limit(most) if most is not None else taken
 
 
-def search(labels: DataFrame, text: str, limit: int = 12) -> DataFrame:
-    """id, label, kind and match of `labels` (id, label, kind, score): the best matches of a query in spite of typing errors, with a bonus for score."""
+@dataclass(frozen=True)
+class SearchIndex:
+    """Labels (id, label, kind, score, value) and what leads to them: their different words, the labels of each word, and the labels without spaces by length."""
+
+    labels: DataFrame
+    words: DataFrame
+    postings: DataFrame
+    whole: DataFrame
+
+
+def search_index(labels: DataFrame) -> SearchIndex:
+    """An index of `labels` (id, unique, label, kind, score), written; postings lie by word and whole labels by length, so a search skips most files and row groups."""
+    rows = durable(labels.select("id", "label", "kind", "score", searchable(F.col("label")).alias("value")), "labels")
+    postings = rows.select(F.explode(F.array_distinct(F.split("value", " "))).alias("word"), "id").filter("word <> ''")
+    postings = durable(postings.repartitionByRange("word").sortWithinPartitions("word"), "postings")
+    whole = rows.select(F.replace("value", F.lit(" "), F.lit("")).alias("value"), "id").withColumn("n", F.length("value"))
+    return SearchIndex(rows, durable(postings.select("word").distinct(), "words"), postings, durable(whole.repartitionByRange("n").sortWithinPartitions("n"), "whole"))
+
+
+def search_candidates(index: SearchIndex, query: str) -> DataFrame:
+    """The ids that may match `query`, not empty and in `searchable` form: no other label has a match above 0.
+
+    Each word of the query is within a word of the label, or each of three
+    letters or more is near one; only the different words of all labels are
+    looked at for that, with at most as many edits as can be near. Or the whole
+    label is near without its spaces, for which its length must be near first.
+    """
+    parts = query.split(" ")
+    asked, joined = [p for p in parts if len(p) >= 3], query.replace(" ", "")
+    word = F.col("word")
+
+    def near(p: str) -> Column:
+        least = 0.58 if len(p) <= 5 else 0.68
+        longest = F.greatest(F.length(word), F.lit(len(p)))
+        within = (F.length(word) >= 3) & (F.least(F.length(word), F.lit(len(p))) >= least * longest)
+        return within & (1 - F.levenshtein(word, F.lit(p)) / longest >= least)
+
+    flags = [(f"c{k}", F.contains(word, F.lit(p))) for k, p in enumerate(parts)] + [(f"n{k}", near(p)) for k, p in enumerate(asked)]
+    hits = index.words.select("word", *[f.alias(c) for c, f in flags]).filter(" OR ".join(c for c, _ in flags))
+    met = index.postings.join(hits, "word").groupBy("id").agg(*[F.bool_or(c).alias(c) for c, _ in flags])
+    every = lambda sign: " AND ".join(c for c, _ in flags if c[0] == sign) or "false"
+    ids = met.filter(f"({every('c')}) OR ({every('n')})").select("id")
+    n = len(joined)
+    edits = F.levenshtein("value", F.lit(joined)) / F.greatest("n", F.lit(n))
+    whole = index.whole.filter(F.col("n").between(math.floor(0.78 * n), math.ceil(n / 0.78))).filter(1 - edits >= 0.78).select("id")
+    return ids.unionByName(whole).distinct()
+
+
+def search(labels: DataFrame | SearchIndex, text: str, limit: int = 12) -> DataFrame:
+    """id, label, kind and match of `labels` (id, label, kind, score) or an index of them: the best matches of a query in spite of typing errors, with a bonus for score."""
+    if isinstance(labels, SearchIndex):
+        query = labels.labels.sparkSession.range(1).select(searchable(F.lit(text)).alias("q")).first()["q"]
+        rows = labels.labels.join(search_candidates(labels, query), "id", "left_semi") if query else labels.labels
+    else:
+        rows = labels
     found = match_score(searchable(F.lit(text)), searchable(F.col("label")))
     bonus = F.col("score") / F.when(F.col("kind") == "company", 500.0).otherwise(650.0)
-    rows = labels.withColumn("match", found).filter("match > 0").withColumn("match", jround(F.col("match") + bonus, 4))
+    rows = rows.withColumn("match", found).filter("match > 0").withColumn("match", jround(F.col("match") + bonus, 4))
     return rows.orderBy(F.desc("match"), "label", "id").limit(limit).select("id", "label", "kind", "match")
 
 

@@ -80,16 +80,28 @@ def greedy_degree_capped_edges(spark, sf_dir):
     return g.greedy_edges(g.similarity_edges(items(spark, sf_dir)), most=None)
 
 
-@query("""WITH v AS (SELECT p_partkey AS id, p_name AS label, CASE WHEN p_partkey % 2 = 0 THEN 'company' ELSE 'founder' END AS kind, p_size::DOUBLE AS score, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS v, 'smal rinng' AS q FROM part
+#: Parts as companies and founders, and a query with typing errors.
+SEARCH = """WITH v AS (SELECT p_partkey AS id, p_name AS label, CASE WHEN p_partkey % 2 = 0 THEN 'company' ELSE 'founder' END AS kind, p_size::DOUBLE AS score, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS v, 'smal rinng' AS q FROM part
 ), t AS (SELECT *, 1 - levenshtein(replace(q, ' ', ''), replace(v, ' ', ''))::DOUBLE / greatest(length(replace(q, ' ', '')), length(replace(v, ' ', ''))) AS whole, list_transform(['smal', 'rinng'], lambda a: list_max(list_transform(list_filter(string_split(v, ' '), lambda b: length(b) >= 3), lambda b: 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))))) AS best FROM v
 ), f AS (SELECT *, CASE WHEN whole >= 0.85 THEN 86 + floor(whole * 10 + 0.5) WHEN whole >= 0.78 THEN 66 + floor(whole * 18 + 0.5) WHEN list_min(best) >= 0.58 AND list_avg(best) >= 0.68 THEN 42 + floor(list_avg(best) * 24 + 0.5) ELSE 0 END AS fuzzy,
     CASE WHEN v = q THEN 100 WHEN starts_with(v, q) THEN 82 WHEN contains(v, q) THEN 64 WHEN contains(v, 'smal') AND contains(v, 'rinng') THEN 50 ELSE 0 END AS exact FROM t
 ), m AS (SELECT id, label, kind, greatest(fuzzy, exact) AS m, score FROM f)
-SELECT id, label, kind, floor((m + score / CASE kind WHEN 'company' THEN 500.0::DOUBLE ELSE 650.0::DOUBLE END) * 10000 + 0.5) / 10000 AS match FROM m WHERE m > 0 ORDER BY match DESC, label, id LIMIT 14""")
+SELECT id, label, kind, floor((m + score / CASE kind WHEN 'company' THEN 500.0::DOUBLE ELSE 650.0::DOUBLE END) * 10000 + 0.5) / 10000 AS match FROM m WHERE m > 0 ORDER BY match DESC, label, id LIMIT 14"""
+
+
+@query(SEARCH)
 def fuzzy_search(spark, sf_dir):
+    return g.search(labels(spark, sf_dir), "smal rinng", 14)
+
+
+@query(SEARCH)
+def indexed_search(spark, sf_dir):
+    return g.search(g.search_index(labels(spark, sf_dir)), "smal rinng", 14)
+
+
+def labels(spark, sf_dir):
     part = read(spark, sf_dir, "part")
-    labels = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 2 == 0, "company").otherwise("founder").alias("kind"), F.col("p_size").cast("double").alias("score"))
-    return g.search(labels, "smal rinng", 14)
+    return part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 2 == 0, "company").otherwise("founder").alias("kind"), F.col("p_size").cast("double").alias("score"))
 
 
 @query("SELECT c_custkey, levenshtein(c_mktsegment, 'BULIDING')::INTEGER AS edits, floor((1 - levenshtein(c_mktsegment, 'BULIDING')::DOUBLE / greatest(length(c_mktsegment), 8)) * 1e6 + 0.5) / 1e6 AS similarity FROM customer")
