@@ -242,6 +242,32 @@ def guard(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("_g", "review_state")], F.col("_g.state").alias("review_state"), "_g.multiplier", "_g.risk", guarded.alias("guarded"))
 
 
+#: Platforms whose rows need a sign of their own entity.
+STRICT = ("youtube", "product_hunt", "hacker_news", "reddit", "linkedin")
+
+
+def offline_audit(rows: DataFrame) -> DataFrame:
+    """`rows` with risk and reason by the simpler rules of an audit after the fact; the first that holds decides.
+
+    rows: platform, contribution, why, match_reason, raw, and the flags
+    resolved, own_signal (anywhere in the row), verified_account and conflict.
+    What the guard has called low risk stays so.
+    """
+    f = F.col
+    said = F.concat_ws(" ", "why", "match_reason").rlike(r"(?i)Attribution guard:\s*low risk")
+    own, verified = f("own_signal"), f("verified_account")
+    context = (F.coalesce("contribution", F.lit(0.0)) <= 0) | F.concat_ws(" ", "why", "raw").rlike("(?i)profile|context only|retweet|repost")
+    bare = ~own & ~verified & ~context
+    rules = [
+        (said, "low", "guarded"), (~f("resolved"), "high", "unresolved"), ((f("platform") == "github") & ~own & ~verified, "high", "unknown_repository"), (f("conflict") & ~own, "high", "other_entity"),
+        (bare & f("platform").isin(*STRICT), "high", "no_signal"), (bare, "medium", "weak_signal"), (verified, "low", "verified_account"),
+    ]
+    out = F.struct(F.lit("low").alias("risk"), F.lit("visible_signal").alias("reason"))
+    for when, risk, reason in reversed(rules):
+        out = F.when(when, F.struct(F.lit(risk).alias("risk"), F.lit(reason).alias("reason"))).otherwise(out)
+    return rows.withColumn("_o", out).select(*rows.columns, "_o.risk", "_o.reason")
+
+
 def identity(rows: DataFrame) -> DataFrame:
     """`rows` with state and canonical: explicit states win, then the rules that verify; all else needs review.
 

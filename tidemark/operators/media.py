@@ -66,3 +66,41 @@ def account_coverage(entities: DataFrame, evidence: DataFrame, verified: DataFra
     reason = F.when(F.col("known"), "no_scored_post").when(F.col("needs_review"), "candidate_in_review").when(F.col("failed"), "discovery_failed").when(F.col("no_results"), "nothing_found").otherwise("no_target")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("entity_id", zero("n_rows"), zero("n_scored"), zero("n_pictures"), "top_url", F.when(F.coalesce("n_scored", F.lit(0)) == 0, reason).alias("reason"))
+
+
+#: Pictures that stand in for one.
+STAND_IN = r"(?i)\.svg$|fallback|placeholder"
+
+
+def profile_counters(companies: DataFrame, founders: DataFrame, candidates: DataFrame, attempts: DataFrame, platform: str) -> DataFrame:
+    """One row with the eleven counts of profiles of a platform.
+
+    companies and founders: links and overrides, maps from platform to URL.
+    candidates: review_state. attempts: status.
+    """
+    has = lambda c: F.count_if(F.coalesce(F.try_element_at(c, F.lit(platform)), F.lit("")) != "")
+    state = lambda c, value, out: F.count_if(F.col(c) == value).alias(out)
+    parts = [
+        companies.agg(has("links").alias("company_profiles"), has("overrides").alias("company_overrides")), founders.agg(has("links").alias("founder_profiles"), has("overrides").alias("founder_overrides")),
+        candidates.agg(F.count("*").alias("candidates"), *[state("review_state", s, f"candidates_{s}") for s in ("needs_review", "rejected", "failed")]),
+        attempts.agg(F.count("*").alias("attempts"), *[state("status", s, f"attempts_{s}") for s in ("no_results", "failed")]),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
+def evidence_counters(evidence: DataFrame) -> DataFrame:
+    """By platform: rows, scored rows, entities with rows and with scored rows, rows with a picture and with a real one. evidence: platform, entity_id, score, picture."""
+    scored, picture = F.col("score") > 0, F.coalesce("picture", F.lit("")) != ""
+    real = picture & ~F.coalesce("picture", F.lit("")).rlike(STAND_IN)
+    return evidence.groupBy("platform").agg(
+        F.count("*").alias("n_rows"), F.count_if(scored).alias("n_scored"), F.countDistinct("entity_id").alias("n_entities"), F.countDistinct(F.when(scored, F.col("entity_id"))).alias("n_scored_entities"),
+        F.count_if(picture).alias("n_pictures"), F.count_if(real).alias("n_real_pictures"),
+    )
+
+
+def picture_origins(evidence: DataFrame) -> DataFrame:
+    """platform, origin (none where there is none) and the number of rows: where pictures come from."""
+    return evidence.groupBy("platform", F.coalesce("origin", F.lit("none")).alias("origin")).agg(F.count("*").alias("n"))

@@ -68,6 +68,11 @@ def movers(base: DataFrame, other: DataFrame, key: str, score: str, missing_rank
     return both.withColumn("move", F.col("rank_base") - F.col("rank_other"))
 
 
+def biggest_movers(base: DataFrame, other: DataFrame, key: str, score: str, most: int = 25) -> DataFrame:
+    """The rows of `movers` that moved most either way, those of equal moves by their rank."""
+    return movers(base, other, key, score).orderBy(F.desc(F.abs("move")), "rank_other").limit(most)
+
+
 def feed(rows: DataFrame, sort: str, k: int = 20, *, ascending: bool = False, ordinal: str = "ordinal") -> DataFrame:
     """The first `k` of `rows` (posted_at, metrics, platform, contribution) by the reader's choice: newest, views, likes, comments, platform or contribution; unknown values count 0, platforms go by name."""
     keys = {"newest": F.col("posted_at"), "platform": F.col("platform"), "contribution": F.coalesce("contribution", F.lit(0.0))}

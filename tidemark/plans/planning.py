@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.num import jround
-from tidemark.operators import planning as p, scoring as s
+from tidemark.operators import attribution as a, media as m, planning as p, ranking as r, scoring as s
 from tidemark.plans.adapters import read
 from tidemark.plans.registry import registry
 
@@ -112,3 +112,75 @@ def founder_platforms(spark, sf_dir):
 FROM (SELECT *, CASE platform WHEN 'x' THEN 0.3 WHEN 'github' THEN 0.2 ELSE 0 END::DOUBLE AS w FROM r) GROUP BY 1""")
 def top_platforms(spark, sf_dir):
     return s.top_platform(founder_platforms(spark, sf_dir), {"x": 0.3, "github": 0.2})
+
+
+# Audits after the fact, and counters.
+
+FLAGS = """f AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'x' WHEN 'view' THEN 'youtube' WHEN 'purchase' THEN 'github' WHEN 'signup' THEN 'reddit' ELSE 'web' END AS platform, value - 5 AS contribution, CASE WHEN event_id % 19 = 0 THEN 'Attribution guard: low risk' WHEN event_id % 13 = 0 THEN 'a repost' END AS why,
+  event_id % 11 <> 0 AS resolved, event_id % 3 = 0 AS own, event_id % 5 = 0 AS verified, event_id % 4 = 0 AS conflict FROM events
+), o AS (SELECT *, NOT own AND NOT verified AND contribution > 0 AND coalesce(why, '') NOT LIKE '%repost%' AS bare FROM f
+), d AS (SELECT *, CASE WHEN why LIKE 'Attribution%' THEN 'guarded' WHEN NOT resolved THEN 'unresolved' WHEN platform = 'github' AND NOT own AND NOT verified THEN 'unknown_repository' WHEN conflict AND NOT own THEN 'other_entity' WHEN bare AND platform IN ('youtube', 'reddit') THEN 'no_signal' WHEN bare THEN 'weak_signal' WHEN verified THEN 'verified_account' ELSE 'visible_signal' END AS reason FROM o
+), r AS (SELECT *, CASE WHEN reason IN ('unresolved', 'unknown_repository', 'other_entity', 'no_signal') THEN 'high' WHEN reason = 'weak_signal' THEN 'medium' ELSE 'low' END AS risk FROM d)"""
+
+
+def audited(spark, sf_dir):
+    i, t = F.col("event_id"), F.col("event_type")
+    platform = F.when(t == "click", "x").when(t == "view", "youtube").when(t == "purchase", "github").when(t == "signup", "reddit").otherwise("web")
+    why = F.when(i % 19 == 0, "Attribution guard: low risk").when(i % 13 == 0, "a repost")
+    none = F.lit(None).cast("string")
+    return a.offline_audit(read(spark, sf_dir, "events").select(
+        "event_id", "user_id", platform.alias("platform"), (F.col("value") - 5).alias("contribution"), why.alias("why"), none.alias("match_reason"), none.alias("raw"), (i % 11 != 0).alias("resolved"), (i % 3 == 0).alias("own_signal"), (i % 5 == 0).alias("verified_account"), (i % 4 == 0).alias("conflict"),
+    ))
+
+
+@query(f"WITH {FLAGS} SELECT event_id, risk, reason FROM r")
+def offline_attribution(spark, sf_dir):
+    return audited(spark, sf_dir).select("event_id", "risk", "reason")
+
+
+@query(f"WITH {FLAGS} SELECT user_id, risk, count(*) AS n FROM r GROUP BY 1, 2")
+def risk_by_entity(spark, sf_dir):
+    return audited(spark, sf_dir).groupBy("user_id", "risk").agg(F.count("*").alias("n"))
+
+
+PICTURED = """v AS (SELECT event_type AS platform, user_id AS entity_id, value - 20 AS score, CASE event_id % 5 WHEN 0 THEN 'https://a/p.png' WHEN 1 THEN '/placeholder.png' WHEN 2 THEN '' WHEN 3 THEN 'https://a/x.svg' END AS picture, CASE event_id % 4 WHEN 0 THEN 'stored' WHEN 1 THEN 'video' WHEN 2 THEN 'media' END AS origin FROM events)"""
+
+
+def pictured(spark, sf_dir):
+    i = F.col("event_id")
+    picture = F.when(i % 5 == 0, "https://a/p.png").when(i % 5 == 1, "/placeholder.png").when(i % 5 == 2, "").when(i % 5 == 3, "https://a/x.svg")
+    origin = F.when(i % 4 == 0, "stored").when(i % 4 == 1, "video").when(i % 4 == 2, "media")
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("platform"), F.col("user_id").alias("entity_id"), (F.col("value") - 20).alias("score"), picture.alias("picture"), origin.alias("origin"))
+
+
+@query(f"""WITH {PICTURED} SELECT platform, count(*) AS n_rows, count(*) FILTER (score > 0) AS n_scored, count(DISTINCT entity_id) AS n_entities, count(DISTINCT entity_id) FILTER (score > 0) AS n_scored_entities,
+  count(*) FILTER (picture <> '') AS n_pictures, count(*) FILTER (picture = 'https://a/p.png') AS n_real_pictures FROM v GROUP BY 1""")
+def evidence_counters(spark, sf_dir):
+    return m.evidence_counters(pictured(spark, sf_dir))
+
+
+@query(f"WITH {PICTURED} SELECT platform, coalesce(origin, 'none') AS origin, count(*) AS n FROM v GROUP BY 1, 2")
+def picture_origins(spark, sf_dir):
+    return m.picture_origins(pictured(spark, sf_dir))
+
+
+@query("""SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) AS company_profiles, (SELECT count(*) FROM supplier WHERE s_acctbal > 5000) AS company_overrides, (SELECT count(*) FROM customer WHERE c_custkey % 4 = 0) AS founder_profiles, (SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS founder_overrides,
+  (SELECT count(*) FROM orders) AS candidates, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS candidates_needs_review, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS candidates_rejected, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS candidates_failed,
+  (SELECT count(*) FROM events) AS attempts, (SELECT count(*) FROM events WHERE event_type = 'view') AS attempts_no_results, (SELECT count(*) FROM events WHERE event_type = 'error') AS attempts_failed""")
+def profile_counters(spark, sf_dir):
+    """Suppliers as companies, customers as founders, orders as candidates, events as attempts."""
+    url = lambda when: F.map_from_arrays(F.array(F.lit("instagram")), F.array(F.when(when, "https://instagram.com/a").otherwise("")))
+    companies = read(spark, sf_dir, "supplier").select(url(F.col("s_suppkey") % 3 == 0).alias("links"), url(F.col("s_acctbal") > 5000).alias("overrides"))
+    founders = read(spark, sf_dir, "customer").select(url(F.col("c_custkey") % 4 == 0).alias("links"), url(F.col("c_acctbal") > 9000).alias("overrides"))
+    state = F.when(F.col("o_orderstatus") == "O", "needs_review").when(F.col("o_orderstatus") == "P", "rejected").otherwise("failed")
+    status = F.when(F.col("event_type") == "view", "no_results").when(F.col("event_type") == "error", "failed").otherwise("found")
+    return m.profile_counters(companies, founders, read(spark, sf_dir, "orders").select(state.alias("review_state")), read(spark, sf_dir, "events").select(status.alias("status")), "instagram")
+
+
+@query("""WITH b AS (SELECT user_id, floor(avg(value) * 100 + 0.5) AS score FROM events WHERE event_id % 3 > 0 GROUP BY 1), o AS (SELECT user_id, floor(avg(value) * 100 + 0.5) AS score FROM events GROUP BY 1
+), x AS (SELECT o.user_id, row_number() OVER (ORDER BY o.score DESC, o.user_id) AS rank_other FROM o), y AS (SELECT user_id, row_number() OVER (ORDER BY score DESC, user_id) AS rank_base FROM b
+), m AS (SELECT user_id, rank_other::INTEGER AS rank_other, coalesce(rank_base, 999)::INTEGER AS rank_base FROM x LEFT JOIN y USING (user_id)) SELECT *, rank_base - rank_other AS move FROM m ORDER BY abs(rank_base - rank_other) DESC, rank_other LIMIT 25""")
+def biggest_movers(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    score = lambda df: df.groupBy("user_id").agg(jround(F.avg("value") * 100).alias("score"))
+    return r.biggest_movers(score(e.filter("event_id % 3 > 0")), score(e), "user_id", "score")
