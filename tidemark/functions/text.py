@@ -20,8 +20,13 @@ SECRETS = (
 )
 
 
-def redact(text: Column) -> Column:
-    return reduce(lambda t, rule: F.regexp_replace(t, *rule), SECRETS, text)
+#: What else is taken out of pages that were read while logged in; before the general rule for parameters.
+COOKIES = ((r'(?i)\bJSESSIONID="[^"]+"', 'JSESSIONID="[redacted-cookie]"'), (r"(?i)\bli_at=[A-Za-z0-9%._/-]{16,}", "li_at=[redacted-cookie]"))
+
+
+def redact(text: Column, cookies: bool = False) -> Column:
+    rules = (*SECRETS[:-1], *COOKIES, SECRETS[-1]) if cookies else SECRETS
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), rules, text)
 
 
 def slug(text: Column) -> Column:
@@ -82,6 +87,16 @@ def compact_number(text: Column) -> Column:
     return F.floor(number * times + 0.5).cast("long")
 
 
+def compact_number_in(text: Column) -> Column:
+    """The first compact number anywhere in a text: 12,345 followers, about 1.2K; null where there is none, or one that is no number."""
+    pattern = r"([0-9.]+)\s*([KkMmBb])?"
+    t = F.regexp_replace(text, ",", "")
+    number = F.try_to_number(F.regexp_replace(F.regexp_extract(t, pattern, 1), r"\.$", ""), F.lit("999999999999999.999999")).cast("double")
+    unit = F.lower(F.regexp_extract(t, pattern, 2))
+    times = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+    return F.floor(number * times + 0.5).cast("long")
+
+
 def compact_label(n: Column) -> Column:
     """The reverse, with one decimal: 1234 to 1.2K."""
     one = lambda x: F.regexp_replace(F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10), r"\.0$", "")

@@ -72,6 +72,13 @@ def without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other.select(*keys).distinct(), keys, "left_anti")
 
 
+def own_accounts(accounts: DataFrame, members: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
+    """`accounts` of entities without those of their members, each key (the entity and the account) once: the first row stays."""
+    left = without(accounts, members, keys)
+    first = left.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in left.columns if c not in keys]), ordinal).alias("_first"))
+    return first.select(*keys, "_first.*").select(*accounts.columns)
+
+
 def groups(rows: DataFrame, key: str, owner: str) -> DataFrame:
     """key, count and number of owners of keys with more than one row."""
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(owner).alias("n_owners")).filter("n > 1")

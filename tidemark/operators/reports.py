@@ -22,6 +22,27 @@ def coverage(evidence: DataFrame, platforms: list[str]) -> DataFrame:
     return known.join(agg, "platform", "left").select("platform", zero("n_rows"), zero("n_scored"), zero("n_entities"))
 
 
+def coverage_with_reviews(evidence: DataFrame, review: DataFrame, platforms: list[str]) -> DataFrame:
+    """`coverage` with entities that have any row, and rows to review (platform)."""
+    any_row = evidence.groupBy("platform").agg(F.countDistinct("entity_id").alias("n_with_rows"))
+    open_ = review.groupBy("platform").agg(F.count("*").alias("n_review"))
+    out = coverage(evidence, platforms).join(any_row, "platform", "left").join(open_, "platform", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_with_rows", "n_review")})
+
+
+def entity_coverage(entities: DataFrame, evidence: DataFrame, weighted: list[str], code: str = "github") -> DataFrame:
+    """entity_id with counts of rows, of scored ones and of those not from where code lies, its platforms, those with a score, and the weighted ones without."""
+    scored = F.col("score") > 0
+    agg = evidence.groupBy("entity_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(scored).alias("n_scored"), F.count_if(scored & (F.col("platform") != code)).alias("n_scored_elsewhere"), F.sort_array(F.collect_set("platform")).alias("platforms"),
+        F.sort_array(F.collect_set(F.when(scored, F.col("platform")))).alias("scored_platforms"),
+    )
+    empty = F.array().cast("array<string>")
+    out = entities.select("entity_id").join(agg, "entity_id", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_rows", "n_scored", "n_scored_elsewhere")} | {c: F.coalesce(c, empty) for c in ("platforms", "scored_platforms")})
+    return out.withColumn("lacking", F.array_except(F.array(*map(F.lit, weighted)), "scored_platforms"))
+
+
 def task_grid(entities: DataFrame, platforms: list[str], scored: DataFrame, review: DataFrame, disabled: list[str], slow: list[str]) -> DataFrame:
     """entity_id, platform and status of every entity on every platform. The platforms are a short list, so each entity explodes into its rows."""
     grid = entities.select("entity_id", F.explode(F.array(*map(F.lit, platforms))).alias("platform"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as x
 from tidemark.functions.num import jround
-from tidemark.operators import attribution as a, media as m, planning as p, ranking as r, scoring as s
+from tidemark.operators import attribution as a, dedupe as d, graph as g, media as m, planning as p, ranking as r, reports, scoring as s
+from tidemark.plans import relations
 from tidemark.plans.adapters import read
 from tidemark.plans.registry import registry
+from tidemark.sources import landed
 
 QUERIES, ORACLE, query = registry()
 
@@ -184,3 +187,92 @@ def biggest_movers(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     score = lambda df: df.groupBy("user_id").agg(jround(F.avg("value") * 100).alias("score"))
     return r.biggest_movers(score(e.filter("event_id % 3 > 0")), score(e), "user_id", "score")
+
+
+# Views, coverage and small rules.
+
+
+@query(f"WITH {relations.EDGES} SELECT source, target, weight FROM edges WHERE weight >= 0.34")
+def clear_view_edges(spark, sf_dir):
+    """The view without the weaker edges."""
+    nodes = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("i").alias("industry"), F.lit("p").alias("partner"), F.lit("b2b").alias("model"), F.array(F.lit("x")).alias("platforms"), F.col("c_acctbal").alias("score"))
+    none = spark.createDataFrame([], "entity_id long, platform string")
+    return g.query(nodes, g.similarity_edges(relations.items(spark, sf_dir)), none, none, g.Filters(), least_weight=0.34).edges
+
+
+@query(f"""WITH {relations.EDGES.replace("0.75::DOUBLE", "0.72::DOUBLE").replace("0.25::DOUBLE", "0.28::DOUBLE").replace("* 100 + 0.5) / 100", "* 1000 + 0.5) / 1000")} SELECT source, target, weight FROM edges WHERE weight >= 0.28""")
+def demo_similarity_edges(spark, sf_dir):
+    return g.similarity_edges(relations.items(spark, sf_dir), 0.28, 0.72, 0.28, digits=3)
+
+
+@query("SELECT p_partkey AS id FROM part WHERE contains(p_name, 'ring') OR p_name = 'ring'")
+def graph_nodes_by_text(spark, sf_dir):
+    """Nodes whose label has the text; nearer misses count less than what the view asks for."""
+    return relations.nodes(spark, sf_dir).filter(g.matches(g.Filters(text="ring"), least_match=64.0)).select("id")
+
+
+REDACTED = "t"
+for pattern, by in (*x.SECRETS[:-1], *x.COOKIES, x.SECRETS[-1]):
+    options = "'gi'" if pattern.startswith("(?i)") else "'g'"
+    REDACTED = f"regexp_replace({REDACTED}, '{pattern.removeprefix('(?i)')}', '{by.replace('$1', chr(92) + '1')}', {options})"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || ' JSESSIONID="ajax:' || doc_id || '" li_at=AQED' || doc_id || 'abcdefghijklmnop;' AS t FROM documents) SELECT doc_id, md5({REDACTED}) AS digest, contains({REDACTED}, 'li_at=[redacted-cookie]') AS hidden FROM d""")
+def redact_cookies(spark, sf_dir):
+    """Documents as pages that were read while logged in."""
+    page = F.concat("text", F.lit(' JSESSIONID="ajax:'), "doc_id", F.lit('" li_at=AQED'), "doc_id", F.lit("abcdefghijklmnop;"))
+    clean = x.redact(page, cookies=True)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("digest"), F.contains(clean, F.lit("li_at=[redacted-cookie]")).alias("hidden"))
+
+
+@query("""WITH m AS (SELECT doc_id, regexp_extract(replace(text, ',', ''), '([0-9.]+)[ \t\n\r\f\v]*([KkMmBb])?', 1) AS d, lower(regexp_extract(replace(text, ',', ''), '([0-9.]+)[ \t\n\r\f\v]*([KkMmBb])?', 2)) AS u FROM documents
+), n AS (SELECT doc_id, CASE WHEN length(d) <= 15 THEN TRY_CAST(CASE WHEN regexp_full_match(d, '[0-9]+[.]?|[0-9]*[.][0-9]{1,6}') THEN d END AS DOUBLE) END AS d, CASE u WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'b' THEN 1e9 ELSE 1 END AS t FROM m) SELECT doc_id, coalesce(CAST(floor(d * t + 0.5) AS BIGINT), -1) AS n FROM n""")
+def first_compact_number(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(x.compact_number_in(F.col("text")), F.lit(-1)).alias("n"))
+
+
+@query("SELECT event_type, coalesce(floor(sum(CASE WHEN user_id % 5 > 0 THEN value * (user_id % 5) END) / sum(CASE WHEN user_id % 5 > 0 THEN user_id % 5 END) * 1e6 + 0.5) / 1e6, -1) AS average FROM events GROUP BY 1")
+def weighted_average_values(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(jround(s.weighted_average(F.col("value"), F.col("user_id") % 5, -1.0), 6).alias("average"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS entity_id, l_partkey % 50 AS account, min(l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)
+SELECT entity_id, account, ordinal FROM a WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25 AND l_suppkey = entity_id AND l_partkey % 50 = account)""")
+def own_accounts(spark, sf_dir):
+    """Accounts of suppliers out of lineitems, without those of their members."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), (F.col("l_partkey") % 50).alias("account"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), "l_returnflag", "l_quantity")
+    return d.own_accounts(rows.filter("l_returnflag = 'A'").select("entity_id", "account", "ordinal"), rows.filter("l_returnflag = 'R' AND l_quantity > 25"), ["entity_id", "account"])
+
+
+@query("""SELECT c_custkey, 'x' AS platform, 'https://twitter.com/U' || c_custkey || '/media' AS url, 'u' || c_custkey AS handle FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'linkedin', 'https://www.linkedin.com/in/n' || c_custkey || '/', 'n' || c_custkey FROM customer
+UNION ALL SELECT c_custkey, 'web', 'https://c' || c_custkey || '.example/about', 'about' FROM customer""")
+def platform_links(spark, sf_dir):
+    """Links of customers by platform; some lie on another platform's host, or are no addresses."""
+    k = F.col("c_custkey")
+    at = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    links = F.map_from_arrays(F.array(*map(F.lit, ("x", "linkedin", "instagram", "github", "web"))), F.array(
+        F.when(k % 3 == 0, at("https://twitter.com/U", k, "/media")).when(k % 3 == 1, at("https://x.com.example/u", k)).otherwise(at("https://www.linkedin.com/in/u", k)), at("https://www.linkedin.com/in/n", k, "/"), F.lit(""), F.lit("no address"), at("https://c", k, ".example/about"),
+    ))
+    return landed.platform_links(read(spark, sf_dir, "customer").select("c_custkey", links.alias("links")), "c_custkey", "links")
+
+
+TYPES = ["click", "error", "purchase", "refund", "signup", "view"]
+
+
+@query("""SELECT t AS platform, count(event_id) AS n_rows, count(*) FILTER (value > 20) AS n_scored, count(DISTINCT user_id) FILTER (value > 20) AS n_entities, count(DISTINCT user_id) AS n_with_rows, count(*) FILTER (event_id % 7 = 0) AS n_review
+FROM (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS t) LEFT JOIN events ON event_type = t GROUP BY 1""")
+def platform_coverage_with_reviews(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("platform"), F.col("user_id").alias("entity_id"), (F.col("value") - 20).alias("score"))
+    return reports.coverage_with_reviews(rows, e.filter("event_id % 7 = 0").select(F.col("event_type").alias("platform")), TYPES)
+
+
+@query("""WITH v AS (SELECT user_id, event_type, value > 60 AS scored FROM events), u AS (SELECT DISTINCT user_id FROM events UNION SELECT 1000000)
+SELECT u.user_id AS entity_id, count(event_type) AS n_rows, count(*) FILTER (scored) AS n_scored, count(*) FILTER (scored AND event_type <> 'view') AS n_scored_elsewhere, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type), '') AS platforms,
+  coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (scored), '') AS scored_platforms, array_to_string(list_filter(['signup', 'click', 'refund'], lambda p: NOT coalesce(list_contains(list(event_type) FILTER (scored), p), false)), ',') AS lacking FROM u LEFT JOIN v ON v.user_id = u.user_id GROUP BY 1""")
+def entity_coverage(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    rows = e.select(F.col("event_type").alias("platform"), F.col("user_id").alias("entity_id"), F.when(F.col("value") > 60, 1).otherwise(0).alias("score"))
+    entities = rows.select("entity_id").distinct().unionByName(spark.range(1_000_000, 1_000_001).select(F.col("id").alias("entity_id")))
+    out = reports.entity_coverage(entities, rows, ["signup", "click", "refund"], code="view")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("platforms", "scored_platforms", "lacking")})

@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.text import decode_entities
+from tidemark.functions.urls import PLATFORM_HOSTS, handle, host, platform_of
 from tidemark.sources import nested
 
 #: Fixed names of fields that name and describe an entity in foreign records.
@@ -34,6 +35,13 @@ def unpivot_links(rows: DataFrame, key: str, links: str) -> DataFrame:
     return rows.select(key, F.explode(links).alias("platform", "url")).filter(F.coalesce("url", F.lit("")) != "")
 
 
+def platform_links(rows: DataFrame, key: str, links: str) -> DataFrame:
+    """key, platform, url and handle of a map of links whose host is one of the platform's own; platforms without hosts of their own take any."""
+    each = unpivot_links(rows, key, links)
+    known, of = F.col("platform").isin(*PLATFORM_HOSTS), platform_of(F.col("url"))
+    return each.filter(host(F.col("url")).isNotNull() & (~known | F.coalesce(of == F.col("platform"), F.lit(False)))).withColumn("handle", handle(F.col("platform"), F.col("url")))
+
+
 def feed_items(pages: DataFrame, xml: str = "html") -> DataFrame:
     """`pages` without the text, a row for each RSS item or Atom entry: title, link, published, summary."""
     items = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))
