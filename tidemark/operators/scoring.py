@@ -7,7 +7,6 @@ few platforms, and a window over one would hold a large share of all rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -292,18 +291,20 @@ def experiment_lists(rows: DataFrame, most: int = 25) -> DataFrame:
     of the first platform), n_platforms, code (score of the repositories, or null) and social (mean of social scores, or 0).
     """
     f, code = F.col, F.coalesce("code", F.lit(0.0))
+    issue = ((f("score") >= 70) & (f("n_evidence") <= 1)) | ((f("views") >= 100_000) & (f("score") < 40)) | ((f("stars") >= 5_000) & (code < 65))
     lists = {
         "top": F.lit(True), "one_platform": f("top_share") >= 0.85, "cross_platform": f("n_platforms") >= 3, "sparse": (f("score") >= 50) & (f("n_evidence") <= 2), "high_code_low_social": (code >= 70) & (f("social") < 30),
-        "viral_low_code": (f("social") >= 60) & (code < 30), "high_code_low_total": (f("stars") >= 1_000) & (f("score") < 45),
+        "viral_low_code": (f("social") >= 60) & (code < 30), "high_code_low_total": (f("stars") >= 1_000) & (f("score") < 45), "bottom": F.lit(True), "views_low_score": (f("views") >= 50_000) & (f("score") < 50), "formula_issues": issue,
     }
-    cut = lambda name, df, n, *order: df.orderBy(*order).limit(n).select(F.lit(name).alias("list"), "entity_id")
-    best = (F.desc("score"), "entity_id")
-    out = [cut(name, rows.filter(when), most, *best) for name, when in lists.items()]
-    out.append(cut("bottom", rows, most, "score", F.desc("entity_id")))
-    out.append(cut("views_low_score", rows.filter((f("views") >= 50_000) & (f("score") < 50)), most, F.desc("views"), "entity_id"))
-    issue = ((f("score") >= 70) & (f("n_evidence") <= 1)) | ((f("views") >= 100_000) & (f("score") < 40)) | ((f("stars") >= 5_000) & (code < 65))
-    out.append(cut("formula_issues", rows.filter(issue), 30, *best))
-    return reduce(DataFrame.unionByName, out)
+    by = {"bottom": f("score"), "views_low_score": -f("views")}
+    size = {"formula_issues": 30}
+    # One pass: a row goes into its lists, each task keeps the first of a list, and few rows meet to be cut again.
+    each = F.array(*[F.when(when, F.struct(F.lit(n).alias("list"), by.get(n, -f("score")).cast("double").alias("o"), F.lit(size.get(n, most)).alias("size"))) for n, when in lists.items()])
+    long = rows.select("entity_id", F.inline(F.filter(each, lambda x: x.isNotNull())))
+    last_first = F.col("list") == "bottom"
+    order = Window.partitionBy("list").orderBy("o", F.when(~last_first, F.col("entity_id")), F.when(last_first, F.col("entity_id")).desc())
+    kept = long.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(most, *size.values()))
+    return kept.filter(F.col("place") <= F.col("size")).select("list", "entity_id")
 
 
 def config_quality(lists: DataFrame, priority: Column) -> DataFrame:
