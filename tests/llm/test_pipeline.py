@@ -4,7 +4,7 @@ from tidemark.llm import catalogue
 
 
 def test_registered():
-    assert {int(k[2:].split("_")[0]) for k in catalogue.QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in catalogue.QUERIES} == set(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and set(catalogue.ORACLE) <= set(catalogue.QUERIES)
 
 
