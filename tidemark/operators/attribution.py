@@ -38,7 +38,7 @@ SPREAD = 200_000
 def rarest_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
     """The columns of `asked` and `given` but the keys, for each item of `given` and each row of `asked` that holds the item's rarest key.
 
-    asked: by, key and others, each once. given: by, keys (all of which what
+    asked: by, key and others; repeated rows count once. given: by, keys (all of which what
     holds the item has) and others, each once. Only keys of `given` leave the
     rows they stand in; the fewer rows hold a key, the fewer pairs it makes. An
     item with a key that nothing holds is in no pair. Rows of a key that more
@@ -46,7 +46,7 @@ def rarest_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
     """
     wanted = given.select("by", F.explode("keys").alias("key")).distinct()
     few = wanted.count() <= BROADCAST_KEYS
-    hits = durable(asked.join(F.broadcast(wanted) if few else wanted, ["by", "key"], "left_semi"), "hits")
+    hits = durable(asked.join(F.broadcast(wanted) if few else wanted, ["by", "key"], "left_semi").distinct(), "hits")
     held = hits.groupBy("by", "key").agg(F.count("*").alias("_n"))
     others = [c for c in given.columns if c not in ("by", "keys")]
     keyed = given.select("by", *others, F.explode("keys").alias("key")).join(held, ["by", "key"], "left")
@@ -76,8 +76,8 @@ def _phrase_keys(phrase: Column) -> Column:
 
 
 def _text_keys(text: Column) -> Column:
-    words = _words(text)
-    return F.array_distinct(F.concat(words, _neighbours(words)))
+    """All words and neighbouring words of a text, as often as they stand there; within the lambda its words are taken apart once."""
+    return F.flatten(F.transform(F.array(_words(text)), lambda w: F.concat(w, _neighbours(w))))
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str) -> DataFrame:
