@@ -77,6 +77,13 @@ def platform_scores(scored: DataFrame, config: Scoring = LIVE, *, view_heavy: bo
     return agg.select("entity_id", "platform", n, jround(score.otherwise(other)).alias("platform_score"))
 
 
+def mean_in_order(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and mean of its values, added up one by one in a unique order, so that reruns and splits of a table give the same double. Nulls count as missing."""
+    upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.filter(F.col(value).isNotNull()).select(key, order, F.sum(value).over(upto).alias("_sum"))
+    return sums.groupBy(key).agg((F.max_by("_sum", order) / F.count("*")).alias("mean"))
+
+
 def entity_scores(by_platform: DataFrame, config: Scoring = LIVE) -> DataFrame:
     """entity_id, n_platforms, n_evidence and total: the weighted mean over what is there by 0.85 + 0.15 * sqrt(share of platforms)."""
     rows = by_platform.withColumn("weight", config.weight(F.col("platform"))).filter("weight IS NOT NULL")

@@ -185,7 +185,7 @@ def profile_counters(spark, sf_dir):
 ), m AS (SELECT user_id, rank_other::INTEGER AS rank_other, coalesce(rank_base, 999)::INTEGER AS rank_base FROM x LEFT JOIN y USING (user_id)) SELECT *, rank_base - rank_other AS move FROM m ORDER BY abs(rank_base - rank_other) DESC, rank_other LIMIT 25""")
 def biggest_movers(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    score = lambda df: df.groupBy("user_id").agg(jround(F.avg("value") * 100).alias("score"))
+    score = lambda df: s.mean_in_order(df, "user_id", "value", "event_id").withColumn("score", jround(F.col("mean") * 100))
     return r.biggest_movers(score(e.filter("event_id % 3 > 0")), score(e), "user_id", "score")
 
 
