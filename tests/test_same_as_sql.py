@@ -19,3 +19,11 @@ def test_means_do_not_hang_on_how_rows_lie(spark):
 @pytest.mark.parametrize(("given", "want"), [("CC BY-NC 4.0. Then 5K", None), ("in 4.", 4), ("12,345 followers", 12345), ("about .5k", 500), ("no. 3", None), ("card 1234567890.123456", None), ("3.14159265", None), ("1.2 m", 1200000)])
 def test_first_number_of_a_text(spark, given, want):
     assert spark.range(1).select(text.compact_number_in(F.lit(given)).alias("v")).first()["v"] == want
+
+
+def test_ties_of_weighed_platforms_are_exact(spark):
+    """85 * 0.5 + 86 * 0.1 + 81 * 0.3 + 91 * 0.1 is 84.5."""
+    config = Scoring(platform_weights={"x": 0.1, "instagram": 0.1, "github": 0.5, "linkedin": 0.3})
+    for rows in permutations([(1, "github", 1, 85.0), (1, "instagram", 1, 86.0), (1, "linkedin", 1, 81.0), (1, "x", 1, 91.0)]):
+        df = spark.createDataFrame(list(rows), "entity_id long, platform string, n long, platform_score double").coalesce(1)
+        assert scoring.entity_scores(df, config).first()["total"] == 85

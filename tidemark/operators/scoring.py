@@ -85,9 +85,14 @@ def mean_in_order(rows: DataFrame, key: str, value: str, order: str) -> DataFram
 
 
 def entity_scores(by_platform: DataFrame, config: Scoring = LIVE) -> DataFrame:
-    """entity_id, n_platforms, n_evidence and total: the weighted mean over what is there by 0.85 + 0.15 * sqrt(share of platforms)."""
+    """entity_id, n_platforms, n_evidence and total: the weighted mean over what is there by 0.85 + 0.15 * sqrt(share of platforms).
+
+    Weights count in whole millionths, and platform scores are whole, so the
+    sums are exact and the order of rows decides no tie.
+    """
     rows = by_platform.withColumn("weight", config.weight(F.col("platform"))).filter("weight IS NOT NULL")
-    agg = rows.groupBy("entity_id").agg(F.count("*").alias("n_platforms"), F.sum("n").alias("n_evidence"), (F.sum(F.col("platform_score") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    parts = F.round(F.col("weight") * 1e6)
+    agg = rows.groupBy("entity_id").agg(F.count("*").alias("n_platforms"), F.sum("n").alias("n_evidence"), (F.sum(F.col("platform_score") * parts) / F.sum(parts)).alias("mean"))
     cover = 0.85 + 0.15 * F.sqrt(F.col("n_platforms") / len(config.platform_weights))
     return agg.select("entity_id", "n_platforms", "n_evidence", jround(F.col("mean") * cover).alias("total"))
 
