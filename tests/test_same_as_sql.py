@@ -27,3 +27,11 @@ def test_ties_of_weighed_platforms_are_exact(spark):
     for rows in permutations([(1, "github", 1, 85.0), (1, "instagram", 1, 86.0), (1, "linkedin", 1, 81.0), (1, "x", 1, 91.0)]):
         df = spark.createDataFrame(list(rows), "entity_id long, platform string, n long, platform_score double").coalesce(1)
         assert scoring.entity_scores(df, config).first()["total"] == 85
+
+
+@pytest.mark.parametrize(("bio", "want"), [("we build acme-works2026", False), ("acme works 2026", False), ("(YC S2026)", True), ("yc s 2026 team", True), ("YCS2026", True), (None, False)])
+def test_a_batch_begins_with_a_word(spark, bio, want):
+    row = dict.fromkeys(("explicit", "display_name", "handle", "site", "website", "verified", "on_official_site"))
+    df = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in row.items() if k not in ("verified", "on_official_site")], F.lit(False).alias("verified"), F.lit(False).alias("on_official_site"),
+        F.lit("company").alias("entity_type"), F.lit("Acme").alias("name"), F.lit("Acme").alias("company_name"), F.lit("S2026").alias("batch"), F.lit(bio).cast("string").alias("bio"), F.lit(None).cast("timestamp").alias("active_at"))
+    assert attribution.identity_signals(df, F.lit("2026-06-01")).first()["batch_context"] is want

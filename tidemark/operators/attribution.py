@@ -293,10 +293,13 @@ def identity_signals(rows: DataFrame, as_of: Column) -> DataFrame:
 
     rows: entity_type (company or founder), name, company_name, batch, website
     of the entity; explicit, display_name, handle, bio, site, verified,
-    on_official_site, active_at of the candidate. Null texts match nothing.
+    on_official_site, active_at of the candidate. Null texts match nothing. A
+    batch stands in a bio where a word begins, or after YC: 'works2026' has no S2026.
     """
     f, key = F.col, compact
     has = lambda text, part: (key(part) != "") & F.contains(key(text), key(part))
+    apart = F.concat(F.lit("(^|[^a-z0-9])(yc)?"), F.regexp_replace(key(f("batch")), "(.)", "$1[^a-z0-9]*"))
+    batch = (key(f("batch")) != "") & F.rlike(F.lower("bio"), apart)
     named = ((key(f("display_name")) == key(f("name"))) | (key(f("handle")) == key(f("name")))) & (key(f("name")) != "")
     company = F.coalesce("company_name", F.when(f("entity_type") == "company", f("name")))
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -304,7 +307,7 @@ def identity_signals(rows: DataFrame, as_of: Column) -> DataFrame:
     flags = {
         "official_site": yes(f("on_official_site")), "exact_company": (f("entity_type") == "company") & named, "exact_founder": (f("entity_type") == "founder") & named, "domain": yes(host(f("website")) == host(f("site"))),
         "bio_mentions": has(f("bio"), company), "bio_program": yes(f("bio").rlike(r"(?i)\bYC\b|Y\s*Combinator")), "founder_role": (f("entity_type") == "founder") & yes(f("bio").rlike(r"(?i)\bfounder\b|\bco-founder\b")),
-        "batch_context": has(f("bio"), f("batch")), "verified_account": yes(f("verified")), "recent_activity": yes(age.between(0, 90)),
+        "batch_context": yes(batch), "verified_account": yes(f("verified")), "recent_activity": yes(age.between(0, 90)),
     }
     return rows.withColumns(flags).withColumn("n_matches", sum((F.col(k).cast("int") for k in flags), F.lit(0)))
 
