@@ -35,3 +35,10 @@ def test_a_batch_begins_with_a_word(spark, bio, want):
     df = spark.range(1).select(*[F.lit(v).cast("string").alias(k) for k, v in row.items() if k not in ("verified", "on_official_site")], F.lit(False).alias("verified"), F.lit(False).alias("on_official_site"),
         F.lit("company").alias("entity_type"), F.lit("Acme").alias("name"), F.lit("Acme").alias("company_name"), F.lit("S2026").alias("batch"), F.lit(bio).cast("string").alias("bio"), F.lit(None).cast("timestamp").alias("active_at"))
     assert attribution.identity_signals(df, F.lit("2026-06-01")).first()["batch_context"] is want
+
+
+def test_compact_ids_beyond_four_digits(spark):
+    """36**4 places have four digits; the next ones have five and are not those of the first again."""
+    ids = graph.compact_ids(spark.range(1679610, 1679620), "ev-", "id").count()
+    digits = graph.compact_ids(spark.range(0, 1679618), "ev-", "id").filter("id >= 1679615").select("compact_id").collect()
+    assert ids == 10 and sorted(d[0] for d in digits) == ["ev-10000", "ev-10001", "ev-zzzz"]
