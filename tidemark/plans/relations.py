@@ -77,7 +77,7 @@ def tag_similarity_edges(spark, sf_dir):
 
 @query()
 def greedy_degree_capped_edges(spark, sf_dir):
-    return g.greedy_edges(g.similarity_edges(items(spark, sf_dir)), most=None)
+    return g.greedy_similar_edges(items(spark, sf_dir))
 
 
 #: Parts as companies and founders, and a query with typing errors.
