@@ -61,3 +61,25 @@ def test_pairs_stay_near_what_holds(spark):
     posts = spark.range(5000).select("id", F.lit(-1).cast("long").alias("entity_id"), text.alias("visible"))
     pairs, held = a.conflict_pairs(posts, signals).count(), a.conflicts(posts, signals).count()
     assert held == 5000 and pairs <= 2 * held
+
+
+def test_signals_are_taken_once(spark):
+    """What names entities is worked out once, however often evidence meets it."""
+    taken = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        taken.add(1)
+        return name
+
+    n = 50
+    k = F.col("id").cast("string")
+    name = F.udf(seen, "string").asNondeterministic()(F.concat(F.lit("Alpha Works "), k))
+    entities = spark.range(n).select(F.col("id").alias("entity_id"), F.concat(F.lit("alpha-works-"), k).alias("slug"), F.concat(F.lit("https://alpha"), k, F.lit(".io")).alias("website"), name.alias("name"))
+    links = spark.range(n).select(F.col("id").alias("entity_id"), F.lit("x").alias("platform"), F.concat(F.lit("https://x.com/alpha_"), k).alias("url"), F.lit(False).alias("own"))
+    members = spark.range(n).select(F.col("id").alias("entity_id"), F.concat(F.lit("Ann Person"), k).alias("name"))
+    none = F.lit(None).cast("string")
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Alpha Works "), (F.col("id") % n).cast("string"))).otherwise(F.concat(F.lit("hi @alpha_"), (F.col("id") % n).cast("string")))
+    posts = spark.range(400).select("id", (F.col("id") % 7).alias("entity_id"), F.lit("x").alias("platform"), F.lit(1.0).alias("contribution"), text.alias("text"), *[none.alias(c) for c in ("review_state", "raw", "author_name", "author_handle", "source_url", "account_url", "match_reason", "why")])
+    got = a.evidence_flags(posts, a.signals(entities, links, members), entities).collect()
+    assert taken.value == n and len(got) == 400
+    assert all(r.conflict == (r.id % n != r.id % 7) and r.visible_signal == (r.id % 2 == 0 and r.id % n == r.id % 7) for r in got)

@@ -44,8 +44,9 @@ def key_part(text: Column) -> Column:
 
 def plain(text: Column) -> Column:
     """For attribution: no scheme, letters, digits and dots only."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "https?://(www\\.)?", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[_-]+", " "), "[^a-z0-9.]+", " "))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    t = F.when(F.contains(low, F.lit("://")), F.regexp_replace(low, "https?://(www\\.)?", " ")).otherwise(low)
+    return F.trim(F.regexp_replace(t, "[^a-z0-9.]+", " "))
 
 
 def compact(text: Column) -> Column:

@@ -86,8 +86,7 @@ def handle(platform: Column, url: Column) -> Column:
 
 def own_handle(value: Column) -> Column:
     """A handle as written by hand: lower case, no @, only its own signs."""
-    kept = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "^@", ""), "[^a-z0-9._-]+", "")
-    return F.regexp_replace(kept, "^-+|-+$", "")
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9._-]+", ""), F.lit("-"))
 
 
 def site_handle(url: Column) -> Column:

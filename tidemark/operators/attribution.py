@@ -29,8 +29,8 @@ def classify(text: Column, classes=CLASSES, otherwise: str = "b2b") -> Column:
     return out
 
 
-#: Most distinct keys that are broadcast to sift what texts hold; beyond, they are joined by shuffling.
-BROADCAST_KEYS = 500_000
+#: Most distinct keys, 64-bit numbers, that are broadcast to sift what texts hold (some 60 bytes each); beyond, they are joined by shuffling.
+BROADCAST_KEYS = 2_000_000
 #: Texts with one key that one task holds; those of a hotter key are dealt over several.
 SPREAD = 200_000
 
@@ -38,46 +38,51 @@ SPREAD = 200_000
 def rarest_pairs(asked: DataFrame, given: DataFrame) -> DataFrame:
     """The columns of `asked` and `given` but the keys, for each item of `given` and each row of `asked` that holds the item's rarest key.
 
-    asked: by, key and others; repeated rows count once. given: by, keys (all of which what
-    holds the item has) and others, each once. Only keys of `given` leave the
-    rows they stand in; the fewer rows hold a key, the fewer pairs it makes. An
-    item with a key that nothing holds is in no pair. Rows of a key that more
-    than SPREAD of them hold are dealt out, and its items copied to each deal.
+    asked: key and others. given: keys (all of which what holds the item has)
+    and others, each once. Keys are those of `_key`, and what comes of them is to
+    be verified. Only keys of `given` leave the rows they stand in; the fewer rows
+    hold a key, the fewer pairs it makes. An item with a key that nothing holds is
+    in no pair. Rows of a key that more than SPREAD of them hold are dealt out, and
+    its items copied to each deal.
     """
-    wanted = given.select("by", F.explode("keys").alias("key")).distinct()
+    wanted = given.select(F.explode("keys").alias("key")).distinct()
     few = wanted.count() <= BROADCAST_KEYS
-    hits = durable(asked.join(F.broadcast(wanted) if few else wanted, ["by", "key"], "left_semi").distinct(), "hits")
-    held = hits.groupBy("by", "key").agg(F.count("*").alias("_n"))
-    others = [c for c in given.columns if c not in ("by", "keys")]
-    keyed = given.select("by", *others, F.explode("keys").alias("key")).join(held, ["by", "key"], "left")
-    chosen = keyed.groupBy("by", *others).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "key")).alias("_k")).filter("_k.n > 0")
+    hits = durable(asked.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "key", "left_semi"), "hits")
+    held = hits.groupBy("key").agg(F.count("*").alias("_n"))
+    others = [c for c in given.columns if c != "keys"]
+    keyed = given.select(*others, F.explode("keys").alias("key")).join(held, "key", "left")
+    chosen = keyed.groupBy(*others).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "key")).alias("_k")).filter("_k.n > 0")
     deals = F.ceil(F.col("_k.n") / SPREAD).cast("int")
-    chosen = chosen.select("by", *others, F.col("_k.key").alias("key"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
-    hot = held.filter(F.col("_n") > SPREAD).select("by", "key", F.ceil(F.col("_n") / SPREAD).cast("int").alias("_deals"))  # a row for SPREAD hits at most
-    dealt = hits.join(F.broadcast(hot), ["by", "key"], "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.floor(F.rand(1) * F.col("_deals")).cast("int")))
-    return dealt.join(chosen, ["by", "key", "_deal"]).drop("by", "key", "_deal", "_deals")
+    chosen = chosen.select(*others, F.col("_k.key").alias("key"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("_deal"))
+    hot = held.filter(F.col("_n") > SPREAD).select("key", F.ceil(F.col("_n") / SPREAD).cast("int").alias("_deals"))  # a row for SPREAD hits at most
+    dealt = hits.join(F.broadcast(hot), "key", "left").withColumn("_deal", F.when(F.col("_deals").isNull(), 0).otherwise(F.floor(F.rand(1) * F.col("_deals")).cast("int")))
+    return dealt.join(chosen, ["key", "_deal"]).drop("key", "_deal", "_deals")
+
+
+def _key(by: str, *parts: Column) -> Column:
+    """A key as a number: 64 bits of what it is and of its parts, quicker to explode and to join than words."""
+    return F.xxhash64(F.lit(by), *parts)
 
 
 def _words(text: Column) -> Column:
     """The words of a text in plain form; points part them too."""
-    return F.filter(F.split(text, "[ .]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, "[ .]+"), "")
 
 
 def _neighbours(words: Column) -> Column:
-    """Each two neighbouring words."""
+    """The keys of each two neighbouring words."""
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: _key("word", a, b))
 
 
-def _phrase_keys(phrase: Column) -> Column:
-    """What a text that has the phrase has: its neighbouring words, or its only one."""
-    words = _words(phrase)
-    return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(_neighbours(words)))
+def _phrase_keys(words: Column) -> Column:
+    """What a text that has the phrase of these words has: its neighbouring words, or its only one."""
+    return F.array_distinct(F.when(F.size(words) == 1, F.transform(words, lambda w: _key("word", w))).otherwise(_neighbours(words)))
 
 
-def _text_keys(text: Column) -> Column:
-    """All words and neighbouring words of a text, as often as they stand there; within the lambda its words are taken apart once."""
-    return F.flatten(F.transform(F.array(_words(text)), lambda w: F.concat(w, _neighbours(w))))
+def _text_keys(words: Column) -> Column:
+    """All words and neighbouring words of a text, each once; `words` is best a column, which is taken apart once."""
+    return F.array_distinct(F.concat(F.transform(words, lambda w: _key("word", w)), _neighbours(words)))
 
 
 def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -87,9 +92,9 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, id_column: str, text: str)
     the texts of these pairs follow and verify them. Phrases without a letter
     or digit stand in no text.
     """
-    asked = texts.select(F.col(id_column), F.lit("words").alias("by"), F.explode(_text_keys(plain(F.col(text)))).alias("key"))
+    asked = texts.select(id_column, _words(plain(F.col(text))).alias("_w")).select(id_column, F.explode(_text_keys(F.col("_w"))).alias("key"))
     p = phrases.select("phrase_id", plain(F.col("phrase")).alias("_p"))
-    given = p.select("phrase_id", "_p", F.lit("words").alias("by"), _phrase_keys(F.col("_p")).alias("keys")).distinct()
+    given = p.select("phrase_id", "_p", _phrase_keys(_words(F.col("_p"))).alias("keys")).distinct()
     pairs = durable(rarest_pairs(asked, given), "pairs")
     met = texts.select(id_column, text).join(pairs.select(id_column).distinct(), id_column, "left_semi").select(id_column, plain(F.col(text)).alias("_t"))
     return met.join(pairs, id_column).filter(has_phrase(F.col("_t"), F.col("_p"))).select(id_column, "phrase_id").distinct()
@@ -131,6 +136,15 @@ def visible_text(text: Column, raw: Column) -> Column:
     return F.concat_ws(" ", F.nullif(text, F.lit("")), F.nullif(body, F.lit("")))
 
 
+def _tagged(low: Column) -> Column:
+    """What a text in lower case may name as a handle: after @, up to each sign that may end one, and in addresses."""
+    tagged = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9])@([a-z0-9._-]{4,})"), F.lit(1))
+    linked = F.regexp_extract_all(low, F.lit(r"(?:x|twitter|instagram|linkedin|github)\.com/([^/\"'\s?#]{4,})"), F.lit(1))
+    ends = F.flatten(F.transform(tagged, lambda x: F.filter(F.transform(F.sequence(F.lit(4), F.length(x)), lambda i: F.when((i == F.length(x)) | F.rlike(F.substr(x, i + 1, F.lit(1)), F.lit("[^a-z0-9]")), F.substr(x, F.lit(1), i))), lambda y: y.isNotNull())))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(F.contains(low, F.lit("@")), ends).otherwise(none), F.when(F.contains(low, F.lit(".com/")), linked).otherwise(none))
+
+
 def conflict_pairs(evidence: DataFrame, signal: DataFrame) -> DataFrame:
     """id, other, kind and value of signals that the visible text of evidence may show, for entities besides its own.
 
@@ -141,25 +155,26 @@ def conflict_pairs(evidence: DataFrame, signal: DataFrame) -> DataFrame:
     """
     signal = signal.filter("kind = 'name' OR kind = 'domain' AND value LIKE '%.%' OR kind = 'handle' AND length(value) >= 4")
     labels = F.filter(F.split(F.regexp_replace("value", r"\.[^.]*$", ""), r"\."), lambda x: x != "")
-    keys = F.when(F.col("kind") == "name", _phrase_keys(F.col("value"))).when(F.col("kind") == "domain", labels).otherwise(F.array("value"))
-    given = signal.select(F.col("entity_id").alias("other"), "kind", "value", F.col("kind").alias("by"), F.array_distinct(keys).alias("keys")).distinct()
-    longest = given.filter("kind = 'domain'").agg(F.max(F.array_max(F.transform("keys", lambda k: F.length(k))))).first()[0] or 0
-    t, low = plain(F.col("visible")), F.lower(F.coalesce("visible", F.lit("")))
+    longest = signal.filter("kind = 'domain'").agg(F.max(F.array_max(F.transform(labels, lambda k: F.length(k))))).first()[0] or 0
+    in_domain = lambda x: F.transform(x, lambda k: _key("domain", k))
+    keys = F.when(F.col("kind") == "name", _phrase_keys(_words(F.col("value")))).when(F.col("kind") == "domain", in_domain(labels)).otherwise(F.array(_key("handle", F.col("value"))))
+    given = signal.select(F.col("entity_id").alias("other"), "kind", "value", F.array_distinct(keys).alias("keys")).distinct()
+    t, low = F.col("_t"), F.col("_low")
     before = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"([^ .]+)(?=\.)"), F.lit(1)), lambda x: F.transform(F.sequence(F.lit(1), F.least(F.length(x), F.lit(longest))), lambda n: F.right(x, n))))
-    tagged = F.regexp_extract_all(low, F.lit(r"(?:^|[^a-z0-9])@([a-z0-9._-]{4,})"), F.lit(1))
-    linked = F.regexp_extract_all(low, F.lit(r"(?:x|twitter|instagram|linkedin|github)\.com/([^/\"'\s?#]{4,})"), F.lit(1))
-    ends = F.flatten(F.transform(tagged, lambda x: F.filter(F.transform(F.sequence(F.lit(4), F.length(x)), lambda i: F.when((i == F.length(x)) | F.rlike(F.substr(x, i + 1, F.lit(1)), F.lit("[^a-z0-9]")), F.substr(x, F.lit(1), i))), lambda y: y.isNotNull())))
-    keyed = F.map_from_arrays(F.array(*map(F.lit, ("name", "domain", "handle"))), F.array(_text_keys(t), F.array_distinct(before), F.array_distinct(F.concat(ends, linked))))
-    asked = evidence.select("id", F.col("entity_id").alias("own"), F.explode(keyed).alias("by", "_keys")).select("id", "own", "by", F.explode("_keys").alias("key"))
-    return rarest_pairs(asked, given).filter("own <> other").select("id", "other", "kind", "value").distinct()
+    none = F.array().cast("array<bigint>")
+    others = F.concat(F.when(F.contains(t, F.lit(".")), in_domain(before)).otherwise(none), F.transform(_tagged(low), lambda h: _key("handle", h)))
+    shown = evidence.select("id", F.col("entity_id").alias("own"), plain(F.col("visible")).alias("_t"), F.lower(F.coalesce("visible", F.lit(""))).alias("_low")).withColumn("_w", _words(t))
+    asked = shown.select("id", "own", F.explode(F.concat(_text_keys(F.col("_w")), F.array_distinct(others))).alias("key"))
+    return rarest_pairs(asked, given).filter("own <> other").select("id", "other", "kind", "value")
 
 
 def conflicts(evidence: DataFrame, signal: DataFrame) -> DataFrame:
     """id and other, the entities besides its own whose name, domain or handle the visible text of evidence shows."""
     pairs = durable(conflict_pairs(evidence, signal), "pairs")
-    met = evidence.join(pairs.select("id").distinct(), "id", "left_semi").select("id", plain(F.col("visible")).alias("_t"))
-    holds = F.when(F.col("kind") == "name", has_phrase(F.col("_t"), F.col("value"))).when(F.col("kind") == "domain", F.contains("_t", "value")).otherwise(F.lit(True))
-    return met.join(pairs, "id").filter(holds).select("id", "other").distinct()
+    met = evidence.select("id", "visible").join(pairs, "id").withColumn("_t", plain(F.col("visible")))
+    tagged = F.array_contains(_tagged(F.lower("visible")), F.col("value"))
+    holds = F.when(F.col("kind") == "name", has_phrase(F.col("_t"), F.col("value"))).when(F.col("kind") == "domain", F.contains("_t", "value")).otherwise(tagged)
+    return met.filter(holds).select("id", "other").distinct()
 
 
 def evidence_flags(evidence: DataFrame, signal: DataFrame, entities: DataFrame) -> DataFrame:
@@ -169,33 +184,37 @@ def evidence_flags(evidence: DataFrame, signal: DataFrame, entities: DataFrame)
     contribution, review_state, text, raw, author_name, author_handle,
     source_url, account_url, match_reason, why.
     """
+    signal = durable(signal, "signals")
     own = signal.groupBy("entity_id").agg(
         F.collect_set(F.when(F.col("kind").isin("name", "member"), F.col("value"))).alias("_names"), F.collect_set(F.when(F.col("kind") == "domain", F.col("value"))).alias("_domains"),
         F.collect_set(F.when(F.col("kind") == "handle", F.struct("platform", "value"))).alias("_handles"),
     )
-    known = entities.select("entity_id").distinct().withColumn("resolved", F.lit(True))
-    rows = evidence.join(known, "entity_id", "left").join(own, "entity_id", "left").withColumn("visible", visible_text(F.col("text"), F.col("raw")))
+    about = entities.select("entity_id").distinct().withColumn("resolved", F.lit(True)).join(own, "entity_id", "full")
+    visible = visible_text(F.col("text"), F.col("raw"))
+    found = conflicts(evidence.select("id", "entity_id", visible.alias("visible")), signal).select("id").distinct().withColumn("conflict", F.lit(True))
+    who = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("author_name", "author_handle", "source_url", "account_url", "match_reason", "why")])
     empty = F.array().cast("array<string>")
     handles = F.transform(F.filter("_handles", lambda h: h["platform"] == F.col("platform")), lambda h: h["value"])
-    rows = rows.withColumns({"_names": F.coalesce("_names", empty), "_domains": F.coalesce("_domains", empty), "_mine": F.coalesce(handles, empty)})
+    # What lambdas read is a column first, or they would work it out anew for each element.
+    rows = evidence.join(about, "entity_id", "left").withColumns({
+        "_names": F.coalesce("_names", empty), "_domains": F.coalesce("_domains", empty), "_mine": F.coalesce(handles, empty), "_visible": plain(visible), "_who": plain(who), "_site": host(F.col("source_url")),
+    })
     shows = lambda text: F.exists("_names", lambda n: has_phrase(text, n)) | F.exists("_domains", lambda d: F.contains(text, d)) | F.exists("_mine", lambda h: F.contains(text, h))
-    site = host(F.col("source_url"))
+    site = F.col("_site")
     social = F.coalesce(F.exists(F.array(*map(F.lit, SOCIAL_HOSTS)), lambda s: (site == s) | F.endswith(site, F.concat(F.lit("."), s))), F.lit(True))
     at_home = ~social & F.exists("_domains", lambda d: (site == d) | F.endswith(site, F.concat(F.lit("."), d)))
-    who = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("author_name", "author_handle", "source_url", "account_url", "match_reason", "why")])
     capture = F.when(F.col("platform") == "instagram", captured_handle(F.col("raw")))
     accounts = F.array(own_handle(F.coalesce("author_handle", "author_name")), site_handle(F.coalesce("account_url", "source_url")), site_handle(F.col("source_url")), capture)
     yes = lambda c: F.coalesce(c, F.lit(False))
     x = F.col("platform") == "x"
     context = (F.col("contribution") <= 0) & F.coalesce("why", "match_reason").rlike("(?i)profile|identity context|context only")
-    found = conflicts(rows.select("id", "entity_id", "visible"), signal).select("id").distinct().withColumn("conflict", F.lit(True))
-    rows = rows.join(found, "id", "left").withColumn("visible", plain(F.col("visible")))
     flags = {
-        "resolved": yes(F.col("resolved")), "conflict": yes(F.col("conflict")), "visible_signal": yes(shows(F.col("visible"))) | yes(at_home), "own_signal": yes(shows(plain(who))),
-        "verified_account": yes(F.exists(F.filter(accounts, lambda a: F.coalesce(a, F.lit("")) != ""), lambda a: F.array_contains("_mine", a))),
-        "context_only": yes(x & F.col("raw").rlike(r'(?i)"is_retweet"\s*:\s*true')) | yes(context), "quote": yes(x & F.col("visible").rlike(r"\bquote\b")), "off_topic": yes(F.col("visible").rlike(OFF_TOPIC)),
+        "resolved": yes(F.col("resolved")), "visible_signal": yes(shows(F.col("_visible"))) | yes(at_home), "own_signal": yes(shows(F.col("_who"))),
+        "verified_account": yes(F.arrays_overlap(F.filter(accounts, lambda a: F.coalesce(a, F.lit("")) != ""), "_mine")),
+        "context_only": yes(x & F.col("raw").rlike(r'(?i)"is_retweet"\s*:\s*true')) | yes(context), "quote": yes(x & F.col("_visible").rlike(r"\bquote\b")), "off_topic": yes(F.col("_visible").rlike(OFF_TOPIC)),
     }
-    return rows.withColumns(flags).select(*evidence.columns, *flags)
+    rows = rows.withColumns(flags).select(*evidence.columns, *flags)  # before the join by id, so that it carries flags and no lists
+    return rows.join(found, "id", "left").withColumn("conflict", yes(F.col("conflict"))).select(*evidence.columns, "resolved", "conflict", *[c for c in flags if c != "resolved"])
 
 
 def captured_handle(raw: Column) -> Column:
