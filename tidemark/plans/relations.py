@@ -266,7 +266,8 @@ POSTED = """co AS (SELECT s_suppkey AS c, 'alpha works ' || s_suppkey AS name, '
 ), flags AS (SELECT seen.*, coalesce(conflict, false) AS conflict, platform = 'x' AND regexp_matches(p, '\\bquote\\b') AS quote, regexp_matches(p, '\\bmovie\\b') AS off FROM seen LEFT JOIN other USING (id))"""
 
 
-def posts_with_flags(spark, sf_dir):
+def posts(spark, sf_dir):
+    """Evidence, signals and entities."""
     s, e = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "events")
     k, n = F.col("s_suppkey").cast("string"), s.count()
     entities = s.select(F.col("s_suppkey").alias("entity_id"), F.concat(F.lit("Alpha Works "), k).alias("name"), F.concat(F.lit("alpha-works-"), k).alias("slug"), F.concat(F.lit("https://www.alpha"), k, F.lit(".io")).alias("website"))
@@ -284,25 +285,25 @@ def posts_with_flags(spark, sf_dir):
         i.alias("id"), (F.col("user_id") % (n + 3)).alias("entity_id"), platform.alias("platform"), F.col("value").alias("contribution"), none.alias("review_state"), text.alias("text"), none.alias("raw"), none.alias("author_name"),
         handle.alias("author_handle"), F.lit("https://news.example.org/a").alias("source_url"), none.alias("account_url"), none.alias("match_reason"), none.alias("why"),
     )
-    return a.evidence_flags(evidence, a.signals(entities, links, members), entities)
+    return evidence, a.signals(entities, links, members), entities
 
 
 @query(f"WITH {POSTED} SELECT id, resolved, visible AS visible_signal, verified AS verified_account, conflict, quote, off AS off_topic FROM flags")
 def attribution_signals(spark, sf_dir):
-    return posts_with_flags(spark, sf_dir).select("id", "resolved", "visible_signal", "verified_account", "conflict", "quote", "off_topic")
+    return a.evidence_flags(*posts(spark, sf_dir)).select("id", "resolved", "visible_signal", "verified_account", "conflict", "quote", "off_topic")
 
 
 @query(f"""WITH {POSTED}, r AS (SELECT *, CASE WHEN NOT resolved THEN 1 WHEN platform = 'web' THEN 2 WHEN platform = 'github' AND visible THEN 2 WHEN platform = 'github' THEN 1 WHEN platform = 'instagram' THEN 1
   WHEN platform = 'x' AND quote AND NOT visible THEN 1 WHEN conflict AND NOT visible THEN 1 WHEN verified AND off AND NOT visible THEN 4 WHEN verified OR visible THEN 2 WHEN platform = 'reddit' THEN 1 ELSE 4 END AS r FROM flags)
 SELECT id, CASE WHEN r = 2 THEN 'verified' ELSE 'needs_review' END AS review_state, CASE r WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE 'medium' END AS risk, CASE WHEN r = 2 THEN contribution ELSE 0 END AS guarded FROM r""")
 def attribution_audit(spark, sf_dir):
-    return a.guard(posts_with_flags(spark, sf_dir)).select("id", "review_state", "risk", "guarded")
+    return a.verdicts(*posts(spark, sf_dir)).select("id", "review_state", "risk", "guarded")
 
 
 @query(f"""WITH {POSTED}, k AS (SELECT platform, CASE WHEN NOT resolved THEN 'high' WHEN platform = 'web' OR (platform <> 'instagram' AND visible) OR (platform = 'x' AND verified AND NOT quote AND NOT conflict AND NOT off) THEN 'low' WHEN platform = 'x' AND NOT quote AND NOT conflict THEN 'medium' ELSE 'high' END AS risk FROM flags)
 SELECT platform, risk, count(*) AS n FROM k GROUP BY 1, 2""")
 def risk_counts(spark, sf_dir):
-    return a.guard(posts_with_flags(spark, sf_dir)).groupBy("platform", "risk").agg(F.count("*").alias("n"))
+    return a.verdicts(*posts(spark, sf_dir)).groupBy("platform", "risk").agg(F.count("*").alias("n"))
 
 
 #: Each customer as a candidate for one supplier.
