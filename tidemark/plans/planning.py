@@ -197,7 +197,8 @@ def clear_view_edges(spark, sf_dir):
     """The view without the weaker edges."""
     nodes = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("i").alias("industry"), F.lit("p").alias("partner"), F.lit("b2b").alias("model"), F.array(F.lit("x")).alias("platforms"), F.col("c_acctbal").alias("score"))
     none = spark.createDataFrame([], "entity_id long, platform string")
-    return g.query(nodes, g.similarity_edges(relations.items(spark, sf_dir)), none, none, g.Filters(), least_weight=0.34).edges
+    edges = lambda kept: g.similarity_edges(relations.items(spark, sf_dir).join(kept.select("id"), "id", "left_semi"), 0.34)
+    return g.query(nodes, edges, none, none, g.Filters(), least_weight=0.34).edges
 
 
 @query(f"""WITH {relations.EDGES.replace("0.75::DOUBLE", "0.72::DOUBLE").replace("0.25::DOUBLE", "0.28::DOUBLE").replace("* 100 + 0.5) / 100", "* 1000 + 0.5) / 1000")} SELECT source, target, weight FROM edges WHERE weight >= 0.28""")
